@@ -1,0 +1 @@
+"""Intentionally empty: every input of this workflow is a finished daily file, so no operator streams."""
