@@ -23,13 +23,14 @@ def range_count(spark: SparkSession) -> int:
 def split_points(frame: DataFrame, columns: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
     """Approximate quantiles per column, in one pass with partial aggregation.
 
-    Only ``columns x parts`` numbers reach the driver. They merely balance the ranges; results stay exact.
-    They are fixed numbers afterwards, so a recomputed task always cuts the rows the same way.
+    Only ``columns x parts`` numbers reach the driver. They merely balance the ranges, so a two percent look at
+    the rows is enough; every result stays exact over all rows, whatever the cuts. They are fixed numbers
+    afterwards, so a recomputed task always cuts the rows the same way.
     """
     parts = parts or range_count(frame.sparkSession)
     shares = [i / parts for i in range(1, parts)]
-    row = frame.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), shares, 20 * parts).alias(f"q{i}")
+    row = frame.select(*columns).sample(0.02, seed=7).agg(*[
+        F.percentile_approx(F.col(c).cast("double"), shares, 5 * parts).alias(f"q{i}")
         for i, c in enumerate(columns)
     ]).first()
     return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
@@ -66,7 +67,8 @@ def running_totals(
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # offsets: at most (groups x ranges) rows, so the broadcast is bounded
-    joined = frame.join(F.broadcast(offsets), keys)
+    # (left: an inner join would add a filter to this branch only, and the shuffle below would run twice)
+    joined = frame.join(F.broadcast(offsets), keys, "left")
     totals = joined.withColumns({n: F.sum(c).over(inside) + F.col(f"_o_{n}") for n, c in sums.items()})
     return totals.drop(*[f"_o_{n}" for n in sums])
 
@@ -79,15 +81,13 @@ def dense_index(frame: DataFrame, unique_number: str, output: str) -> DataFrame:
     return counted.withColumn(output, F.col(output) - 1).drop("_one", BUCKET)
 
 
-def quantiles(
-    frame: DataFrame, columns: Sequence[str], shares: Sequence[float], counts: Mapping[str, Column] | None = None,
-    groups: Sequence[str] = (),
+def value_counts(
+    frame: DataFrame, columns: Sequence[str], counts: Mapping[str, Column] | None = None, groups: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles (linear interpolation) of several columns, one row per group and feature.
+    """The value-frequency table of numeric columns: one row per group, feature and value (NULL is a value).
 
-    ``counts`` names row weights (for example 1 for all, 1/0 per class): each gets ``<name>_q<i>`` per share and
-    ``<name>_n``. Equal values are merged first, then ranks come from running totals over value ranges, so no
-    task ever holds all values of a column. Groups must be few (classes, days, folds).
+    ``counts`` names row weights (for example 1 for all, 1/0 per class); each is summed per value, as 0 for NULL.
+    Distinct, dominant share and exact quantiles all come from this one shuffle.
     """
     counts = counts or {"all": F.lit(1)}
     points = split_points(frame, columns)
@@ -98,29 +98,51 @@ def quantiles(
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col(r).alias(BUCKET))
         for c, r in zip(columns, ranges)
     ]))
-    long = cut.select(*groups, *[f"_c_{n}" for n in counts], pairs).where(F.col("value").isNotNull())
+    long = cut.select(*groups, *[f"_c_{n}" for n in counts], pairs)
+    return long.groupBy(*groups, "feature", BUCKET, "value").agg(
+        *[F.sum(F.when(F.col("value").isNotNull(), F.col(f"_c_{n}")).otherwise(0)).alias(f"_c_{n}") for n in counts],
+    )
+
+
+def quantiles_of(counted: DataFrame, names: Sequence[str], shares: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles (linear interpolation) from a value-frequency table, one row per group and feature.
+
+    Ranks come from running totals over value ranges, so no task ever holds all values of a column. Gives
+    ``<name>_n`` and ``<name>_q<i>`` per weight and share, and for the first weight ``distinct_values`` and
+    ``largest_count``. Groups must be few (classes, days, folds). Every branch reads the same columns of
+    ``counted``, so its shuffle runs once.
+    """
     keys = [*groups, "feature"]
-    merged = long.groupBy(*keys, BUCKET, "value").agg(*[F.sum(f"_c_{n}").alias(f"_c_{n}") for n in counts])
-    through = running_totals(merged, [F.col("value")], {f"_u_{n}": f"_c_{n}" for n in counts}, keys)
-    sizes = merged.groupBy(*keys).agg(*[F.sum(f"_c_{n}").alias(f"{n}_n") for n in counts])
-    ranked = through.join(F.broadcast(sizes), keys)
+    through = running_totals(counted, [F.col("value")], {f"_u_{n}": f"_c_{n}" for n in names}, keys)
+    first = F.col(f"_c_{names[0]}")
+    sizes = counted.groupBy(*keys).agg(
+        *[F.sum(f"_c_{n}").alias(f"{n}_n") for n in names],
+        F.count(F.when(first > 0, F.col("value"))).alias("distinct_values"), F.max(first).alias("largest_count"),
+    )
+    ranked = through.join(F.broadcast(sizes), keys, "left")
 
     def value_at(name: str, rank: Column) -> Column:
         inside = (F.col(f"_u_{name}") > rank) & (F.col(f"_u_{name}") - F.col(f"_c_{name}") <= rank)
         return F.max(F.when(inside, F.col("value")))
 
     picks, finals = [], []
-    for name in counts:
+    for name in names:
         for i, share in enumerate(shares):
-            position = F.lit(share) * (F.col(f"{name}_n") - 1)
+            position = F.lit(float(share)) * (F.col(f"{name}_n") - 1)
             low, high = f"_low_{name}_{i}", f"_high_{name}_{i}"
             picks += [value_at(name, F.floor(position)).alias(low), value_at(name, F.ceil(position)).alias(high)]
             part = position - F.floor(position)
             finals.append((F.col(low) + (F.col(high) - F.col(low)) * part).alias(f"{name}_q{i}"))
-    sized = [f"{n}_n" for n in counts]
+    sized = [*[f"{n}_n" for n in names], "distinct_values", "largest_count"]
     return ranked.groupBy(*keys, *sized).agg(*picks).select(*keys, *sized, *finals)
 
 
+def quantiles(
+    frame: DataFrame, columns: Sequence[str], shares: Sequence[float], groups: Sequence[str] = ()
+) -> DataFrame:
+    return quantiles_of(value_counts(frame, columns, groups=groups), ["all"], shares, groups)
+
+
 def rank_cutoffs(
     rows: DataFrame,
     levels: Mapping[str, Column],
@@ -137,7 +159,7 @@ def rank_cutoffs(
     ``spread`` may join counts or rows to overlapping strata (for example every later fold); the columns it
     needs are ``spread_keys`` and are kept in the first count.
     """
-    narrowed, found = rows.withColumns(dict(levels)), quota.withColumn("_left", F.col("take"))
+    narrowed, found = rows.withColumns(dict(levels)), _as_local(quota.withColumn("_left", F.col("take")))
     names = list(levels)
     for depth, level in enumerate(names):
         fixed = names[:depth]
@@ -156,7 +178,12 @@ def rank_cutoffs(
         hit = ranked.join(F.broadcast(found), list(strata)).where(
             (F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left"))
         )
-        found = hit.select(
+        found = _as_local(hit.select(
             *strata, "take", *fixed, level, (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left")
-        )
+        ))
     return found.select(*strata, *names)
+
+
+def _as_local(small: DataFrame) -> DataFrame:
+    """Run now and keep the answer (one row per stratum): the next level then plans against a literal table."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)

@@ -92,12 +92,12 @@ def random_split(
 
 
 def _time_levels(ts: str, row_id: str) -> dict[str, Column]:
-    """Coarse to fine: minute, exact time, hash of the id (spreads rows that share one time), the row itself."""
+    """Coarse to fine: minute, exact time with a hash prefix (spreads rows that share one time), the row itself."""
     digest = F.md5(F.col(row_id).cast("string"))
+    time = F.col(ts).cast("timestamp")
     return {
-        "_minute": F.date_trunc("minute", F.col(ts).cast("timestamp")),
-        "_time": F.col(ts).cast("timestamp"),
-        "_prefix": F.substring(digest, 1, 5),
+        "_minute": F.date_trunc("minute", time),
+        "_moment": F.struct(time.alias("_time"), F.substring(digest, 1, 5).alias("_prefix")),
         "_key": F.struct(digest.alias("_digest"), F.col(row_id).alias("_id")),
     }
 
@@ -117,7 +117,7 @@ def time_split(frame: DataFrame, ts: str, row_id: str, fit_share: float = 0.8) -
         F.floor(F.round(F.count("*") * F.lit(fit_share), 6)).cast("bigint").alias("take")
     )
     cut = rank_cutoffs(narrow, _time_levels(ts, row_id), quota, [EVERYTHING]).select(
-        EVERYTHING, F.struct("_time", "_key").alias("_cut")
+        EVERYTHING, F.struct(F.col("_moment._time").alias("_time"), "_key").alias("_cut")
     )
     return rows.join(F.broadcast(cut), EVERYTHING, "left").withColumn(
         "part", F.when(_time_key(ts, row_id) <= F.col("_cut"), "fit").otherwise("calibrate")
@@ -146,7 +146,7 @@ def fold_cutoffs(
         F.floor(F.round(F.sum("_n") * F.lit(fit_share), 6)).cast("bigint").alias("take")
     )
     cut = rank_cutoffs(narrow, _time_levels(ts, row_id), quota, ["test_date"], spread, [date])
-    return cut.select("test_date", F.struct("_time", "_key").alias("_cut"))
+    return cut.select("test_date", F.struct(F.col("_moment._time").alias("_time"), "_key").alias("_cut"))
 
 
 def fold_membership(
