@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.functions.cleaning import drop_wildcard, tidy_domain
-from tidewatch.functions.ip import is_address
+from tidewatch.functions.ip import is_address, let
 
 # Name endings and the form of one host-name label.
 REVERSE_SUFFIXES = (".in-addr.arpa", ".ip6.arpa")
@@ -24,11 +24,13 @@ def _ends_with_any(name: Column, suffixes: tuple[str, ...]) -> Column:
 
 def domain_class(text: Column) -> Column:
     """One of five candidate types, first match wins."""
-    name = drop_wildcard(tidy_domain(text))
-    return (
-        F.when(is_address(name), "IP address")
-        .when(_ends_with_any(name, REVERSE_SUFFIXES), "Reverse DNS")
-        .when(~name.contains(".") | _ends_with_any(name, LOCAL_SUFFIXES), "Local or single name")
-        .when(name.rlike(HOST_NAME), PUBLIC_DOMAIN)
-        .otherwise("Non-hostname DNS value")
-    )
+    def outcome(name: Column) -> Column:
+        return (
+            F.when(is_address(name), "IP address")
+            .when(_ends_with_any(name, REVERSE_SUFFIXES), "Reverse DNS")
+            .when(~name.contains(".") | _ends_with_any(name, LOCAL_SUFFIXES), "Local or single name")
+            .when(name.rlike(HOST_NAME), PUBLIC_DOMAIN)
+            .otherwise("Non-hostname DNS value")
+        )
+
+    return let(drop_wildcard(tidy_domain(text)), outcome)

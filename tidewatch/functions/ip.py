@@ -7,6 +7,7 @@ network block is one BETWEEN. No Python runs per row.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,46 +29,67 @@ PUBLIC_INSIDE_PRIVATE_V6 = (
 
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4_PATTERN = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+GROUP = "[0-9a-f]{1,4}"
+V6_PATTERN = f"^({GROUP}(:{GROUP})*)?(::({GROUP}(:{GROUP})*)?)?$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A bound variable keeps the expression small when the optimizer moves it, for example when a filter on the
+    result is pushed below the projection that computes it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _octets(parts: Column) -> list[Column]:
+    return [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
 
 
 def v4_key(text: Column) -> Column:
     """The address as a number; NULL when the text is no dotted quad (leading zeros are refused)."""
-    parts = F.split(text, r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
-    number = reduce(lambda total, octet: total * 256 + octet, octets)
-    return F.when(text.rlike(V4_PATTERN), number)
+    def number(parts: Column) -> Column:
+        a, b, c, d = _octets(parts)
+        return ((a * 256 + b) * 256 + c) * 256 + d
+
+    return F.when(text.rlike(V4_PATTERN), let(F.split(text, r"\."), number))
 
 
 def v6_key(text: Column) -> Column:
     """The address as 32 lower-case hex digits; NULL when the text is no IPv6 address."""
-    bare = F.lower(F.regexp_replace(text, "%[^%]+$", ""))  # one non-empty scope id is allowed
-    tail = F.regexp_extract(bare, r":([0-9.]+\.[0-9.]+)$", 1)
-    tail_key = v4_key(tail)
-    tail_hex = F.lpad(F.lower(F.hex(tail_key)), 8, "0")
-    hex_only = F.when(tail == "", bare).when(
-        tail_key.isNotNull(),
-        F.concat(
-            F.regexp_replace(bare, r"[0-9.]+\.[0-9.]+$", ""),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
-        ),
-    )
-    halves = F.split(hex_only, "::")
-    groups = [F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda g: g != "") for i in (0, 1)]
-    head, rest = groups[0], F.coalesce(groups[1], F.array().cast("array<string>"))
-    used = F.size(head) + F.size(rest)
+    def hex_tail(bare: Column) -> Column:
+        """A dotted-quad ending rewritten as two hex groups."""
+        def rewritten(parts: Column) -> Column:
+            a, b, c, d = _octets(parts)
+            return F.concat(F.regexp_replace(bare, "[0-9.]+$", ""), F.lower(F.hex(a * 256 + b)), F.lit(":"), F.lower(F.hex(c * 256 + d)))
 
-    def padded(side: Column) -> Column:
-        return F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
+        quad = F.split(F.regexp_extract(bare, "([0-9.]+)$", 1), r"\.")
+        return F.when(bare.rlike(rf":{V4_PATTERN[1:]}"), let(quad, rewritten)).otherwise(bare)
 
-    key = F.concat(padded(head), F.repeat(F.lit("0000"), F.lit(8) - used), padded(rest))
-    group = "[0-9a-f]{1,4}"
-    well_formed = hex_only.rlike(f"^({group}(:{group})*)?(::({group}(:{group})*)?)?$")
-    complete = F.when(F.size(halves) == 2, used <= 7).otherwise(used == 8)
-    return F.when(text.contains(":") & well_formed & complete, key)
+    def key(plain: Column) -> Column:
+        return F.when(plain.rlike(V6_PATTERN), let(F.split(plain, "::"), joined))
+
+    def joined(halves: Column) -> Column:
+        return let(F.struct(F.size(halves).alias("n"), side(halves, 0).alias("head"), side(halves, 1).alias("rest")), padded)
+
+    def side(halves: Column, i: int) -> Column:
+        groups = F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda g: g != "")
+        return F.transform(F.coalesce(groups, F.array().cast("array<string>")), lambda g: F.lpad(g, 4, "0"))
+
+    def padded(s: Column) -> Column:
+        used = F.size(s["head"]) + F.size(s["rest"])
+        complete = ((s["n"] == 2) & (used <= 7)) | ((s["n"] == 1) & (used == 8))
+        return F.when(complete, F.concat(
+            F.array_join(s["head"], ""), F.repeat(F.lit("0000"), F.lit(8) - used), F.array_join(s["rest"], "")
+        ))
+
+    # one non-empty scope id is allowed
+    bare = F.lower(F.regexp_replace(text, "%[^%]+$", ""))
+    return F.when(text.contains(":"), let(let(bare, hex_tail), key))
 
 
 def is_address(text: Column) -> Column:
-    return v4_key(text).isNotNull() | v6_key(text).isNotNull()
+    return F.when(text.contains(":"), v6_key(text).isNotNull()).otherwise(text.rlike(V4_PATTERN))
 
 
 def _within(key: Column, blocks: list[str]) -> Column:
@@ -116,15 +138,17 @@ def ip_class(text: Column, strict_multicast: bool = False) -> Column:
     Globally routable comes first, so multicast counts as Public unless ``strict_multicast`` is set. An IPv4
     address mapped into IPv6 is judged by its IPv4 part.
     """
-    short, long = v4_key(text), v6_key(text)
-    mapped = F.when(_within(long, ["::ffff:0:0/96"]), F.conv(F.substring(long, 25, 8), 16, 10).cast("bigint"))
-    return (
-        F.when(short.isNotNull(), _class_of_v4(short, strict_multicast))
-        .when(~F.coalesce(text, F.lit("")).contains(":"), "Invalid")
-        .when(mapped.isNotNull(), _class_of_v4(mapped, strict_multicast))
-        .when(long.isNotNull(), _class_of_v6(long, strict_multicast))
-        .otherwise("Invalid")
-    )
+    def short(key: Column) -> Column:
+        return F.when(key.isNull(), "Invalid").otherwise(_class_of_v4(key, strict_multicast))
+
+    def long(key: Column) -> Column:
+        mapped = F.conv(F.substring(key, 25, 8), 16, 10).cast("bigint")
+        return (
+            F.when(key.isNull(), "Invalid").when(_within(key, ["::ffff:0:0/96"]), let(mapped, short))
+            .otherwise(_class_of_v6(key, strict_multicast))
+        )
+
+    return F.when(text.contains(":"), let(v6_key(text), long)).otherwise(let(v4_key(text), short))
 
 
 def is_public_ip(text: Column) -> Column:

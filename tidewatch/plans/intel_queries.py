@@ -147,7 +147,8 @@ def _(t):
 SELECT d AS domain, query_status, firstseen, url_count, 'domain_feed' AS cti_source,
   CASE query_status WHEN 'ok' THEN 1 WHEN 'no_results' THEN 0 END AS cti_match FROM pub LEFT JOIN feed_domain_v f ON f.domain = d""")
 def _(t):
-    return intel.enrich_domains(intel.public_domains(typed_domains(t)), t.feed_domain_v)
+    feed = t.feed_domain_v.withColumn("url_count", F.col("url_count").cast("bigint"))
+    return intel.enrich_domains(intel.public_domains(typed_domains(t)), feed)
 
 
 @query("cti12_domain_verdicts_json", """SELECT concat('d', CAST(page_id AS VARCHAR)) AS domain, CASE page_id % 4 WHEN 1 THEN 'no_results' ELSE 'ok' END AS query_status,
