@@ -75,7 +75,8 @@ def numeric_summary(frame: DataFrame, columns: Sequence[str], target: str) -> Da
                            F.format_string("dominant_value_ratio=%.3f", "share"), note)
 
     def r(column: Column, name: str, digits: int = 6) -> Column:
-        return F.round(column, digits).alias(name)
+        # the last digits of a sum depend on the order of addition: drop them first, so ties round one way
+        return F.round(F.round(column, digits + 4), digits).alias(name)
 
     per_class = []
     for name in CLASSES:

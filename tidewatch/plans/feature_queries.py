@@ -30,7 +30,7 @@ def numeric_sql(columns, source: str = "m") -> str:
     return f"""raw AS ({' UNION ALL '.join(parts)}),
 eff AS (SELECT *, coalesce(abs(malicious_mean - benign_mean) / nullif(sqrt((benign_std * benign_std + malicious_std * malicious_std) / 2), 0), 0) AS effect FROM raw),
 num AS (SELECT feature, 'numerical' AS type, round(missing_share, 4) AS missing_percentage, unique_non_null, round(share, 6) AS dominant_value_ratio,
-  {', '.join(f'CAST(round(CAST({k}_{s} AS DECIMAL(38, 15)), 6) AS DOUBLE) AS {k}_{s}' for k in ('overall', 'benign', 'malicious') for s in ('mean', 'median', 'std', 'min', 'q25', 'q50', 'q75', 'max'))},
+  {', '.join(f'CAST(round(CAST({k}_{s} AS DECIMAL(38, 10)), 6) AS DOUBLE) AS {k}_{s}' for k in ('overall', 'benign', 'malicious') for s in ('mean', 'median', 'std', 'min', 'q25', 'q50', 'q75', 'max'))},
   round(abs(malicious_mean - benign_mean), 6) AS mean_gap, round(effect, 6) AS standardized_mean_gap,
   concat_ws('; ', printf('effect_size=%.3f', effect), printf('dominant_value_ratio=%.3f', share),
     CASE WHEN unique_non_null <= 1 THEN 'constant feature' WHEN share >= 0.995 OR overall_std = 0 OR overall_std IS NULL THEN 'near-constant behaviour'
