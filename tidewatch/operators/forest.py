@@ -10,6 +10,7 @@ Random choices depend on (seed, row id, tree) only, never on partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,10 +30,18 @@ def with_group(frame: DataFrame, group: str | None) -> DataFrame:
     return frame.withColumn(GROUP, F.lit(ALL) if group is None else F.col(group).cast("string"))
 
 
-def group_values(values: dict[str, float | None], default: float = 0.0) -> Column:
-    """The row's own group value from a small literal map (one entry per model)."""
-    entries = [F.lit(x) for k, v in values.items() for x in (k, default if v is None else float(v))]
-    return F.coalesce(F.element_at(F.create_map(*entries), F.col(GROUP)), F.lit(default))
+def with_fills(frame: DataFrame, fills: dict[str, dict[str, float]], models: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Numeric columns as doubles with NULL replaced by the row's own model's median, under new names."""
+    columns = list(fills)
+    table = frame.sparkSession.createDataFrame(
+        [(m, *[float(fills[c].get(m, 0.0)) for c in columns]) for m in models],
+        ", ".join([f"{GROUP} string", *[f"_fill_{i} double" for i in range(len(columns))]]),
+    )
+    joined = frame.join(F.broadcast(table), GROUP, "left")  # one row per model
+    filled = joined.withColumns({
+        n: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{i}"), F.lit(0.0)) for i, (c, n) in enumerate(zip(columns, names))
+    })
+    return filled.drop(*[f"_fill_{i}" for i in range(len(columns))])
 
 
 def tree_samples(rows: DataFrame, row_id: str, sizes: dict[str, int], trees: int, sample: int, seed: int) -> DataFrame:
@@ -42,18 +51,26 @@ def tree_samples(rows: DataFrame, row_id: str, sizes: dict[str, int], trees: int
     and as high a pass rate as give 1.5 x sample rows per tree, so the volume after the filter does not grow
     with the table. The ``sample`` smallest hashes win.
     """
-    n = group_values(sizes, 1.0)
     wanted = 1.5 * sample * trees
-    few = n <= 8 * sample
-    rounds = F.when(few, F.lit(trees)).otherwise(F.ceil(F.lit(wanted) / n).cast("int"))
-    drawn = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), rounds - 1)))
+    plans = []
+    for name, n in sizes.items():
+        few = n <= 8 * sample
+        rounds = trees if few else math.ceil(wanted / n)
+        plans.append((name, few, rounds, 1.0 if few else wanted / (n * rounds)))
+    plan = rows.sparkSession.createDataFrame(plans, f"{GROUP} string, _few boolean, _rounds int, _rate double")
+    drawn = rows.join(F.broadcast(plan), GROUP).withColumn(  # one row per model
+        "_round", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1))
+    )
     draw = F.xxhash64(F.lit(seed), F.col(row_id), F.col("_round"))
     luck = F.pmod(F.xxhash64(draw, F.lit("pass")), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    drawn = drawn.where(few | (luck < F.lit(wanted) / (n * rounds)))
-    placed = drawn.withColumn("tree", F.when(few, F.col("_round")).otherwise(F.pmod(draw, F.lit(trees)).cast("int")))
-    keyed = placed.withColumn("_key", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id))).drop("_round").distinct()
+    drawn = drawn.where(F.col("_few") | (luck < F.col("_rate")))
+    placed = drawn.withColumn("tree", F.when(F.col("_few"), F.col("_round")).otherwise(F.pmod(draw, F.lit(trees)).cast("int"))).drop(
+        "_few", "_rounds", "_rate"
+    )
+    keyed = placed.withColumn("_key", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id))).drop("_round")
+    # a row drawn twice by one tree has one rank; its copy is dropped where the tree grows
     order = Window.partitionBy(GROUP, "tree").orderBy("_key", row_id)
-    return keyed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
+    return keyed.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= sample)
 
 
 def _grower(numeric: Sequence[str], codes: Sequence[str], seed: int):
@@ -70,7 +87,7 @@ def _grower(numeric: Sequence[str], codes: Sequence[str], seed: int):
                 return 0.0
             return 1.0 if m == 2 else 2.0 * (math.log(m - 1.0) + np.euler_gamma) - 2.0 * (m - 1.0) / m
 
-        pdf = pdf.sort_values("_rank")
+        pdf = pdf.drop_duplicates("_rank").sort_values("_rank")
         values = pdf[list(numeric)].to_numpy(dtype="float64")
         kinds = pdf[list(codes)].to_numpy(dtype="int64")
         model, tree = key[0], int(key[1])
@@ -163,10 +180,6 @@ class ForestModel:
     models: list[str]
     models_per_pass: int = 8
 
-    def _ready(self, frame: DataFrame) -> tuple[DataFrame, list[Column]]:
-        numbers = [F.coalesce(F.col(c).cast("double"), group_values(self.fills[c])) for c in self.roles.numeric]
-        return frame, [F.col(GROUP), *numbers, *category_codes(self.roles.categorical)]
-
     def score(self, frame: DataFrame, group: str | None = None, output: str = "score") -> DataFrame:
         """Adds the anomaly score; positive is anomalous under the automatic threshold.
 
@@ -177,9 +190,11 @@ class ForestModel:
         parts = []
         for names in passes:
             arrays = frame.sparkSession.sparkContext.broadcast(_arrays(self.nodes.where(F.col("model").isin(names)).toPandas()))
-            rows, inputs = self._ready(keyed if len(passes) == 1 else keyed.where(F.col(GROUP).isin(names)))
-            udf = F.pandas_udf(_scorer(arrays, len(self.roles.numeric)), T.DoubleType())
-            parts.append(rows.withColumn(output, udf(*inputs)).drop(GROUP))
+            numbers = [f"_num_{i}" for i in range(len(self.roles.numeric))]
+            rows = with_fills(keyed if len(passes) == 1 else keyed.where(F.col(GROUP).isin(names)), self.fills, names, numbers)
+            udf = F.pandas_udf(_scorer(arrays, len(numbers)), T.DoubleType())
+            inputs = [F.col(GROUP), *[F.col(n) for n in numbers], *category_codes(self.roles.categorical)]
+            parts.append(rows.withColumn(output, udf(*inputs)).drop(GROUP, *numbers))
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
@@ -188,8 +203,6 @@ class ForestModel:
 
 def _arrays(nodes) -> dict:
     """Flat arrays per model: children as positions, leaves point to themselves."""
-    import math
-
     import numpy as np
 
     result = {}
@@ -223,11 +236,7 @@ def fit_forest(train: DataFrame, roles: Roles, trees: int = 200, sample: int = 2
             fills[column].setdefault(name, 0.0)
     names = [f"num_{i}" for i in range(len(roles.numeric))]
     codes = [f"code_{c}" for c in roles.categorical]
-    ready = keyed.select(
-        GROUP, roles.row_id,
-        *[F.coalesce(F.col(c).cast("double"), group_values(fills[c])).alias(n) for c, n in zip(roles.numeric, names)],
-        *category_codes(roles.categorical),
-    )
+    ready = with_fills(keyed, fills, sorted(sizes), names).select(GROUP, roles.row_id, *names, *category_codes(roles.categorical))
     drawn = tree_samples(ready, roles.row_id, sizes, trees, sample, seed)
     nodes = drawn.groupBy(GROUP, "tree").applyInPandas(_grower(names, codes, seed), NODES).persist()
     return ForestModel(roles, fills, nodes, sorted(sizes))

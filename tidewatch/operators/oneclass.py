@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.forest import GROUP, group_values, with_group
+from tidewatch.operators.forest import GROUP, with_fills, with_group
 from tidewatch.operators.prep import category_codes, medians, scaling
 from tidewatch.roles import Roles
 
@@ -30,15 +30,14 @@ class OneClassModel:
     fills: dict[str, dict[str, float]]
     state: dict  # arrays shared by all models, and per model: scaling, vocabulary, gamma, w, rho
 
-    def inputs(self) -> list[Column]:
-        numbers = [F.coalesce(F.col(c).cast("double"), group_values(self.fills[c])) for c in self.roles.numeric]
-        return [F.col(GROUP), *numbers, *category_codes(self.roles.categorical)]
-
     def score(self, frame: DataFrame, group: str | None = None, output: str = "score") -> DataFrame:
         """Adds rho - w.phi(x): positive lies outside the learned region."""
         shared = frame.sparkSession.sparkContext.broadcast(self.state)
         udf = F.pandas_udf(_scorer(shared, len(self.roles.numeric)), T.DoubleType())
-        return with_group(frame, group).withColumn(output, udf(*self.inputs())).drop(GROUP)
+        numbers = [f"_num_{i}" for i in range(len(self.roles.numeric))]
+        rows = with_fills(with_group(frame, group), self.fills, sorted(self.state["models"]), numbers)
+        inputs = [F.col(GROUP), *[F.col(n) for n in numbers], *category_codes(self.roles.categorical)]
+        return rows.withColumn(output, udf(*inputs)).drop(GROUP, *numbers)
 
 
 def _features():
@@ -138,10 +137,7 @@ def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions:
     for r in medians(keyed, roles.numeric, [GROUP]).collect():
         fills[r["feature"]][r[GROUP]] = r["median"] or 0.0
     numbers = [f"num_{i}" for i in range(len(roles.numeric))]
-    rows = keyed.select(
-        GROUP, *[F.coalesce(F.col(c).cast("double"), group_values(fills[c])).alias(n) for c, n in zip(roles.numeric, numbers)],
-        *category_codes(roles.categorical),
-    ).persist()
+    rows = with_fills(keyed, fills, models, numbers).select(GROUP, *numbers, *category_codes(roles.categorical)).persist()
     state = _initial_state(rows, models, numbers, [f"code_{c}" for c in roles.categorical], dimensions, seed)
     first = _pass(rows, state, len(numbers), "mean")
     counts = {}

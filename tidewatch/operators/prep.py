@@ -81,7 +81,7 @@ def encoding_stages(roles: Roles, output: str = "features") -> list:
     if roles.categorical:
         stages = [
             StringIndexer(inputCols=list(roles.categorical), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),  # the dropped slot is "unseen"
         ]
     return [*stages, VectorAssembler(inputCols=[*roles.numeric, *encoded], outputCol=output)]
 

@@ -78,6 +78,11 @@ def rolling_evaluation(flows: DataFrame, roles: Roles, ts: str, fit: Fit, share:
     All folds are fitted and scored in the same jobs; a fold is a key, not a loop over rows.
     """
     fold = "test_date"
+    # Kept once at its own size; the (larger) fold rows are derived from it in every pass and never stored.
+    # Spread by id first, because each row becomes one row per later fold: uneven input would multiply.
+    width = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = flows.select(roles.row_id, ts, roles.date, roles.target, *roles.features)
+    flows = keep(slim.repartition(width, roles.row_id), "flows")
     rows = fold_rows(flows, roles, ts).withColumn(fold, F.col(fold).cast("string"))
     model = fit(rows.where(F.col("part") == "fit"), roles, fold)
     to_score = rows.where(F.col("part") != "fit")

@@ -11,7 +11,7 @@ from tidewatch.plans.bindings import VIEWS, Tables, with_views
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES = ("profile_queries", "cleaning_queries", "metric_queries", "feature_queries", "split_queries", "intel_queries",
+_MODULES = ("profile_queries", "cleaning_queries", "source_queries", "metric_queries", "feature_queries", "split_queries", "intel_queries",
             "model_queries")
 
 
