@@ -141,10 +141,13 @@ def ip_class(text: Column, strict_multicast: bool = False) -> Column:
     def short(key: Column) -> Column:
         return F.when(key.isNull(), "Invalid").otherwise(_class_of_v4(key, strict_multicast))
 
+    def mapped_short(key: Column) -> Column:
+        return F.when(key == 0, "Private").otherwise(short(key))  # only :: itself is unspecified in IPv6
+
     def long(key: Column) -> Column:
         mapped = F.conv(F.substring(key, 25, 8), 16, 10).cast("bigint")
         return (
-            F.when(key.isNull(), "Invalid").when(_within(key, ["::ffff:0:0/96"]), let(mapped, short))
+            F.when(key.isNull(), "Invalid").when(_within(key, ["::ffff:0:0/96"]), let(mapped, mapped_short))
             .otherwise(_class_of_v6(key, strict_multicast))
         )
 
