@@ -1,7 +1,7 @@
 """IP address parsing and classification as native expressions.
 
-An address becomes a sortable key (a number for IPv4, 32 hex digits for IPv6), so that membership in a
-network block is one BETWEEN. No Python runs per row.
+IPv4 is tested by compiled patterns on the text. An IPv6 address becomes a sortable key of 32 hex digits, so that
+membership in a network block is one BETWEEN. No Python runs per row.
 """
 
 from __future__ import annotations
@@ -46,15 +46,6 @@ def _octets(parts: Column) -> list[Column]:
     return [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
 
 
-def v4_key(text: Column) -> Column:
-    """The address as a number; NULL when the text is no dotted quad (leading zeros are refused)."""
-    def number(parts: Column) -> Column:
-        a, b, c, d = _octets(parts)
-        return ((a * 256 + b) * 256 + c) * 256 + d
-
-    return F.when(text.rlike(V4_PATTERN), let(F.split(text, r"\."), number))
-
-
 def v6_key(text: Column) -> Column:
     """The address as 32 lower-case hex digits; NULL when the text is no IPv6 address."""
     def hex_tail(bare: Column) -> Column:
@@ -93,28 +84,43 @@ def is_address(text: Column) -> Column:
 
 
 def _within(key: Column, blocks: list[str]) -> Column:
+    """Membership of an IPv6 key in blocks: one BETWEEN each."""
     def bounds(block: str) -> Column:
         network = ipaddress.ip_network(block)
-        low, high = int(network.network_address), int(network.broadcast_address)
-        if network.version == 6:
-            return key.between(f"{low:032x}", f"{high:032x}")
-        return key.between(low, high)
+        return key.between(f"{int(network.network_address):032x}", f"{int(network.broadcast_address):032x}")
 
     return reduce(lambda a, b: a | b, [bounds(block) for block in blocks])
 
 
-def _class_of_v4(key: Column, strict_multicast: bool) -> Column:
-    private = _within(key, PRIVATE_V4) & ~_within(key, PUBLIC_INSIDE_PRIVATE_V4)
-    multicast = _within(key, ["224.0.0.0/4"])
-    public = ~private & ~_within(key, SHARED_V4)
+def _block_pattern(block: str) -> str:
+    """Text form of an IPv4 block: whole octets as they are, a divided octet as its values."""
+    network = ipaddress.ip_network(block)
+    whole, part = divmod(network.prefixlen, 8)
+    octets = str(network.network_address).split(".")
+    pattern = "".join(rf"{o}\." for o in octets[:whole])
+    if part:
+        first = int(octets[whole])
+        pattern += f"({'|'.join(str(v) for v in range(first, first + 2 ** (8 - part)))})" + r"\."
+    return pattern[:-2] + "$" if whole + bool(part) == 4 else pattern
+
+
+def _in_v4(text: Column, blocks: list[str]) -> Column:
+    return text.rlike(f"^({'|'.join(_block_pattern(b) for b in blocks)})")
+
+
+def _class_of_v4(text: Column, strict_multicast: bool) -> Column:
+    """Compiled pattern tests on the text itself: nothing is parsed, and a filter on the result stays small."""
+    private = _in_v4(text, PRIVATE_V4) & ~_in_v4(text, PUBLIC_INSIDE_PRIVATE_V4)
+    multicast = _in_v4(text, ["224.0.0.0/4"])
+    not_public = private | _in_v4(text, SHARED_V4) | (multicast if strict_multicast else F.lit(False))
     return (
-        F.when(public & (~multicast if strict_multicast else F.lit(True)), "Public")
-        .when(_within(key, ["127.0.0.0/8"]), "Loopback")
-        .when(_within(key, ["169.254.0.0/16"]), "Link-local")
+        F.when(text.isNull() | ~text.rlike(V4_PATTERN), "Invalid")
+        .when(~not_public, "Public")
+        .when(_in_v4(text, ["127.0.0.0/8"]), "Loopback")
+        .when(_in_v4(text, ["169.254.0.0/16"]), "Link-local")
         .when(multicast, "Multicast")
-        .when(key == 0, "Unspecified")
+        .when(text == "0.0.0.0", "Unspecified")
         .when(private, "Private")
-        .when(_within(key, ["240.0.0.0/4"]), "Reserved")
         .otherwise("Other non-public")
     )
 
@@ -138,20 +144,17 @@ def ip_class(text: Column, strict_multicast: bool = False) -> Column:
     Globally routable comes first, so multicast counts as Public unless ``strict_multicast`` is set. An IPv4
     address mapped into IPv6 is judged by its IPv4 part.
     """
-    def short(key: Column) -> Column:
-        return F.when(key.isNull(), "Invalid").otherwise(_class_of_v4(key, strict_multicast))
-
-    def mapped_short(key: Column) -> Column:
-        return F.when(key == 0, "Private").otherwise(short(key))  # only :: itself is unspecified in IPv6
+    def mapped(quad: Column) -> Column:
+        return F.when(quad == "0.0.0.0", "Private").otherwise(_class_of_v4(quad, strict_multicast))  # only :: is unspecified
 
     def long(key: Column) -> Column:
-        mapped = F.conv(F.substring(key, 25, 8), 16, 10).cast("bigint")
+        quad = F.concat_ws(".", *[F.conv(F.substring(key, 25 + 2 * i, 2), 16, 10) for i in range(4)])
         return (
-            F.when(key.isNull(), "Invalid").when(_within(key, ["::ffff:0:0/96"]), let(mapped, mapped_short))
+            F.when(key.isNull(), "Invalid").when(_within(key, ["::ffff:0:0/96"]), let(quad, mapped))
             .otherwise(_class_of_v6(key, strict_multicast))
         )
 
-    return F.when(text.contains(":"), let(v6_key(text), long)).otherwise(let(v4_key(text), short))
+    return F.when(text.contains(":"), let(v6_key(text), long)).otherwise(_class_of_v4(text, strict_multicast))
 
 
 def is_public_ip(text: Column) -> Column:

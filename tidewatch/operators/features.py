@@ -36,10 +36,9 @@ def numeric_statistics(frame: DataFrame, columns: Sequence[str], target: str) ->
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
     ])))
     moments = []
-    for name in CLASSES:
-        value = F.when(_in_class(name, F.col("_y")), F.col("value"))
-        moments += [F.avg(value).alias(f"{name}_mean"), F.stddev_samp(value).alias(f"{name}_std"),
-                    F.min(value).alias(f"{name}_min"), F.max(value).alias(f"{name}_max")]
+    for name, code in CLASSES.items():
+        value = "value" if code is None else f"CASE WHEN _y = {code} THEN value END"
+        moments += [F.expr(f"{f}({value}) AS {name}_{n}") for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))]
     sizes = [F.count("*").alias("records"), F.count_if(F.col("value").isNull()).alias("missing")]
     plain = long.groupBy("feature").agg(*sizes, *moments)
     # one row per feature on both sides
@@ -74,20 +73,16 @@ def numeric_summary(frame: DataFrame, columns: Sequence[str], target: str) -> Da
     evidence = F.concat_ws("; ", F.format_string("effect_size=%.3f", "effect"),
                            F.format_string("dominant_value_ratio=%.3f", "share"), note)
 
-    def r(column: Column, name: str, digits: int = 6) -> Column:
+    def r(column: str, name: str, digits: int = 6) -> Column:
         # the last digits of a sum depend on the order of addition: drop them first, so ties round one way
-        return F.round(F.round(column, digits + 4), digits).alias(name)
-
-    per_class = []
-    for name in CLASSES:
-        c = {k: F.col(f"{name}_{k}") for k in ("mean", "std", "min", "max", "q0", "q1", "q2")}
-        per_class += [r(c["mean"], f"{name}_mean"), r(c["q1"], f"{name}_median"), r(c["std"], f"{name}_std"),
-                      r(c["min"], f"{name}_min"), r(c["q0"], f"{name}_q25"), r(c["q1"], f"{name}_q50"),
-                      r(c["q2"], f"{name}_q75"), r(c["max"], f"{name}_max")]
+        return F.expr(f"round(round({column}, {digits + 4}), {digits}) AS {name}")
+
+    statistics = {"mean": "mean", "median": "q1", "std": "std", "min": "min", "q25": "q0", "q50": "q1", "q75": "q2", "max": "max"}
     return s.select(
-        "feature", F.lit("numerical").alias("type"), r(F.col("missing_share"), "missing_percentage", 4), "unique_non_null",
-        r(F.col("share"), "dominant_value_ratio"), *per_class,
-        r(F.abs(F.col("malicious_mean") - F.col("benign_mean")), "mean_gap"), r(F.col("effect"), "standardized_mean_gap"),
+        "feature", F.lit("numerical").alias("type"), r("missing_share", "missing_percentage", 4), "unique_non_null",
+        r("share", "dominant_value_ratio"),
+        *[r(f"{k}_{source}", f"{k}_{shown}") for k in CLASSES for shown, source in statistics.items()],
+        r("abs(malicious_mean - benign_mean)", "mean_gap"), r("effect", "standardized_mean_gap"),
         evidence.alias("relevance_evidence"), verdict.alias("recommendation"),
     )
 

@@ -121,18 +121,18 @@ def quantiles_of(counted: DataFrame, names: Sequence[str], shares: Sequence[floa
     )
     ranked = through.join(F.broadcast(sizes), keys, "left")
 
-    def value_at(name: str, rank: Column) -> Column:
-        inside = (F.col(f"_u_{name}") > rank) & (F.col(f"_u_{name}") - F.col(f"_c_{name}") <= rank)
-        return F.max(F.when(inside, F.col("value")))
+    # text expressions: one call each to the JVM, where nested column objects would need dozens
+    def value_at(name: str, rank: str, output: str) -> Column:
+        through, own = f"`_u_{name}`", f"`_c_{name}`"
+        return F.expr(f"max(CASE WHEN {through} > {rank} AND {through} - {own} <= {rank} THEN value END) AS `{output}`")
 
     picks, finals = [], []
     for name in names:
         for i, share in enumerate(shares):
-            position = F.lit(float(share)) * (F.col(f"{name}_n") - 1)
+            position = f"({float(share)!r}D * (`{name}_n` - 1))"
             low, high = f"_low_{name}_{i}", f"_high_{name}_{i}"
-            picks += [value_at(name, F.floor(position)).alias(low), value_at(name, F.ceil(position)).alias(high)]
-            part = position - F.floor(position)
-            finals.append((F.col(low) + (F.col(high) - F.col(low)) * part).alias(f"{name}_q{i}"))
+            picks += [value_at(name, f"floor({position})", low), value_at(name, f"ceil({position})", high)]
+            finals.append(F.expr(f"`{low}` + (`{high}` - `{low}`) * ({position} - floor({position})) AS `{name}_q{i}`"))
     sized = [*[f"{n}_n" for n in names], "distinct_values", "largest_count"]
     return ranked.groupBy(*keys, *sized).agg(*picks).select(*keys, *sized, *finals)
 
