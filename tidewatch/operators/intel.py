@@ -1,8 +1,8 @@
 """Threat-intelligence operators: file hashes, domains and addresses against verdict feeds.
 
-Lookups are joins with feed tables. A feed may grow, so no join forces its broadcast: Spark broadcasts it only
-below its own size limit, and else shuffles (adaptive skew handling included). Tables with one row per label,
-source or day are broadcast explicitly.
+Lookups are joins with feed tables. A feed may grow, so its broadcast is never forced: it is counted first, or left
+to Spark's own size limit; beyond that it is a shuffle join (adaptive skew handling included). Tables with one row
+per label, source or day are broadcast explicitly.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.cleaning import drop_wildcard, percent, tidy_domain
 from tidewatch.functions.domain import PUBLIC_DOMAIN, domain_class
 from tidewatch.functions.ip import ip_class, is_public_ip
+from tidewatch.session import broadcast_when_small
 
 # Measure names, hash forms and lookup states.
 HEX = "[0-9A-Fa-f]"
@@ -230,7 +231,7 @@ def historical_domains(matches: DataFrame) -> DataFrame:
 def historical_observations(hosts: DataFrame, historical: DataFrame) -> DataFrame:
     """Log rows whose name (without wildcard) was known before the capture, with its first-seen time."""
     named = hosts.withColumn("domain", drop_wildcard(tidy_domain(F.col("indicator"))))
-    return named.join(historical, "domain")
+    return named.join(broadcast_when_small(historical), "domain")
 
 
 def historical_coverage(observations: DataFrame, flows: DataFrame, sources: DataFrame) -> DataFrame:

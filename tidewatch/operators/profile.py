@@ -56,7 +56,7 @@ def distribution(frame: DataFrame, column: str) -> DataFrame:
 
 
 def profile_report(frame: DataFrame, ts: str, label: str, detail: str) -> DataFrame:
-    """Long report (section, item, value). Everything but the duplicate count shares one scan of the table."""
+    """Long report (section, item, value). All column facts come from one aggregation; distributions are small counts."""
     def text(column: Column) -> Column:
         return column.cast("string")
 

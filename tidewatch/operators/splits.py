@@ -91,12 +91,17 @@ def random_split(
     return labelled.drop("_cut", EVERYTHING)
 
 
+def _micros(ts: str) -> Column:
+    """Whole microseconds: exact, and free of time zones when a cut-off passes through the driver."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def _time_levels(ts: str, row_id: str) -> dict[str, Column]:
     """Coarse to fine: minute, exact time with a hash prefix (spreads rows that share one time), the row itself."""
     digest = F.md5(F.col(row_id).cast("string"))
-    time = F.col(ts).cast("timestamp")
+    time = _micros(ts)
     return {
-        "_minute": F.date_trunc("minute", time),
+        "_minute": F.floor(time / 60_000_000).cast("bigint"),
         "_moment": F.struct(time.alias("_time"), F.substring(digest, 1, 5).alias("_prefix")),
         "_key": F.struct(digest.alias("_digest"), F.col(row_id).alias("_id")),
     }
@@ -104,7 +109,7 @@ def _time_levels(ts: str, row_id: str) -> dict[str, Column]:
 
 def _time_key(ts: str, row_id: str) -> Column:
     return F.struct(
-        F.col(ts).cast("timestamp").alias("_time"),
+        _micros(ts).alias("_time"),
         F.struct(F.md5(F.col(row_id).cast("string")).alias("_digest"), F.col(row_id).alias("_id")).alias("_key"),
     )
 
@@ -176,7 +181,7 @@ def fold_statistics(
     past = F.broadcast(per_day).join(F.broadcast(folds), F.col(date) < F.col("test_date")).groupBy("test_date").agg(
         F.sum("_benign").alias("prior_benign")
     )
-    cut = fold_cutoffs(normal, folds, ts, row_id, date, fit_share).select("test_date", F.col("_cut._time").alias("fit_until"))
+    cut = fold_cutoffs(normal, folds, ts, row_id, date, fit_share).select("test_date", F.timestamp_micros("_cut._time").alias("fit_until"))
     today = per_day.select(F.col(date).alias("test_date"), "_benign", "_other")
     fit = F.floor(F.round(F.col("prior_benign") * F.lit(fit_share), 6)).cast("bigint")
     return (

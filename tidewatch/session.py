@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -37,3 +38,8 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that a lost executor does not lose the rows."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def broadcast_when_small(frame: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Broadcast hint only after counting at most ``rows`` + 1 rows; a larger table is left to a shuffle join."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
