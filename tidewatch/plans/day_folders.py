@@ -43,6 +43,8 @@ def write_day_folders(t, log: str = LOG, lanes: int = 4) -> str:
     ])))
     root = scratch_path(t.spark, "days")
     placed = lines.unionByName(tops).withColumns({"kind": F.lit("zeek"), "log": F.lit(log)})
-    spread: DataFrame = placed.repartition("day", "lane").sortWithinPartitions("day", "kind", "log", "lane", "place")
+    # two lanes of a day may share a file: their header blocks come first, then all lines in order
+    block = F.when(F.col("place") < 0, F.col("lane")).otherwise(F.lit(lanes))
+    spread: DataFrame = placed.repartition("day", "lane").sortWithinPartitions("day", "kind", "log", block, "place")
     spread.select("value", "day", "kind", "log").write.partitionBy("day", "kind", "log").text(root)
     return root
