@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     joined = joined.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))
     joined = joined.withColumn("_v", F.floor(F.col("_q") / (1 + F.col("_q")) * float(LEVEL * LEVEL)).cast("long"))
     joined = joined.withColumn("_v", F.least(F.col("_v"), F.lit(LEVEL * LEVEL - 1)))
-    coarse = _crossing(joined, F.floor(F.col("_v") / LEVEL), [], "1")
+    coarse = _crossing(joined.where("_rest > 0"), F.floor(F.col("_v") / LEVEL), [], "1")
     fine = _crossing(_with(joined, coarse).where(F.floor(F.col("_v") / LEVEL) == F.col("_bin1")), F.col("_v") % LEVEL, ["_base1"], "2")
     cuts = keep(targets.select("source").alias("t").join(coarse.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").join(
         fine.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left").select("t.source", "_bin1", "_bin2", F.coalesce("_base2", "_base1").alias("_base")), "mix-cuts")
@@ -76,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     ranks = W.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     edge = ready.where(inside).withColumn("_before", F.col("_base") + F.coalesce(F.sum("size").over(ranks), F.lit(0)))
     edge = edge.withColumn("_more", (2 * F.col("_before") + F.col("size") <= 2 * F.col("_rest")).cast("int"))
-    plain = ready.where(~F.coalesce(inside, F.lit(False))).withColumn("_more", F.when(cut.isNull() | (F.col("_v") < cut), 1).otherwise(0))
+    plain = ready.where(~F.coalesce(inside, F.lit(False))).withColumn("_more", F.when((F.col("_rest") > 0) & (cut.isNull() | (F.col("_v") < cut)), 1).otherwise(0))
     columns = [*given, "size", "source_size", "target", (F.col("_whole") + F.col("_more")).cast("int").alias("copies")]
     out = plain.select(*columns).unionByName(edge.select(*columns))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
