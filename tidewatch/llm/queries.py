@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import op6_mixing
+from tidewatch.llm import op2_minhash, op3_language, op6_mixing
 
 QUERIES = {
+    "op2_minhash": op2_minhash.query,
+    "op3_language": op3_language.query,
     "op6_mixing": op6_mixing.query,
 }
 ORACLE = {
