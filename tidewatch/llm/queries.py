@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import op1_decontamination, op2_minhash, op3_language, op6_mixing, op8_suffix, op9_embedding
+from tidewatch.llm import op1_decontamination, op2_minhash, op3_language, op6_mixing, op7_language_model, op8_suffix, op9_embedding
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
     "op2_minhash": op2_minhash.query,
     "op3_language": op3_language.query,
     "op6_mixing": op6_mixing.query,
+    "op7_language_model": op7_language_model.query,
     "op8_suffix": op8_suffix.query,
     "op9_embedding": op9_embedding.query,
 }
