@@ -149,6 +149,41 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, before
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` columns (integers), one table per run of equal keys; only one run is held at a time."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([np.asarray(batch.column(c)) for c in range(keys)])
+        cuts = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            mark = tuple(marks[:, s])
+            if waiting and mark != last:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            last = mark
+            waiting.append(batch.slice(s, e - s))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index reachable from each of n nodes over the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b); nodes without an edge are absent.
 

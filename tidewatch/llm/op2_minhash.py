@@ -4,9 +4,11 @@
 2. Documents with equal sets form one class; only one sketch and one row per class go on, so groups of exact copies cost nothing.
 3. Inverted lists of retained values: similar classes share many of them, so of every sketch only the rarest values are listed that any
    partner must meet at least once (a prefix filter). Values of one class alone are in no list.
-4. In every list the member with the most shared values is compared with the others; then come rounds with four times as many
-   pivots each, restricted to lists that still hold several components, until every pair is compared or connected. No list is capped.
-5. A candidate pair is estimated on the union sketch first. What could reach the threshold is confirmed on full sets.
+4. In every list the member with the most shared values is the pivot. All members are compared with their pivots: the union sketch
+   estimates the similarity, and what could reach the threshold is confirmed on full sets.
+5. Members of a pivot's group that are still in different components may be similar to each other without being similar to the pivot.
+   Such a group is dealt as pairs of blocks of about BLOCK classes; inside a block pair sketches filter and full sets decide, and only a
+   spanning tree of the found links is returned. So no group is capped, none is in one task, and no pair of a group becomes a row.
 6. Connected components over confirmed links; the smallest doc_id of a component names it.
 
 A sketch of k = 48 values misses a pair only if fewer than t*k - 6 standard deviations of the union's smallest values are shared, about
@@ -27,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, keep, mix, pieces, shingles, table, word_hashes
+from tidewatch.llm.common import components, keep, mix, pieces, runs, shingles, spanning, table, word_hashes
 
 K = 48
+BLOCK = 256
 
 
 def least_shared(n: int, percent: int, k: int) -> int:
@@ -86,31 +89,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     listed = entries.join(shared, "value").groupBy("d1", "n", "m").agg(F.collect_list(F.struct("c", "value")).alias("x"))
     listed = listed.withColumn("s", F.size("x")).where("s >= m").withColumn("x", F.expr("slice(array_sort(x), 1, greatest(s - m + 1, 0))"))
-    listed = keep(listed.select("d1", "n", "s", F.explode(F.col("x.value")).alias("value")), "lists")
-    links, labels, pivots = None, None, 1
-    while True:
-        open_lists = listed if labels is None else listed.join(labels, listed["d1"] == labels["node"], "left").select(
-            listed["*"], F.coalesce("component", "d1").alias("component"))
-        if labels is None:
-            open_lists = open_lists.withColumn("component", F.col("d1"))
-        mixed = open_lists.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"),
-                                                F.max(F.struct("s", "d1")).alias("top")).where("low < high").select("value", "c", "top")
-        open_lists = keep(open_lists.join(mixed, "value"), "open")
-        if open_lists.isEmpty():
-            break
-        # the member with the most shared values, and others by hash: about `pivots` in each list
-        share = (F.xxhash64("value", "d1").bitwiseAND((1 << 30) - 1) / float(1 << 30)) * F.col("c") < pivots
-        is_pivot = (F.col("d1") == F.col("top.d1")) | (share if pivots > 1 else F.lit(False))
-        a = open_lists.where(is_pivot).select("value", F.col("d1").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        b = open_lists.select("value", F.col("d1").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        pairs = a.join(b, "value").where((F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        found = _confirm(pairs, classes, text, words, percent, k)
-        listed = keep(open_lists.where(~is_pivot).select("d1", "n", "s", "value"), "lists")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = keep(components(links), "labels")
-        pivots *= 4
+    listed = keep(listed.select("d1", "s", F.explode(F.col("x.value")).alias("value")), "lists")
+    pivots = listed.groupBy("value").agg(F.max(F.struct("s", "d1")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = keep(listed.join(pivots, "value").select(F.col("top.d1").alias("g"), "d1").distinct(), "groups")
+    if groups.isEmpty():
+        labels = None
+    else:
+        sets = _full_sets(text, classes, groups.select("d1").distinct(), words, k)
+        links = _confirm(groups.where("g <> d1"), sets, percent, k)
+        labels = keep(components(links), "labels")
+        links = links.unionByName(_within_groups(groups, labels, sets, percent, k))
+        labels = keep(components(links), "labels")
     if labels is None:
         named = classes.select("d1", "d2", "n", F.col("rep").alias("component_id"))
     else:
@@ -124,24 +113,93 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, text: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    sketch = classes.select("d1", "v")
-    both = pairs.join(sketch.toDF("a", "va"), "a").join(sketch.toDF("b", "vb"), "b")
-    union = F.expr(f"slice(array_sort(array_union(va, vb)), 1, {k})")
-    both = both.withColumn("u", union)
-    estimate = F.size(F.array_intersect(F.array_intersect("u", "va"), "vb")) / F.size("u")
+def _full_sets(text: DataFrame, classes: DataFrame, ids: DataFrame, words: int, k: int) -> DataFrame:
+    """(d1, n, v): the whole sets of the given classes, made again from one text of each."""
+    chosen = classes.join(ids, "d1").select("rep").distinct()
+    sets = sketched(text.join(chosen, text["doc_id"].eqNullSafe(chosen["rep"]), "left_semi"), words, k, whole=True)
+    return keep(sets.join(ids, "d1", "left_semi").groupBy("d1").agg(F.first("n").alias("n"), F.first("v").alias("v")), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b) of the pairs (g, d1) whose full sets reach the threshold; the union sketch is looked at first."""
     t = percent / 100
-    # 6 standard deviations below the threshold, by the size of the union sketch
-    likely = keep(both.where(estimate >= t - 6 * F.sqrt(F.lit(t * (1 - t)) / F.size("u"))).select("a", "b"), "candidates")
-    ids = likely.select(F.col("a").alias("d1")).unionByName(likely.select(F.col("b").alias("d1"))).distinct()
-    chosen = classes.join(ids, "d1").select("rep")
-    sets = sketched(text.join(chosen, text["doc_id"] == chosen["rep"], "left_semi"), words, k, whole=True)
-    sets = keep(sets.join(ids, "d1", "left_semi").select("d1", "n", "v"), "sets").dropDuplicates(["d1"])
-    full = likely.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
-    both_in = F.size(F.array_intersect("sa", "sb"))
-    links = keep(full.withColumn("i", both_in).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "links")
-    return links
+    both = pairs.join(sets.toDF("d1", "nb", "sb"), "d1").where("nb > 0").join(sets.toDF("g", "na", "sa"), "g")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(slice(sa, 1, {k}), slice(sb, 1, {k}))), 1, {k})"))
+    estimate = F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u")
+    likely = both.where(estimate >= t - 6 * F.sqrt(F.lit(t * (1 - t)) / F.size("u"))).withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return keep(likely.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select(F.col("g").alias("a"), F.col("d1").alias("b")), "links")
+
+
+def _within_groups(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): a spanning tree of the links between different components inside each group."""
+    member = groups.join(labels, groups["d1"] == labels["node"], "left").select("g", "d1", F.coalesce("component", "d1").alias("component"))
+    member = keep(member, "members")
+    mixed = member.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("g", "c")
+    # the pivot itself has been compared with everyone
+    blocks = member.where("g <> d1").join(mixed.where("c > 2"), "g").withColumn("blocks", F.ceil(F.col("c") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks")))
+    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    placed = blocks.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "component")
+    where = ["g", "i", "j"]
+    ready = placed.join(sets, "d1").select("g", "i", "j", "block", "d1", "component", "n", "v").repartition(*where).sortWithinPartitions(*where)
+    return keep(ready.mapInArrow(_judge(percent, k), "a long, b long"), "links")
+
+
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets in ``rows`` with all in ``columns``, by products of 0/1 matrices over slices of the shared values."""
+    flat = np.concatenate([*rows, *columns])
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(x) for x in (*rows, *columns)])
+    values, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep_ = count[code] > 1
+    code, owner = shared[code[keep_]], owner[keep_]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    width = 8192
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        s, e = np.searchsorted(code, [at, at + width])
+        part = np.zeros((len(rows) + len(columns), width), dtype=np.float32)
+        part[owner[s:e], code[s:e] - at] = 1
+        out += part[: len(rows)] @ part[len(rows):].T
+    return out
+
+
+def _judge(percent: int, k: int):
+    t = percent / 100
+
+    def group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        block, ids, component, n = (rows[c].to_numpy() for c in ("block", "d1", "component", "n"))
+        values = rows["v"].combine_chunks()
+        ends, flat = np.asarray(values.offsets), np.asarray(values.flatten())
+        sets = [flat[s:e] for s, e in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = (component[left][:, None] != component[right]) & (100 * np.minimum(n[left][:, None], n[right]) >= percent * np.maximum(n[left][:, None], n[right]))
+        if i == j:
+            near = np.triu(near, 1)
+        if near.any():
+            # shared values among both sketches are at most those of the union sketch in both
+            m = np.minimum(k, np.minimum(n[left][:, None], n[right]))
+            near &= overlaps([sets[x][:k] for x in left], [sets[x][:k] for x in right]) >= t * m - 6 * np.sqrt(m * t * (1 - t))
+        a, b = np.nonzero(near)
+        if not len(a):
+            return ids[:0], ids[:0]
+        rows_in, columns_in = np.unique(a), np.unique(b)
+        exact = overlaps([sets[x] for x in left[rows_in]], [sets[x] for x in right[columns_in]])[np.searchsorted(rows_in, a), np.searchsorted(columns_in, b)].astype(np.int64)
+        a, b = left[a], right[b]
+        linked = exact * 100 >= (n[a] + n[b] - exact) * percent
+        root = spanning(a[linked], b[linked], len(ids))
+        found = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[found], ids[root[found]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 3):
+            a, b = group(rows)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, keep, table
+from tidewatch.llm.common import components, keep, runs, spanning, table
 
 RECALL = 0.97
 BLOCK = 512
@@ -101,46 +101,15 @@ def _judge(threshold: float):
         linked = np.concatenate([np.einsum("ij,ij->i", x[a[s: s + 65536]], x[b[s: s + 65536]]) >= threshold for s in range(0, len(a), 65536)] or [np.zeros(0, bool)])
         a, b = a[linked], b[linked]
         total = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        root = np.arange(len(ids))  # smallest member reachable inside the block pair
-        while len(a):
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
+        root = spanning(a, b, len(ids))
         found = np.flatnonzero(total)
         return ids[found], ids[root[found]], total[found].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        last = None
-
-        def flush():
-            out = [group(pa.Table.from_batches(waiting))] if waiting else []
-            waiting.clear()
-            return out
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([np.asarray(batch.column(c)) for c in range(4)])
-            cuts = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
-            out = []
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                mark = tuple(marks[:, s])
-                if mark != last:
-                    out += flush()
-                last = mark
-                waiting.append(batch.slice(s, e - s))
-            yield from _packed(out)
-        yield from _packed(flush())
-
-    def _packed(out):
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["a", "b", "links"])
+        for rows in runs(batches, 4):
+            out = group(rows)
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["a", "b", "links"])
 
     return columns, run
 
