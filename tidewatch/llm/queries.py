@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import op1_decontamination, op2_minhash, op3_language, op5_toxicity, op6_mixing, op7_language_model, op8_suffix, op9_embedding
+from tidewatch.llm import op1_decontamination, op2_minhash, op3_language, op4_html, op5_toxicity, op6_mixing, op7_language_model, op8_suffix, op9_embedding
 
 QUERIES = {
     "op1_decontamination": op1_decontamination.query,
     "op2_minhash": op2_minhash.query,
     "op3_language": op3_language.query,
+    "op4_html": op4_html.query,
     "op5_toxicity": op5_toxicity.query,
     "op6_mixing": op6_mixing.query,
     "op7_language_model": op7_language_model.query,
