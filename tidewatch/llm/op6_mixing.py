@@ -50,27 +50,23 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, importance: str | None = None) -> DataFrame:
     """Input columns plus size, source_size, target, copies, taken. ``importance`` names a positive column that raises a document's
-    inclusion odds within its source; without it all documents of a source have the same."""
-    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "text")]
+    inclusion odds within its source; without it all documents of a source have the same. Rows are read twice and never shuffled, but for
+    the few at the cut."""
+    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     weight = F.coalesce(F.col(importance).cast("double"), F.lit(0.0)) if importance else F.lit(1.0)
     draw = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    sized = keep(docs.select(*given, n_words(F.col("text")).alias("size"), draw.alias("_u"), weight.alias("_w")), "mix")
+    ready = docs.select(*given, n_words(F.col("text")).alias("size"), draw.alias("_u"), weight.alias("_w"))
+    sized = keep(ready.select("source", "size", "_u", "_w"), "mix")
     targets = source_targets(sized, weights, share, limit)
     means = sized.groupBy("source").agg((F.sum(F.col("_w") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("_mean"))
     targets = keep(targets.alias("t").join(means.alias("m"), F.col("t.source").eqNullSafe(F.col("m.source"))).select(
         "t.*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("double").alias("_whole"), "_mean"), "mix-targets")
-    joined = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", *[f"t.{c}" for c in targets.columns if c != "source"])
-    joined = joined.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    odds = F.least(F.greatest(F.col("_rest") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("_w") / F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(1.0), F.lit(1e-12)), F.lit(1 - 1e-9))
-    joined = joined.withColumn("_p", odds)
-    joined = joined.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))
-    joined = joined.withColumn("_v", F.floor(F.col("_q") / (1 + F.col("_q")) * float(LEVEL * LEVEL)).cast("long"))
-    joined = joined.withColumn("_v", F.least(F.col("_v"), F.lit(LEVEL * LEVEL - 1)))
+    joined = _odds(sized, targets)
     coarse = _crossing(joined.where("_rest > 0"), F.floor(F.col("_v") / LEVEL), [], "1")
     fine = _crossing(_with(joined, coarse).where(F.floor(F.col("_v") / LEVEL) == F.col("_bin1")), F.col("_v") % LEVEL, ["_base1"], "2")
     cuts = keep(targets.select("source").alias("t").join(coarse.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").join(
         fine.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left").select("t.source", "_bin1", "_bin2", F.coalesce("_base2", "_base1").alias("_base")), "mix-cuts")
-    ready = _with(joined, cuts)
+    ready = _with(_odds(ready, targets), cuts)
     cut = F.col("_bin1") * LEVEL + F.coalesce(F.col("_bin2"), F.lit(0))
     inside = F.col("_v") == cut
     ranks = W.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -82,6 +78,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def _odds(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds the source's figures, the odds ratio _q that ranks, and its range _v (0 .. LEVEL**2 - 1)."""
+    joined = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", *[f"t.{c}" for c in targets.columns if c != "source"])
+    joined = joined.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    odds = F.col("_rest") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("_w") / F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(1.0)
+    joined = joined.withColumn("_p", F.least(F.greatest(odds, F.lit(1e-12)), F.lit(1 - 1e-9)))
+    joined = joined.withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))
+    return joined.withColumn("_v", F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * float(LEVEL * LEVEL)).cast("long"), F.lit(LEVEL * LEVEL - 1)))
+
+
 def _with(frame: DataFrame, cuts: DataFrame) -> DataFrame:
     return frame.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")), "left").select("d.*", *[f"c.{x}" for x in cuts.columns if x != "source"])
 
