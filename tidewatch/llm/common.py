@@ -184,6 +184,24 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+FILTER_BITS = 25
+
+
+def maybe_in(frame: DataFrame, members: DataFrame, keys: list[str], flag: str = "_maybe") -> DataFrame:
+    """Column ``flag``: false only for rows whose keys are surely not in ``members``.
+
+    A Bloom filter with one hash, 16 bits per member and at most 2**FILTER_BITS bits: a table of at most 2**(FILTER_BITS - 6) words, so the
+    broadcast has a fixed bound whatever the data. It saves shuffling rows that a join on ``keys`` would drop; the join itself stays exact.
+    """
+    bits = max(12, min(FILTER_BITS, (16 * max(1, members.count())).bit_length()))
+    place = F.xxhash64(F.lit(3), *keys).bitwiseAND((1 << bits) - 1)
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    words = members.select(place.alias("_place")).select(F.shiftright("_place", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = frame.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.withColumn(flag, hit).drop("_word", "_place", "_bits")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b); nodes without an edge are absent.
 

@@ -4,7 +4,7 @@ A string of SPAN bytes is repeated if it starts at two places, in one document o
 
 1. Routing. Each window of SPAN bytes is led by its anchor: of the KMER-byte strings inside it the one with the smallest hash, the first of
    equals. Equal windows have equal anchors, so they can be compared anchor by anchor. Neighbouring windows share anchors: a document gives
-   about one segment (a run of windows with one anchor) per 75 bytes, and only hashes and positions of segments are shuffled.
+   about one segment (a run of windows with one anchor) per 85 bytes, and only hashes and positions of segments are shuffled.
 2. Equal segments are counted. Segments that occur twice are repeated as a whole. Anchors with one segment have no other match.
 3. For all other anchors the texts of the distinct segments are brought together by anchor. A task cuts them into shards, sorts each
    shard's suffixes once, keeps its Burrows-Wheeler transform (BWT), and merges transforms pairwise by interleave refinement: the
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, keep, pieces, prefix_hash, span_hash, table
+from tidewatch.llm.common import flat, keep, maybe_in, pieces, prefix_hash, span_hash, table
 
-SPAN, KMER, STEP = 200, 50, 40
+SPAN, KMER, STEP = 200, 32, 40
 WIDE = 2048
 SHARD = 1 << 18  # bytes of a shard
 SET = 1 << 22  # bytes of segments merged at a time, cut between anchors only
@@ -233,12 +233,16 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     found = keep(keyed.mapInArrow(_segments, "kmer long, seg long, k1 long, k2 long, lo long, n int"), "segments")
     distinct = keep(found.groupBy("kmer", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo", "n")).alias("o")), "distinct")
     several = distinct.groupBy("kmer").agg(F.count(F.lit(1)).alias("segments"), F.min("c").alias("least")).where("segments > 1 and least = 1").select("kmer", "segments")
-    whole = found.join(distinct.where("c > 1").select("kmer", "seg"), ["kmer", "seg"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + SPAN - 1).alias("e"))
-    open_ = keep(distinct.join(several, "kmer").select("kmer", "segments", "o.*", F.least("c", F.lit(2)).alias("c")), "open")
+    several = keep(several, "several")
+    twice = distinct.where("c > 1").select("kmer", "seg")
+    whole = maybe_in(found, twice, ["kmer", "seg"]).where("_maybe").join(twice, ["kmer", "seg"]).select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + SPAN - 1).alias("e"))
+    open_ = keep(maybe_in(distinct, several, ["kmer"]).where("_maybe").join(several, "kmer").select("kmer", "segments", "o.*", F.least("c", F.lit(2)).alias("c")), "open")
 
     def wanted(rows: DataFrame, run, schema: str) -> DataFrame:
         lists = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("kmer", "lo", "n", "c")).alias("w"))
-        return keyed.dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"]).select("k1", "k2", "text", "w").mapInArrow(run, schema)
+        near = maybe_in(keyed, rows.select("k1", "k2"), ["k1", "k2"]).where("_maybe")
+        # equal rows send a segment more than once; it occurs more than once then, so this decides nothing
+        return near.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "w").mapInArrow(run, schema)
 
     texts = wanted(open_.where(F.col("segments") <= WIDE), _cut(False), "kmer long, k1 long, k2 long, lo long, c long, text binary")
     narrow = texts.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(_merge_sets, "k1 long, k2 long, s long, e long")
@@ -286,12 +290,16 @@ def _removed(given: list[str], where: int):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with what repeats cut out of ``text``, and n_bytes, n_removed, n_spans, kept_sha256."""
-    given = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "_k1", "_k2", "_r")]
+    given = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "_k1", "_k2", "_r", "_near")]
     docs = docs.select(*given).withColumn("_k1", F.xxhash64("text")).withColumn("_k2", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
     keyed = docs.where(F.octet_length("text") >= SPAN).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
     ranges = repeated_ranges(keyed).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("_r"))
-    ranges = ranges.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_r")
-    joined = docs.join(ranges, ["_k1", "_k2"], "left").select(*given, F.coalesce("_r", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("_r"))
+    ranges = keep(ranges.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_r"), "ranges")
+    # only documents that may have ranges are shuffled to them
+    docs = maybe_in(docs, ranges, ["_k1", "_k2"], "_near")
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    joined = docs.where("_near").join(ranges, ["_k1", "_k2"], "left").select(*given, F.coalesce("_r", none).alias("_r"))
+    joined = joined.unionByName(docs.where("not _near").select(*given, none.alias("_r")))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields if f.name != "_r") + "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.mapInArrow(_removed(given, given.index("text")), schema)
 
