@@ -2,7 +2,7 @@
 
 1. Words are runs of letters and digits, lower-cased, so punctuation and case don't hide a copy. The 3-word n-grams of all test items
    are counted over all training documents (a document counts an n-gram once).
-2. Seeds: of every item the n-grams found in at most RARE of all documents, and always its KEEP rarest, so that an item that was copied
+2. Seeds: of every item the n-grams found in at most RARE of all documents, and always the KEEP rarest that occur, so that an item copied
    very often keeps its seeds.
 3. A document that contains a seed of an item is aligned with it around the seeds' diagonals: local alignment with +2 for an equal word,
    -1 for a changed, missing or extra one. The score is divided by that of a whole unedited copy; matches reach ``least``.
@@ -70,6 +70,8 @@ class Items:
     def rare(self, counts: np.ndarray, documents: int) -> None:
         """Keep the seeds: counts[i] documents contain self.seeds[i]."""
         count = np.repeat(counts, np.diff(self.begin))
+        met = count > 0
+        self.grams, self.item, self.place, count = self.grams[met], self.item[met], self.place[met], count[met]
         order = np.lexsort((self.place, count, self.item))
         rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order], side="left")
         chosen = np.zeros(len(order), dtype=bool)

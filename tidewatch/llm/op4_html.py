@@ -179,7 +179,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html in batch.column(0).to_pylist():
             for words, element, _ in blocks(html):
                 if words:
-                    (inside if element.article else outside).update(dict.fromkeys(element.features - {"article", "main"}, words.count(" ") + 1))
+                    (inside if element.article else outside).update(dict.fromkeys((element.features - {"article", "main"}) | {"*"}, words.count(" ") + 1))
         every = sorted(inside.keys() | outside.keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([inside[f] for f in every], pa.int64()), pa.array([outside[f] for f in every], pa.int64())], names=["feature", "i", "o"])
 
@@ -192,8 +192,8 @@ def learn(pages: DataFrame) -> Weights:
         return Weights({}, frozenset())
     sample = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(min(1.0, PAGES / total) * (1 << 30)))
     rows = sample.select("html").mapInArrow(_count, "feature string, i long, o long").groupBy("feature").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
-    words_in, words_out = (max([r[c] for r in rows if r["feature"] == "body"], default=1) + 1 for c in ("i", "o"))
-    weight = {r["feature"]: max(-4.0, min(4.0, math.log((r["i"] + 1) / words_in) - math.log((r["o"] + 1) / words_out))) for r in rows if r["feature"] not in ("#", "html", "body")}
+    words_in, words_out = (max([r[c] for r in rows if r["feature"] == "*"], default=1) + 1 for c in ("i", "o"))
+    weight = {r["feature"]: max(-4.0, min(4.0, math.log((r["i"] + 1) / words_in) - math.log((r["o"] + 1) / words_out))) for r in rows if r["feature"] not in ("#", "*", "html", "body")}
     weight |= {"article": 4.0, "main": 4.0}
     never = frozenset(r["feature"] for r in rows if "=" in r["feature"] and r["o"] >= CLEAR and r["i"] == 0)
     return Weights(weight, never)
