@@ -72,6 +72,33 @@ def test_forest_sampling_modes(spark):
     assert {r["count"] for r in forest.tree_samples(small, "flow_row_id", {"m": 100}, 20, 256, 1).groupBy("tree").count().collect()} == {100}
 
 
+@pytest.mark.parametrize("n", [255, 257, 2047, 2048, 2049, 200_000])
+def test_forest_sampling_is_one_rule(spark, n):
+    rows = spark.range(n).select(F.col("id").alias("flow_row_id"), F.lit("m").alias(forest.GROUP))
+    counts = forest.tree_samples(rows, "flow_row_id", {"m": n}, 200, 256, 1).groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("flow_row_id").alias("d")).collect()
+    assert len(counts) == 200 and {(r["n"], r["d"]) for r in counts} == {(min(n, 256), min(n, 256))}
+
+
+def test_rows_without_a_model_stay(spark, flows):
+    keyed = flows.withColumn("day", F.col("capture_date").cast("string"))
+    days = sorted(r[0] for r in keyed.select("day").distinct().collect())[:3]
+    model = forest.fit_forest(keyed.where(F.col("day").isin(days)), ROLES, trees=20, group="day")
+    tried = []
+    for size in (1, 8):
+        model.models_per_pass = size
+        tried.append(sorted((r["flow_row_id"], r["score"]) for r in model.score(keyed, "day").select("flow_row_id", "score").collect()))
+    assert tried[0] == tried[1] and len(tried[0]) == flows.count()
+    assert sum(score is None for _, score in tried[0]) == keyed.where(~F.col("day").isin(days)).count()
+
+
+def test_nan_and_null_scores_are_ranked(spark):
+    from tidewatch.operators import evaluation
+
+    rows = [(i % 2, float(i)) for i in range(50)] + [(1, float("nan")), (0, float("nan")), (1, None)]
+    scored = spark.createDataFrame(rows, "actual int, score double")
+    assert 0.4 < evaluation.ranking_metrics(scored).first()["roc_auc"] < 0.6
+
+
 def test_unseen_category_is_scored(spark, flows):
     model = forest.fit_forest(flows.where("label = 0"), ROLES, trees=20)
     new = spark.createDataFrame([(1, None, None, 0.0, "never seen", 0)], SCHEMA.replace("ts bigint", "ts string"))

@@ -86,6 +86,33 @@ def test_file_order_ids_are_dense_after_filtering(spark, tmp_path):
     assert got == list(enumerate(f"{d}-{i:05d}" for d in range(3) for i in range(500) if i % 7))
 
 
+def test_file_order_ids_move_no_rows(spark, tmp_path):
+    for d in range(2):
+        write_log(tmp_path, f"2023-02-2{d}", [[f"{d}-{i:05d}", "Benign"] for i in range(50)], ["uid", "label"], ["string", "string"])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = zeek.scan(spark, str(tmp_path), LOG, keep_order=True)
+        plan = identity.row_ids_by_file_order(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+        many = identity.row_ids_by_file_order(rows, broadcast_blocks=1)  # counted as too many: a shuffle join
+        assert "strategy=broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["flow_row_id"] for r in many.collect()) == list(range(100))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_feeds_are_tidied_and_one_row_a_key(spark):
+    from tidewatch.operators import intel
+
+    feed = spark.createDataFrame([(" AB12", "hash_not_found", None), ("ab12 ", "ok", "x"), ("ab12", "HTTP_502", None), (None, "ok", "y")], "sha1 string, query_status string, signature string")
+    got = intel.enrich_hashes(spark.createDataFrame([("ab12",), ("AB12",), ("cd",)], "sha1 string"), feed).collect()
+    assert sorted((r["sha1"], r["query_status"], r["signature"]) for r in got) == [("AB12", "ok", "x"), ("ab12", "ok", "x"), ("cd", None, None)]
+    feed = spark.createDataFrame([("Example.COM.", "ok", "2023-01-01"), ("example.com", "ok", "2023-02-01"), ("example.com", "no_results", None)], "domain string, query_status string, firstseen string")
+    got = intel.enrich_domains(spark.createDataFrame([("example.com",), ("other.org",)], "domain string"), feed).collect()
+    assert sorted((r["domain"], r["query_status"], r["firstseen"]) for r in got) == [("example.com", "ok", "2023-02-01"), ("other.org", None, None)]
+
+
 def test_modelling_and_metadata_align(spark, root):
     rows = cleaning.with_clean_label(zeek.scan(spark, str(root), LOG, keep_order=True), "label", "label")
     rows = rows.withColumn("label", F.initcap("label"))

@@ -19,13 +19,6 @@ def keep_available(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.select(*[c for c in columns if c in frame.columns])
 
 
-def keep_required(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    absent = [c for c in columns if c not in frame.columns]
-    if absent:
-        raise ValueError(f"required columns are absent: {absent}")
-    return frame.select(*columns)
-
-
 def drop_excluded(frame: DataFrame, excluded: Sequence[str]) -> DataFrame:
     """Drop leaking and identifying columns; names that are not there are ignored."""
     return frame.drop(*excluded)
@@ -96,11 +89,13 @@ def with_clean_domain(frame: DataFrame, column: str, output: str = "indicator_cl
 
 
 def check_labels(frame: DataFrame, target: str, allowed: Sequence) -> None:
-    """Raise when a label outside the allowed set is left; the message is bounded."""
+    """Raise when a label outside the allowed set is left. The message counts them all and names the twenty most frequent."""
     odd = frame.where(F.col(target).isNull() | ~F.col(target).isin(*allowed))
-    found = odd.groupBy(F.col(target).cast("string").alias("v")).agg(F.count("*").alias("n")).limit(20).collect()
-    if found:
-        raise ValueError(f"unexpected labels in {target}: {sorted((str(r['v']), r['n']) for r in found)}")
+    per_label = odd.groupBy(F.col(target).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    total = per_label.agg(F.count("*").alias("labels"), F.sum("n").alias("rows")).first()
+    if total["labels"]:
+        most = [(str(r["v"]), r["n"]) for r in per_label.orderBy(F.desc("n"), "v").limit(20).collect()]
+        raise ValueError(f"{total['rows']} rows with {total['labels']} unexpected labels in {target}, most frequent: {most}")
 
 
 def unexpected_labels(frame: DataFrame, target: str, allowed: Sequence) -> DataFrame:

@@ -1,6 +1,6 @@
 """Isolation forest (Liu, Ting and Zhou 2008) as Spark jobs.
 
-Fitting: one hashed scan picks about 1.5 x 256 rows per tree, one small shuffle brings each tree's sample
+Fitting: one hashed scan picks about 1.5 x 256 rows per tree by one rule for every size, one small shuffle brings each tree's sample
 together, and every tree grows in its own group of at most 256 rows. The model is a node table. Scoring is a
 vectorised pass with the nodes broadcast (at most trees x 511 rows per model). ``group`` fits one forest per
 value of a column with few values (folds) in the same jobs.
@@ -47,28 +47,24 @@ def with_fills(frame: DataFrame, fills: dict[str, dict[str, float]], models: Seq
 def tree_samples(rows: DataFrame, row_id: str, sizes: dict[str, int], trees: int, sample: int, seed: int) -> DataFrame:
     """``sample`` distinct rows per (group, tree), or all rows of a group that has fewer.
 
-    A row draws trees in rounds. Few rows: one round per tree, everything qualifies. Many rows: as many rounds
-    and as high a pass rate as give 1.5 x sample rows per tree, so the volume after the filter does not grow
-    with the table. The ``sample`` smallest hashes win.
+    One rule for every size: a row enters a tree if its hash for that tree lies below a rate that gives about
+    1.5 x sample rows per tree; of those the ``sample`` smallest keys win. Where the rates of all trees add up to
+    less than one, a first hash skips most rows, so the volume after the filter does not grow with the table.
     """
-    wanted = 1.5 * sample * trees
     plans = []
     for name, n in sizes.items():
-        few = n <= 8 * sample
-        rounds = trees if few else math.ceil(wanted / n)
-        plans.append((name, few, rounds, 1.0 if few else wanted / (n * rounds)))
-    plan = rows.sparkSession.createDataFrame(plans, f"{GROUP} string, _few boolean, _rounds int, _rate double")
-    drawn = rows.join(F.broadcast(plan), GROUP).withColumn(  # one row per model
-        "_round", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1))
-    )
-    draw = F.xxhash64(F.lit(seed), F.col(row_id), F.col("_round"))
-    luck = F.pmod(F.xxhash64(draw, F.lit("pass")), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    drawn = drawn.where(F.col("_few") | (luck < F.col("_rate")))
-    placed = drawn.withColumn("tree", F.when(F.col("_few"), F.col("_round")).otherwise(F.pmod(draw, F.lit(trees)).cast("int"))).drop(
-        "_few", "_rounds", "_rate"
-    )
-    keyed = placed.withColumn("_key", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id))).drop("_round")
-    # a row drawn twice by one tree has one rank; its copy is dropped where the tree grows
+        rate = min(1.0, 1.5 * sample / n)
+        any_tree = min(1.0, trees * rate)
+        plans.append((name, any_tree, rate / any_tree))
+    plan = rows.sparkSession.createDataFrame(plans, f"{GROUP} string, _any double, _rate double")
+
+    def luck(*parts) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 31)) / F.lit(float(1 << 31))
+
+    drawn = rows.join(F.broadcast(plan), GROUP).where(luck(F.lit("any"), F.col(row_id)) < F.col("_any"))  # one row per model
+    entered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: luck(F.lit("tree"), tree, F.col(row_id)) < F.col("_rate"))
+    placed = drawn.withColumn("tree", F.explode(entered)).drop("_any", "_rate")
+    keyed = placed.withColumn("_key", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id)))
     order = Window.partitionBy(GROUP, "tree").orderBy("_key", row_id)
     return keyed.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= sample)
 
@@ -181,22 +177,24 @@ class ForestModel:
     models_per_pass: int = 8
 
     def score(self, frame: DataFrame, group: str | None = None, output: str = "score") -> DataFrame:
-        """Adds the anomaly score; positive is anomalous under the automatic threshold.
+        """Adds the anomaly score; positive is anomalous under the automatic threshold, NULL means that the row has no model.
 
         Models are broadcast a few at a time, so memory does not grow with their number.
         """
         keyed = with_group(frame, group)
+        numbers = [f"_num_{i}" for i in range(len(self.roles.numeric))]
         passes = [self.models[i:i + self.models_per_pass] for i in range(0, len(self.models), self.models_per_pass)]
         parts = []
         for names in passes:
             arrays = frame.sparkSession.sparkContext.broadcast(_arrays(self.nodes.where(F.col("model").isin(names)).toPandas()))
-            numbers = [f"_num_{i}" for i in range(len(self.roles.numeric))]
-            rows = with_fills(keyed if len(passes) == 1 else keyed.where(F.col(GROUP).isin(names)), self.fills, names, numbers)
+            rows = with_fills(keyed.where(F.col(GROUP).isin(names)), self.fills, names, numbers)
             udf = F.pandas_udf(_scorer(arrays, len(numbers)), T.DoubleType())
             inputs = [F.col(GROUP), *[F.col(n) for n in numbers], *category_codes(self.roles.categorical)]
             parts.append(rows.withColumn(output, udf(*inputs)).drop(GROUP, *numbers))
-        whole = parts[0]
-        for part in parts[1:]:
+        # rows without a model stay, with a NULL score
+        known = F.coalesce(F.col(GROUP).isin(self.models), F.lit(False))
+        whole = keyed.where(~known).withColumn(output, F.lit(None).cast("double")).drop(GROUP)
+        for part in parts:
             whole = whole.unionByName(part)
         return whole
 

@@ -14,20 +14,26 @@ def row_ids_by_number(frame: DataFrame, unique_number: str, output: str = "flow_
     return dense_index(frame, unique_number, output)
 
 
-def row_ids_by_file_order(frame: DataFrame, output: str = "flow_row_id", source: str = "source_file") -> DataFrame:
-    """0..n-1 in (file, line) order for a filtered scan made with ``keep_order=True``. No row is moved.
+def row_ids_by_file_order(frame: DataFrame, output: str = "flow_row_id", source: str = "source_file", broadcast_blocks: int = 100_000) -> DataFrame:
+    """0..n-1 in (file, line) order for a filtered scan made with ``keep_order=True``. No row is moved, as long as
+    there are at most ``broadcast_blocks`` file blocks (counted first); beyond that the offsets are joined by a shuffle.
 
     Each file block was read by one task, so the surviving lines already rise inside it. Only one row per block
-    (count and first line) is aggregated; its running total over the blocks gives the block's offset.
+    (count and first line) is aggregated; running totals inside each file and over the files give its offset.
     """
     key = [source, BLOCK]
     # dense inside a block: the counter is taken after the filter
     numbered = frame.withColumn("_line", F.monotonically_increasing_id())
     blocks = numbered.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
-    earlier = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)  # one row per file block
-    offsets = blocks.select(*key, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(source).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy(source).agg(F.sum("_n").alias("_file_n")).withColumn("_all", F.lit(1))
+    over = Window.partitionBy("_all").orderBy(source).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = files.select(source, F.coalesce(F.sum("_file_n").over(over), F.lit(0)).alias("_start"))
+    offsets = blocks.select(*key, "_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_before")).join(starts, source)
+    offsets = offsets.select(*key, "_first", (F.col("_start") + F.col("_before")).alias("_offset"))
+    few = frame.select(*key).distinct().limit(broadcast_blocks + 1).count() <= broadcast_blocks
     return (
-        numbered.join(offsets, key)
+        numbered.join(F.broadcast(offsets) if few else offsets, key)
         .withColumn(output, F.col("_offset") + F.col("_line") - F.col("_first"))
         .drop("_line", "_first", "_offset", BLOCK)
     )

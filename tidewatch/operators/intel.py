@@ -1,13 +1,13 @@
 """Threat-intelligence operators: file hashes, domains and addresses against verdict feeds.
 
-Lookups are joins with feed tables. A feed may grow, so its broadcast is never forced: it is counted first, or left
-to Spark's own size limit; beyond that it is a shuffle join (adaptive skew handling included). Tables with one row
+Lookups are joins with feed tables. A feed may grow, so its broadcast is never forced: it is left to Spark's own size
+limit and to adaptive execution; beyond that it is a shuffle join (adaptive skew handling included). Tables with one row
 per label, source or day are broadcast explicitly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from tidewatch.functions.cleaning import drop_wildcard, percent, tidy_domain
 from tidewatch.functions.domain import PUBLIC_DOMAIN, domain_class
 from tidewatch.functions.ip import ip_class, is_public_ip
-from tidewatch.session import broadcast_when_small
 
 # Measure names, hash forms and lookup states.
 HEX = "[0-9A-Fa-f]"
@@ -109,10 +108,22 @@ def parse_hash_feed(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def one_verdict(feed: DataFrame, key: str, tidy: Callable[[Column], Column], none: str) -> DataFrame:
+    """A feed with tidied keys and one row per key: hits before misses before failed requests, then the latest and largest row."""
+    rest = [c for c in feed.columns if c != key]
+    status = F.col("query_status")
+    rank = F.when(status.isNull(), 0).when(status.rlike(FAILED_LOOKUP), 1).when(status == none, 2).otherwise(3)
+    seen = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("last_seen", "first_seen", "firstseen") if c in rest]
+    best = F.max(F.struct(rank.alias("_rank"), *[s.alias(f"_seen_{i}") for i, s in enumerate(seen)], *rest))
+    tidied = feed.withColumn(key, tidy(F.col(key))).where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_best"))
+    return tidied.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
 def enrich_hashes(candidates: DataFrame, feed: DataFrame, source: str = "hash_feed") -> DataFrame:
     """Every candidate hash with its verdict; ``feed`` has sha1, query_status and any verdict columns."""
     hashes = candidates.select("sha1").distinct()
-    joined = hashes.join(feed, "sha1", "left")
+    verdicts = one_verdict(feed, "sha1", lambda c: F.lower(F.trim(c)), "hash_not_found").withColumnRenamed("sha1", "_key")
+    joined = hashes.join(verdicts, F.lower(F.trim("sha1")) == F.col("_key"), "left").drop("_key")
     return joined.withColumns({
         "cti_source": F.lit(source), "cti_match": match_flag(F.col("query_status"), "hash_not_found"),
     })
@@ -142,10 +153,6 @@ def host_observations(logs: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return first
 
 
-def clean_observations(hosts: DataFrame) -> DataFrame:
-    return hosts.withColumn("indicator_clean", tidy_domain(F.col("indicator")))
-
-
 def indicator_availability(hosts: DataFrame) -> DataFrame:
     """Per log: rows, populated rows, distinct values, rows with uid. Values are merged before they are counted."""
     name = F.nullif(tidy_domain(F.col("indicator")), F.lit(""))
@@ -193,7 +200,11 @@ def parse_domain_feed(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def enrich_domains(domains: DataFrame, feed: DataFrame, source: str = "domain_feed") -> DataFrame:
-    joined = domains.select("domain").distinct().join(feed, "domain", "left")
+    def bare(column: Column) -> Column:
+        return F.rtrim(F.lower(F.trim(column)), F.lit("."))
+
+    verdicts = one_verdict(feed, "domain", bare, "no_results").withColumnRenamed("domain", "_key")
+    joined = domains.select("domain").distinct().join(verdicts, bare(F.col("domain")) == F.col("_key"), "left").drop("_key")
     return joined.withColumns({"cti_source": F.lit(source), "cti_match": match_flag(F.col("query_status"), "no_results")})
 
 
@@ -231,7 +242,7 @@ def historical_domains(matches: DataFrame) -> DataFrame:
 def historical_observations(hosts: DataFrame, historical: DataFrame) -> DataFrame:
     """Log rows whose name (without wildcard) was known before the capture, with its first-seen time."""
     named = hosts.withColumn("domain", drop_wildcard(tidy_domain(F.col("indicator"))))
-    return named.join(broadcast_when_small(historical), "domain")
+    return named.join(historical, "domain")
 
 
 def historical_coverage(observations: DataFrame, flows: DataFrame, sources: DataFrame) -> DataFrame:

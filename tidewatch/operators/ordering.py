@@ -30,14 +30,14 @@ def split_points(frame: DataFrame, columns: Sequence[str], parts: int | None = N
     parts = parts or range_count(frame.sparkSession)
     shares = [i / parts for i in range(1, parts)]
     row = frame.select(*columns).sample(0.02, seed=7).agg(*[
-        F.percentile_approx(F.col(c).cast("double"), shares, 5 * parts).alias(f"q{i}")
+        F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), shares, 5 * parts).alias(f"q{i}")
         for i, c in enumerate(columns)
     ]).first()
     return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
 
 
 def add_ranges(frame: DataFrame, points: Mapping[str, Sequence[float]], outputs: Sequence[str]) -> DataFrame:
-    """Value-range number per column (JVM binary search); NULLs go to range 0."""
+    """Value-range number per column (JVM binary search); NULLs go to range 0, NaN to a last range of its own, as it sorts."""
     columns = list(points)
     doubles = [f"_as_double_{i}" for i in range(len(columns))]
     infinity = float("inf")
@@ -45,7 +45,7 @@ def add_ranges(frame: DataFrame, points: Mapping[str, Sequence[float]], outputs:
         d: F.coalesce(F.col(c).cast("double"), F.lit(-infinity)) for d, c in zip(doubles, columns)
     })
     cutter = Bucketizer(
-        inputCols=doubles, outputCols=list(outputs),
+        inputCols=doubles, outputCols=list(outputs), handleInvalid="keep",
         splitsArray=[[-infinity, *points[c], infinity] if points[c] else [-infinity, 0.0, infinity] for c in columns],
     )
     cut = cutter.transform(wide)

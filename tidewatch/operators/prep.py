@@ -18,12 +18,6 @@ def medians(frame: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()
     return quantiles(frame, columns, [0.5], groups).select(*groups, "feature", F.col("all_q0").alias("median"))
 
 
-def approximate_medians(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One pass without a shuffle of values; an explicit choice for very wide tables."""
-    wide = frame.agg(*[F.percentile_approx(c, 0.5, 100_000).alias(c) for c in columns])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("median")) for c in columns])))
-
-
 def most_frequent(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent known value per categorical column, ties to the smallest value; from one frequency table."""
     pairs = frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])))

@@ -57,7 +57,7 @@ def calibrated_detector(benign_fit: DataFrame, calibration: DataFrame, test: Dat
     threshold = ev.quantile_threshold(quiet, "score", share)
     flagged = ev.flag_at(scored, "score", threshold).withColumn("automatic", automatic_flag(F.col("score")))
     return {
-        "model": model, "threshold": threshold, "scores": flagged,
+        "model": model, "threshold": threshold, "share": share, "scores": flagged,
         "calibration": flagged.where(F.col("part") == "calibrate"), "test": flagged.where(F.col("part") == "test"),
     }
 
@@ -136,7 +136,7 @@ def detector_report(result: dict, fit_records: int, train: DataFrame, target: st
     )
     wide = sizes.join(F.broadcast(counted)).join(F.broadcast(flags)).join(F.broadcast(ranked)).join(F.broadcast(quiet))  # one row each
     wide = wide.withColumns({
-        "fit_records": F.lit(fit_records), "threshold": F.lit(result["threshold"]), "quantile": F.lit(0.99),
+        "fit_records": F.lit(fit_records), "threshold": F.lit(result["threshold"]), "quantile": F.lit(result["share"]),
         "test_benign": F.col("true_negatives") + F.col("false_positives"), "test_malicious": F.col("false_negatives") + F.col("true_positives"),
     })
     return ev.long_metrics(wide, REPORT)

@@ -97,11 +97,16 @@ def _micros(ts: str) -> Column:
 
 
 def _time_levels(ts: str, row_id: str) -> dict[str, Column]:
-    """Coarse to fine: minute, exact time with a hash prefix (spreads rows that share one time), the row itself."""
+    """Coarse to fine: minute, second, millisecond, exact time with a hash prefix (spreads rows that share one time), the row itself.
+
+    Each level holds at most a few thousand values of the one before, so no task counts more.
+    """
     digest = F.md5(F.col(row_id).cast("string"))
     time = _micros(ts)
     return {
         "_minute": F.floor(time / 60_000_000).cast("bigint"),
+        "_second": F.floor(time / 1_000_000).cast("bigint"),
+        "_milli": F.floor(time / 1_000).cast("bigint"),
         "_moment": F.struct(time.alias("_time"), F.substring(digest, 1, 5).alias("_prefix")),
         "_key": F.struct(digest.alias("_digest"), F.col(row_id).alias("_id")),
     }

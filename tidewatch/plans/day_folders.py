@@ -24,8 +24,11 @@ def epoch_text(ts: Column) -> Column:
     return F.concat(whole.cast("string"), F.lit("."), F.lpad((micros - whole * 1_000_000).cast("string"), 6, "0"))
 
 
-def write_day_folders(t, log: str = LOG, lanes: int = 4) -> str:
-    """Returns the root of ``day=<date>/kind=zeek/log=<name>/part-*``. A busy day is split into lanes."""
+def write_day_folders(t, log: str = LOG, lane_rows: int = 200_000) -> str:
+    """Returns the root of ``day=<date>/kind=zeek/log=<name>/part-*``. Days are split into lanes, so many that the busiest day's hold ``lane_rows``."""
+    busiest = t.flow_v.groupBy("capture_date").count().agg(F.max("count")).first()[0] or 0
+    lanes = max(4, -(-busiest // lane_rows))
+
     def text(name: str):
         column = F.col(name)
         if name == "ts":

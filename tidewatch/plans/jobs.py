@@ -49,6 +49,7 @@ def prepare(spark: SparkSession, root: str, out: str, roles: Roles = CONNECTION_
     }
     modelling, metadata = spark.read.parquet(paths["modelling"]), spark.read.parquet(paths["metadata"])
     cleaning.check_labels(modelling, roles.target, list(CLASS_CODES.values()))
+    identity.check_unique_ids(modelling, roles.row_id, "modelling")
     identity.check_alignment(modelling, metadata, roles.row_id)
     return paths
 

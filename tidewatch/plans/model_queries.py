@@ -19,9 +19,9 @@ VARIANTS = {"all features": FLOW, "without history": FLOW.without("history")}
 
 
 def flows(t) -> DataFrame:
-    """Modelling rows with time and date (the target is 0/1)."""
+    """Modelling rows with time and date (the target is 0/1), stored once: every fitting and scoring pass reads them from there."""
     keyed = cleaning.metadata_table(t.flow_v, FLOW).select("flow_row_id", "ts", "capture_date", "detailedlabel")
-    return cleaning.modelling_table(clean_flows(t), FLOW).join(keyed, "flow_row_id")
+    return rolling.keep(cleaning.modelling_table(clean_flows(t), FLOW).join(keyed, "flow_row_id"), "model-input")
 
 
 def parts(t) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +73,14 @@ def _(t):
     return encoded.agg(F.max(F.size(vector_to_array("features"))).alias("width"), F.count("*").alias("records"))
 
 
-@query("ml4_assembled_vectors")
+CATEGORIES = (("proto", "proto"), ("service", "coalesce(svc, 'missing')"), ("conn_state", "conn_state"), ("history", "history"))
+
+
+@query("ml4_assembled_vectors", f"""WITH {TRAIN}, med AS (SELECT quantile_cont(duration, 0.5) AS d_med, quantile_cont(orig_bytes, 0.5) AS o_med, quantile_cont(resp_bytes, 0.5) AS r_med FROM m),
+f AS (SELECT * FROM m, med),
+words AS (SELECT {', '.join(f"list_sort(list(DISTINCT {v})) AS {c}_words" for c, v in CATEGORIES)} FROM f)
+SELECT flow_row_id, list_transform([coalesce(duration, d_med), coalesce(orig_bytes, o_med), coalesce(resp_bytes, r_med), missed_bytes]
+  {' '.join(f"|| list_transform({c}_words, lambda w: CASE WHEN w = {v} THEN 1e0 ELSE 0e0 END)" for c, v in CATEGORIES)}, lambda x: round(x, 6)) AS features FROM f, words""")
 def _(t):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
@@ -81,7 +88,7 @@ def _(t):
     train, _ = parts(t)
     ready = prep.fit_imputation(train, FLOW).apply(train)
     vectors = Pipeline(stages=prep.encoding_stages(FLOW)).fit(ready).transform(ready)
-    return vectors.select("flow_row_id", vector_to_array("features").alias("features"))
+    return vectors.select("flow_row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
 
 
 @query("ml5_standardized", f"""WITH m AS (SELECT flow_row_id, orig_bytes, resp_bytes FROM flow_v WHERE {BINARY})
@@ -156,7 +163,7 @@ def _(t):
     return fit_forest(benign_parts(t)[0], FLOW).nodes
 
 
-@query("ml10_forest_size", """SELECT 200 AS trees, 256 AS rows_per_tree FROM (SELECT count(*) FROM flow_v) x""")
+@query("ml10_forest_size", """SELECT CAST(200 AS INTEGER) AS trees, CAST(least(256, count(*)) AS INTEGER) AS rows_per_tree FROM flow_v WHERE label = 'Benign'""")
 def _(t):
     nodes = fit_forest(splits.benign_only(flows(t), "label"), FLOW).nodes
     per_tree = nodes.groupBy("tree").agg(F.max("sample").alias("sample"))
@@ -169,12 +176,14 @@ def _(t):
 
 
 @query("ml12_forest_calibration", f"""WITH b AS (SELECT count(*) AS n FROM flow_v WHERE label = 'Benign' AND {in_dates(TRAIN_DATES)})
-SELECT CAST(ceil(round(n * 0.2e0, 6)) AS BIGINT) AS calibration_records, true AS rate_near_one_percent FROM b""")
+, c AS (SELECT CAST(ceil(round(n * 0.2e0, 6)) AS BIGINT) AS q FROM b)
+SELECT q AS calibration_records, q - CAST(ceil(round(0.99e0 * (q - 1), 9)) AS BIGINT) AS flagged FROM c""")
 def _(t):
-    # ties at the threshold may flag a little more than one percent
+    # an interpolated 0.99 quantile leaves as many rows at or above it as the row count says; equal scores count once
     quiet = calibrated(t, forest)["calibration"]
-    rate = F.count_if(F.col("predicted") == 1) / F.count("*")
-    return quiet.agg(F.count("*").alias("calibration_records"), ((rate >= 0.005) & (rate <= 0.02)).alias("rate_near_one_percent"))
+    above = F.count_if(F.col("score") > F.col("limit")) + F.when(F.count_if(F.col("score") == F.col("limit")) > 0, 1).otherwise(0)
+    limit = quiet.where("predicted = 1").agg(F.min("score").alias("limit"))
+    return quiet.join(F.broadcast(limit)).agg(F.count("*").alias("calibration_records"), above.cast("bigint").alias("flagged"))  # one row on the right
 
 
 @query("ml12_detector_report")

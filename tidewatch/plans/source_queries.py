@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.cleaning import to_number
@@ -31,11 +32,15 @@ def _(t):
 
 
 @query("src2_schema_from_header", " UNION ALL ".join(
-    f"SELECT '{LOG}' AS log, 'found' AS status, {i} AS position, '{f}' AS field, '{k}' AS type, min(capture_date) IS NOT NULL AS has_rows FROM flow_v"
+    f"SELECT '{LOG}' AS log, 'found' AS status, {i} AS position, '{f}' AS field, '{k}' AS type, count(CASE WHEN CAST({f} AS VARCHAR) <> '-' THEN 1 END) AS values FROM flow_v"
     for i, (f, k) in enumerate(zip(FIELDS, TYPES))))
 def _(t):
     root = write_day_folders(t)
-    return zeek.header_catalogue(t.spark, root, [LOG]).withColumn("has_rows", F.lit(True))
+    # what stands in each column that the headers name: a wrong name, order or marker changes the counts
+    rows = zeek.scan(t.spark, root, LOG, markers=("-",))
+    counts = rows.agg(*[F.count(f).alias(f) for f in FIELDS])
+    long = counts.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("values")) for f in FIELDS])))
+    return zeek.header_catalogue(t.spark, root, [LOG]).join(F.broadcast(long), "field")  # one row per field
 
 
 @query("src4_typed_scan", f"""SELECT ts, uid, proto, CASE WHEN service <> '-' THEN service END AS service, duration, CAST(orig_bytes AS BIGINT) AS orig_bytes,
@@ -119,18 +124,18 @@ def _(t):
     return final.groupBy(F.col("batch").cast("string").alias("batch")).agg(F.count("*").alias("hashes"))
 
 
-@query("id1_file_order_ids", f"""SELECT count(*) AS records, count(*) AS distinct_ids, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id, true AS in_file_order
-FROM flow_v WHERE {BINARY}""")
+@query("id1_file_order_ids", f"""SELECT capture_date, count(*) AS records, CAST(sum(count(*)) OVER (ORDER BY capture_date) - count(*) AS BIGINT) AS first_id, CAST(0 AS BIGINT) AS out_of_order FROM (
+SELECT CAST(capture_date AS VARCHAR) AS capture_date FROM flow_v WHERE {BINARY}) d GROUP BY capture_date"""
+)
 def _(t):
     rows = zeek.scan(t.spark, write_day_folders(t), LOG, columns=["uid", "label"], keep_order=True)
     numbered = identity.row_ids_by_file_order(binary_rows(rows, "label"))
-    # inside a file the uid's number rises line by line
+    # inside a file the uid's number rises line by line, and files stand in the order of their paths
     place = to_number(F.substring("uid", 2, 20))
-    per_file = numbered.groupBy("source_file").agg(
-        F.count("*").alias("n"), F.min("flow_row_id").alias("low"), F.max("flow_row_id").alias("high"),
-        F.count_distinct("flow_row_id").alias("ids"), F.corr(place, F.col("flow_row_id").cast("double")).alias("trend"),
-    )
-    return per_file.agg(
-        F.sum("n").alias("records"), F.sum("ids").alias("distinct_ids"), F.min("low").alias("first_id"), F.max("high").alias("last_id"),
-        F.bool_and((F.col("high") - F.col("low") + 1 == F.col("n")) & ((F.col("n") < 3) | (F.col("trend") > 0))).alias("in_file_order"),
-    )
+    line = F.row_number().over(Window.partitionBy("source_file").orderBy(place))
+    first = F.min("flow_row_id").over(Window.partitionBy("source_file"))
+    checked = numbered.withColumn("wrong", (F.col("flow_row_id") != first + line - 1).cast("bigint"))
+    per_file = checked.groupBy("capture_date", "source_file").agg(F.count("*").alias("n"), F.min("flow_row_id").alias("low"), F.sum("wrong").alias("wrong"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per file
+    per_file = per_file.withColumn("wrong", F.col("wrong") + (F.col("low") != before).cast("bigint"))
+    return per_file.groupBy("capture_date").agg(F.sum("n").alias("records"), F.min("low").alias("first_id"), F.sum("wrong").alias("out_of_order"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -32,14 +32,3 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor does not lose the rows."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
-def broadcast_when_small(frame: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Broadcast hint only after counting at most ``rows`` + 1 rows; a larger table is left to a shuffle join."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
