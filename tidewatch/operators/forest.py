@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators.prep import category_codes, medians
 from tidewatch.roles import Roles
+from tidewatch.sources.tables import stored
 
 GROUP = "_model"
 ALL = "all"
@@ -220,7 +221,7 @@ def _arrays(nodes) -> dict:
 
 
 def fit_forest(train: DataFrame, roles: Roles, trees: int = 200, sample: int = 256, seed: int = 42, group: str | None = None) -> ForestModel:
-    """One forest per group value; medians are fitted on the group's own rows. The node table is kept in memory and on disk."""
+    """One forest per group value; medians are fitted on the group's own rows. The node table is stored in the shared folder."""
     keyed = with_group(train, group).select(GROUP, roles.row_id, *roles.features)
     sizes = {r[GROUP]: r["n"] for r in keyed.groupBy(GROUP).agg(F.count("*").alias("n")).collect()}  # one row per model
     if not sizes:
@@ -236,7 +237,7 @@ def fit_forest(train: DataFrame, roles: Roles, trees: int = 200, sample: int = 2
     codes = [f"code_{c}" for c in roles.categorical]
     ready = with_fills(keyed, fills, sorted(sizes), names).select(GROUP, roles.row_id, *names, *category_codes(roles.categorical))
     drawn = tree_samples(ready, roles.row_id, sizes, trees, sample, seed)
-    nodes = drawn.groupBy(GROUP, "tree").applyInPandas(_grower(names, codes, seed), NODES).persist()
+    nodes = stored(drawn.groupBy(GROUP, "tree").applyInPandas(_grower(names, codes, seed), NODES), "forest")
     return ForestModel(roles, fills, nodes, sorted(sizes))
 
 

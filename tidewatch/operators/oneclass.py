@@ -5,6 +5,9 @@ Random Fourier features (Rahimi and Recht 2007) turn the kernel into a D-vector;
 subgradient steps. A step is one pass of partial sums over the rows (D numbers per task and model), so no row is
 ever moved or collected. Results approximate an exact solver; thresholds are calibrated afterwards in any case.
 ``group`` trains one model per value of a column with few values (folds) in the same passes.
+
+A category's random vector is made where it is needed, from (seed, column, code): no vocabulary is collected or sent. Which categories a
+model has seen is a table; scoring joins it, so that an unseen category counts as all zeros.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import types as T
 from tidewatch.operators.forest import GROUP, with_fills, with_group
 from tidewatch.operators.prep import category_codes, medians, scaling
 from tidewatch.roles import Roles
+from tidewatch.sources.tables import stored
 
 BINS = 2048
 
@@ -28,7 +32,8 @@ BINS = 2048
 class OneClassModel:
     roles: Roles
     fills: dict[str, dict[str, float]]
-    state: dict  # arrays shared by all models, and per model: scaling, vocabulary, gamma, w, rho
+    state: dict  # arrays shared by all models, and per model: scaling, gamma, w, rho
+    seen: list[DataFrame]  # per categorical column: (model, code) of the rows fitted on
 
     def score(self, frame: DataFrame, group: str | None = None, output: str = "score") -> DataFrame:
         """Adds rho - w.phi(x): positive lies outside the learned region."""
@@ -36,24 +41,40 @@ class OneClassModel:
         udf = F.pandas_udf(_scorer(shared, len(self.roles.numeric)), T.DoubleType())
         numbers = [f"_num_{i}" for i in range(len(self.roles.numeric))]
         rows = with_fills(with_group(frame, group), self.fills, sorted(self.state["models"]), numbers)
-        inputs = [F.col(GROUP), *[F.col(n) for n in numbers], *category_codes(self.roles.categorical)]
-        return rows.withColumn(output, udf(*inputs)).drop(GROUP, *numbers)
+        codes, flags = [f"_code_{j}" for j in range(len(self.seen))], [f"_known_{j}" for j in range(len(self.seen))]
+        rows = rows.withColumns({c: code for c, code in zip(codes, category_codes(self.roles.categorical))})
+        for j, seen in enumerate(self.seen):  # small vocabularies are broadcast by Spark's own limit, large ones shuffled
+            rows = rows.join(seen.select(GROUP, F.col("code").alias(codes[j]), F.lit(True).alias(flags[j])), [GROUP, codes[j]], "left")
+        known = [F.coalesce(F.col(f), F.lit(False)) for f in flags]
+        inputs = [F.col(GROUP), *[F.col(n) for n in numbers], *[F.when(k, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c, k in zip(codes, known)], *[k.cast("bigint") for k in known]]
+        return rows.withColumn(output, udf(*inputs)).select(*frame.columns, output)
 
 
 def _features():
     """The feature map of one model's rows (runs inside tasks)."""
 
+    vectors = {}  # of this task
+
+    def vector(state, j, code):
+        import numpy as np
+
+        if (j, code) not in vectors:
+            if len(vectors) >= 20_000:
+                vectors.clear()
+            vectors[j, code] = np.random.default_rng([state["seed"], j, code & (2**63 - 1)]).standard_normal(len(state["phase"]))
+        return vectors[j, code]
+
     def phi(state, model, values, kinds):
         import numpy as np
 
         m = state["models"][model]
         scaled = (values - m["mean"]) / m["deviation"]
         projected = scaled @ state["numeric"]
-        for j, words in enumerate(state["words"]):
-            place = np.searchsorted(words, kinds[:, j])
-            place = np.minimum(place, len(words) - 1)
-            known = (words[place] == kinds[:, j]) & m["known"][j][place]  # unseen category: all zeros
-            projected += np.where(known[:, None], state["vectors"][j][place], 0.0)
+        for j in range(state["categories"]):
+            known = kinds[:, state["categories"] + j] if kinds.shape[1] > state["categories"] else np.ones(len(kinds), "int64")
+            codes, place = np.unique(kinds[:, j], return_inverse=True)
+            made = np.stack([vector(state, j, int(c)) for c in codes]) if len(codes) else np.zeros((0, len(state["phase"])))
+            projected += made[place] * known[:, None]  # unseen category: all zeros
         return np.cos(np.sqrt(2.0 * m["gamma"]) * projected + state["phase"]) * np.sqrt(2.0 / len(state["phase"]))
 
     return phi
@@ -137,8 +158,9 @@ def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions:
     for r in medians(keyed, roles.numeric, [GROUP]).collect():
         fills[r["feature"]][r[GROUP]] = r["median"] or 0.0
     numbers = [f"num_{i}" for i in range(len(roles.numeric))]
-    rows = with_fills(keyed, fills, models, numbers).select(GROUP, *numbers, *category_codes(roles.categorical)).persist()
-    state = _initial_state(rows, models, numbers, [f"code_{c}" for c in roles.categorical], dimensions, seed)
+    rows = stored(with_fills(keyed, fills, models, numbers).select(GROUP, *numbers, *category_codes(roles.categorical)), "one-class")
+    seen = [stored(rows.select(GROUP, F.col(f"code_{c}").alias("code")).distinct(), "seen") for c in roles.categorical]
+    state = _initial_state(rows, seen, models, numbers, dimensions, seed)
     first = _pass(rows, state, len(numbers), "mean")
     counts = {}
     for name, total in first.items():
@@ -156,8 +178,7 @@ def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions:
             m = state["models"][name]
             gradient = m["w"] - total[:-1] / (nu * counts[name])
             _set_direction(m, m["w"] - gradient / (step + 2.0))
-    rows.unpersist()
-    return OneClassModel(roles, fills, state)
+    return OneClassModel(roles, fills, state, seen)
 
 
 def _set_direction(model: dict, w: np.ndarray) -> None:
@@ -165,35 +186,28 @@ def _set_direction(model: dict, w: np.ndarray) -> None:
     model["reach"] = max(float(np.linalg.norm(w)) * np.sqrt(2.0), 1e-9)  # |phi| <= sqrt(2)
 
 
-def _initial_state(rows: DataFrame, models: list[str], numbers: Sequence[str], codes: Sequence[str], dimensions: int, seed: int) -> dict:
-    """Scaling and vocabulary per model, the shared random projection, and gamma = 1 / (d Var(X)) of the encoded matrix."""
+def _initial_state(rows: DataFrame, seen: Sequence[DataFrame], models: list[str], numbers: Sequence[str], dimensions: int, seed: int) -> dict:
+    """Scaling per model, the shared random projection, and gamma = 1 / (d Var(X)) of the encoded matrix."""
     moments = {m: {n: (0.0, 1.0) for n in numbers} for m in models}
     live = {m: 0 for m in models}
     for r in scaling(rows, numbers, [GROUP]).collect():
         moments[r[GROUP]][r["feature"]] = (r["mean"] or 0.0, r["deviation"] or 1.0)
         live[r[GROUP]] += bool(r["deviation"])
-    pairs = rows.select(GROUP, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("place"), F.col(c).alias("code")) for i, c in enumerate(codes)
-    ]))).distinct().collect() if codes else []  # the one-hot vocabulary
-    seen: dict[tuple[str, int], set[int]] = {}
-    for r in pairs:
-        seen.setdefault((r[GROUP], r["place"]), set()).add(r["code"])
-    words = [np.array(sorted(set().union(*[seen.get((m, j), set()) for m in models])), dtype="int64") for j in range(len(codes))]
-    vectors = [
-        np.stack([np.random.default_rng([seed, j, int(w) & (2**63 - 1)]).standard_normal(dimensions) for w in ws]) for j, ws in enumerate(words)
-    ]
+    words = {m: 0 for m in models}  # sizes of the one-hot vocabularies
+    for table in seen:
+        for r in table.groupBy(GROUP).agg(F.count("*").alias("n")).collect():  # one row per model
+            words[r[GROUP]] += r["n"]
     rng = np.random.default_rng(seed)
     state: dict = {
         "numeric": rng.standard_normal((len(numbers), dimensions)), "phase": rng.uniform(0, 2 * np.pi, dimensions),
-        "words": words, "vectors": vectors, "models": {},
+        "seed": seed, "categories": len(seen), "models": {},
     }
     for m in models:
-        known = [np.isin(ws, np.array(sorted(seen.get((m, j), set())), dtype="int64")) for j, ws in enumerate(words)]
-        width = len(numbers) + sum(int(k.sum()) for k in known)
+        width = len(numbers) + words[m]
         # scaled columns have mean 0 and mean square 1 (or 0 when constant); a row has one 1 per categorical column
-        variance = (live[m] + len(codes)) / width - (len(codes) / width) ** 2
+        variance = (live[m] + len(seen)) / width - (len(seen) / width) ** 2
         state["models"][m] = {
             "mean": np.array([moments[m][n][0] for n in numbers]), "deviation": np.array([moments[m][n][1] for n in numbers]),
-            "known": known, "gamma": 1.0 / (width * variance) if variance > 0 else 1.0, "rho": 0.0, "w": None, "reach": 1.0,
+            "gamma": 1.0 / (width * variance) if variance > 0 else 1.0, "rho": 0.0, "w": None, "reach": 1.0,
         }
     return state

@@ -18,17 +18,13 @@ from tidewatch.operators.ordering import quantiles
 from tidewatch.operators.profile import union_all
 from tidewatch.operators.tree import TreeModel
 from tidewatch.roles import Roles
-from tidewatch.session import scratch_path
-from tidewatch.sources.tables import read_table, write_table
+from tidewatch.sources.tables import stored
 
 # a fit function takes (rows, roles, group column or None) and returns a model with .score(frame, group)
 Fit = Callable[[DataFrame, Roles, str | None], object]
 
 
-def keep(frame: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a lost executor costs no rescoring."""
-    spark = frame.sparkSession
-    return read_table(spark, write_table(frame, scratch_path(spark, name)), schema=frame.schema)
+keep = stored
 
 
 def prediction_table(scored: DataFrame, roles: Roles, threshold: float | None = None, probability: bool = False) -> DataFrame:

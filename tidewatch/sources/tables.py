@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import scratch_path
+
 
 def write_table(frame: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = (),
                 mode: str = "errorifexists", dotted: bool = False) -> str:
@@ -35,6 +37,12 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", schema=N
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: a lost executor costs no recomputation."""
+    spark = frame.sparkSession
+    return read_table(spark, write_table(frame, scratch_path(spark, name)), schema=frame.schema)
+
+
 def append_lookups(results: DataFrame, path: str, batch: str) -> str:
     """Append one batch of lookup results as its own partition; a repeated batch replaces itself."""
     (results.withColumn("batch", F.lit(batch)).write.mode("overwrite")
