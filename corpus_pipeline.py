@@ -21,7 +21,7 @@ from tidewatch.llm.op6_mixing import mix_sources
 from tidewatch.llm.op8_suffix import remove_repeats
 
 WORDS, PERCENT = 5, 80
-LEAST_SCORE = 0.05  # of the language decision
+LEAST_SCORE, LEAST_CHARS = 0.05, 50  # of the language decision, for texts long enough to tell
 ORACLE_SQL = None
 
 
@@ -37,10 +37,10 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the languages of the labelled ones go: no letters, or hardly an n-gram of any language."""
+    """Documents in none of the languages of the labelled ones go: no letters, or a longer text with hardly an n-gram of any language."""
     given = docs.columns
     docs, names = _aside(docs, "lang_pred", "score")
-    told = predict(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    told = predict(docs, learn(docs)).where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.char_length("text") < LEAST_CHARS)))
     return told.drop("lang_pred", "score").withColumnsRenamed(names).select(given)
 
 
