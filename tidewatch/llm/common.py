@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import scratch_path
 
-PIECE = 1 << 20  # bytes of text that one numpy pass holds; longer texts go alone
+PIECE = 1 << 19  # bytes of text that one numpy pass holds; longer texts go alone
+BATCH_ROWS = 1024  # rows of text in an Arrow batch; the default of 10,000 long texts fills the memory beside the heap
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -23,13 +24,22 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most BATCH_ROWS rows, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keep(frame: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors, and nothing above is computed twice."""
     spark = frame.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

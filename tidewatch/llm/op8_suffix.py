@@ -34,9 +34,9 @@ from tidewatch.llm.common import flat, keep, maybe_in, pieces, prefix_hash, span
 
 SPAN, KMER, STEP = 200, 32, 40
 WIDE = 2048
-SHARD = 1 << 18  # bytes of a shard
-SET = 1 << 22  # bytes of segments merged at a time, cut between anchors only
-CHUNK = 1 << 22
+SHARD = 1 << 17  # bytes of a shard
+SET = 1 << 20  # bytes of segments merged at a time, cut between anchors only
+CHUNK = 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, ...]:
