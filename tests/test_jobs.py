@@ -68,3 +68,38 @@ def test_enrichment(spark, root, tmp_path):
     assert coverage == {"malicious": flows.where("label_clean = 'malicious'").count(), "benign": 0, "unknown": 0}
     assert flows.where("cti_match = 1").agg(F.min("cti_age_days")).first()[0] == pytest.approx(50.0, abs=0.01)
     assert {r["ip_type"] for r in spark.read.parquet(f"{tmp_path}/ip_types").collect()} == {"Public", "Private"}
+    assert {r["source"]: r["found"] for r in spark.read.parquet(f"{tmp_path}/host_logs").collect()} == {"dns": True, "http": False, "ssl": False}
+    assert spark.read.parquet(f"{tmp_path}/public_responders").count() > 0
+
+
+def test_exploration(spark, root, tmp_path):
+    jobs.explore(spark, root, str(tmp_path))
+    daily = {r["date"]: r["total"] for r in spark.read.parquet(f"{tmp_path}/daily_labels").collect()}
+    assert daily == {**{d: 200 for d in DAYS}, "TOTAL": 600}
+    families = spark.read.parquet(f"{tmp_path}/families").collect()
+    assert {r["RemcosRAT"] for r in families} == {r["total_malicious"] for r in families} and len(families) == 3
+    assert spark.read.parquet(f"{tmp_path}/representative").groupBy("capture_date", "label_clean").count().where("count > 200").isEmpty()
+
+
+def test_hash_lookups_resume(spark, tmp_path):
+    hashes = ["a" * 40, "b" * 40, "c" * 40]
+    write_log(tmp_path / "logs", DAYS[0], [[h, "m" * 32, "C1", "T"] for h in hashes] + [["-", "-", "C2", "F"]], ["sha1", "md5", "conn_uids", "timedout"], ["string", "string", "string", "bool"], "files.log.labeled")
+    feed = spark.createDataFrame([(hashes[0].upper(), "ok", "Fam"), (hashes[1], "HTTP_502", None)], "sha1 string, query_status string, signature string")
+    out = str(tmp_path / "out")
+    first = jobs.hash_intelligence(spark, str(tmp_path / "logs"), feed, out)
+    assert {r["sha1"] for r in spark.read.parquet(first["pending"]).collect()} == set(hashes[1:])
+    feed = spark.createDataFrame([(h, "hash_not_found", None) for h in hashes], "sha1 string, query_status string, signature string")
+    again = jobs.hash_intelligence(spark, str(tmp_path / "logs"), feed, out, "retry")
+    assert spark.read.parquet(again["pending"]).isEmpty()
+    # the hash with a final answer was not asked for again
+    assert {(r["sha1"], r["query_status"]) for r in spark.read.parquet(again["lookups"]).where("batch = 'retry'").collect()} == {(h, "hash_not_found") for h in hashes[1:]}
+
+
+def test_detector_study(spark, root, tmp_path):
+    jobs.prepare(spark, root, f"{tmp_path}/prepared")
+    jobs.detector_study(spark, f"{tmp_path}/prepared", f"{tmp_path}/study", DAYS[:2], DAYS[2:], trees=20)
+    compared = {r["model"]: r for r in spark.read.parquet(f"{tmp_path}/study/common_test").collect()}
+    assert len(compared) == 3 and compared["Decision Tree"]["f1_score"] == 1.0
+    assert {r["variant"] for r in spark.read.parquet(f"{tmp_path}/study/ablation").collect()} == {"all features", "without history"}
+    assert {str(r["test_date"]) for r in spark.read.parquet(f"{tmp_path}/study/rolling_forest_daily").collect()} == set(DAYS[1:])
+    assert spark.read.parquet(f"{tmp_path}/study/family_recall").first()["macro_recall"] == 1.0

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.cleaning import UNSET, UNSET_OR_EMPTY, tidy_label
-from tidewatch.operators import cleaning, evaluation, features, forest, identity, intel, profile, rolling, splits, tree
+from tidewatch.operators import cleaning, evaluation, features, forest, identity, intel, oneclass, profile, rolling, splits, tree
 from tidewatch.roles import CLASS_CODES, CONNECTION_LOG, Roles
 from tidewatch.session import prepare_session
 from tidewatch.sources import zeek
-from tidewatch.sources.tables import write_table
+from tidewatch.sources.tables import append_lookups, write_table
 
 CONNECTIONS = "conn.log.labeled"
 # Logs with host names and the column that holds them.
@@ -44,6 +44,7 @@ def prepare(spark: SparkSession, root: str, out: str, roles: Roles = CONNECTION_
         "missing": write_table(profile.missing_by_label_and_state(checked, MISSING_CHECKED, roles.target, "conn_state"), f"{out}/missing_by_label_and_state"),
         "per_date": write_table(profile.samples_per_date(text, roles.date, roles.target), f"{out}/samples_per_date"),
         "held_out": write_table(cleaning.held_out_count(text, roles.target), f"{out}/held_out"),
+        "excluded_columns": write_table(cleaning.excluded_report(text, roles.excluded), f"{out}/excluded_columns"),
         "modelling": write_table(cleaning.modelling_table(base, roles), f"{out}/modelling"),
         "metadata": write_table(cleaning.metadata_table(base, roles), f"{out}/metadata"),
     }
@@ -95,7 +96,7 @@ def train_tree(spark: SparkSession, prepared: str, out: str, train_days: Sequenc
         "predictions": rolling.prediction_table(scored, roles, probability=True),
         "confusion": evaluation.confusion_table(evaluation.confusion(scored)), "roc": evaluation.roc_points(scored),
         "report": evaluation.class_report(evaluation.confusion(scored)), "daily": evaluation.daily_metrics(scored, days, roles.date),
-        "importances": importances, "importance_by_column": tree.importance_by_column(importances),
+        "importances": importances, "top_importances": tree.top_importances(importances), "importance_by_column": tree.importance_by_column(importances),
     }
     return {name: write_table(table, f"{out}/{name}") for name, table in tables.items()}
 
@@ -109,8 +110,10 @@ def train_forest(spark: SparkSession, prepared: str, out: str, train_days: Seque
     result = rolling.calibrated_detector(
         fit_rows, calibration, test, approved, lambda rows, r, group: forest.fit_forest(rows, r, group=group))
     scored = result["scores"].withColumn("part", F.concat_ws(" ", "part", F.col("actual").cast("string")))
+    # the automatic threshold next to the calibrated one
+    baseline = profile.union_all([rolling.as_model(result["test"], "automatic threshold", "automatic"), rolling.as_model(result["test"], "calibrated threshold")])
     tables = {
-        "metrics": rolling.detector_report(result, fit_rows.count(), train, roles.target),
+        "metrics": rolling.detector_report(result, fit_rows.count(), train, roles.target), "baseline_and_calibrated": evaluation.model_comparison(baseline),
         "predictions": rolling.prediction_table(result["test"], roles, result["threshold"]),
         "report": evaluation.class_report(evaluation.confusion(result["test"])),
         "diagnostics": evaluation.score_diagnostics(scored, "part", "score", result["threshold"]),
@@ -133,7 +136,8 @@ def enrich(spark: SparkSession, root: str, domain_feed: DataFrame, out: str, sta
             logs[source] = (zeek.scan(spark, root, log, columns=["uid", column]), column)
         except FileNotFoundError:
             continue
-    hosts = intel.host_observations(logs)
+    flows = rolling.keep(flows, "flows")
+    hosts = rolling.keep(intel.host_observations(logs), "hosts") if logs else spark.createDataFrame([], "uid string, source string, indicator string")
     classified = intel.classify_domains(intel.domain_candidates(hosts))
     verdicts = intel.enrich_domains(intel.public_domains(classified), domain_feed)
     matches = intel.matched_domains(verdicts, start, end)
@@ -145,5 +149,92 @@ def enrich(spark: SparkSession, root: str, domain_feed: DataFrame, out: str, sta
         "verdicts": verdicts, "timing": intel.timing_counts(matches), "historical_coverage": intel.historical_coverage(seen, flows, hosts),
         "flows": enriched, "coverage_by_label": intel.coverage_by_label(enriched, "label_clean"), "ip_types": intel.ip_type_counts(roles),
         "ip_candidates": intel.public_ip_candidates(roles), "public_ip_coverage": intel.public_ip_coverage(flows, "label_clean", "id_orig_h", "id_resp_h"),
+        "public_responders": intel.public_responder_summary(flows, "label_clean", "id_resp_h"), "shared_public_ips": intel.shared_public_ips(flows, "label_clean", "id_resp_h"),
+        "host_logs": spark.createDataFrame([(s, log, s in logs) for s, (log, _) in HOST_LOGS.items()], "source string, log string, found boolean"),
     }
     return {name: write_table(table, f"{out}/{name}") for name, table in tables.items()}
+
+
+# Columns of the file log that the hash tables need, and the file families of the attack table.
+FILE_LOG = "files.log.labeled"
+FILE_COLUMNS = {"conn_uids": "string", "filename": "string", "md5": "string", "sha1": "string", "sha256": "string", "seen_bytes": "long", "total_bytes": "long",
+                "missing_bytes": "long", "overflow_bytes": "long", "timedout": "string"}
+FAMILIES = ("RemcosRAT", "PyExfil")
+AUDITED = ("service", "duration", "orig_bytes", "resp_bytes", "history")
+
+
+def explore(spark: SparkSession, root: str, out: str, roles: Roles = CONNECTION_LOG) -> dict[str, str]:
+    """Exploration tables over all days: labels and details per day, attack families, column audit, missing shares, representative rows."""
+    prepare_session(spark)
+    scanned = zeek.scan(spark, root, CONNECTIONS, markers=UNSET_OR_EMPTY, keep_order=True)
+    rows = rolling.keep(identity.row_ids_by_file_order(cleaning.with_clean_label(scanned, roles.target), roles.row_id), "explored")
+    labels = ["benign", "malicious", "unknown"]
+    details = rolling.keep(profile.daily_detail_counts(rows, roles.date, "label_clean", "detailedlabel"), "details")
+    audited = [c for c in AUDITED if c in rows.columns]
+    by_label = rolling.keep(profile.missing_percent_by_label(rows, audited, "label_clean"), "missing")
+    tables = {
+        "daily_labels": profile.daily_label_summary(rows, roles.date, roles.target), "daily_details": details, "attacks": profile.attack_summary(details),
+        "families": profile.attack_families(profile.attack_summary(details), FAMILIES),
+        "column_audit": profile.column_audit(rows, dict(rows.dtypes)), "missing_by_label": by_label, "missing_by_feature": profile.missing_percent_by_feature(by_label, audited, labels),
+        "date_by_label": profile.date_label_crosstab(rows, roles.date, "label_clean", labels),
+        "representative": splits.representative_sample(rows, roles.date, "label_clean", "detailedlabel", roles.row_id),
+    }
+    return {name: write_table(table, f"{out}/{name}") for name, table in tables.items()}
+
+
+def hash_intelligence(spark: SparkSession, root: str, hash_feed: DataFrame, out: str, batch: str = "first") -> dict[str, str]:
+    """File-hash tables, and verdicts for the candidates that have no final answer yet in ``out``/lookups.
+
+    A stopped or partly failed lookup is resumed by calling again with another ``batch``: only pending hashes are asked for.
+    """
+    prepare_session(spark)
+    scanned = zeek.scan(spark, root, FILE_LOG, markers=UNSET_OR_EMPTY)
+    text = [F.col(c).try_cast(kind).alias(c) if c in scanned.columns else F.lit(None).cast(kind).alias(c) for c, kind in FILE_COLUMNS.items()]
+    files = rolling.keep(scanned.select("capture_date", *text), "files")
+    candidates = rolling.keep(intel.hash_candidates(files), "hashes")
+    lookups = f"{out}/lookups"
+    # the folder may not be there yet; a missing earlier batch means that everything is pending
+    folder = spark._jvm.org.apache.hadoop.fs.Path(lookups)
+    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    pending = intel.pending_lookups(candidates, spark.read.parquet(lookups), "sha1") if known else candidates
+    append_lookups(rolling.keep(intel.enrich_hashes(pending, hash_feed), "verdicts"), lookups, batch)
+    verdicts = spark.read.parquet(lookups)
+    tables = {
+        "availability": intel.hash_availability(files), "linkage": intel.hash_linkage(files), "candidates": candidates, "quality": intel.hash_quality(files),
+        "status": intel.status_distribution(verdicts.drop("batch")), "pending": intel.pending_lookups(candidates, verdicts, "sha1"),
+    }
+    return {"lookups": lookups} | {name: write_table(table, f"{out}/{batch}/{name}") for name, table in tables.items()}
+
+
+def detector_study(spark: SparkSession, prepared: str, out: str, train_days: Sequence[str], test_days: Sequence[str], judged: str | None = None,
+                   roles: Roles = CONNECTION_LOG, trees: int = 200) -> dict[str, str]:
+    """All detectors side by side: history crosstab, ablation, frozen tree per day, rolling refit, common test days, recall per family."""
+    approved = features.approved_roles(spark.read.parquet(f"{judged}/recommendations") if judged else None, roles)
+    time = F.expr("timestamp_micros(cast(try_cast(ts AS decimal(20,6)) * 1000000 AS bigint))").alias("ts")
+    extra = spark.read.parquet(f"{prepared}/metadata").select(roles.row_id, time, "detailedlabel")
+    every = rolling.keep(dated_rows(spark, prepared, roles).join(extra, roles.row_id), "dated")
+    splits.check_chronological_split(every, train_days, test_days, roles)
+    train, test = splits.dates_in(every, roles.date, train_days), splits.dates_in(every, roles.date, test_days)
+
+    def grown(rows: DataFrame, chosen: Roles, group: str | None):
+        return forest.fit_forest(rows, chosen, trees=trees, group=group)
+
+    def one_class(rows: DataFrame, chosen: Roles, group: str | None):
+        return oneclass.fit_one_class(rows, chosen, group=group)
+
+    model = tree.fit_tree(train, approved)
+    frozen = rolling.frozen_model_daily(model, test)
+    benign = rolling.keep(splits.random_split(splits.benign_only(train, roles.target), roles.row_id, 0.2), "benign")
+    fit_rows, calibration = benign.where("split = 'training'").drop("split"), benign.where("split = 'testing'").drop("split")
+    compared = [rolling.as_model(frozen["predictions"], "Decision Tree")]
+    tables = {"frozen_daily": frozen["daily"], "frozen_overall": frozen["overall"]}
+    for name, short, fit in (("Isolation Forest - 1% calibrated", "forest", grown), ("One-Class SVM - 1% calibrated", "one_class", one_class)):
+        compared.append(rolling.as_model(rolling.calibrated_detector(fit_rows, calibration, test, approved, fit)["test"], name))
+        rolled = rolling.rolling_evaluation(every, approved, "ts", fit)
+        tables |= {f"rolling_{short}_daily": rolled["daily"], f"rolling_{short}_overall": rolled["overall"]}
+    variants = {"all features": approved} | ({"without history": approved.without("history")} if "history" in approved.categorical else {})
+    tables |= {"common_test": rolling.common_test_comparison(compared), "ablation": tree.ablation(train, test, variants)}
+    per_day = rolling.keep(evaluation.family_performance(frozen["predictions"].where("actual = 1"), "detailedlabel"), "families")
+    overall = evaluation.family_overall(per_day)
+    tables |= {"family_daily": per_day, "family_overall": overall, "family_recall": evaluation.family_recall(overall)}
+    return {name: write_table(table, f"{out}/{name}") for name, table in tables.items()}
