@@ -32,15 +32,16 @@ def numeric_statistics(frame: DataFrame, columns: Sequence[str], target: str) ->
     y = F.col(target)
     counted = value_counts(frame, columns, {k: _in_class(k, y).cast("int") for k in CLASSES})
     quartiles = quantiles_of(counted, list(CLASSES), [0.25, 0.5, 0.75])
-    long = frame.select(y.alias("_y"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
-    ])))
-    moments = []
+    # one wide aggregation, no row is multiplied; one row per feature afterwards
+    slim = frame.select(y.alias("_y"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    facts: dict[str, str] = {"missing": "count_if({v} IS NULL)"}
     for name, code in CLASSES.items():
-        value = "value" if code is None else f"CASE WHEN _y = {code} THEN value END"
-        moments += [F.expr(f"{f}({value}) AS {name}_{n}") for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))]
-    sizes = [F.count("*").alias("records"), F.count_if(F.col("value").isNull()).alias("missing")]
-    plain = long.groupBy("feature").agg(*sizes, *moments)
+        value = "{v}" if code is None else f"CASE WHEN _y = {code} THEN {{v}} END"
+        facts |= {f"{name}_{n}": f"{f}({value})" for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))}
+    wide = slim.agg(F.count("*").alias("records"), *[F.expr(f"{e.format(v=f'_v{i}')} AS _{i}_{n}") for i in range(len(columns)) for n, e in facts.items()])
+    plain = wide.select("records", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{n}").alias(n) for n in facts]) for i, c in enumerate(columns)
+    ]))).select("feature", "records", *facts)
     # one row per feature on both sides
     return plain.join(F.broadcast(quartiles), "feature", "left").withColumns({
         "unique_non_null": F.coalesce("distinct_values", F.lit(0)),

@@ -78,11 +78,13 @@ def profile_report(frame: DataFrame, ts: str, label: str, detail: str) -> DataFr
     copies = duplicate_rows(frame).select(
         F.lit("dataset").alias("section"), F.lit("duplicate_rows").alias("item"), text(F.col("duplicate_rows")).alias("value")
     )
-    parts = [summary, copies]
-    for section, column in (("label_distribution", label), ("detailed_label_distribution", detail)):
-        counts = frame.groupBy(F.coalesce(F.col(column), F.lit(MISSING)).alias("item")).agg(F.count("*").alias("n"))
-        parts.append(counts.select(F.lit(section).alias("section"), "item", text(F.col("n")).alias("value")))
-    return union_all(parts)
+    # both distributions from one scan
+    pairs = frame.select(F.inline(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.coalesce(F.col(column), F.lit(MISSING)).alias("item"))
+        for section, column in (("label_distribution", label), ("detailed_label_distribution", detail))
+    ])))
+    counts = pairs.groupBy("section", "item").agg(F.count("*").alias("n")).select("section", "item", text(F.col("n")).alias("value"))
+    return union_all([summary, copies, counts])
 
 
 def missing_by_label_and_state(frame: DataFrame, columns: Sequence[str], label: str, state: str) -> DataFrame:

@@ -23,7 +23,7 @@ MISSING_CHECKED = ("duration", "orig_bytes", "resp_bytes")
 def profile_connections(spark: SparkSession, root: str) -> DataFrame:
     """The long profile report of all days, on typed columns; only ``-`` is missing."""
     prepare_session(spark)
-    rows = zeek.scan(spark, root, CONNECTIONS, markers=UNSET, typed=True)
+    rows = rolling.keep(zeek.scan(spark, root, CONNECTIONS, markers=UNSET, typed=True), "typed")  # the text is parsed once
     profile.check_time_range(rows, "ts")
     return profile.profile_report(rows, "ts", "label", "detailedlabel")
 
