@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import scratch_path
 
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fields(fields, added: str) -> T.StructType:
+    """The given fields and those of a schema text: what a pass over Arrow batches returns."""
+    return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
+
+
 def keep(frame: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors, and nothing above is computed twice."""
     spark = frame.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import keep, pieces, prefix_hash, shingles, span_hash, table, word_spans
+from tidewatch.llm.common import keep, pieces, prefix_hash, shingles, span_hash, table, with_fields, word_spans
 
 N = 3
 RARE, KEEP = 1e-3, 8
@@ -177,7 +177,7 @@ def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, block_bytes: i
     given = [c for c in docs.columns if c != "matches"]
     docs = docs.select(*given)
     where = given.index("text")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + f"matches {MATCHES}"
+    schema = with_fields(docs.schema.fields, f"matches {MATCHES}")
     sc = docs.sparkSession.sparkContext
     out, documents = docs.withColumn("matches", F.array().cast(MATCHES)), None
     for ids, texts in _blocks(items, block_bytes):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import held_out, keep, mix, pieces, table
+from tidewatch.llm.common import held_out, keep, mix, pieces, table, with_fields
 
 GRAM = 4
 SLOTS = 1 << 18
@@ -138,8 +138,7 @@ def predict(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
     """Input columns plus lang_pred and score, one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    fields = [f for f in docs.schema.fields if f.name in given]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "lang_pred string, score double"
+    schema = with_fields([f for f in docs.schema.fields if f.name in given], "lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import table, with_fields
 
 PAGES = 2000
 CLEAR = 50
@@ -42,7 +42,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("head title nav footer aside form button fieldset dialog menu header".split()) | RAW
 WORDS = frozenset("""ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dropdown footer
 form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share
-sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget""".split())
+sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget mainmenu topnav sitenav adbox adsense commentlist alert gdpr disclaimer copyright trending recommended""".split())
 CONTENT = frozenset("article content main post entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+)>", re.S)
@@ -212,7 +212,7 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                                  names=[*[f.name for f in given], "text", "n_chars"])
 
-    return pages.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given) + "text string, n_chars long")
+    return pages.mapInArrow(run, with_fields(given, "text string, n_chars long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import held_out, keep, table
+from tidewatch.llm.common import held_out, keep, table, with_fields
 from tidewatch.llm.op2_minhash import sketched
 
 POSITIVES, NEGATIVES = 2000, 4000
@@ -40,6 +40,7 @@ SHORT, LONG = 3, 10
 FUZZY = 5
 WINDOW = 8
 WORD = re.compile(r"\w+")
+FEATURES = ("_plain", "_quoted", "_misspelt", "_misspelt_quoted")
 OPEN, CLOSE = "\"“„«‹‘'", "\"”“»›’'"
 CACHE = 200_000
 UNSEEN = (1.0, 0.25, 0.95, 0.2)  # plain, quoted, misspelt, quoted and misspelt
@@ -253,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = choose_terms([(r["term"], r["p"], r["n"]) for r in found], sizes.get(1, 0), sizes.get(0, 0), tried)
     exact = frozenset(r["term"] for r in sample.where("y = 0").select("text").mapInArrow(_innocent(lexicon), "term string").distinct().collect())
     features = score_rows(sample.select("text", "y"), lexicon, exact).collect()
-    x = np.array([[r["a"], r["b"], r["c"], r["d"]] for r in features]).reshape(-1, 4)
+    x = np.array([[r[n] for n in FEATURES] for r in features]).reshape(-1, 4)
     y = np.array([r["y"] for r in features], dtype=float)
     real = np.where(y == 1, totals[1] / max(y.sum(), 1), totals.get(0, 0) / max((1 - y).sum(), 1))
     return Model(lexicon, exact, _logistic(x, y, real / real.mean()))
@@ -280,7 +281,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def score_rows(frame: DataFrame, lexicon: dict[str, float], exact: frozenset[str]) -> DataFrame:
-    """Columns of ``frame`` except text, plus the four features a, b, c, d."""
+    """Columns of ``frame`` except text, plus the four FEATURES."""
     given = [f for f in frame.schema.fields if f.name != "text"]
     where = frame.columns.index("text")
 
@@ -288,19 +289,19 @@ def score_rows(frame: DataFrame, lexicon: dict[str, float], exact: frozenset[str
         automaton = Automaton(lexicon, exact)
         for batch in batches:
             x = np.array([automaton.features(t) for t in batch.column(where).to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != where], *[pa.array(x[:, i]) for i in range(4)]], names=[*[f.name for f in given], "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != where], *[pa.array(x[:, i]) for i in range(4)]], names=[*[f.name for f in given], *FEATURES])
 
-    return frame.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given) + "a double, b double, c double, d double")
+    return frame.mapInArrow(run, with_fields(given, ", ".join(f"{n} double" for n in FEATURES)))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """Columns of ``docs`` except text, plus score (0 to 1)."""
-    given = [c for c in docs.columns if c not in ("score", "a", "b", "c", "d")]
+    given = [c for c in docs.columns if c not in ("score", *FEATURES)]
     rows = score_rows(docs.select(*given), model.lexicon, model.exact)
     total = F.lit(float(model.weights[0]))
-    for name, weight in zip("abcd", model.weights[1:]):
+    for name, weight in zip(FEATURES, model.weights[1:]):
         total = total + F.col(name) * float(weight)
-    return rows.withColumn("score", 1 / (1 + F.exp(-total))).drop("a", "b", "c", "d")
+    return rows.withColumn("score", 1 / (1 + F.exp(-total))).drop(*FEATURES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, keep, maybe_in, pieces, prefix_hash, span_hash, table
+from tidewatch.llm.common import flat, keep, maybe_in, pieces, prefix_hash, span_hash, table, with_fields
 
 SPAN, KMER, STEP = 200, 32, 40
 WIDE = 2048
@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     joined = docs.where("_near").join(ranges, ["_k1", "_k2"], "left").select(*given, F.coalesce("_r", none).alias("_r"))
     joined = joined.unionByName(docs.where("not _near").select(*given, none.alias("_r")))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields if f.name != "_r") + "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = with_fields([f for f in joined.schema.fields if f.name != "_r"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return joined.mapInArrow(_removed(given, given.index("text")), schema)
 
 
