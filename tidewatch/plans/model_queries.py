@@ -13,6 +13,7 @@ from tidewatch.plans.catalog import query
 from tidewatch.plans.cleaning_queries import BINARY, clean_flows
 from tidewatch.plans.metric_queries import rounded
 from tidewatch.plans.split_queries import in_dates
+from tidewatch.roles import Roles
 
 TRAIN = f"m AS (SELECT *, CASE WHEN service NOT IN ('-', '(empty)') THEN service END AS svc FROM flow_v WHERE {BINARY} AND {in_dates(TRAIN_DATES)})"
 VARIANTS = {"all features": FLOW, "without history": FLOW.without("history")}
@@ -125,6 +126,50 @@ def _(t):
     return model.predict(test).agg(F.count("*").alias("records"), F.count_if(F.col("actual") == 1).alias("malicious"))
 
 
+# A tree of depth 1 over columns with few values has an SQL form: every cut, its Gini gain, the best one, and what it says of the test rows.
+# Its target is resp_bytes >= 40 with every fifth row turned round, because a tree drops cuts whose sides say the same.
+STUMP = Roles(numeric=("resp_bytes", "missed_bytes"), categorical=("proto", "conn_state"), metadata=FLOW.metadata, excluded=FLOW.excluded)
+TURNED = "CAST((resp_bytes >= 40) <> (flow_row_id % 5 = 0) AS INTEGER)"
+BEST_CUT = f"""{TRAIN}, t AS (SELECT resp_bytes AS v, proto, conn_state, {TURNED} AS y FROM m),
+whole AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS p FROM t),
+steps AS (SELECT v, lead(v) OVER (ORDER BY v) AS w, CAST(sum(count(*)) OVER (ORDER BY v) AS DOUBLE) AS nl, CAST(sum(sum(y)) OVER (ORDER BY v) AS DOUBLE) AS pl FROM t GROUP BY v),
+cuts AS (SELECT 'resp_bytes' AS feature, (v + w) / 2e0 AS cut, nl, pl FROM steps WHERE w IS NOT NULL
+  UNION ALL SELECT 'proto_' || proto, 0.5e0, (SELECT n FROM whole) - count(*), (SELECT p FROM whole) - sum(y) FROM t GROUP BY proto
+  UNION ALL SELECT 'conn_state_' || conn_state, 0.5e0, (SELECT n FROM whole) - count(*), (SELECT p FROM whole) - sum(y) FROM t GROUP BY conn_state),
+gains AS (SELECT feature, cut, pl / nl AS low, (p - pl) / (n - nl) AS high,
+  2 * (p / n) * (1 - p / n) - nl / n * 2 * (pl / nl) * (1 - pl / nl) - (n - nl) / n * 2 * ((p - pl) / (n - nl)) * (1 - (p - pl) / (n - nl)) AS gain FROM cuts, whole),
+best AS (SELECT * FROM gains ORDER BY gain DESC LIMIT 1)"""
+
+
+def stump(t) -> tuple[tree.TreeModel, DataFrame]:
+    train, test = (rows.withColumn("label", F.expr(TURNED)) for rows in parts(t))
+    return tree.fit_tree(train, STUMP, max_depth=1), test
+
+
+@query("ml6_stump_shape", f"WITH {BEST_CUT} SELECT CAST(1 AS INTEGER) AS depth, CAST(3 AS INTEGER) AS nodes, feature, round(cut, 6) AS cut, round(low, 6) AS low, round(high, 6) AS high FROM best")
+def _(t):
+    model, test = stump(t)
+    root = model.tree._java_obj.rootNode()
+    feature = model.encoded_names()[root.split().featureIndex()][0]
+    low, high = (side.impurityStats().prob(1.0) for side in (root.leftChild(), root.rightChild()))
+    shape = model.shape()
+    return t.spark.createDataFrame([(shape["depth"], shape["nodes"], feature, round(root.split().threshold(), 6), round(low, 6), round(high, 6))],
+                                   "depth int, nodes int, feature string, cut double, low double, high double")
+
+
+@query("ml7_stump_scores", f"""WITH {BEST_CUT} SELECT flow_row_id, {TURNED} AS actual,
+  round(CASE WHEN CASE WHEN feature = 'resp_bytes' THEN resp_bytes <= cut ELSE feature NOT IN ('proto_' || proto, 'conn_state_' || conn_state) END THEN low ELSE high END, 6) AS score
+FROM flow_v, best WHERE {BINARY} AND {in_dates(TEST_DATES)}""")
+def _(t):
+    model, test = stump(t)
+    return rounded(model.predict(test).select("flow_row_id", "actual", "score"))
+
+
+@query("ml8_stump_importances", f"WITH {BEST_CUT} SELECT DISTINCT g.feature, CASE WHEN g.feature = b.feature THEN 1e0 ELSE 0e0 END AS importance FROM (SELECT feature FROM gains UNION SELECT 'missed_bytes') g, best b")
+def _(t):
+    return rounded(stump(t)[0].importances().select("feature", "importance"))
+
+
 @query("ml8_importances")
 def _(t):
     return tree.top_importances(fitted_tree(t)[0].importances())
