@@ -136,6 +136,17 @@ def test_rolling_evaluation(spark, flows):
     assert result["overall"].first()["recall"] > 0.9
 
 
+def test_rolling_keeps_days_that_cannot_be_calibrated(spark, flows):
+    days = sorted(str(r[0]) for r in flows.select("capture_date").distinct().collect())[:3]
+    first = flows.where((F.col("capture_date") == days[0]) & (F.col("label") == 0)).limit(1)
+    few = first.unionByName(flows.where(F.col("capture_date").isin(days[1:])))
+    result = rolling.rolling_evaluation(few, ROLES, "ts", lambda rows, roles, group: forest.fit_forest(rows, roles, trees=10, group=group))
+    daily = {str(r["test_date"]): r for r in result["daily"].collect()}
+    assert sorted(daily) == days[1:] and daily[days[1]]["threshold"] is None
+    assert daily[days[1]]["benign_test_records"] + daily[days[1]]["malicious_test_records"] == few.where(F.col("capture_date") == days[1]).count()
+    assert daily[days[2]]["threshold"] is not None
+
+
 def test_tree_and_importances(spark, flows):
     model = tree.fit_tree(flows.where("flow_row_id < 1600"), ROLES)
     scored = model.predict(flows.where("flow_row_id >= 1600"))

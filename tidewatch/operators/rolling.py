@@ -87,18 +87,16 @@ def rolling_evaluation(flows: DataFrame, roles: Roles, ts: str, fit: Fit, share:
     limits = quantiles(scored.where(F.col("part") == "calibrate"), ["score"], [share], [fold]).select(
         fold, F.col("all_q0").alias("threshold"), F.col("all_n").alias("calibration_records")
     )
-    tested = scored.where(F.col("part") == "test").join(F.broadcast(limits), fold)  # one row per fold
+    # one row per fold; a fold without calibration rows keeps its test rows, with neither threshold nor prediction
+    tested = scored.where(F.col("part") == "test").join(F.broadcast(limits), fold, "left")
     flagged = tested.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
     counts = ev.confusion(flagged, groups=[fold])
     fitted = rows.where(F.col("part") == "fit").groupBy(fold).agg(F.count("*").alias("fit_records"))
     ranked = ev.ranking_metrics(flagged, groups=[fold]).select(fold, "roc_auc")
     daily = ev.add_rates(counts)
-    for small in (limits, fitted, ranked):  # one row per fold
+    sizes = flagged.groupBy(fold).agg(F.count_if(F.col("actual") == 0).alias("benign_test_records"), F.count_if(F.col("actual") == 1).alias("malicious_test_records"))
+    for small in (limits, fitted, ranked, sizes):  # one row per fold
         daily = daily.join(F.broadcast(small), fold, "left")
-    daily = daily.withColumns({
-        "benign_test_records": F.col("true_negatives") + F.col("false_positives"),
-        "malicious_test_records": F.col("false_negatives") + F.col("true_positives"),
-    })
     return {"daily": daily, "overall": ev.pooled(counts), "predictions": flagged}
 
 
