@@ -10,8 +10,8 @@ than four times as often. Counts are made by Spark; the driver gets the filter o
 
 Text is lower-cased (all of Unicode), everything but letters becomes one space, and n-grams are taken over UTF-8 bytes of whole texts.
 
-Edge cases: null text or text without a letter gives ``und`` and score 0; a text in which nothing is found gets the language with most
-training documents and score 0; ties go to the first language by name; a null language is never learnt; without any training row every
+Edge cases: null text or text without a letter gives ``und`` and score 0; a text in which nothing is found gets the first language by
+name and score 0; ties go to the first language by name; a null language is never learnt; without any training row every
 prediction is ``und``; an empty table gives an empty table; other columns pass through, those named as results are replaced.
 """
 
