@@ -69,6 +69,32 @@ def test_leaks_are_found_and_clean_documents_left(spark, block_bytes):
     assert all(not r["matches"] for r in op1.mark(frame, bench.limit(0)).collect())
 
 
+def test_all_kinds_of_copies_of_a_very_frequent_item_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    item = prose(60, rng).split()
+    edited = list(item)
+    edited[1:28:3] = ["changed"] * 9
+    kinds = {"whole": item, "no beginning": item[10:], "first half": item[:31], "second half": item[29:], "edited": edited,
+             "parted": item[:27] + prose(36, rng).split() + item[33:], "third": item[:20]}
+    docs = [f"{prose(int(rng.integers(5, 40)), rng)} {' '.join(copy)} {prose(9, rng)}" for copy in kinds.values() for _ in range(220)]
+    items = [" ".join(item), prose(40, rng), " ".join(item[40:] + item[:15])]
+
+    def words(text):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        return op1.tokens(raw, np.array([0, len(raw)]))[0]
+
+    scores = np.stack([op1.align([words(i)] * len(docs), [words(d) for d in docs])[0] / (2 * len(i.split())) for i in items], axis=1)
+    wanted = {(d, i): scores[d, i] for d, i in zip(*np.nonzero(scores >= op1.LEAST))}
+    assert {d // 220 for d, i in wanted if i == 0} == set(range(6))
+    frame, bench = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], m["item_id"]): m["score"] for r in op1.mark(frame, bench).collect() for m in r["matches"]} == wanted
+    # places of seeds beyond the bound are dealt by rows, then by items
+    monkeypatch.setattr(op1, "ENTRIES", 40)
+    block, data = op1.Items(items), np.frombuffer("".join(docs).encode(), dtype=np.uint8)
+    found = op1._matches(block, data, np.concatenate([[0], np.cumsum([len(d.encode()) for d in docs])]), op1.LEAST)
+    assert {(r, m[0]): m[1] for r, hits in found.items() for m in hits} == wanted
+
+
 # -- 3
 
 

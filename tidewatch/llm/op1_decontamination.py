@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. Words are runs of letters and digits, lower-cased, so punctuation and case don't hide a copy. The 3-word n-grams of all test items
-   are counted over all training documents (a document counts an n-gram once).
-2. Seeds: of every item the n-grams found in at most RARE of all documents, and always the KEEP rarest that occur, so that an item copied
-   very often keeps its seeds.
+1. Words are runs of letters and digits, lower-cased, so punctuation and case don't hide a copy.
+2. Seeds: all 3-word n-grams of all test items, however often they occur, so that whole copies, parts and edited copies of an item keep
+   their seeds whatever else is copied.
 3. A document that contains a seed of an item is aligned with it around the seeds' diagonals: local alignment with +2 for an equal word,
-   -1 for a changed, missing or extra one. The score is divided by that of a whole unedited copy; matches reach ``least``.
+   -1 for a changed, missing or extra one. The score is divided by that of a whole unedited copy; matches reach ``least``. The window
+   around the diagonals is as wide as the most missing and extra words that leave a score of ``least``; a window that holds too few of the item's words
+   for such a score isn't aligned. So every alignment that reaches ``least`` is found if three words in a row are equal somewhere in it.
 
-Items are handled in blocks of bounded size: one block is sent to all tasks and all documents are read once per block and step, so a
-benchmark of any size works and no item is left out. Documents stay where they are; only n-gram counts are shuffled.
+Items are handled in blocks of bounded size: one block is sent to all tasks and all documents are read once per block, so a
+benchmark of any size works and no item is left out. Documents stay where they are; nothing of them is shuffled.
 
 Edge cases: items or documents that are null or have fewer than three words match nothing; repeated items and rows are each reported;
 ties between windows of one item go to the first; an empty table on either side gives no match; other columns pass through ``mark``.
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import keep, pieces, prefix_hash, shingles, span_hash, table, with_fields, word_spans
+from tidewatch.llm.common import keep, mix, pieces, prefix_hash, shingles, span_hash, table, with_fields, word_spans
 
 N = 3
-RARE, KEEP = 1e-3, 8
 LEAST = 0.5
 MATCH, EDIT = 2, 1
 BLOCK_BYTES = 8 << 20
 BITS = 22
+ENTRIES = 1 << 20  # places of seeds in items that are held together
 TOKEN = np.full(256, 32, dtype=np.uint8)
 TOKEN[48:58], TOKEN[97:123], TOKEN[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
 TOKEN[65:91] = np.arange(97, 123)
@@ -56,29 +57,15 @@ class Items:
         item = np.repeat(np.arange(len(texts)), np.diff(before))
         place = np.arange(len(grams)) - before[:-1][item]
         whole = np.diff(self.first)[item] >= N
-        self.grams, self.item, self.place = grams[whole], item[whole], place[whole]
-        self._index()
-
-    def _index(self) -> None:
-        order = np.lexsort((self.place, self.item, self.grams))
-        self.grams, self.item, self.place = self.grams[order], self.item[order], self.place[order]
-        self.seeds, self.begin = np.unique(self.grams, return_index=True)
-        self.begin = np.append(self.begin, len(self.grams))
+        grams, item, place = grams[whole], item[whole], place[whole]
+        order = np.lexsort((place, item, grams))
+        grams, self.item, self.place = grams[order], item[order], place[order]
+        self.seeds, begin = np.unique(grams, return_index=True)
+        self.begin = np.append(begin, len(grams))
+        self.key = np.repeat(np.arange(len(self.seeds)), np.diff(self.begin)) * len(texts) + self.item
         self.bits = np.zeros(1 << BITS, dtype=bool)
         self.bits[(self.seeds >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def rare(self, counts: np.ndarray, documents: int) -> None:
-        """Keep the seeds: counts[i] documents contain self.seeds[i]."""
-        count = np.repeat(counts, np.diff(self.begin))
-        met = count > 0
-        self.grams, self.item, self.place, count = self.grams[met], self.item[met], self.place[met], count[met]
-        order = np.lexsort((self.place, count, self.item))
-        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order], side="left")
-        chosen = np.zeros(len(order), dtype=bool)
-        chosen[order] = (rank < KEEP) | (count[order] <= RARE * documents)
-        self.grams, self.item, self.place = self.grams[chosen], self.item[chosen], self.place[chosen]
-        self._index()
-
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``grams`` that hold a seed, and which seed."""
         at = np.flatnonzero(self.bits[(grams >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -113,6 +100,29 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def _spread(block: Items, row: np.ndarray, entries: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """Runs of hits of whole rows and ranges of items that together have about ENTRIES places; a row with more goes by ranges of items."""
+    items = len(block.first) - 1
+    total = np.concatenate([[0], np.cumsum(entries)])
+    edges = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+    at = 0
+    while at < len(edges) - 1:
+        to = max(at + 1, int(np.searchsorted(total[edges], total[edges[at]] + ENTRIES, side="right")) - 1)
+        parts = min(items, int(total[edges[to]] - total[edges[at]]) // ENTRIES + 1)
+        cuts = [items * k // parts for k in range(parts + 1)]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            yield slice(edges[at], edges[to]), low, high
+        at = to
+
+
+def _possible(items: list[np.ndarray], windows: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
+    """Whether enough of an item's words occur in the window for the score; order doesn't count, so no pair that reaches it is lost."""
+    each = mix(np.arange(len(items), dtype=np.uint64))
+    a, b = (np.concatenate(x) ^ np.repeat(each, [len(y) for y in x]) for x in (items, windows))
+    met = np.bincount(np.repeat(np.arange(len(items)), [len(y) for y in items])[np.isin(a, b)], minlength=len(items))
+    return MATCH * met >= scores
+
+
 def _matches(block: Items, data: np.ndarray, offsets: np.ndarray, least: float) -> dict[int, list[tuple[int, float, int, int]]]:
     """Row -> [(item of the block, score, first byte, end byte)]."""
     words, starts, ends, first = tokens(data, offsets)
@@ -121,29 +131,48 @@ def _matches(block: Items, data: np.ndarray, offsets: np.ndarray, least: float)
     row = np.searchsorted(before, at, side="right") - 1
     whole = np.diff(first)[row] >= N
     at, seed, row = at[whole], seed[whole], row[whole]
-    if not len(at):
-        return {}
-    word = first[:-1][row] + at - before[:-1][row]
-    many = block.begin[seed + 1] - block.begin[seed]
-    each = np.repeat(np.arange(len(at)), many)
-    entry = block.begin[seed][each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    found: dict[tuple[int, int], tuple[float, int, int]] = {}
+    if len(at):
+        word = first[:-1][row] + at - before[:-1][row]
+        for part, low, high in _spread(block, row, block.begin[seed + 1] - block.begin[seed]):
+            _align_hits(block, words, starts, ends, first, offsets, least, row[part], seed[part], word[part], low, high, found)
+    out: dict[int, list] = {}
+    for (r, i), value in sorted(found.items()):
+        out.setdefault(r, []).append((i, *value))
+    return out
+
+
+def _align_hits(block: Items, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, offsets: np.ndarray, least: float,
+                row: np.ndarray, seed: np.ndarray, word: np.ndarray, from_item: int, to_item: int, found: dict[tuple[int, int], tuple[float, int, int]]) -> None:
+    """Add the matches of hits (row, seed, word) with the items of a range to ``found``."""
+    items = len(block.first) - 1
+    begin = np.searchsorted(block.key, seed * items + from_item)
+    many = np.searchsorted(block.key, seed * items + to_item) - begin
+    each = np.repeat(np.arange(len(row)), many)
+    if not len(each):
+        return
+    entry = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
     row, item, diagonal = row[each], block.item[entry], word[each] - block.place[entry]
     order = np.lexsort((diagonal, item, row))
     row, item, diagonal = row[order], item[order], diagonal[order]
     length = np.diff(block.first)[item]
+    slack = np.maximum(np.floor(MATCH * length * (1 - least) / EDIT), 0).astype(np.int64) + 1
     fresh = np.ones(len(row), dtype=bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[1:] // 2)
+    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])
     heads = np.flatnonzero(fresh)
     low, high = diagonal[heads], diagonal[np.append(heads[1:], len(row)) - 1]
-    row, item, length = row[heads], item[heads], length[heads]
-    slack = length // 3 + 3
+    row, item, length, slack = row[heads], item[heads], length[heads], slack[heads]
     low, high = np.maximum(low - slack, first[:-1][row]), np.minimum(high + length + slack, first[1:][row])
-    found: dict[tuple[int, int], tuple[float, int, int]] = {}
     order = np.argsort(length * 100_000 + (high - low), kind="stable")
     while len(order):
         area = max(1, 2_000_000 // max(1, int((high - low)[order[-1]]) * 4))
         batch, order = order[-area:], order[:-area]
-        score, end = align([block.words[block.first[i]: block.first[i + 1]] for i in item[batch]], [words[a:b] for a, b in zip(low[batch], high[batch])])
+        pairs = [block.words[block.first[i]: block.first[i + 1]] for i in item[batch]], [words[a:b] for a, b in zip(low[batch], high[batch])]
+        good = np.flatnonzero(_possible(*pairs, least * MATCH * length[batch] - 1e-6))
+        if not len(good):
+            continue
+        batch = batch[good]
+        score, end = align(*[[x[k] for k in good] for x in pairs])
         share = score / (MATCH * length[batch])
         for k in np.flatnonzero(share >= least):
             w = batch[k]
@@ -152,10 +181,6 @@ def _matches(block: Items, data: np.ndarray, offsets: np.ndarray, least: float)
             key, value = (int(row[w]), int(item[w])), (float(share[k]), int(starts[begin] - offsets[row[w]]), int(ends[last] - offsets[row[w]]))
             if key not in found or (-value[0], value[1]) < (-found[key][0], found[key][1]):
                 found[key] = value
-    out: dict[int, list] = {}
-    for (r, i), value in sorted(found.items()):
-        out.setdefault(r, []).append((i, *value))
-    return out
 
 
 def _blocks(items: DataFrame, limit: int) -> Iterator[tuple[list, list[str]]]:
@@ -179,32 +204,11 @@ def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, block_bytes: i
     where = given.index("text")
     schema = with_fields(docs.schema.fields, f"matches {MATCHES}")
     sc = docs.sparkSession.sparkContext
-    out, documents = docs.withColumn("matches", F.array().cast(MATCHES)), None
+    out = docs.withColumn("matches", F.array().cast(MATCHES))
     for ids, texts in _blocks(items, block_bytes):
         block = Items(texts)
         if not len(block.seeds):
             continue
-        shared = sc.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            counts, rows_seen = np.zeros(len(shared.value.seeds) + 1, dtype=np.int64), 0
-            for rows, data, offsets in pieces(batches):
-                words, _, _, first = tokens(data, offsets)
-                grams, before = shingles(words, first, N)
-                at, seed = shared.value.hits(grams)
-                row = np.searchsorted(before, at, side="right") - 1
-                pairs = np.unique(row * len(counts) + seed)
-                counts[:-1] += np.bincount(pairs % len(counts), minlength=len(counts))[:-1]
-                rows_seen += rows.num_rows
-            counts[-1] = rows_seen
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
-
-        counted = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(len(block.seeds) + 1, dtype=np.int64)
-        counts[counted["seed"].to_numpy()] = counted["n"].to_numpy()
-        documents = int(counts[-1])
-        block.rare(counts[:-1], documents)
         chosen, numbers = sc.broadcast(block), list(ids)
 
         def scan(batches: Iterator[pa.RecordBatch], chosen=chosen, numbers=numbers) -> Iterator[pa.RecordBatch]:
