@@ -158,6 +158,33 @@ def test_pages_table(spark):
     assert op4.extract(empty, op4.learn(empty)).collect() == []
 
 
+BODY = "".join(f"<p>Paragraph {i} of the text says some things that a reader wants.</p>" for i in range(5))
+LINES = " ".join(f"Paragraph {i} of the text says some things that a reader wants." for i in range(5))
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<html class='has-search'><body class='single no-sidebar'><nav>Menu</nav><div class='entry-content'>{BODY}</div></body></html>", LINES),
+    (f"<body class='sidebar'><div class='layout with-sidebar'><div class='entry-content'>{BODY}</div><div class='sidebar'>Side</div></div></body>", LINES),
+    (f"<main><div class='sidebar-layout'><div class='entry-content'>{BODY}<div class='comments'><div class='content'>Mine</div></div></div></div></main>", LINES),
+    (f"<form id='aspnetForm'><div id='content'>{BODY}</div></form>", LINES),
+    (f"<article>{BODY}<div class='related-posts'><div class='post'>Another post</div></div></article><div class='related'><div class='post'>More of it</div></div>", LINES),
+    (f"<article>{BODY}<h2 id='related-work'>Related work</h2><section id='search-algorithms'><p>Trees.</p></section></article>", LINES + " Related work Trees."),
+    (f"<article>{BODY}<p class='overflow-hidden'>See <a href='/hidden-gems?id=search'>gems</a>.</p><p hidden>No</p><p class='a hidden'>No</p><p style='display: none'>No</p><p aria-hidden=true>No</p></article>",
+     LINES + " See gems ."),
+])
+def test_names_of_wrappers_drop_no_article(html, text):
+    assert op4.Weights({}, frozenset()).text(html).replace("gems.", "gems .") == text
+
+
+def test_classes_around_articles_are_not_learnt_as_side_text(spark):
+    page = "<body class='blog'><div id='page'><div class='promobox'>%s</div>%s</div></body>"
+    side = "Words that stand beside the article on every page"
+    pages = [(i, f"u{i}", page % (side, f"<article>{BODY}</article>")) for i in range(20)]
+    weights = op4.learn(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert weights.never == {"class=promobox"}
+    assert weights.text(page % (side, f"<div class='entry-content'>{BODY}</div>")) == LINES
+
+
 def test_region_is_the_best_contiguous_sum():
     rng = np.random.default_rng(8)
     for _ in range(200):

@@ -6,7 +6,12 @@ adverts, reader comments ...) are left out.
 
 Weights come from labelled pages: pages with exactly one ``article`` or ``main`` element say themselves which words are content. Of at most about
 PAGES of them (documented bound, taken by a hash of the id) Spark counts words inside and outside for every element name, class and id;
-the log of the ratio is the weight. A class or id that stands outside only (CLEAR words or more) is learnt as one that never holds article text.
+the log of the ratio is the weight; elements around an article count for its words too. A class or id that stands outside only (CLEAR words or more) and
+on at most half of its pages around the article is learnt as one that never holds article text.
+
+Names of classes and ids say what an element is, but also what stands beside it ("with-sidebar"). So html and body are never left out, nor are elements
+for words after one of BESIDE, nor headings and sections of an article for their ids. A content element inside an element with such a name
+is judged by score: it is text if its words outweigh all the page's other text, so a list of related posts goes and a wrapper's article stays.
 
 Blocks: text between block-level tags or ``br``. Character references are decoded, white space becomes one space, blocks are trimmed and
 joined by one space in page order. Inline tags don't part words. Elements named as content (``article``, ``main``, or such a class, id or role) score as text. An ``article`` or ``main`` start resets what outer elements say, so an unclosed
@@ -46,40 +51,74 @@ sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topb
 CONTENT = frozenset("article content main post entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+BESIDE = frozenset("no not with without has have".split())
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NONE = re.compile(r"display\s*:\s*none")
+COUNTS = ("i", "o", "around", "pages", "wraps")
 PART = re.compile(r"[a-z]+|[0-9]+")
 HEADING = frozenset(f"h{i}" for i in range(1, 7))
 
 
+def hidden(key: str, value: str) -> bool:
+    return key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and bool(NONE.search(value))) or (key == "class" and "hidden" in value.split())
+
+
+def named_aside(value: str) -> bool:
+    """Whether a class or id names what never holds article text."""
+    for word in value.split():
+        for part in PART.findall(word):
+            if part in BESIDE:
+                break
+            if part in WORDS:
+                return True
+    return False
+
+
 class Element:
-    __slots__ = ("name", "features", "never", "article")
+    __slots__ = ("name", "features", "outer", "hard", "aside", "wrapped", "final", "never", "article")
 
     def __init__(self, name: str, attributes: str, parent: Element | None, learnt: frozenset[str]):
         own = [name]
-        never = name in NEVER
+        hard = name in NEVER and name != "form"
+        aside = name == "form"  # by its name; may be a wrapper
         starts = name in ("article", "main")
+        page = name in ("html", "body")
+        inside = parent is not None and (parent.article or parent.wrapped)
+        anchor = inside and (name in HEADING or name == "section")
         if attributes and attributes.strip():
             for key, *values in ATTRIBUTE.findall(attributes):
-                value = next((v for v in values if v), "").lower()
-                own += [f"{key.lower()}={v}" for v in value.split()]
-                starts |= value == {"role": "main", "itemprop": "articlebody"}.get(key.lower())
-                if key.lower() == "role":
-                    never |= value in ROLES
-                elif key.lower() != "itemprop":
+                key, value = key.lower(), next((v for v in values if v), "").lower()
+                hard |= hidden(key, value)
+                if key not in ("class", "id", "role", "itemprop"):
+                    continue
+                features = [f"{key}={v}" for v in value.split()]
+                own += features
+                starts |= value == {"role": "main", "itemprop": "articlebody"}.get(key)
+                if key == "role":
+                    hard |= value in ROLES
+                elif key != "itemprop":
                     starts |= name in ("div", "section", "td") and any(p in CONTENT for p in PART.findall(value))
-                    never |= any(p in WORDS for p in PART.findall(value))
-            never |= bool(HIDDEN.search(attributes))
-        never |= any(f in learnt for f in own)
+                    if not (anchor and key == "id"):
+                        aside |= named_aside(value)
+                if not (anchor and key == "id"):
+                    aside |= any(f in learnt for f in features)
+        if page:
+            hard = aside = False
         self.name = name
-        starts &= not never  # "post-comments" holds comments
-        inside = parent is not None and parent.article and not starts
-        if name == "header" and inside and not attributes.strip():
-            never = False  # an article's own heading
-        self.article = starts or (parent.article if parent else False)
+        starts &= not (hard or aside)  # "post-comments" holds comments
+        if name == "header" and inside and not starts and not attributes.strip():
+            hard = False  # an article's own heading
         reset = name in ("article", "main")
-        self.never = never or (parent.never if parent is not None and not reset else False)
+        outer = None if reset else parent
+        self.hard = hard or (outer is not None and outer.hard)
+        self.aside = aside or (outer is not None and outer.aside)
+        # content inside an element that is named as none, and what is named so inside of that
+        self.final = outer is not None and (outer.final or (aside and outer.wrapped))
+        self.wrapped = outer is not None and not aside and not self.final and (outer.wrapped or (starts and outer.aside))
+        self.never = self.hard or self.aside
+        self.article = (starts and not self.aside) or (parent.article if parent else False)
         self.features = (frozenset(own) if reset or parent is None else parent.features | frozenset(own))
+        self.outer = frozenset() if parent is None else parent.outer | parent.features if reset else parent.outer
 
 
 def blocks(html: str, learnt: frozenset[str] = frozenset()) -> list[tuple[str, Element, int]]:
@@ -165,23 +204,38 @@ class Weights:
         if not html:
             return ""
         found = blocks(html, self.never)
+        counts = [words.count(" ") + 1 if words else 0 for words, _, _ in found]
+        wrapped = [element.wrapped and not element.hard for _, element, _ in found]
+        if any(wrapped):
+            other = sum(max(self.word(element), 0.0) * n for (_, element, _), n, w in zip(found, counts, wrapped) if not w)
+            if sum(n for n, w in zip(counts, wrapped) if w) <= other:
+                wrapped = [False] * len(found)
         scores: list[float] = []
-        for words, element, tags in found:
-            score = self.word(element)
-            scores += [(TEXT_TAG_SCORE if words and (score >= SURE or element.article) else TAG_SCORE) * tags, score * (words.count(" ") + 1) if words else 0.0]
+        for (words, element, tags), n, inner in zip(found, counts, wrapped):
+            score = 1.0 if inner else self.word(element)
+            scores += [(TEXT_TAG_SCORE if words and (score >= SURE or element.article) else TAG_SCORE) * tags, score * n]
         first, end = region(scores)
-        return " ".join(words for i, (words, element, _) in enumerate(found) if first <= 2 * i + 1 < end and words and not element.never)
+        return " ".join(words for i, (words, element, _) in enumerate(found) if first <= 2 * i + 1 < end and words and (wrapped[i] or not element.never))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        inside, outside = Counter(), Counter()
+        inside, outside, around, pages, wraps = (Counter() for _ in range(5))
         for html in batch.column(0).to_pylist():
+            on, outer = set(), set()
             for words, element, _ in blocks(html):
                 if words:
-                    (inside if element.article else outside).update(dict.fromkeys((element.features - {"article", "main"}) | {"*"}, words.count(" ") + 1))
-        every = sorted(inside.keys() | outside.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([inside[f] for f in every], pa.int64()), pa.array([outside[f] for f in every], pa.int64())], names=["feature", "i", "o"])
+                    n = words.count(" ") + 1
+                    features = (element.features - {"article", "main"}) | {"*"}
+                    (inside if element.article else outside).update(dict.fromkeys(features, n))
+                    on |= features
+                    if element.article:
+                        around.update(dict.fromkeys(element.outer - features, n))
+                        outer |= element.outer
+            pages.update(on | outer)
+            wraps.update(outer)
+        every = sorted(pages)
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[f] for f in every], pa.int64()) for c in (inside, outside, around, pages, wraps)]], names=["feature", *COUNTS])
 
 
 def learn(pages: DataFrame) -> Weights:
@@ -191,11 +245,11 @@ def learn(pages: DataFrame) -> Weights:
     if not total:
         return Weights({}, frozenset())
     sample = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(min(1.0, PAGES / total) * (1 << 30)))
-    rows = sample.select("html").mapInArrow(_count, "feature string, i long, o long").groupBy("feature").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
+    rows = sample.select("html").mapInArrow(_count, f"feature string, {', '.join(f'{c} long' for c in COUNTS)}").groupBy("feature").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()
     words_in, words_out = (max([r[c] for r in rows if r["feature"] == "*"], default=1) + 1 for c in ("i", "o"))
-    weight = {r["feature"]: max(-4.0, min(4.0, math.log((r["i"] + 1) / words_in) - math.log((r["o"] + 1) / words_out))) for r in rows if r["feature"] not in ("#", "*", "html", "body")}
+    weight = {r["feature"]: max(-4.0, min(4.0, math.log((r["i"] + r["around"] + 1) / words_in) - math.log((r["o"] + 1) / words_out))) for r in rows if r["feature"] not in ("#", "*", "html", "body")}
     weight |= {"article": 4.0, "main": 4.0}
-    never = frozenset(r["feature"] for r in rows if "=" in r["feature"] and r["o"] >= CLEAR and r["i"] == 0)
+    never = frozenset(r["feature"] for r in rows if "=" in r["feature"] and r["o"] >= CLEAR and r["i"] == 0 and 2 * r["wraps"] <= r["pages"])
     return Weights(weight, never)
 
 
