@@ -251,6 +251,30 @@ def test_toxicity(spark):
     assert op5.score_texts(frame.limit(2), none).where("score < 0.5").count() == 2
 
 
+def test_an_ordinary_word_beside_a_term_leaves_its_other_misspellings(spark):
+    rng = np.random.default_rng(14)
+    docs, labels = [], []
+    for i in range(600):
+        words = prose(40, rng).split()
+        if i % 5 == 0:
+            words[i % 40] = "wretchid" if i % 2 else "wretchad"
+            words[i % 37] = "scumbags" if i % 3 else "scumbagger"
+        elif i % 5 == 1:
+            words[i % 40] = "wretched"  # an ordinary word one edit away from both
+        elif i % 5 == 2:
+            words[3:6] = ['"the', "wrretchid", 'said"']
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    model = op5.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    automaton = op5.Automaton(model.lexicon, model.innocent)
+    assert "wretched" in model.innocent and "wrretchid" not in model.innocent
+    assert [automaton.match(w)[0] for w in ("wretchid", "wretched", "wretchidd", "wrretchid", "scumbags", "scubmbags")] == [1, 0, 2, 2, 1, 2]
+    assert any(not t.endswith("$") and "scumbags".startswith(t) for t in model.lexicon)
+    texts = ["you wretchidd " + prose(9, rng), prose(9, rng) + " a wretched day", prose(5, rng) + ' "the wrretchid said" ' + prose(5, rng), "you scubmbags " + prose(9, rng)]
+    rows = op5.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert [r["score"] >= 0.5 for r in sorted(rows)] == [True, False, False, True]
+
+
 # -- 6
 
 

@@ -3,12 +3,13 @@
 Learning uses at most about POSITIVES toxic and NEGATIVES other labelled documents, taken by a hash of the id (documented bound); of copies in
 that sample one stays, by the smallest shingle hash. Terms are whole words and word beginnings of 3 to 10 letters; a term enters the
 lexicon if it is at least LIFT times as common in toxic documents and that could not be chance among all terms tried (binomial test,
-Bonferroni). Of nested terms the one with the largest product of toxic documents and log of its lift stays. The log of the lift is its weight.
+Bonferroni). Of nested terms the one with the largest product of toxic documents and log of its lift stays; beside a word beginning the whole words that
+begin so stay for their misspelt forms. The log of the lift is its weight.
 
 Matching: the lexicon's trie and the Levenshtein automaton of one edit are run together as one automaton whose states are sets of (trie
 node, edits); states are made when first met and kept. Whole words of FUZZY letters or more match with one edit (changed, missing,
-extra letter or digit), shorter words and word beginnings only exactly, and so do words next to which the sample's other texts hold
-ordinary words.
+extra letter or digit), shorter words and word beginnings only exactly. A misspelt form that stands unquoted in the sample's other texts and
+is less than LIFT times as common in toxic ones is an ordinary word and doesn't match; other forms of the same term do.
 
 A match counts as quoted if a quotation mark opens within WINDOW words before it and one closes within WINDOW words after it. Four
 numbers per text (plain or quoted, exact or misspelt matches, as log(1 + sum of their weights)) go into a logistic model, fitted in numpy on the same sample
@@ -68,8 +69,9 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Automaton:
     """Trie of the lexicon run together with a one-edit Levenshtein automaton, made deterministic on demand."""
 
-    def __init__(self, lexicon: dict[str, float], exact: frozenset[str] = frozenset()):
-        """``exact``: terms that may not be misspelt."""
+    def __init__(self, lexicon: dict[str, float], innocent: frozenset[str] = frozenset()):
+        """``innocent``: ordinary words that are not misspelt forms of a term."""
+        self.innocent = innocent
         self.lexicon = sorted(lexicon)
         self.term: dict[int, str] = {}  # node -> whole word that may be misspelt
         self.weight: list[float] = [0.0]
@@ -91,7 +93,7 @@ class Automaton:
                 path.append(node)
             self.end[node] |= 1 if whole else 2
             self.weight[node] = max(self.weight[node], lexicon[term])
-            if whole and len(letters) >= FUZZY and term not in exact:
+            if whole and len(letters) >= FUZZY:
                 self.term[node] = term
                 for step in path:
                     self.fuzzy[step] = True
@@ -136,6 +138,8 @@ class Automaton:
         if found is None:
             found = self.code[self._run(word)]
             found = (1 if found[0] == 4 else found[0], found[1])
+            if found[0] == 2 and word in self.innocent:
+                found = (0, 0.0)
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = found
@@ -154,12 +158,15 @@ class Automaton:
                 break
         return state
 
-    def misspelt_terms(self, text: str | None) -> set[str]:
-        """Terms of which the text holds a misspelt form."""
-        out = set()
-        for word in set(WORD.findall((text or "").lower())):
-            if self.match(word)[0] == 2:
-                out.update(self.term[n] for n, _ in self.sets[self._run(word)] if n in self.term)
+    def misspelt(self, text: str | None) -> dict[str, bool]:
+        """Misspelt forms of terms in the text, and whether one of them stands unquoted."""
+        out: dict[str, bool] = {}
+        lower = (text or "").lower()
+        if any(self.match(w)[0] == 2 for w in set(WORD.findall(lower))):
+            spans = [m.span() for m in WORD.finditer(lower)]
+            for i, (s, e) in enumerate(spans):
+                if self.match(lower[s:e])[0] == 2:
+                    out[lower[s:e]] = out.get(lower[s:e], False) or not self._in_quotes(lower, spans, i)
         return out
 
     def features(self, text: str | None) -> list[float]:
@@ -174,11 +181,15 @@ class Automaton:
         for i, (s, e) in enumerate(spans):
             kind, weight = self.match(lower[s:e])
             if kind:
-                left = lower[spans[i - WINDOW - 1][1] if i > WINDOW else 0: s]
-                right = lower[e: spans[i + WINDOW + 1][0] if i + WINDOW + 1 < len(spans) else len(lower)]
-                counts[2 * (kind - 1) + self._quoted(left, right)] += weight
+                counts[2 * (kind - 1) + self._in_quotes(lower, spans, i)] += weight
         return [math.log1p(c) for c in counts]
 
+    def _in_quotes(self, lower: str, spans: list[tuple[int, int]], i: int) -> int:
+        s, e = spans[i]
+        left = lower[spans[i - WINDOW - 1][1] if i > WINDOW else 0: s]
+        right = lower[e: spans[i + WINDOW + 1][0] if i + WINDOW + 1 < len(spans) else len(lower)]
+        return self._quoted(left, right)
+
     @staticmethod
     def _quoted(left: str, right: str) -> int:
         """An unclosed opening mark on the left and a closing mark on the right; an apostrophe inside a word is none."""
@@ -197,20 +208,23 @@ class Automaton:
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, float], exact: frozenset[str], weights: np.ndarray):
-        self.lexicon, self.exact, self.weights = lexicon, exact, weights
+    def __init__(self, lexicon: dict[str, float], innocent: frozenset[str], weights: np.ndarray):
+        self.lexicon, self.innocent, self.weights = lexicon, innocent, weights
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def _innocent(lexicon: dict[str, float]):
-    """Terms whose misspelt forms occur in texts that aren't toxic: ordinary words lie next to them."""
+def _forms(lexicon: dict[str, float]):
+    """Misspelt forms of terms with the numbers of toxic and of other texts that hold them; quoted ones of other texts don't count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(lexicon)
         for batch in batches:
-            found = set().union(*[automaton.misspelt_terms(t) for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+            seen = (Counter(), Counter())
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[toxic].update(form for form, plain in automaton.misspelt(text).items() if toxic or plain)
+            every = sorted(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([seen[1][t] for t in every], pa.int64()), pa.array([seen[0][t] for t in every], pa.int64())], names=["form", "p", "n"])
     return run
 
 
@@ -232,6 +246,8 @@ def choose_terms(counted: list[tuple[str, int, int]], positives: int, negatives:
         if term not in inner and not any(x in out for x in begins):
             out[term] = weight[term]
             inner.update(begins)
+    # exact forms of these words match their beginning first
+    out |= {t: weight[t] for t in sure if t.endswith("$") and len(t) > FUZZY and t not in out and any(t[:k] in out for k in range(SHORT, len(t)))}
     return out
 
 
@@ -252,12 +268,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     tried = counted.where("p > 1").count()
     found = counted.where((F.col("p") > 2) & (F.col("p") / max(sizes.get(1, 0), 1) >= LIFT * (F.col("n") + 0.5) / max(sizes.get(0, 0), 1))).collect()
     lexicon = choose_terms([(r["term"], r["p"], r["n"]) for r in found], sizes.get(1, 0), sizes.get(0, 0), tried)
-    exact = frozenset(r["term"] for r in sample.where("y = 0").select("text").mapInArrow(_innocent(lexicon), "term string").distinct().collect())
-    features = score_rows(sample.select("text", "y"), lexicon, exact).collect()
+    forms = sample.select("text", "y").mapInArrow(_forms(lexicon), "form string, p long, n long").groupBy("form").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    ordinary = forms.where((F.col("n") > 0) & (F.col("p") / max(sizes.get(1, 0), 1) < LIFT * (F.col("n") + 0.5) / max(sizes.get(0, 0), 1))).collect()
+    innocent = frozenset(r["form"] for r in ordinary)
+    features = score_rows(sample.select("text", "y"), lexicon, innocent).collect()
     x = np.array([[r[n] for n in FEATURES] for r in features]).reshape(-1, 4)
     y = np.array([r["y"] for r in features], dtype=float)
     real = np.where(y == 1, totals[1] / max(y.sum(), 1), totals.get(0, 0) / max((1 - y).sum(), 1))
-    return Model(lexicon, exact, _logistic(x, y, real / real.mean()))
+    return Model(lexicon, innocent, _logistic(x, y, real / real.mean()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -280,13 +298,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_rows(frame: DataFrame, lexicon: dict[str, float], exact: frozenset[str]) -> DataFrame:
+def score_rows(frame: DataFrame, lexicon: dict[str, float], innocent: frozenset[str]) -> DataFrame:
     """Columns of ``frame`` except text, plus the four FEATURES."""
     given = [f for f in frame.schema.fields if f.name != "text"]
     where = frame.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(lexicon, exact)
+        automaton = Automaton(lexicon, innocent)
         for batch in batches:
             x = np.array([automaton.features(t) for t in batch.column(where).to_pylist()]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != where], *[pa.array(x[:, i]) for i in range(4)]], names=[*[f.name for f in given], *FEATURES])
@@ -297,7 +315,7 @@ def score_rows(frame: DataFrame, lexicon: dict[str, float], exact: frozenset[str
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """Columns of ``docs`` except text, plus score (0 to 1)."""
     given = [c for c in docs.columns if c not in ("score", *FEATURES)]
-    rows = score_rows(docs.select(*given), model.lexicon, model.exact)
+    rows = score_rows(docs.select(*given), model.lexicon, model.innocent)
     total = F.lit(float(model.weights[0]))
     for name, weight in zip(FEATURES, model.weights[1:]):
         total = total + F.col(name) * float(weight)
