@@ -370,6 +370,13 @@ def test_scores(spark, monkeypatch):
     assert n and score > base  # better than single words on held-out texts
 
 
+def test_every_token_is_a_target_once():
+    raw = [prose(n, np.random.default_rng(n)).encode() for n in (400, 0, 1, 700)]
+    words, _, before = op7.token_rows(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    rounds = [op7.targets(words, before, turn) for turn in range(op7.ROUNDS)]
+    assert np.sort(np.concatenate(rounds)).tolist() == list(range(len(words))) and all(len(r) > 400 for r in rounds)
+
+
 def test_score_edges(spark):
     frame = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "a b", 3), (2, "", 3)], "doc_id long, text string, score int")
     model, tail = op7.count_corpus(frame.limit(0))

@@ -5,8 +5,8 @@ whole corpus. The model predicts classes: the TOP most frequent tokens are class
 BUCKETS classes by its last two bytes and is drawn inside its class by smoothed corpus counts. A class is predicted from the two
 classes before it: score = (R1[c1] + R2[c2]) . Q[c] + b[c].
 
-Training: each partition of the training documents runs NCE over every STRIDE-th token of its documents, from common start values; the
-replicas are averaged by a Spark aggregation weighted by tokens, for ROUNDS rounds with other tokens each. What is learnt from grows with the
+Training: each partition of the training documents runs NCE over the tokens of its documents, from common start values; the
+replicas are averaged by a Spark aggregation weighted by tokens. Each of ROUNDS rounds has its share of the tokens, so every token is a target once. What is learnt from grows with the
 corpus, what is kept has a fixed size. Normalisation is exact: one batched matrix product per context gives the sums over all classes,
 made by Spark once per pair of context classes.
 
@@ -30,7 +30,7 @@ from tidewatch.llm.common import LOWER, held_out, keep, mix, pieces, table, word
 
 TOP, BUCKETS, DIM = 1024, 64, 24
 HEAD = 1 << 17
-STRIDE, ROUNDS, BATCH, NOISE, RATE = 8, 2, 512, 64, 0.15
+ROUNDS, BATCH, NOISE, RATE = 2, 512, 64, 0.15
 END = np.uint64(0x2545F4914F6CDD1D)
 SMOOTH = 0.1
 
@@ -162,6 +162,12 @@ def count_corpus(training: DataFrame) -> tuple[Model, DataFrame]:
     return Model(words, counts, words[best], total, types, bucket_total, bucket_types), vocabulary.where(F.col("size") < least).select("w", "c")
 
 
+def targets(words: np.ndarray, before: np.ndarray, turn: int) -> np.ndarray:
+    """The tokens that a round learns to tell, by word and place in the row: each token in one round."""
+    place = np.arange(len(words)) - np.repeat(before[:-1], np.diff(before))
+    return np.flatnonzero(mix(words ^ mix(place.astype(np.uint64))) % np.uint64(ROUNDS) == turn)
+
+
 def train(training: DataFrame, model: Model) -> Model:
     spark = training.sparkSession
     for turn in range(ROUNDS):
@@ -174,7 +180,7 @@ def train(training: DataFrame, model: Model) -> Model:
                 words, bucket, before = token_rows(data, offsets)
                 classes = shared.value.class_of(words, bucket)
                 one, two = shared.value.contexts(classes, before)
-                chosen = np.flatnonzero(mix(words ^ mix(np.arange(len(words), dtype=np.uint64) + np.uint64(turn))) % np.uint64(STRIDE) == 0)
+                chosen = targets(words, before, turn)
                 waiting.append(np.stack([one[chosen], two[chosen], classes[chosen]]))
                 if sum(x.shape[1] for x in waiting) >= 64 * BATCH:
                     _run(trainer, waiting)
