@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import op10_tool_calls, op12_prefix_trie, op13_hard_negatives, op1_decontamination, op2_minhash, op3_language, op4_html, op5_toxicity, op6_mixing, op7_language_model, op8_suffix, op9_embedding
+from tidewatch.llm import op10_tool_calls, op11_licences, op12_prefix_trie, op13_hard_negatives, op1_decontamination, op2_minhash, op3_language, op4_html, op5_toxicity, op6_mixing, op7_language_model, op8_suffix, op9_embedding
 
 QUERIES = {
     "op10_tool_calls": op10_tool_calls.query,
+    "op11_licences": op11_licences.query,
     "op12_prefix_trie": op12_prefix_trie.query,
     "op13_hard_negatives": op13_hard_negatives.query,
     "op1_decontamination": op1_decontamination.query,
