@@ -1,76 +1,368 @@
-"""Supervised detector: MLlib decision tree with leak-free preprocessing."""
+"""Supervised detector: an exact classification tree with leak-free preprocessing.
+
+Gini gain, cuts half-way between neighbouring values of the training rows, one category against the rest, no limit of depth unless one
+is asked for, and no bins: the tree fits any training set in which equal rows have equal classes.
+
+Growing. Equal training rows become one point with two class counts. Large nodes are split level by level in Spark: one grouped count
+per (node, feature, value), running totals over value ranges, one best cut per node. A node of at most ``local`` points is finished by
+one task with the same rule, so the limit doesn't change the tree. The model is a node table in the shared folder; nothing of it, nor
+any vocabulary, is collected while it grows.
+
+Scoring. A node table of at most ``BROADCAST_NODES`` rows (counted) goes to the tasks. A larger one is cut: the top goes to the tasks,
+and rows meet the nodes of their subtree by a shuffle, in as many shares as the subtree has rows.
+
+Ties: the earlier feature (numbers first, in the order of the roles), then the smaller cut or category. Equal chances predict class 0.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.evaluation import add_rates, confusion
-from tidewatch.operators.prep import Imputation, encoding_stages, fit_imputation
+from tidewatch.operators.ordering import add_ranges, split_points
+from tidewatch.operators.prep import Imputation, fit_imputation
 from tidewatch.operators.profile import union_all
 from tidewatch.roles import Roles
+from tidewatch.sources.tables import stored
+
+LOCAL = 1 << 14  # points of a node that one task finishes
+BROADCAST_NODES = 1 << 18
+SHARE_ROWS = 1 << 16  # rows of one subtree that one task scores
+# b0 and b1 are the class counts below the cut; ``top`` marks the nodes outside subtrees, and ``subtree`` their roots
+NODES = ("node string, depth int, feature int, cut double, category string, below string, above string, n0 long, n1 long, b0 long, b1 long, "
+         "root string, subtree boolean")
+
+
+def _cost(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    """Half the impurity of two sides, weighted by their rows; equal in every engine that follows IEEE 754."""
+    a0, a1, b0, b1 = (c.cast("double") for c in (a0, a1, b0, b1))
+    return a0 * a1 / (a0 + a1) + b0 * b1 / (b0 + b1)
+
+
+def _points(ready: DataFrame, roles: Roles) -> DataFrame:
+    """Distinct feature values with class counts, all in the root node."""
+    numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(roles.numeric)]
+    kinds = [F.col(c).alias(f"c{i}") for i, c in enumerate(roles.categorical)]
+    one = (F.col(roles.target) == 1).cast("long")
+    rows = ready.where(F.col(roles.target).isNotNull()).select(*numbers, *kinds, (1 - one).alias("n0"), one.alias("n1"))
+    names = rows.columns[:-2]
+    return rows.groupBy(*names).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("node", F.lit("1"))
+
+
+def _best_cuts(points: DataFrame, totals: DataFrame, ranges: list[str], numbers: int, kinds: int) -> DataFrame:
+    """(node, feature, cut, category, b0, b1): the cut of least cost for every node."""
+    parts = []
+    if numbers:
+        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(ranges[i]).alias("bucket"), F.col(f"x{i}").alias("value")) for i in range(numbers)]))
+        counted = points.select("node", "n0", "n1", pairs).groupBy("node", "feature", "bucket", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        keys = ["node", "feature"]
+        whole = counted.groupBy(*keys, "bucket").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.min("value").alias("least"))
+        over = Window.partitionBy(*keys).orderBy("bucket")
+        before = over.rowsBetween(Window.unboundedPreceding, -1)
+        starts = whole.select(*keys, "bucket", F.coalesce(F.sum("t0").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("s1"),
+                              F.lead("least").over(over).alias("beyond"))
+        inside = Window.partitionBy(*keys, "bucket").orderBy("value")
+        through = inside.rowsBetween(Window.unboundedPreceding, 0)
+        ran = counted.withColumns({"b0": F.sum("n0").over(through), "b1": F.sum("n1").over(through), "next": F.lead("value").over(inside)}).join(starts, [*keys, "bucket"])
+        ran = ran.withColumns({"next": F.coalesce("next", "beyond"), "b0": F.col("b0") + F.col("s0"), "b1": F.col("b1") + F.col("s1")}).where(F.col("next").isNotNull())
+        middle = F.col("value") + (F.col("next") - F.col("value")) / 2
+        cut = F.when((middle >= F.col("value")) & (middle < F.col("next")), middle).otherwise(F.col("value"))  # no number lies between, or one is not finite
+        parts.append(ran.select("node", "feature", cut.alias("cut"), F.lit(None).cast("string").alias("category"), "b0", "b1"))
+    if kinds:
+        pairs = F.inline(F.array(*[F.struct(F.lit(numbers + i).alias("feature"), F.col(f"c{i}").alias("category")) for i in range(kinds)]))
+        counted = points.select("node", "n0", "n1", pairs).groupBy("node", "feature", "category").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
+        rest = counted.join(totals.select("node", "n0", "n1"), "node").where(F.col("a0") + F.col("a1") < F.col("n0") + F.col("n1"))
+        parts.append(rest.select("node", "feature", F.lit(0.0).alias("cut"), "category", (F.col("n0") - F.col("a0")).alias("b0"), (F.col("n1") - F.col("a1")).alias("b1")))
+    cuts = union_all(parts).join(totals.select("node", "n0", "n1"), "node")
+    cost = _cost(F.col("b0"), F.col("b1"), F.col("n0") - F.col("b0"), F.col("n1") - F.col("b1"))
+    best = cuts.groupBy("node").agg(F.min(F.struct(cost.alias("cost"), "feature", "cut", "category", "b0", "b1")).alias("best"))
+    return best.select("node", "best.feature", "best.cut", "best.category", "best.b0", "best.b1")
+
+
+def _goes_above(numbers: int, kinds: int) -> Column:
+    """Whether a point lies above the cut of its node (NaN lies above every number)."""
+    above = F.lit(False)
+    for i in range(numbers):
+        above = F.when(F.col("feature") == i, F.col(f"x{i}") > F.col("cut")).otherwise(above)
+    for i in range(kinds):
+        above = F.when(F.col("feature") == numbers + i, F.col(f"c{i}") == F.col("category")).otherwise(above)
+    return above
+
+
+def _finisher(numbers: int, kinds: int, max_depth: int | None):
+    """Grows the subtree of one node, all its nodes of a level at once."""
+
+    def grow(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        root, start = key[0], len(key[0]) - 1
+        x = [pdf[f"x{i}"].to_numpy("float64") for i in range(numbers)]
+        words, codes = zip(*[np.unique(pdf[f"c{i}"].to_numpy(), return_inverse=True) for i in range(kinds)]) if kinds else ((), ())
+        n0, n1 = pdf["n0"].to_numpy("int64"), pdf["n1"].to_numpy("int64")
+        at = np.zeros(len(pdf), dtype=np.int64)  # node of every point
+        live = np.arange(len(pdf))
+        out, base, depth = [], 0, start
+
+        def name(k: int) -> str:
+            return f"{root}.{k}" if k else root
+
+        while len(live):
+            nodes, node = np.unique(at[live], return_inverse=True)
+            count = np.bincount(node)
+            t0, t1 = (np.bincount(node, weights=n[live]).astype(np.int64) for n in (n0, n1))
+            split = (t0 > 0) & (t1 > 0) & (count > 1) & (max_depth is None or depth < max_depth)
+            best = np.full(len(nodes), np.inf)
+            chosen = np.full(len(nodes), -1)
+            cut, code, low0, low1 = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), t0.copy(), t1.copy()
+
+            def offer(feature, where, cuts, kind, b0, b1):
+                """Candidates, sorted by node and then by cut or category."""
+                l0, l1, h0, h1 = (v.astype(np.float64) for v in (b0, b1, t0[where] - b0, t1[where] - b1))
+                cost = l0 * l1 / (l0 + l1) + h0 * h1 / (h0 + h1)
+                order = np.lexsort((np.arange(len(where)), cost, where))
+                first = order[np.r_[True, where[order][1:] != where[order][:-1]]] if len(order) else order
+                first = first[cost[first] < best[where[first]]]
+                to = where[first]
+                best[to], chosen[to], cut[to], code[to], low0[to], low1[to] = cost[first], feature, cuts[first], kind[first], b0[first], b1[first]
+
+            active = np.flatnonzero(split[node])
+            rows, of = live[active], node[active]
+            for f in range(numbers):
+                values = x[f][rows]
+                order = np.lexsort((values, of))
+                v, w, c0, c1 = values[order], of[order], np.cumsum(n0[rows][order]), np.cumsum(n1[rows][order])
+                new = np.r_[True, w[1:] != w[:-1]] if len(w) else np.zeros(0, bool)
+                begin = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+                s0, s1 = c0[begin] - n0[rows][order][begin], c1[begin] - n1[rows][order][begin]
+                edge = np.flatnonzero(~new[1:] & (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    middle = v[edge] + (v[edge + 1] - v[edge]) / 2
+                    good = (middle >= v[edge]) & ((middle < v[edge + 1]) | (np.isnan(v[edge + 1]) & ~np.isnan(middle)))
+                offer(f, w[edge], np.where(good, middle, v[edge]), np.zeros(len(edge), np.int64), (c0 - s0)[edge], (c1 - s1)[edge])
+            for f in range(kinds):
+                order = np.lexsort((codes[f][rows], of))
+                k, w = codes[f][rows][order], of[order]
+                begin = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])]) if len(w) else np.zeros(0, np.int64)
+                a0, a1 = (np.add.reduceat(n[rows][order], begin) if len(begin) else np.zeros(0, np.int64) for n in (n0, n1))
+                where = w[begin]
+                part = np.flatnonzero(a0 + a1 < t0[where] + t1[where])
+                where, a0, a1 = where[part], a0[part], a1[part]
+                offer(numbers + f, where, np.zeros(len(part)), k[begin][part], t0[where] - a0, t1[where] - a1)
+            child = np.full(len(nodes), -1)
+            grows = chosen >= 0
+            child[grows] = base + 1 + 2 * np.arange(int(grows.sum()))
+            base += 2 * int(grows.sum())
+            for j, number in enumerate(nodes.tolist()):
+                f, c = int(chosen[j]), int(child[j])
+                word = words[f - numbers][code[j]] if f >= numbers else None
+                out.append((name(number), depth, f, float(cut[j]), word, name(c) if c >= 0 else None, name(c + 1) if c >= 0 else None,
+                            int(t0[j]), int(t1[j]), int(low0[j]), int(low1[j]), root, number == 0))
+            live, node = live[grows[node]], node[grows[node]]
+            above = np.zeros(len(live), dtype=bool)
+            for f in range(numbers):
+                mine = chosen[node] == f
+                values = x[f][live[mine]]
+                above[mine] = (values > cut[node[mine]]) | np.isnan(values) & ~np.isnan(cut[node[mine]])
+            for f in range(kinds):
+                mine = chosen[node] == numbers + f
+                above[mine] = codes[f][live[mine]] == code[node[mine]]
+            at[live] = child[node] + above
+            depth += 1
+        return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
+
+    return grow
+
+
+def grow_nodes(points: DataFrame, numbers: int, kinds: int, max_depth: int | None = None, local: int = LOCAL) -> DataFrame:
+    """The node table (``NODES``) of the tree over distinct points x0.. c0.. with class counts n0 and n1. Stored."""
+    ranges = [f"r{i}" for i in range(numbers)]
+    opened = stored(points, "points")
+    if numbers and opened.count() > local:  # value ranges are cut once, for all levels
+        opened = stored(add_ranges(opened, split_points(opened, [f"x{i}" for i in range(numbers)]), ranges), "points")
+    columns = opened.columns
+    small, done, depth = [], [], 0
+    while True:
+        sizes = stored(opened.groupBy("node").agg(F.count(F.lit(1)).alias("points"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "sizes")
+        ends = (F.col("n0") == 0) | (F.col("n1") == 0) | (F.col("points") == 1) | F.lit(max_depth is not None and depth >= max_depth)
+        leaf = sizes.where((F.col("points") > local) & ends)
+        done.append(leaf.select("node", F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), F.lit(None).cast("string").alias("category"), "n0", "n1",
+                                F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.lit(depth).alias("depth")))
+        small.append(opened.join(sizes.where(F.col("points") <= local).select("node"), "node", "left_semi"))
+        large = sizes.where((F.col("points") > local) & ~ends)
+        if large.isEmpty():
+            break
+        rows = opened.join(large.select("node"), "node", "left_semi")
+        best = stored(_best_cuts(rows, large, ranges, numbers, kinds), "cuts")
+        done.append(best.join(large.select("node", "n0", "n1"), "node").select("node", "feature", "cut", "category", "n0", "n1", "b0", "b1", F.lit(depth).alias("depth")))
+        moved = rows.join(best.select("node", "feature", "cut", "category"), "node")
+        side = F.when(_goes_above(numbers, kinds), "1").otherwise("0")
+        opened = stored(moved.withColumn("node", F.concat("node", side)).select(columns), "points")
+        depth += 1
+    inner = F.col("feature") >= 0
+    top = union_all(done).select(
+        "node", "depth", "feature", "cut", "category", F.when(inner, F.concat("node", F.lit("0"))).alias("below"), F.when(inner, F.concat("node", F.lit("1"))).alias("above"),
+        "n0", "n1", "b0", "b1", F.lit(None).cast("string").alias("root"), F.lit(False).alias("subtree"))
+    finished = union_all(small).groupBy("node").applyInPandas(_finisher(numbers, kinds, max_depth), NODES)
+    return stored(top.unionByName(finished), "tree")
+
+
+class _Walker:
+    """Flat arrays of nodes; walks rows from a root to where they end."""
+
+    def __init__(self, nodes, numbers: int):
+        import numpy as np
+
+        place = {n: i for i, n in enumerate(nodes["node"])}
+        self.numbers, self.names = numbers, nodes["node"].to_numpy()
+        self.root = int(nodes["depth"].to_numpy().argmin()) if len(nodes) else 0
+        self.feature, self.cut = nodes["feature"].to_numpy("int64").copy(), nodes["cut"].to_numpy("float64")
+        self.category = nodes["category"].to_numpy(dtype=object)
+        known = np.array([b in place for b in nodes["below"]], dtype=bool) if len(nodes) else np.zeros(0, bool)
+        self.feature[~known] = -1
+        self.below, self.above = (np.array([place.get(b, i) for i, b in enumerate(nodes[side])], dtype=np.int64) for side in ("below", "above"))
+        total = (nodes["n0"] + nodes["n1"]).to_numpy("float64")
+        self.chance = nodes["n1"].to_numpy("float64") / np.maximum(total, 1)
+
+    def ends(self, numbers: list, kinds: list):
+        import numpy as np
+
+        at = np.full(len((numbers + kinds)[0]), self.root, dtype=np.int64)
+        live = np.flatnonzero(self.feature[at] >= 0)
+        while len(live):
+            node = at[live]
+            feature = self.feature[node]
+            above = np.zeros(len(live), dtype=bool)
+            for f in np.unique(feature):
+                mine = feature == f
+                if f < self.numbers:
+                    values = numbers[f][live[mine]]
+                    above[mine] = (values > self.cut[node[mine]]) | np.isnan(values) & ~np.isnan(self.cut[node[mine]])
+                else:
+                    above[mine] = kinds[f - self.numbers][live[mine]] == self.category[node[mine]]
+            at[live] = np.where(above, self.above[node], self.below[node])
+            live = live[self.feature[at[live]] >= 0]
+        return at
+
+
+def _subtree_scorer(columns: list[str], names: list[str], kinds: list[str]):
+    """Rows sorted by (subtree, share, kind): the nodes of a subtree first, then its rows, which get their score."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        last, held, walker = None, [], None
+        for batch in batches:
+            frame = batch.to_pandas()
+            place = list(zip(frame["_subtree"], frame["_share"], frame["_kind"]))
+            cuts = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]] + [len(place)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if place[s][:2] != last:
+                    last, held, walker = place[s][:2], [], None
+                if place[s][2] == 0:
+                    held.append(pd.DataFrame(list(frame["_node"][s:e])))
+                    continue
+                if walker is None:
+                    walker = _Walker(pd.concat(held, ignore_index=True), len(names))
+                part = frame.iloc[s:e]
+                at = walker.ends([part[c].to_numpy("float64") for c in names], [part[c].to_numpy(dtype=object) for c in kinds])
+                slim = batch.slice(s, e - s).select(columns)
+                yield pa.RecordBatch.from_arrays([*slim.columns, pa.array(np.asarray(walker.chance[at]))], names=[*columns, "_chance"])
+    return run
 
 
 @dataclass
 class TreeModel:
     roles: Roles
     imputation: Imputation
-    pipeline: PipelineModel
-
-    @property
-    def tree(self):
-        return self.pipeline.stages[-1]
+    nodes: DataFrame
+    points: DataFrame  # distinct training values, for the list of encoded names
+    broadcast_nodes: int = BROADCAST_NODES
 
     def predict(self, frame: DataFrame) -> DataFrame:
         """Row id, date, actual, predicted, score (probability of class 1); columns beyond those are kept."""
-        scored = self.pipeline.transform(self.imputation.apply(frame))
         kept = [c for c in frame.columns if c not in self.roles.features and c != self.roles.target]
-        return scored.select(
-            *kept, F.col(self.roles.target).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"),
-            vector_to_array("probability")[1].alias("score"),
-        )
+        scored = self.scored(self.imputation.apply(frame))
+        return scored.select(*kept, F.col(self.roles.target).cast("int").alias("actual"), (F.col("_chance") > 0.5).cast("int").alias("predicted"), F.col("_chance").alias("score"))
+
+    def scored(self, ready: DataFrame) -> DataFrame:
+        """Imputed rows with ``_chance``."""
+        names, kinds = list(self.roles.numeric), list(self.roles.categorical)
+        inputs = [*[F.col(c).cast("double") for c in names], *[F.col(c) for c in kinds]]
+        context = ready.sparkSession.sparkContext
+
+        def pass_over(nodes: DataFrame, answer, kind):
+            shared = context.broadcast(_Walker(nodes.toPandas(), len(names)))
+
+            def walk(*columns):
+                import pandas as pd
+
+                walker = shared.value
+                at = walker.ends([c.to_numpy("float64") for c in columns[: len(names)]], [c.to_numpy(dtype=object) for c in columns[len(names):]])
+                return pd.Series(answer(walker)[at])
+
+            return F.pandas_udf(walk, kind)(*inputs)
+
+        if self.nodes.count() <= self.broadcast_nodes:
+            return ready.withColumn("_chance", pass_over(self.nodes, lambda w: w.chance, T.DoubleType()))
+        # the top is about two nodes for every LOCAL points of the training set
+        top = self.nodes.where("root is null or subtree")
+        placed = stored(ready.withColumn("_subtree", pass_over(top, lambda w: w.names, T.StringType())), "placed")
+        roots = self.nodes.where("subtree").select(F.col("node").alias("_subtree"))
+        loads = placed.groupBy("_subtree").agg(F.count(F.lit(1)).alias("_rows")).select("_subtree", F.ceil(F.col("_rows") / SHARE_ROWS).cast("int").alias("_shares"))
+        leaves = self.nodes.where("root is null").select(F.col("node").alias("_subtree"), (F.col("n1") / (F.col("n0") + F.col("n1"))).alias("_chance"))
+        at_top = placed.join(leaves, "_subtree").drop("_subtree")
+        spread = loads.join(roots, "_subtree")
+        inside = placed.join(spread, "_subtree").withColumn("_share", F.floor(F.rand(1) * F.col("_shares")).cast("int")).drop("_shares")
+        inside = inside.withColumns({c: F.col(c).cast("double") for c in names})
+        parts = self.nodes.where("root is not null").select(F.col("root").alias("_subtree"), F.struct("node", "depth", "feature", "cut", "category", "below", "above", "n0", "n1").alias("_node"))
+        parts = parts.join(spread, "_subtree").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+        both = inside.withColumn("_kind", F.lit(1)).unionByName(parts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        order = ["_subtree", "_share", "_kind"]
+        schema = T.StructType([*[T.StructField(f.name, T.DoubleType() if f.name in names else f.dataType) for f in ready.schema.fields], T.StructField("_chance", T.DoubleType())])
+        found = both.repartition("_subtree", "_share").sortWithinPartitions(*order).mapInArrow(_subtree_scorer(ready.columns, names, kinds), schema)
+        return found.unionByName(at_top.withColumns({c: F.col(c).cast("double") for c in names}))
 
     def shape(self) -> dict[str, int]:
-        return {"depth": self.tree.depth, "nodes": self.tree.numNodes}
+        row = self.nodes.agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes")).first()
+        return {"depth": row["depth"], "nodes": row["nodes"]}
 
-    def encoded_names(self) -> list[tuple[str, str]]:
-        """(encoded name, original column) in vector order; the origin is carried, not guessed from the name."""
-        names = [(c, c) for c in self.roles.numeric]
+    def encoded_names(self) -> DataFrame:
+        """(feature, category, name, origin) of every encoded column; the origin is carried, not guessed from the name."""
+        numbers = len(self.roles.numeric)
+        rows = [(i, None, c, c) for i, c in enumerate(self.roles.numeric)]
+        names = self.nodes.sparkSession.createDataFrame(rows, "feature int, category string, name string, origin string")
         if self.roles.categorical:
-            for column, labels in zip(self.roles.categorical, self.pipeline.stages[0].labelsArray):
-                names += [(f"{column}_{label}", column) for label in labels]
+            pairs = F.inline(F.array(*[F.struct(F.lit(numbers + i).alias("feature"), F.col(f"c{i}").alias("category"), F.lit(c).alias("origin"))
+                                       for i, c in enumerate(self.roles.categorical)]))
+            words = self.points.select(pairs).distinct()
+            names = names.unionByName(words.select("feature", "category", F.concat("origin", F.lit("_"), "category").alias("name"), "origin"))
         return names
 
     def importances(self) -> DataFrame:
-        """One row per encoded feature (as many as the model has)."""
-        weights = self.tree.featureImportances.toArray()
-        rows = [(n, o, float(w)) for (n, o), w in zip(self.encoded_names(), weights)]
-        return self.spark.createDataFrame(rows, "feature string, origin string, importance double")
-
-    @property
-    def spark(self):
-        from pyspark.sql import SparkSession
-
-        return SparkSession.active()
+        """One row per encoded feature (as many as the training set has): its share of the tree's impurity decrease."""
+        before = F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))
+        after = _cost(F.col("b0"), F.col("b1"), F.col("n0") - F.col("b0"), F.col("n1") - F.col("b1"))
+        gains = self.nodes.where("feature >= 0").groupBy("feature", "category").agg(F.sum(before - after).alias("gain"))
+        names = self.encoded_names()
+        gained = names.join(gains, (names["feature"] == gains["feature"]) & names["category"].eqNullSafe(gains["category"]), "left").select(
+            F.col("name").alias("feature"), "origin", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+        whole = gains.agg(F.sum("gain").alias("whole"))  # one row
+        return gained.join(F.broadcast(whole)).select("feature", "origin", F.coalesce(F.col("gain") / F.when(F.col("whole") > 0, F.col("whole")), F.lit(0.0)).alias("importance"))
 
 
-def fit_tree(train: DataFrame, roles: Roles, max_depth: int = 30, max_bins: int = 256, seed: int = 42) -> TreeModel:
-    """Gini tree. MLlib stops at depth 30 and cuts at quantile bins; everything is fitted on ``train`` only."""
+def fit_tree(train: DataFrame, roles: Roles, max_depth: int | None = None, local: int = LOCAL) -> TreeModel:
+    """Gini tree; everything is fitted on ``train`` only. Rows without a class are left out."""
     imputation = fit_imputation(train, roles)
-    target = f"{roles.target}_double"
-    classifier = DecisionTreeClassifier(
-        featuresCol="features", labelCol=target, impurity="gini", maxDepth=max_depth, maxBins=max_bins,
-        minInstancesPerNode=1, seed=seed, maxMemoryInMB=1024,
-    )
-    ready = imputation.apply(train).withColumn(target, F.col(roles.target).cast("double"))
-    pipeline = Pipeline(stages=[*encoding_stages(roles), classifier]).fit(ready)
-    return TreeModel(roles, imputation, pipeline)
+    points = stored(_points(imputation.apply(train), roles), "points")
+    return TreeModel(roles, imputation, grow_nodes(points, len(roles.numeric), len(roles.categorical), max_depth, local), points)
 
 
 def top_importances(importances: DataFrame, size: int = 15) -> DataFrame:
@@ -81,7 +373,7 @@ def importance_by_column(importances: DataFrame) -> DataFrame:
     return importances.groupBy(F.col("origin").alias("feature")).agg(F.sum("importance").alias("importance"))
 
 
-def ablation(train: DataFrame, test: DataFrame, variants: Mapping[str, Roles], max_depth: int = 30) -> DataFrame:
+def ablation(train: DataFrame, test: DataFrame, variants: Mapping[str, Roles], max_depth: int | None = None) -> DataFrame:
     """The same split, one tree per feature set; one metric row each."""
     rows = []
     for name, roles in variants.items():

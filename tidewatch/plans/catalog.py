@@ -29,6 +29,8 @@ def bind(sql: str) -> str:
     used = [v for v in VIEWS if v in sql]
     prefix = with_views(*used) if used else ""
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE " and prefix:
+        return f"WITH RECURSIVE {prefix[5:]},\n{body[15:]}"
     if body[:5].upper() == "WITH " and prefix:
         return f"{prefix},\n{body[5:]}"
     return f"{prefix}\n{body}"
