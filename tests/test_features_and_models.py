@@ -84,8 +84,8 @@ def test_rows_without_a_model_stay(spark, flows):
     days = sorted(r[0] for r in keyed.select("day").distinct().collect())[:3]
     model = forest.fit_forest(keyed.where(F.col("day").isin(days)), ROLES, trees=20, group="day")
     tried = []
-    for size in (1, 8):
-        model.models_per_pass = size
+    for size in (1, 8):  # by a shuffle and by a broadcast
+        model.broadcast_models = size
         tried.append(sorted((r["flow_row_id"], r["score"]) for r in model.score(keyed, "day").select("flow_row_id", "score").collect()))
     assert tried[0] == tried[1] and len(tried[0]) == flows.count()
     assert sum(score is None for _, score in tried[0]) == keyed.where(~F.col("day").isin(days)).count()
@@ -154,7 +154,7 @@ def test_tree_and_importances(spark, flows):
     weights = tree.importance_by_column(model.importances())
     assert weights.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
     assert {r["feature"] for r in weights.collect()} == {"a", "b", "k"}
-    assert len(model.encoded_names()) == model.pipeline.stages[-1].numFeatures
+    assert {r['name'] for r in model.encoded_names().collect()} == {'a', 'b', 'k_odd', 'k_k0', 'k_k1', 'k_k2'}
     assert {r["features"] for r in tree.ablation(flows, flows, {"all": ROLES, "numbers": ROLES.without("k")}).collect()} == {3, 2}
     daily = rolling.frozen_model_daily(model, flows.where("flow_row_id >= 1600"))
     assert daily["overall"].first()["roc_auc"] == 1.0

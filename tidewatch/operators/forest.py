@@ -1,30 +1,38 @@
 """Isolation forest (Liu, Ting and Zhou 2008) as Spark jobs.
 
-Fitting: one hashed scan picks about 1.5 x 256 rows per tree by one rule for every size, one small shuffle brings each tree's sample
-together, and every tree grows in its own group of at most 256 rows. The model is a node table. Scoring is a
-vectorised pass with the nodes broadcast (at most trees x 511 rows per model). ``group`` fits one forest per
-value of a column with few values (folds) in the same jobs.
+Every draw is an md5 of (seed, tree, row) or (seed, tree, node), so neither partitions nor engines matter and SQL can repeat a forest.
 
-Random choices depend on (seed, row id, tree) only, never on partitions.
+Fitting: a row has a key between 0 and 1 for every tree, and a tree's sample is the ``sample`` rows with the smallest keys. Such samples
+can be merged: those of nested sets of rows (the expanding past of a rolling evaluation) all come from one pass over the rows, in which a
+row is a candidate only if its key is small enough for the smallest set it belongs to. Every tree grows in its own group of candidates.
+The model is a node table: nodes are numbered from 1 at the root, node k has the children 2 k and 2 k + 1. Path lengths are kept in
+whole millionths, so their sums, and equal scores, don't depend on the order of summation.
+
+Scoring: a few models (counted) go to the tasks; with more of them, rows meet the nodes of their model by one shuffle, in as many shares
+as a model has rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.ordering import prefix_quantiles
 from tidewatch.operators.prep import category_codes, medians
 from tidewatch.roles import Roles
 from tidewatch.sources.tables import stored
 
 GROUP = "_model"
 ALL = "all"
-NODES = "model string, tree int, node int, feature int, cut double, code long, below int, above int, path double, sample int"
+UNIT = 1_000_000  # path lengths are whole numbers of 1 / UNIT
+SPARE = 1.5  # candidates per wanted row; fewer than 1 has no chance at 256 rows and is made up for
+SHARE_ROWS = 1 << 18  # rows of one model that one task scores
+NODES = "model string, tree int, node int, feature int, cut double, category string, path long, sample int"
 
 
 def with_group(frame: DataFrame, group: str | None) -> DataFrame:
@@ -45,107 +53,145 @@ def with_fills(frame: DataFrame, fills: dict[str, dict[str, float]], models: Seq
     return filled.drop(*[f"_fill_{i}" for i in range(len(columns))])
 
 
-def tree_samples(rows: DataFrame, row_id: str, sizes: dict[str, int], trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` distinct rows per (group, tree), or all rows of a group that has fewer.
+def draw(*parts) -> Column:
+    """A number from 0 to 1 out of the first 13 hex digits of an md5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
-    One rule for every size: a row enters a tree if its hash for that tree lies below a rate that gives about
-    1.5 x sample rows per tree; of those the ``sample`` smallest keys win. Where the rates of all trees add up to
-    less than one, a first hash skips most rows, so the volume after the filter does not grow with the table.
-    """
-    plans = []
-    for name, n in sizes.items():
-        rate = min(1.0, 1.5 * sample / n)
-        any_tree = min(1.0, trees * rate)
-        plans.append((name, any_tree, rate / any_tree))
-    plan = rows.sparkSession.createDataFrame(plans, f"{GROUP} string, _any double, _rate double")
-
-    def luck(*parts) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 31)) / F.lit(float(1 << 31))
-
-    drawn = rows.join(F.broadcast(plan), GROUP).where(luck(F.lit("any"), F.col(row_id)) < F.col("_any"))  # one row per model
-    entered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: luck(F.lit("tree"), tree, F.col(row_id)) < F.col("_rate"))
-    placed = drawn.withColumn("tree", F.explode(entered)).drop("_any", "_rate")
-    keyed = placed.withColumn("_key", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id)))
+
+def tree_key(seed: int, trees: int, tree: Column, row_id: str) -> Column:
+    """The key of a row for a tree. Keys below 1 / trees follow from one draw for all trees, so most rows of a large table need no other."""
+    own = draw(F.lit(seed), tree, row_id)
+    return F.when(own < 1.0 / trees, _any_key(seed, trees, row_id)).otherwise(own)
+
+
+def _any_key(seed: int, trees: int, row_id: str) -> Column:
+    return draw(F.lit(seed), F.lit("any"), row_id) / trees
+
+
+def candidates(rows: DataFrame, group: str, row_id: str, limits: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(tree, _key) for every row and tree whose key lies below the ``_limit`` of the row's group (one row per group)."""
+    near = rows.join(F.broadcast(limits), group).where((F.col("_limit") >= 1.0 / trees) | (_any_key(seed, trees, row_id) < F.col("_limit")))
+    placed = near.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return placed.withColumn("_key", tree_key(seed, trees, F.col("tree"), row_id)).where(F.col("_key") < F.col("_limit")).drop("_limit")
+
+
+def tree_samples(rows: DataFrame, row_id: str, sizes: dict[str, int], trees: int, sample: int, seed: int) -> DataFrame:
+    """The ``sample`` rows with the smallest keys per (group, tree), or all rows of a group that has fewer, with ``_rank``. Stored."""
     order = Window.partitionBy(GROUP, "tree").orderBy("_key", row_id)
-    return keyed.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= sample)
+    spare, wanted = SPARE, {g: min(sample, n) for g, n in sizes.items()}
+    while True:
+        limits = rows.sparkSession.createDataFrame([(g, _limit(spare, sample, n)) for g, n in sizes.items()], f"{GROUP} string, _limit double")
+        drawn = candidates(rows, GROUP, row_id, limits, trees, seed).withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= sample)
+        drawn = stored(drawn, "samples")
+        met = drawn.groupBy(GROUP, "tree").agg(F.max("_rank").alias("n")).groupBy(GROUP).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("trees")).collect()  # one row per model
+        if spare >= 1e6 or {r[GROUP]: (r["n"], r["trees"]) for r in met} == {g: (n, trees) for g, n in wanted.items()}:
+            return drawn
+        spare *= 8
 
 
-def _grower(numeric: Sequence[str], codes: Sequence[str], seed: int):
-    """Grows one tree from its sample."""
+def _limit(spare: float, sample: int, n: int) -> float:
+    return min(2.0, spare * sample / n)
 
-    def grow(key, pdf):
-        import math
 
-        import numpy as np
-        import pandas as pd
+def expected_path(m: int) -> float:
+    if m <= 1:
+        return 0.0
+    return 1.0 if m == 2 else 2.0 * (math.log(m - 1.0) + 0.5772156649015329) - 2.0 * (m - 1.0) / m
 
-        def expected_path(m: int) -> float:
-            if m <= 1:
-                return 0.0
-            return 1.0 if m == 2 else 2.0 * (math.log(m - 1.0) + np.euler_gamma) - 2.0 * (m - 1.0) / m
 
-        pdf = pdf.drop_duplicates("_rank").sort_values("_rank")
+def _grow(values, words, model: str, tree: int, seed: int) -> list[tuple]:
+    """The nodes of one tree over its sample: numeric values and category words, a row each."""
+    import hashlib
+
+    import numpy as np
+
+    def chance(node: int, what: str) -> float:
+        return int(hashlib.md5(f"{seed}|{tree}|{node}|{what}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+    n, numbers = len(words), values.shape[1]
+    limit = math.ceil(math.log2(max(n, 2)))
+    out, pending = [], [(1, np.arange(n), 0)]
+    while pending:
+        node, rows, depth = pending.pop()
+        choices = []
+        if depth < limit and len(rows) > 1:
+            low, high = (values[rows].min(axis=0), values[rows].max(axis=0)) if numbers else ([], [])
+            choices = [(j, None) for j in range(numbers) if high[j] > low[j]]
+            for j in range(words.shape[1]):
+                present = sorted(set(words[rows, j]))
+                if len(present) > 1:
+                    choices += [(numbers + j, w) for w in present]
+        if not choices:
+            out.append((model, tree, node, -1, 0.0, None, round((depth + expected_path(len(rows))) * UNIT), n))
+            continue
+        feature, word = choices[int(chance(node, "feature") * len(choices))]
+        cut = 0.0
+        if feature < numbers:
+            cut = float(low[feature] + chance(node, "cut") * (high[feature] - low[feature]))
+            if not cut < high[feature]:  # rounded up to the upper end, or not finite
+                cut = float(low[feature])
+            right = values[rows, feature] > cut
+        else:
+            right = words[rows, feature - numbers] == word
+        out.append((model, tree, node, feature, cut, word, 0, n))
+        pending += [(2 * node, rows[~right], depth + 1), (2 * node + 1, rows[right], depth + 1)]
+    return out
+
+
+def _grower(numeric: Sequence[str], categories: Sequence[str], seed: int, sample: int, folds: Sequence[tuple] | None = None):
+    """Grows the tree of a group's sample; or of every fold (name, last segment, fill values) out of candidates with a ``_segment``."""
+
+    def grow(key, pdf):
+        import pandas as pd
+
         values = pdf[list(numeric)].to_numpy(dtype="float64")
-        kinds = pdf[list(codes)].to_numpy(dtype="int64")
-        model, tree = key[0], int(key[1])
-        entropy = [seed, tree, *model.encode()]
-        rng = np.random.default_rng(entropy)
-        limit = math.ceil(math.log2(max(len(pdf), 2)))
-        out = []
-        pending = [(0, np.arange(len(pdf)), 0)]
-        count = 1
-        while pending:
-            node, rows, depth = pending.pop()
-            choices = []
-            if depth < limit and len(rows) > 1:
-                low, high = (values[rows].min(axis=0), values[rows].max(axis=0)) if len(numeric) else ([], [])
-                choices = [(j, 0) for j in range(len(numeric)) if high[j] > low[j]]
-                for j in range(len(codes)):
-                    present = np.unique(kinds[rows, j])
-                    if len(present) > 1:
-                        choices += [(len(numeric) + j, c) for c in present]
-            if not choices:
-                out.append((model, tree, node, -1, 0.0, 0, node, node, depth + expected_path(len(rows)), len(pdf)))
-                continue
-            feature, code = choices[rng.integers(len(choices))]
-            cut = 0.5
-            if feature < len(numeric):
-                cut = rng.uniform(low[feature], high[feature])
-                right = values[rows, feature] > cut
-                if not right.any():  # the draw hit the upper end
-                    right = values[rows, feature] >= high[feature]
-                    cut = np.nextafter(high[feature], low[feature])
-            else:
-                right = kinds[rows, feature - len(numeric)] == code
-            out.append((model, tree, node, feature, float(cut), int(code), count, count + 1, 0.0, len(pdf)))
-            pending += [(count, rows[~right], depth + 1), (count + 1, rows[right], depth + 1)]
-            count += 2
-        names = ["model", "tree", "node", "feature", "cut", "code", "below", "above", "path", "sample"]
-        return pd.DataFrame(out, columns=names)
+        words = pdf[list(categories)].to_numpy(dtype=object).reshape(len(pdf), len(categories))
+        if folds is None:
+            first = pdf["_rank"].drop_duplicates().sort_values().index
+            out = _grow(values[first], words[first], key[0], int(key[1]), seed)
+        else:
+            import numpy as np
+
+            order = pdf.sort_values(["_key", "_id"]).drop_duplicates(["_key", "_id"]).index.to_numpy()
+            segment, out = pdf["_segment"].to_numpy(), []
+            for name, last, fills in folds:
+                rows = order[segment[order] <= last][:sample]
+                if len(rows):
+                    own = values[rows]
+                    out += _grow(np.where(np.isnan(own), np.array(fills), own), words[rows], name, int(key[0]), seed)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
 
     return grow
 
 
-def _scorer(model_arrays, n_numeric: int):
-    """Mean path length of a batch over all trees of each row's model."""
+def _walk(values, kinds, m, n_numeric: int):
+    """Score of a batch: from the mean path length over all trees of one model."""
+    import numpy as np
 
-    def walk(values, kinds, m):
-        import numpy as np
+    rows = np.arange(len(values))[:, None]
+    state = np.broadcast_to(m["roots"], (len(values), len(m["roots"]))).copy()
+    for _ in range(int(m["depth"])):
+        feature = m["feature"][state]
+        number = np.maximum(np.minimum(feature, n_numeric - 1), 0)
+        kind = np.maximum(feature - n_numeric, 0)
+        right = feature >= n_numeric
+        if kinds.shape[1]:
+            right &= kinds[rows, kind] == m["code"][state]
+        if n_numeric:
+            right |= (feature >= 0) & (feature < n_numeric) & (values[rows, number] > m["cut"][state])
+        state = np.where(right, m["above"][state], m["below"][state])
+    return np.exp2(-m["path"][state].sum(axis=1) / (len(m["roots"]) * UNIT) / m["norm"]) - 0.5
+
+
+def _walk_all(values, kinds, m, n_numeric: int):
+    import numpy as np
 
-        rows = np.arange(len(values))[:, None]
-        state = np.broadcast_to(m["roots"], (len(values), len(m["roots"]))).copy()
-        for _ in range(int(m["depth"])):
-            feature = m["feature"][state]
-            number = np.maximum(np.minimum(feature, n_numeric - 1), 0)
-            kind = np.maximum(feature - n_numeric, 0)
-            right = feature >= n_numeric
-            if kinds.shape[1]:
-                right &= kinds[rows, kind] == m["code"][state]
-            if n_numeric:
-                right |= (feature >= 0) & (feature < n_numeric) & (values[rows, number] > m["cut"][state])
-            state = np.where(right, m["above"][state], m["below"][state])
-        return np.exp2(-m["path"][state].mean(axis=1) / m["norm"]) - 0.5
+    parts = [_walk(values[s: s + 2048], kinds[s: s + 2048], m, n_numeric) for s in range(0, len(values), 2048)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
+
+def _scorer(model_arrays, n_numeric: int):
     def score(model, *columns):
         import numpy as np
         import pandas as pd
@@ -159,14 +205,42 @@ def _scorer(model_arrays, n_numeric: int):
         for name in pd.unique(names):
             if name in arrays:
                 where = np.flatnonzero(names == name)
-                for start in range(0, len(where), 2048):
-                    part = where[start:start + 2048]
-                    out[part] = walk(values[part], kinds[part], arrays[name])
+                out[where] = _walk_all(values[where], kinds[where], arrays[name], n_numeric)
         return pd.Series(out)
 
     return score
 
 
+def _meeting(kept: list[str], numbers: list[str], codes: list[str], output: str):
+    """Rows sorted by (model, share, kind): the nodes of a model first, then its rows, which get their score."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        last, held, model = None, [], None
+        for batch in batches:
+            frame = batch.select([GROUP, "_share", "_kind"]).to_pandas()
+            place = list(zip(*(frame[c] for c in frame.columns)))
+            cuts = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]] + [len(place)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(s, e - s)
+                if place[s][:2] != last:
+                    last, held, model = place[s][:2], [], None
+                if place[s][2] == 0:
+                    held += part.column(part.schema.get_field_index("_node")).to_pylist()
+                    continue
+                if model is None:
+                    model = _arrays(pd.DataFrame(held).assign(model=last[0]))[last[0]]
+                columns = {c: part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in numbers + codes}
+                values = np.column_stack([columns[c].astype("float64") for c in numbers]) if numbers else np.zeros((e - s, 0))
+                kinds = np.column_stack([columns[c].astype("int64") for c in codes]) if codes else np.zeros((e - s, 0), "int64")
+                slim = part.select(kept)
+                yield pa.RecordBatch.from_arrays([*slim.columns, pa.array(_walk_all(values, kinds, model, len(numbers)))], names=[*kept, output])
+    return run
+
+
 @dataclass
 class ForestModel:
     """Node table plus the fitted fill values; save it by writing ``nodes``."""
@@ -175,29 +249,38 @@ class ForestModel:
     fills: dict[str, dict[str, float]]  # column -> model -> median
     nodes: DataFrame
     models: list[str]
-    models_per_pass: int = 8
+    broadcast_models: int = 8
 
     def score(self, frame: DataFrame, group: str | None = None, output: str = "score") -> DataFrame:
-        """Adds the anomaly score; positive is anomalous under the automatic threshold, NULL means that the row has no model.
-
-        Models are broadcast a few at a time, so memory does not grow with their number.
-        """
+        """Adds the anomaly score; positive is anomalous under the automatic threshold, NULL means that the row has no model."""
         keyed = with_group(frame, group)
         numbers = [f"_num_{i}" for i in range(len(self.roles.numeric))]
-        passes = [self.models[i:i + self.models_per_pass] for i in range(0, len(self.models), self.models_per_pass)]
-        parts = []
-        for names in passes:
-            arrays = frame.sparkSession.sparkContext.broadcast(_arrays(self.nodes.where(F.col("model").isin(names)).toPandas()))
-            rows = with_fills(keyed.where(F.col(GROUP).isin(names)), self.fills, names, numbers)
+        known = F.coalesce(F.col(GROUP).isin(self.models), F.lit(False))
+        rows = with_fills(keyed.where(known), self.fills, self.models, numbers)
+        codes = [F.xxhash64(F.coalesce(F.col("category"), F.lit("missing"))).alias("code")]  # as category_codes does
+        nodes = self.nodes.select("model", "tree", "node", "feature", "cut", *codes, "path", "sample")
+        if len(self.models) <= self.broadcast_models:
+            arrays = frame.sparkSession.sparkContext.broadcast(_arrays(nodes.toPandas()))  # at most trees x 2 x sample rows a model
             udf = F.pandas_udf(_scorer(arrays, len(numbers)), T.DoubleType())
             inputs = [F.col(GROUP), *[F.col(n) for n in numbers], *category_codes(self.roles.categorical)]
-            parts.append(rows.withColumn(output, udf(*inputs)).drop(GROUP, *numbers))
+            scored = rows.withColumn(output, udf(*inputs)).drop(GROUP, *numbers)
+        else:
+            scored = self._met(rows, nodes, numbers, frame, output)
         # rows without a model stay, with a NULL score
-        known = F.coalesce(F.col(GROUP).isin(self.models), F.lit(False))
-        whole = keyed.where(~known).withColumn(output, F.lit(None).cast("double")).drop(GROUP)
-        for part in parts:
-            whole = whole.unionByName(part)
-        return whole
+        return scored.unionByName(keyed.where(~known).withColumn(output, F.lit(None).cast("double")).drop(GROUP))
+
+    def _met(self, rows: DataFrame, nodes: DataFrame, numbers: list[str], frame: DataFrame, output: str) -> DataFrame:
+        codes = [f"_code_{i}" for i in range(len(self.roles.categorical))]
+        loads = {r[GROUP]: r["n"] for r in rows.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per model
+        shares = frame.sparkSession.createDataFrame([(m, math.ceil(n / SHARE_ROWS)) for m, n in loads.items()], f"{GROUP} string, _shares int")
+        coded = rows.withColumns(dict(zip(codes, category_codes(self.roles.categorical))))
+        dealt = coded.join(F.broadcast(shares), GROUP).withColumn("_share", F.pmod(F.xxhash64(self.roles.row_id), F.col("_shares")).cast("int")).drop("_shares")
+        sent = nodes.select(F.col("model").alias(GROUP), F.struct("tree", "node", "feature", "cut", "code", "path", "sample").alias("_node")).join(F.broadcast(shares), GROUP)
+        sent = sent.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+        both = dealt.withColumn("_kind", F.lit(1)).unionByName(sent.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        place = [GROUP, "_share"]
+        schema = T.StructType([*frame.schema.fields, T.StructField(output, T.DoubleType())])
+        return both.repartition(*place).sortWithinPartitions(*place, "_kind").mapInArrow(_meeting(frame.columns, numbers, codes, output), schema)
 
 
 def _arrays(nodes) -> dict:
@@ -206,20 +289,23 @@ def _arrays(nodes) -> dict:
 
     result = {}
     for name, part in nodes.sort_values(["tree", "node"]).groupby("model"):
-        tree = part["tree"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
-        offset = np.repeat(starts, np.diff(np.r_[starts, len(tree)]))
+        tree, node, feature = (part[c].to_numpy("int64") for c in ("tree", "node", "feature"))
+        place = tree * (1 << 40) + node  # sorted
+        children = [np.minimum(np.searchsorted(place, tree * (1 << 40) + 2 * node + side), len(place) - 1) for side in (0, 1)]
+        below, above = (np.where(feature >= 0, c, np.arange(len(place))) for c in children)
         m = int(part["sample"].max())
-        norm = 1.0 if m == 2 else 2.0 * (math.log(max(m - 1.0, 1e-9)) + np.euler_gamma) - 2.0 * (m - 1.0) / m
         result[name] = {
-            "roots": starts, "feature": part["feature"].to_numpy("int32"), "cut": part["cut"].to_numpy("float64"),
-            "code": part["code"].to_numpy("int64"), "below": part["below"].to_numpy("int64") + offset,
-            "above": part["above"].to_numpy("int64") + offset, "path": part["path"].to_numpy("float64"),
-            "norm": norm if m > 1 else 1.0, "depth": max(1, math.ceil(math.log2(max(m, 2)))),
+            "roots": np.flatnonzero(node == 1), "feature": feature.astype("int32"), "cut": part["cut"].to_numpy("float64"),
+            "code": part["code"].to_numpy("int64"), "below": below, "above": above, "path": part["path"].to_numpy("int64"),
+            "norm": expected_path(m) if m > 1 else 1.0, "depth": max(1, math.ceil(math.log2(max(m, 2)))),
         }
     return result
 
 
+def _words(roles: Roles) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(f"word_{c}") for c in roles.categorical]
+
+
 def fit_forest(train: DataFrame, roles: Roles, trees: int = 200, sample: int = 256, seed: int = 42, group: str | None = None) -> ForestModel:
     """One forest per group value; medians are fitted on the group's own rows. The node table is stored in the shared folder."""
     keyed = with_group(train, group).select(GROUP, roles.row_id, *roles.features)
@@ -234,11 +320,55 @@ def fit_forest(train: DataFrame, roles: Roles, trees: int = 200, sample: int = 2
         for name in sizes:
             fills[column].setdefault(name, 0.0)
     names = [f"num_{i}" for i in range(len(roles.numeric))]
-    codes = [f"code_{c}" for c in roles.categorical]
-    ready = with_fills(keyed, fills, sorted(sizes), names).select(GROUP, roles.row_id, *names, *category_codes(roles.categorical))
+    words = _words(roles)
+    ready = with_fills(keyed, fills, sorted(sizes), names).select(GROUP, roles.row_id, *names, *words)
     drawn = tree_samples(ready, roles.row_id, sizes, trees, sample, seed)
-    nodes = stored(drawn.groupBy(GROUP, "tree").applyInPandas(_grower(names, codes, seed), NODES), "forest")
-    return ForestModel(roles, fills, nodes, sorted(sizes))
+    grown = drawn.groupBy(GROUP, "tree").applyInPandas(_grower(names, [f"word_{c}" for c in roles.categorical], seed, sample), NODES)
+    return ForestModel(roles, fills, stored(grown, "forest"), sorted(sizes))
+
+
+def fit_forest_prefixes(
+    rows: DataFrame, roles: Roles, segment: str, folds: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42
+) -> ForestModel:
+    """One forest per fold of an expanding past; the same forests as ``fit_forest`` on every fold's rows, from one pass over the rows.
+
+    ``segment`` is the number of the first fold that a row belongs to (NULL: none); it belongs to all later folds. Samples and value
+    counts are kept per segment and merged along the folds, so no row is repeated for later folds.
+    """
+    ids, words = roles.row_id, _words(roles)
+    names = [f"num_{i}" for i in range(len(roles.numeric))]
+    slim = rows.where(F.col(segment).isNotNull()).select(
+        F.col(segment).cast("int").alias("_segment"), ids, *[F.col(c).cast("double").alias(n) for c, n in zip(roles.numeric, names)], *words)
+    counts = {r["_segment"]: r["n"] for r in slim.groupBy("_segment").agg(F.count("*").alias("n")).collect()}  # one row per fold
+    sizes, total = {}, 0
+    for k in range(len(folds)):
+        total += counts.get(k, 0)
+        sizes[k] = total
+    models = {folds[k]: k for k, n in sizes.items() if n}
+    if not models:
+        raise ValueError("no rows to fit a forest on")
+    fills: dict[str, dict[str, float]] = {c: {m: 0.0 for m in models} for c in roles.numeric}
+    if names:
+        for r in prefix_quantiles(slim, names, 0.5, "_segment", list(models.values())).collect():  # one row per fold and column
+            if r["value"] is not None:
+                fills[roles.numeric[names.index(r["feature"])]][folds[r["fold"]]] = r["value"]
+    plan = [(m, k, [fills[c][m] for c in roles.numeric]) for m, k in models.items()]
+    spare = SPARE
+    while True:
+        limits = rows.sparkSession.createDataFrame([(k, _limit(spare, sample, n)) for k, n in sizes.items() if n], "_segment int, _limit double")
+        drawn = stored(candidates(slim, "_segment", ids, limits, trees, seed), "candidates")
+        met = {(r["tree"], r["_segment"]): r["n"] for r in drawn.groupBy("tree", "_segment").agg(F.countDistinct(ids).alias("n")).collect()} if spare < 1e6 else {}
+        through = [0] * trees
+        enough = True
+        for k, n in sizes.items():
+            through = [x + met.get((tree, k), 0) for tree, x in enumerate(through)]
+            enough &= not n or min(through) >= min(sample, n)
+        if enough or spare >= 1e6:
+            break
+        spare *= 8
+    grower = _grower(names, [f"word_{c}" for c in roles.categorical], seed, sample, plan)
+    grown = drawn.withColumn("_id", F.col(ids)).drop(ids).groupBy("tree").applyInPandas(grower, NODES)
+    return ForestModel(roles, fills, stored(grown, "forest"), sorted(models))
 
 
 def automatic_flag(score: Column) -> Column:

@@ -143,6 +143,40 @@ def quantiles(
     return quantiles_of(value_counts(frame, columns, groups=groups), ["all"], shares, groups)
 
 
+def prefix_quantiles(frame: DataFrame, columns: Sequence[str], share: float, segment: str, folds: Sequence[int]) -> DataFrame:
+    """(feature, fold, value): the exact quantile of each column over the rows whose ``segment`` is at most ``fold``, for every fold.
+
+    Values are counted once, per segment. Counts of value ranges are summed up along the folds (ranges x folds rows), which tells the
+    ranges that hold a fold's wanted ranks; only the values of those are joined with their folds.
+    """
+    counted = value_counts(frame, columns, groups=[segment]).where(F.col("value").isNotNull())
+    steps = frame.sparkSession.createDataFrame([(f,) for f in folds], "fold int")  # one row per fold
+    ranges = counted.groupBy("feature", BUCKET, segment).agg(F.sum("_c_all").alias("_n"))
+    grid = ranges.select("feature", BUCKET).distinct().join(F.broadcast(steps))
+    # a segment counts from the first fold at or after it
+    first = ranges.join(F.broadcast(steps), F.col("fold") >= F.col(segment)).groupBy("feature", BUCKET, segment, "_n").agg(F.min("fold").alias("fold"))
+    first = first.groupBy("feature", BUCKET, "fold").agg(F.sum("_n").alias("_n"))
+    along = Window.partitionBy("feature", BUCKET).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    totals = grid.join(first, ["feature", BUCKET, "fold"], "left").withColumn("_n", F.coalesce(F.sum("_n").over(along), F.lit(0)))
+    keys = ["feature", "fold"]
+    upto = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = totals.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))}).where(F.col("_all") > 0)
+    position = F.lit(float(share)) * (F.col("_all") - 1)
+    ranked = ranked.withColumns({"_at": position, "_before": F.col("_upto") - F.col("_n")})
+    held = (F.col("_n") > 0) & (F.col("_before") <= F.ceil("_at")) & (F.col("_upto") > F.floor("_at"))
+    wanted = ranked.where(held).select(*keys, BUCKET, "_at", "_before")
+    near = counted.join(wanted, ["feature", BUCKET]).where(F.col(segment) <= F.col("fold"))
+    merged = near.groupBy(*keys, BUCKET, "_at", "_before", "value").agg(F.sum("_c_all").alias("_c"))
+    inside = Window.partitionBy(*keys, BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    through = merged.withColumn("_through", F.col("_before") + F.sum("_c").over(inside))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_through") > rank) & (F.col("_through") - F.col("_c") <= rank), F.col("value")))
+
+    ends = through.groupBy(*keys, "_at").agg(at(F.floor("_at")).alias("_low"), at(F.ceil("_at")).alias("_high"))
+    return ends.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("value"))
+
+
 def rank_cutoffs(
     rows: DataFrame,
     levels: Mapping[str, Column],

@@ -22,6 +22,8 @@ from tidewatch.sources.tables import stored
 
 # a fit function takes (rows, roles, group column or None) and returns a model with .score(frame, group)
 Fit = Callable[[DataFrame, Roles, str | None], object]
+# a prefix fit takes (rows, roles, segment column, folds): a row belongs to its segment's fold and all later ones
+PrefixFit = Callable[[DataFrame, Roles, str, Sequence[str]], object]
 
 
 keep = stored
@@ -58,20 +60,11 @@ def calibrated_detector(benign_fit: DataFrame, calibration: DataFrame, test: Dat
     }
 
 
-def fold_rows(flows: DataFrame, roles: Roles, ts: str) -> DataFrame:
-    """Every fold's rows: the benign past as fit / calibrate, the fold's day as test (all classes). Target is 0/1."""
-    folds = splits.fold_dates(flows, roles.date)
-    benign = flows.where(F.col(roles.target) == 0)
-    cutoffs = splits.fold_cutoffs(benign, folds, ts, roles.row_id, roles.date)
-    past = splits.fold_membership(benign, cutoffs, ts, roles.row_id, roles.date)
-    today = flows.join(F.broadcast(folds), F.col(roles.date) == F.col("test_date")).withColumn("part", F.lit("test"))  # one row per day
-    return past.unionByName(today)
-
-
-def rolling_evaluation(flows: DataFrame, roles: Roles, ts: str, fit: Fit, share: float = 0.99) -> dict[str, DataFrame]:
+def rolling_evaluation(flows: DataFrame, roles: Roles, ts: str, fit: Fit, share: float = 0.99, prefix_fit: PrefixFit | None = None) -> dict[str, DataFrame]:
     """Daily re-fit on the expanding benign past, calibrate on its last fifth, test on the next day.
 
-    All folds are fitted and scored in the same jobs; a fold is a key, not a loop over rows.
+    All folds are fitted and scored in the same jobs; a fold is a key, not a loop over rows. Fit rows of a fold are fit rows of the next
+    one; ``prefix_fit`` makes use of that and reads every row once, where ``fit`` needs a copy of it for every later fold.
     """
     fold = "test_date"
     # Kept once at its own size; the (larger) fold rows are derived from it in every pass and never stored.
@@ -79,8 +72,17 @@ def rolling_evaluation(flows: DataFrame, roles: Roles, ts: str, fit: Fit, share:
     width = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = flows.select(roles.row_id, ts, roles.date, roles.target, *roles.features)
     flows = keep(slim.repartition(width, roles.row_id), "flows")
-    rows = fold_rows(flows, roles, ts).withColumn(fold, F.col(fold).cast("string"))
-    model = fit(rows.where(F.col("part") == "fit"), roles, fold)
+    folds = keep(splits.fold_dates(flows, roles.date), "folds")
+    benign = flows.where(F.col(roles.target) == 0)
+    cutoffs = keep(splits.fold_cutoffs(benign, folds, ts, roles.row_id, roles.date), "cutoffs")
+    past = splits.fold_membership(benign, cutoffs, ts, roles.row_id, roles.date)
+    today = flows.join(F.broadcast(folds), F.col(roles.date) == F.col(fold)).withColumn("part", F.lit("test"))  # one row per day
+    rows = past.unionByName(today).withColumn(fold, F.col(fold).cast("string"))
+    nested = splits.fit_segments(benign, cutoffs, ts, roles.row_id, roles.date) if prefix_fit else None
+    if nested:
+        model = prefix_fit(nested[0], roles, "_segment", nested[1])
+    else:
+        model = fit(rows.where(F.col("part") == "fit"), roles, fold)
     to_score = rows.where(F.col("part") != "fit")
     kept = [fold, "part", roles.row_id, roles.date, F.col(roles.target).cast("int").alias("actual"), "score"]
     scored = keep(model.score(to_score, fold).select(*kept), "rolling")

@@ -170,6 +170,23 @@ def fold_membership(
     )
 
 
+def fit_segments(
+    benign: DataFrame, cutoffs: DataFrame, ts: str, row_id: str, date: str = "capture_date", output: str = "_segment"
+) -> tuple[DataFrame, list[str]] | None:
+    """Benign rows with the number of the first fold whose fit rows include them (NULL: none), and the folds in order.
+
+    None if fit rows of some fold aren't fit rows of the next one, which takes times that run against the dates.
+    """
+    cuts = cutoffs.select("test_date", F.col("_cut._time").alias("t"), F.col("_cut._key._digest").alias("d"), F.col("_cut._key._id").alias("i")).orderBy("test_date").collect()  # one row per fold
+    keys = [(r["t"], r["d"], r["i"]) for r in cuts]
+    if any(a > b for a, b in zip(keys, keys[1:])):
+        return None
+    folds = cutoffs.agg(F.collect_list(F.struct("test_date", "_cut")).alias("_folds"))  # one row, one item per fold
+    outside = F.size(F.filter("_folds", lambda f: (F.col(date) >= f["test_date"]) | (_time_key(ts, row_id) > f["_cut"])))
+    rows = benign.join(F.broadcast(folds)).withColumn(output, F.when(outside < len(cuts), outside)).drop("_folds")
+    return rows, [str(r["test_date"]) for r in cuts]
+
+
 def fold_statistics(
     flows: DataFrame, ts: str, row_id: str, target: str, benign: str = "Benign", date: str = "capture_date",
     fit_share: float = 0.8,

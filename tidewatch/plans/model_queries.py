@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cleaning, evaluation, prep, rolling, splits, tree
-from tidewatch.operators.forest import ForestModel, fit_forest
+from tidewatch.operators.forest import ForestModel, fit_forest, fit_forest_prefixes
 from tidewatch.operators.oneclass import OneClassModel, fit_one_class
+from tidewatch.plans import model_sql
 from tidewatch.plans.bindings import FLOW, TEST_DATES, TRAIN_DATES
 from tidewatch.plans.catalog import query
 from tidewatch.plans.cleaning_queries import BINARY, clean_flows
-from tidewatch.plans.metric_queries import rounded
+from tidewatch.plans.metric_queries import RATES_LIST, conf, rounded
 from tidewatch.plans.split_queries import in_dates
 from tidewatch.roles import Roles
 
@@ -105,25 +106,36 @@ def fitted_tree(t) -> tuple[tree.TreeModel, DataFrame]:
     return tree.fit_tree(train, FLOW), test
 
 
-@query("ml6_tree_shape")
+GROWN = f"WITH RECURSIVE {model_sql.decision_tree()}"
+
+
+@query("ml6_tree_shape", f"""{GROWN}, {model_sql.importances()} SELECT CAST(max(length(node)) - 1 AS INTEGER) AS depth, count(*) AS nodes,
+  (SELECT round(sum(importance), 6) FROM imp) AS importance_sum, (SELECT count(*) FROM imp) AS encoded_features FROM grown_ends""")
 def _(t):
     model, _ = fitted_tree(t)
     importances = model.importances()
     return importances.agg(F.round(F.sum("importance"), 6).alias("importance_sum"), F.count("*").alias("encoded_features")).withColumns(
-        {k: F.lit(v) for k, v in model.shape().items()})
+        {"depth": F.lit(model.shape()["depth"]), "nodes": F.lit(model.shape()["nodes"]).cast("bigint")})
+
+
+@query("ml6_tree_nodes", f"""{GROWN} SELECT CAST(length(node) - 1 AS INTEGER) AS depth, CAST(e.n - e.p AS BIGINT) AS n0, CAST(e.p AS BIGINT) AS n1, coalesce(f, -1) AS feature,
+  round(coalesce(cut, 0), 6) AS cut, cat AS category FROM grown_ends e LEFT JOIN grown_cuts USING (node)""")
+def _(t):
+    return rounded(fitted_tree(t)[0].nodes.select("depth", "n0", "n1", "feature", "cut", "category"))
 
 
-@query("ml7_tree_predictions")
+@query("ml7_tree_predictions", f"{GROWN} SELECT flow_row_id, actual, predicted, round(score, 6) AS score FROM grown_scored")
 def _(t):
     model, test = fitted_tree(t)
-    return model.predict(test).select("flow_row_id", "actual", "predicted", "score")
+    return rounded(model.predict(test).select("flow_row_id", "actual", "predicted", "score"))
 
 
-@query("ml7_test_rows", f"""SELECT count(*) AS records, count(*) FILTER (label = 'Malicious') AS malicious FROM flow_v
-WHERE {BINARY} AND {in_dates(TEST_DATES)}""")
+@query("ml7_test_rows", f"""{GROWN} SELECT count(*) AS records, count(*) FILTER (actual = 1) AS malicious, count(*) FILTER (predicted = 1) AS flagged,
+  round(avg(score), 6) AS mean_score FROM grown_scored""")
 def _(t):
     model, test = fitted_tree(t)
-    return model.predict(test).agg(F.count("*").alias("records"), F.count_if(F.col("actual") == 1).alias("malicious"))
+    return rounded(model.predict(test).agg(F.count("*").alias("records"), F.count_if(F.col("actual") == 1).alias("malicious"),
+                                           F.count_if(F.col("predicted") == 1).alias("flagged"), F.avg("score").alias("mean_score")))
 
 
 # A tree of depth 1 over columns with few values has an SQL form: every cut, its Gini gain, the best one, and what it says of the test rows.
@@ -149,12 +161,12 @@ def stump(t) -> tuple[tree.TreeModel, DataFrame]:
 @query("ml6_stump_shape", f"WITH {BEST_CUT} SELECT CAST(1 AS INTEGER) AS depth, CAST(3 AS INTEGER) AS nodes, feature, round(cut, 6) AS cut, round(low, 6) AS low, round(high, 6) AS high FROM best")
 def _(t):
     model, test = stump(t)
-    root = model.tree._java_obj.rootNode()
-    feature = model.encoded_names()[root.split().featureIndex()][0]
-    low, high = (side.impurityStats().prob(1.0) for side in (root.leftChild(), root.rightChild()))
     shape = model.shape()
-    return t.spark.createDataFrame([(shape["depth"], shape["nodes"], feature, round(root.split().threshold(), 6), round(low, 6), round(high, 6))],
-                                   "depth int, nodes int, feature string, cut double, low double, high double")
+    root = model.nodes.where("depth = 0").alias("n").join(model.encoded_names().alias("e"), F.expr("n.feature = e.feature and n.category <=> e.category")).withColumn("kind", F.col("n.category"))
+    low, high = F.col("b1") / (F.col("b0") + F.col("b1")), (F.col("n1") - F.col("b1")) / (F.col("n0") + F.col("n1") - F.col("b0") - F.col("b1"))
+    # a cut between categories lies between 0 and 1
+    return rounded(root.select(F.lit(shape["depth"]).alias("depth"), F.lit(shape["nodes"]).cast("int").alias("nodes"), F.col("e.name").alias("feature"),
+                               F.when(F.col("kind").isNull(), F.col("cut")).otherwise(0.5).alias("cut"), low.alias("low"), high.alias("high")))
 
 
 @query("ml7_stump_scores", f"""WITH {BEST_CUT} SELECT flow_row_id, {TURNED} AS actual,
@@ -170,26 +182,31 @@ def _(t):
     return rounded(stump(t)[0].importances().select("feature", "importance"))
 
 
-@query("ml8_importances")
+IMPORTANCES = f"{GROWN}, {model_sql.importances()}"
+
+
+@query("ml8_importances", f"{IMPORTANCES} SELECT feature, origin, round(importance, 6) AS importance FROM imp ORDER BY imp.importance DESC, feature LIMIT 15")
 def _(t):
-    return tree.top_importances(fitted_tree(t)[0].importances())
+    return rounded(tree.top_importances(fitted_tree(t)[0].importances()))
 
 
-@query("ml8_importance_by_column")
+@query("ml8_importance_by_column", f"{IMPORTANCES} SELECT origin AS feature, round(sum(importance), 6) AS importance FROM imp GROUP BY origin")
 def _(t):
-    return tree.importance_by_column(fitted_tree(t)[0].importances())
+    return rounded(tree.importance_by_column(fitted_tree(t)[0].importances()))
 
 
-@query("ml8_importance_sum", "SELECT 1e0 AS importance_sum, CAST(8 AS BIGINT) AS columns FROM (SELECT count(*) FROM flow_v) x")
+@query("ml8_importance_sum", f"{IMPORTANCES} SELECT round(sum(importance), 6) AS importance_sum, count(DISTINCT origin) AS columns, round(max(importance), 6) AS largest FROM imp")
 def _(t):
-    by_column = tree.importance_by_column(fitted_tree(t)[0].importances())
-    return by_column.agg(F.round(F.sum("importance"), 6).alias("importance_sum"), F.count("*").alias("columns"))
+    importances = fitted_tree(t)[0].importances()
+    return importances.agg(F.round(F.sum("importance"), 6).alias("importance_sum"), F.countDistinct("origin").alias("columns"), F.round(F.max("importance"), 6).alias("largest"))
 
 
-@query("ml9_ablation")
+@query("ml9_ablation", f"WITH RECURSIVE {model_sql.decision_tree()}, {model_sql.decision_tree(VARIANTS['without history'], 'less')} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS variant, CAST({len(roles.features)} AS INTEGER) AS features, * FROM ({model_sql.rated(source)}) r"
+    for (name, roles), source in zip(VARIANTS.items(), ("grown_scored", "less_scored"))))
 def _(t):
     train, test = parts(t)
-    return tree.ablation(train, test, VARIANTS)
+    return rounded(tree.ablation(train, test, VARIANTS))
 
 
 def benign_parts(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -203,38 +220,48 @@ def calibrated(t, fit) -> dict:
     return rolling.calibrated_detector(fit_rows, calibration, test, FLOW, fit)
 
 
-@query("ml10_forest_nodes")
-def _(t):
-    return fit_forest(benign_parts(t)[0], FLOW).nodes
+ISOLATED = f"WITH RECURSIVE {model_sql.DETECTOR_ROWS}, {model_sql.forest('fit_rows', 'to_score')}"
+CALIBRATED = f"{ISOLATED}, {model_sql.calibrated()}"
 
 
-@query("ml10_forest_size", """SELECT CAST(200 AS INTEGER) AS trees, CAST(least(256, count(*)) AS INTEGER) AS rows_per_tree FROM flow_v WHERE label = 'Benign'""")
+@query("ml10_forest_nodes", f"""{ISOLATED} SELECT model, CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(feature AS INTEGER) AS feature, round(cut, 6) AS cut, category, path,
+  CAST(sample AS INTEGER) AS sample FROM iso_nodes""")
 def _(t):
-    nodes = fit_forest(splits.benign_only(flows(t), "label"), FLOW).nodes
-    per_tree = nodes.groupBy("tree").agg(F.max("sample").alias("sample"))
-    return per_tree.agg(F.count("*").cast("int").alias("trees"), F.min("sample").alias("rows_per_tree"))
+    return rounded(fit_forest(benign_parts(t)[0], FLOW).nodes)
 
 
-@query("ml11_anomaly_scores")
+@query("ml10_forest_size", f"""{ISOLATED} SELECT CAST(tree AS INTEGER) AS tree, CAST(max(sample) AS INTEGER) AS rows_per_tree, count(*) AS nodes, count(*) FILTER (feature < 0) AS leaves,
+  CAST(sum(path) AS BIGINT) AS paths FROM iso_nodes GROUP BY tree""")
 def _(t):
-    return calibrated(t, forest)["test"].select("flow_row_id", "actual", "score", "automatic")
+    nodes = fit_forest(benign_parts(t)[0], FLOW).nodes
+    return nodes.groupBy("tree").agg(F.max("sample").alias("rows_per_tree"), F.count("*").alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.sum("path").alias("paths"))
 
 
-@query("ml12_forest_calibration", f"""WITH b AS (SELECT count(*) AS n FROM flow_v WHERE label = 'Benign' AND {in_dates(TRAIN_DATES)})
-, c AS (SELECT CAST(ceil(round(n * 0.2e0, 6)) AS BIGINT) AS q FROM b)
-SELECT q AS calibration_records, q - CAST(ceil(round(0.99e0 * (q - 1), 9)) AS BIGINT) AS flagged FROM c""")
+@query("ml11_anomaly_scores", f"{CALIBRATED} SELECT flow_row_id, actual, round(score, 6) AS score, automatic FROM flagged")
 def _(t):
-    # an interpolated 0.99 quantile leaves as many rows at or above it as the row count says; equal scores count once
-    quiet = calibrated(t, forest)["calibration"]
-    above = F.count_if(F.col("score") > F.col("limit")) + F.when(F.count_if(F.col("score") == F.col("limit")) > 0, 1).otherwise(0)
-    limit = quiet.where("predicted = 1").agg(F.min("score").alias("limit"))
-    return quiet.join(F.broadcast(limit)).agg(F.count("*").alias("calibration_records"), above.cast("bigint").alias("flagged"))  # one row on the right
+    return rounded(calibrated(t, forest)["test"].select("flow_row_id", "actual", "score", "automatic"))
 
 
-@query("ml12_detector_report")
+@query("ml12_forest_calibration", f"""{CALIBRATED} SELECT round(threshold, 6) AS threshold, calibration_records,
+  (SELECT count(*) FROM iso_scored s WHERE part = 'calibrate' AND s.score >= threshold) AS flagged FROM limits""")
+def _(t):
+    found = calibrated(t, forest)
+    counted = found["calibration"].agg(F.count("*").alias("calibration_records"), F.count_if(F.col("predicted") == 1).alias("flagged"))
+    return counted.withColumn("threshold", F.round(F.lit(found["threshold"]), 6))
+
+
+@query("ml12_detector_report", f"""{CALIBRATED}, {model_sql.ranked('flagged')}, r AS ({model_sql.rated('flagged')}),
+wide AS (SELECT r.*, ranked.*, limits.calibration_records, true_negatives + false_positives AS test_benign, false_negatives + true_positives AS test_malicious, false_positives + true_positives AS predicted_anomalies,
+  round((false_positives + true_positives) / CAST(true_negatives + false_positives + false_negatives + true_positives AS DOUBLE), 6) AS predicted_anomaly_rate,
+  false_positives AS benign_flagged, true_positives AS malicious_detected, round(limits.threshold, 6) AS threshold, 0.99e0 AS quantile,
+  (SELECT round(count(*) FILTER (x.score >= limits.threshold) / CAST(count(*) AS DOUBLE), 6) FROM iso_scored x WHERE part = 'calibrate') AS calibration_rate,
+  (SELECT count(*) FROM fit_rows) AS fit_records, (SELECT count(*) FROM benign) AS benign_records,
+  (SELECT count(*) FROM flow_v WHERE {model_sql.BINARY} AND {in_dates(TRAIN_DATES)}) AS train_records,
+  (SELECT count(*) FROM flow_v WHERE label = 'Malicious' AND {in_dates(TRAIN_DATES)}) AS malicious_excluded FROM r, ranked, limits)
+""" + " UNION ALL ".join(f"SELECT '{metric}' AS metric, CAST({column} AS DOUBLE) AS value FROM wide" for metric, column in rolling.REPORT.items()))
 def _(t):
     fit_rows, _, _, train = benign_parts(t)
-    return rolling.detector_report(calibrated(t, forest), fit_rows.count(), train, "label")
+    return rounded(rolling.detector_report(calibrated(t, forest), fit_rows.count(), train, "label"))
 
 
 @query("ml13_one_class_scores")
@@ -242,46 +269,51 @@ def _(t):
     return calibrated(t, one_class)["test"].select("flow_row_id", "actual", "score", "predicted")
 
 
-@query("ml14_rolling_forest")
+ROLLED = f"WITH RECURSIVE {model_sql.rolling_rows()}, {model_sql.forest('fit_rows', 'to_score')}, {model_sql.calibrated()}"
+
+
+@query("ml14_rolling_forest", f"""{ROLLED}, {model_sql.ranked('flagged', 'model')}, r AS ({model_sql.rated('flagged', 'model')})
+SELECT r.* EXCLUDE (model), CAST(model AS VARCHAR) AS test_date, roc_auc, round(threshold, 6) AS threshold, calibration_records, (SELECT count(*) FROM fit_rows f WHERE f.model = r.model) AS fit_records,
+  true_negatives + false_positives AS benign_test_records, false_negatives + true_positives AS malicious_test_records FROM r LEFT JOIN ranked USING (model) LEFT JOIN limits USING (model)""")
 def _(t):
-    return rounded(rolling.rolling_evaluation(flows(t), FLOW, "ts", forest)["daily"])
+    return rounded(rolling.rolling_evaluation(flows(t), FLOW, "ts", forest, prefix_fit=fit_forest_prefixes)["daily"])
 
 
-ROLLED = f"""f AS (SELECT DISTINCT capture_date AS d FROM flow_v WHERE {BINARY} AND capture_date > (SELECT min(capture_date) FROM flow_v WHERE {BINARY})),
-b AS (SELECT d, count(*) AS n FROM f JOIN flow_v ON capture_date < d WHERE label = 'Benign' GROUP BY d)
-SELECT CAST(d AS VARCHAR) AS test_date, CAST(floor(round(n * 0.8e0, 6)) AS BIGINT) AS fit_records, n - CAST(floor(round(n * 0.8e0, 6)) AS BIGINT) AS calibration_records,
-  (SELECT count(*) FROM flow_v WHERE capture_date = d AND label = 'Benign') AS benign_test_records,
-  (SELECT count(*) FROM flow_v WHERE capture_date = d AND label = 'Malicious') AS malicious_test_records FROM b"""
+@query("ml14_rolling_sizes", f"""{ROLLED}, p AS ({conf("", "flagged")}) SELECT *, {RATES_LIST} FROM p""")
+def _(t):
+    return rounded(rolling.rolling_evaluation(flows(t), FLOW, "ts", forest, prefix_fit=fit_forest_prefixes)["overall"])
 
 
-@query("ml14_rolling_sizes", f"WITH {ROLLED}")
+@query("ml14_rolling_one_class")
 def _(t):
-    daily = rolling.rolling_evaluation(flows(t), FLOW, "ts", one_class)["daily"]
-    return daily.select("test_date", "fit_records", "calibration_records", "benign_test_records", "malicious_test_records")
+    return rounded(rolling.rolling_evaluation(flows(t), FLOW, "ts", one_class)["daily"])
 
 
-@query("ml15_frozen_daily")
+@query("ml15_frozen_daily", f"""{GROWN}, {model_sql.ranked('grown_scored', 'capture_date')}, r AS ({model_sql.rated('grown_scored', 'capture_date')})
+SELECT r.*, roc_auc FROM r LEFT JOIN ranked USING (capture_date)""")
 def _(t):
     model, test = fitted_tree(t)
     return rounded(rolling.frozen_model_daily(model, test)["daily"])
 
 
-@query("ml15_frozen_overall")
+@query("ml15_frozen_overall", f"""{GROWN}, {model_sql.ranked('grown_scored')}, r AS ({model_sql.rated('grown_scored')})
+SELECT 'all later days' AS model, r.*, roc_auc, average_precision FROM r, ranked""")
 def _(t):
     model, test = fitted_tree(t)
     return rounded(rolling.frozen_model_daily(model, test)["overall"])
 
 
-@query("ml16_tree_prediction_table")
+@query("ml16_tree_prediction_table", f"""{GROWN} SELECT flow_row_id, actual AS true_label, predicted AS predicted_label, round(score, 6) AS predicted_probability FROM grown_scored""")
 def _(t):
     model, test = fitted_tree(t)
-    return rolling.prediction_table(model.predict(test), FLOW, probability=True)
+    return rounded(rolling.prediction_table(model.predict(test), FLOW, probability=True))
 
 
-@query("ml16_forest_prediction_table")
+@query("ml16_forest_prediction_table", f"""{CALIBRATED} SELECT flow_row_id, capture_date, actual AS true_label, predicted AS predicted_label, round(score, 6) AS anomaly_score,
+  round(threshold, 6) AS calibrated_threshold FROM flagged""")
 def _(t):
     result = calibrated(t, forest)
-    return rolling.prediction_table(result["test"], FLOW, result["threshold"])
+    return rounded(rolling.prediction_table(result["test"], FLOW, result["threshold"]))
 
 
 @query("ml17_three_models")
@@ -295,7 +327,9 @@ def _(t):
     return rounded(rolling.common_test_comparison(scored))
 
 
-@query("ml17_family_performance")
+@query("ml17_family_performance", f"""{GROWN} SELECT capture_date, coalesce(detailedlabel, 'unspecified') AS attack_family, count(*) AS malicious_records,
+  count(*) FILTER (predicted = 1) AS detected, count(*) FILTER (predicted = 0) AS missed, round(count(*) FILTER (predicted = 1) / CAST(count(*) AS DOUBLE), 6) AS recall
+FROM grown_scored WHERE actual = 1 GROUP BY 1, 2""")
 def _(t):
     model, test = fitted_tree(t)
     attacks = rolling.keep(model.predict(test), "tree").where("actual = 1")
