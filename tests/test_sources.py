@@ -139,3 +139,47 @@ def test_csv_table_round_trip_with_dotted_names(spark, tmp_path):
     assert read_table(spark, path, "csv", frame.schema).collect() == frame.collect()
     with pytest.raises(ValueError):
         read_table(spark, path, "csv")
+
+
+def test_bad_lines_are_set_aside(spark, root):
+    write_log(root, "2023-02-22", [ROWS[0], ROWS[0][:9], [*ROWS[0], "one more"], ["1676851369.210646", *ROWS[1][1:10], "many", *ROWS[1][11:]]])
+    kept, bad = zeek.set_aside(zeek.scan(spark, str(root), LOG, bad="_bad"), "_bad")
+    lines = {r["line"] for r in bad.where("capture_date = '2023-02-22'").collect()}
+    assert lines == {"\t".join(ROWS[0][:9]), "\t".join([*ROWS[0], "one more"])} and bad.count() == 2 and kept.count() == 6  # words are text
+    kept, bad = zeek.set_aside(zeek.scan(spark, str(root), LOG, markers=("-",), typed=True, bad="_bad", columns=["uid", "orig_bytes"]), "_bad")
+    assert bad.groupBy("capture_date").count().where("capture_date = '2023-02-22'").first()["count"] == 3
+    assert {r["uid"] for r in kept.collect()} == {"C1", "C2", "C4"}  # C#3 has a word for a number
+    assert zeek.scan(spark, str(root), LOG).count() == 8  # without a column for them they stay
+
+
+def test_headers_are_read_by_one_job(spark, tmp_path):
+    for day in range(40):
+        fields = FIELDS if day % 3 else FIELDS[:-1]
+        write_log(tmp_path, f"2023-03-{day:02d} x%20y", [ROWS[0][: len(fields)]] * (3000 if day == 1 else 1), fields, TYPES[: len(fields)])
+    paths = zeek.discover(spark, str(tmp_path), LOG)
+    tracker, group = spark.sparkContext.statusTracker(), "headers"
+    spark.sparkContext.setJobGroup(group, group)
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    headers = zeek.read_headers(spark, paths)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2 and [h.path for h in headers] == paths
+    assert [len(h.fields) for h in headers] == [len(FIELDS) - (day % 3 == 0) for day in range(40)]
+    assert {n: spark.conf.get(n) for n in before} == before
+    assert zeek.scan(spark, str(tmp_path), LOG).count() == 3039
+
+
+def test_file_order_ids_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    for d in range(2):
+        write_log(tmp_path, f"2023-02-2{d}", [[f"{d}-{i:05d}", "Unknown" if i % 7 == 0 else "Benign"] for i in range(6000)], ["uid", "label"], ["string", "string"])
+    size, got = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for first, second in (("134217728b", "134217728b"), ("20000b", "134217728b"), ("134217728b", "7000b")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            rows = cleaning.binary_rows(zeek.scan(spark, str(tmp_path), LOG, keep_order=True), "label")
+            numbered = identity.row_ids_by_file_order(rows)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)  # the cluster changes before the ids are read
+            got.append(sorted((r["flow_row_id"], r["uid"]) for r in numbered.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got[0] == got[1] == got[2] == list(enumerate(f"{d}-{i:05d}" for d in range(2) for i in range(6000) if i % 7))

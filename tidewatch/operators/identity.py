@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import dense_index
+from tidewatch.sources.tables import stored
 from tidewatch.sources.zeek import BLOCK
 
 
@@ -18,12 +19,13 @@ def row_ids_by_file_order(frame: DataFrame, output: str = "flow_row_id", source:
     """0..n-1 in (file, line) order for a filtered scan made with ``keep_order=True``. No row is moved, as long as
     there are at most ``broadcast_blocks`` file blocks (counted first); beyond that the offsets are joined by a shuffle.
 
-    Each file block was read by one task, so the surviving lines already rise inside it. Only one row per block
+    The scan is stored first: how files are cut into blocks depends on the cores at hand when it is planned, so two scans could
+    be cut differently. Each file block was read by one task, so the surviving lines already rise inside it. Only one row per block
     (count and first line) is aggregated; running totals inside each file and over the files give its offset.
     """
     key = [source, BLOCK]
     # dense inside a block: the counter is taken after the filter
-    numbered = frame.withColumn("_line", F.monotonically_increasing_id())
+    numbered = stored(frame.withColumn("_line", F.monotonically_increasing_id()), "lines")
     blocks = numbered.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
     inside = Window.partitionBy(source).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     files = blocks.groupBy(source).agg(F.sum("_n").alias("_file_n")).withColumn("_all", F.lit(1))
@@ -31,7 +33,7 @@ def row_ids_by_file_order(frame: DataFrame, output: str = "flow_row_id", source:
     starts = files.select(source, F.coalesce(F.sum("_file_n").over(over), F.lit(0)).alias("_start"))
     offsets = blocks.select(*key, "_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_before")).join(starts, source)
     offsets = offsets.select(*key, "_first", (F.col("_start") + F.col("_before")).alias("_offset"))
-    few = frame.select(*key).distinct().limit(broadcast_blocks + 1).count() <= broadcast_blocks
+    few = numbered.select(*key).distinct().limit(broadcast_blocks + 1).count() <= broadcast_blocks
     return (
         numbered.join(F.broadcast(offsets) if few else offsets, key)
         .withColumn(output, F.col("_offset") + F.col("_line") - F.col("_first"))

@@ -5,6 +5,8 @@ One pass: header lines and data lines are rows of one table, sorted so that each
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,11 @@ def epoch_text(ts: Column) -> Column:
     return F.concat(whole.cast("string"), F.lit("."), F.lpad((micros - whole * 1_000_000).cast("string"), 6, "0"))
 
 
-def write_day_folders(t, log: str = LOG, lane_rows: int = 200_000) -> str:
-    """Returns the root of ``day=<date>/kind=zeek/log=<name>/part-*``. Days are split into lanes, so many that the busiest day's hold ``lane_rows``."""
+def write_day_folders(t, log: str = LOG, lane_rows: int = 200_000, spoil: Callable[[Column], Column] | None = None, narrow: str | None = None) -> str:
+    """Returns the root of ``day=<date>/kind=zeek/log=<name>/part-*``. Days are split into lanes, so many that the busiest day's hold ``lane_rows``.
+
+    ``spoil`` may change the text of lines. ``narrow`` is a condition on flows: days on which it holds lack the last two columns.
+    """
     busiest = t.flow_v.groupBy("capture_date").count().agg(F.max("count")).first()[0] or 0
     lanes = max(4, -(-busiest // lane_rows))
 
@@ -39,13 +44,16 @@ def write_day_folders(t, log: str = LOG, lane_rows: int = 200_000) -> str:
 
     lines = t.flow_v.select(
         F.col("capture_date").cast("string").alias("day"), F.pmod(F.xxhash64("flow_row_id"), F.lit(lanes)).alias("lane"),
-        F.col("flow_row_id").alias("place"), F.concat_ws("\t", *[text(f) for f in FIELDS]).alias("value"),
+        F.col("flow_row_id").alias("place"), (F.expr(narrow) if narrow else F.lit(False)).alias("narrow"), F.concat_ws("\t", *[text(f) for f in FIELDS]).alias("value"),
     )
-    tops = lines.select("day", "lane").distinct().select("day", "lane", F.inline(F.array(*[
+    if spoil:
+        lines = lines.withColumn("value", spoil(F.col("value")))
+    short = lambda value: F.regexp_replace(value, "\t[^\t]*\t[^\t]*$", "")
+    tops = lines.select("day", "lane", "narrow").distinct().select("day", "lane", "narrow", F.inline(F.array(*[
         F.struct(F.lit(i - len(HEADERS)).cast("bigint").alias("place"), F.lit(h).alias("value")) for i, h in enumerate(HEADERS)
     ])))
     root = scratch_path(t.spark, "days")
-    placed = lines.unionByName(tops).withColumns({"kind": F.lit("zeek"), "log": F.lit(log)})
+    placed = lines.unionByName(tops).withColumns({"kind": F.lit("zeek"), "log": F.lit(log), "value": F.when(F.col("narrow") & ~F.col("value").startswith("#separator"), short(F.col("value"))).otherwise(F.col("value"))})
     # two lanes of a day may share a file: their header blocks come first, then all lines in order
     block = F.when(F.col("place") < 0, F.col("lane")).otherwise(F.lit(lanes))
     spread: DataFrame = placed.repartition("day", "lane").sortWithinPartitions("day", "kind", "log", block, "place")

@@ -33,14 +33,13 @@ def profile_days(spark: SparkSession, root: str, out: str) -> str:
 
 
 def prepare(spark: SparkSession, root: str, out: str, roles: Roles = CONNECTION_LOG) -> dict[str, str]:
-    """Diagnostics, then modelling and metadata tables that share ``flow_row_id`` (file and line order)."""
+    """Diagnostics, then modelling and metadata tables that share ``flow_row_id`` (file and line order). Malformed lines go to a table of their own."""
     prepare_session(spark)
-    text = zeek.scan(spark, root, CONNECTIONS, markers=UNSET_OR_EMPTY, keep_order=True)
+    text, bad = zeek.set_aside(zeek.scan(spark, root, CONNECTIONS, markers=UNSET_OR_EMPTY, keep_order=True, bad="_bad"), "_bad")
     checked = cleaning.coerce_numbers(text, [c for c in MISSING_CHECKED if c in text.columns])
-    numbered = identity.row_ids_by_file_order(cleaning.binary_rows(text, roles.target), roles.row_id)
-    # written once: both tables then read the same ids
-    base = rolling.keep(numbered, "numbered")
+    base = identity.row_ids_by_file_order(cleaning.binary_rows(text, roles.target), roles.row_id)
     paths = {
+        "bad_lines": write_table(bad, f"{out}/bad_lines"),
         "missing": write_table(profile.missing_by_label_and_state(checked, MISSING_CHECKED, roles.target, "conn_state"), f"{out}/missing_by_label_and_state"),
         "per_date": write_table(profile.samples_per_date(text, roles.date, roles.target), f"{out}/samples_per_date"),
         "held_out": write_table(cleaning.held_out_count(text, roles.target), f"{out}/held_out"),
@@ -167,7 +166,7 @@ def explore(spark: SparkSession, root: str, out: str, roles: Roles = CONNECTION_
     """Exploration tables over all days: labels and details per day, attack families, column audit, missing shares, representative rows."""
     prepare_session(spark)
     scanned = zeek.scan(spark, root, CONNECTIONS, markers=UNSET_OR_EMPTY, keep_order=True)
-    rows = rolling.keep(identity.row_ids_by_file_order(cleaning.with_clean_label(scanned, roles.target), roles.row_id), "explored")
+    rows = identity.row_ids_by_file_order(cleaning.with_clean_label(scanned, roles.target), roles.row_id)
     labels = ["benign", "malicious", "unknown"]
     details = rolling.keep(profile.daily_detail_counts(rows, roles.date, "label_clean", "detailedlabel"), "details")
     audited = [c for c in AUDITED if c in rows.columns]

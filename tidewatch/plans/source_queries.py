@@ -31,16 +31,43 @@ def _(t):
     return paths.select(zeek.capture_date(F.col("path"), LOG).alias("capture_date")).distinct()
 
 
+# every third day has a header without the last two columns
+NARROW = "dayofmonth(capture_date) % 3 = 0"
+
+
 @query("src2_schema_from_header", " UNION ALL ".join(
-    f"SELECT '{LOG}' AS log, 'found' AS status, {i} AS position, '{f}' AS field, '{k}' AS type, count(CASE WHEN CAST({f} AS VARCHAR) <> '-' THEN 1 END) AS values FROM flow_v"
+    f"SELECT {i} AS position, '{f}' AS field, '{k}' AS type, {f'count(DISTINCT capture_date) FILTER (NOT ({NARROW}))' if i >= len(FIELDS) - 2 else 'count(DISTINCT capture_date)'} AS days, "
+    f"count(CASE WHEN CAST({f} AS VARCHAR) <> '-' {f'AND NOT ({NARROW})' if i >= len(FIELDS) - 2 else ''} THEN 1 END) AS values FROM flow_v"
     for i, (f, k) in enumerate(zip(FIELDS, TYPES))))
 def _(t):
-    root = write_day_folders(t)
-    # what stands in each column that the headers name: a wrong name, order or marker changes the counts
+    root = write_day_folders(t, narrow=NARROW)
+    # what stands in each column that the headers name: a wrong name, order, version or marker changes the counts
     rows = zeek.scan(t.spark, root, LOG, markers=("-",))
     counts = rows.agg(*[F.count(f).alias(f) for f in FIELDS])
     long = counts.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("values")) for f in FIELDS])))
-    return zeek.header_catalogue(t.spark, root, [LOG]).join(F.broadcast(long), "field")  # one row per field
+    headers = zeek.read_headers(t.spark, zeek.discover(t.spark, root, LOG))
+    seen = t.spark.createDataFrame([(h.path, i, f, k) for h in headers for i, (f, k) in enumerate(zip(h.fields, h.types))], "path string, position int, field string, type string")
+    days = seen.groupBy("position", "field", "type").agg(F.countDistinct(zeek.capture_date(F.col("path"), LOG)).alias("days"))
+    return days.join(F.broadcast(long), "field")  # one row per field
+
+
+# lines with an id divisible by 13 lose their end, by 17 gain a field, by 19 have a word for a number
+SPOILT = "CASE WHEN flow_row_id % 13 = 0 THEN 'short' WHEN flow_row_id % 17 = 0 THEN 'long' WHEN flow_row_id % 19 = 0 THEN 'word' END"
+
+
+def spoilt(value):
+    number = F.regexp_extract(value, "\tC([0-9]+)\t", 1).cast("bigint")
+    return F.when(number % 13 == 0, F.regexp_replace(value, "\t[^\t]*$", "")).when(number % 17 == 0, F.concat(value, F.lit("\tmore"))).when(
+        number % 19 == 0, F.regexp_replace(value, "^((?:[^\t]*\t){6})[^\t]*", "$1many")).otherwise(value)
+
+
+@query("src4_bad_lines", f"""SELECT CAST(capture_date AS VARCHAR) AS capture_date, count(*) FILTER (kind IS NULL) AS readable, count(kind) AS bad, count(*) FILTER (kind = 'long') AS longer,
+  CAST(sum(CASE WHEN kind IS NULL THEN resp_bytes END) AS BIGINT) AS resp_bytes FROM (SELECT *, {SPOILT} AS kind FROM flow_v) v GROUP BY capture_date""")
+def _(t):
+    root = write_day_folders(t, spoil=spoilt)
+    good, bad = zeek.set_aside(zeek.scan(t.spark, root, LOG, markers=("-",), typed=True, columns=["uid", "resp_bytes"], bad="_bad"), "_bad")
+    counts = bad.groupBy("capture_date").agg(F.count("*").alias("bad"), F.count_if(F.col("line").endswith("\tmore")).alias("longer"))
+    return good.groupBy("capture_date").agg(F.count("*").alias("readable"), F.sum("resp_bytes").alias("resp_bytes")).join(F.broadcast(counts), "capture_date")  # one row per day
 
 
 @query("src4_typed_scan", f"""SELECT ts, uid, proto, CASE WHEN service <> '-' THEN service END AS service, duration, CAST(orig_bytes AS BIGINT) AS orig_bytes,
@@ -78,14 +105,19 @@ def _(t):
 
 
 @query("src11_log_catalogue", " UNION ALL ".join(
-    [f"SELECT 'dns.log.labeled' AS log, 'found' AS status, {i} AS position, '{f}' AS field, '{k}' AS type, count(*) AS view_rows FROM flow_v"
-     for i, (f, k) in enumerate(zip(FIELDS, TYPES))]
-    + [f"SELECT '{log}', 'not found', NULL, NULL, NULL, count(*) FROM flow_v" for log in CANDIDATE_LOGS[1:]]))
+    [f"SELECT 'dns.log.labeled' AS log, 'found' AS status, {i} AS position, '{f}' AS field, '{k}' AS type, {version} AS fields, count(DISTINCT capture_date) AS days FROM flow_v WHERE {days}"
+     for version, days in ((len(FIELDS), f"NOT ({NARROW})"), (len(FIELDS) - 2, NARROW)) for i, (f, k) in enumerate(zip(FIELDS[:version], TYPES))]
+    + [f"SELECT '{log}', 'not found', NULL, NULL, NULL, 0, count(*) * 0 FROM flow_v" for log in CANDIDATE_LOGS[1:]]))
 def _(t):
-    # only one of the requested logs exists below this root
-    root = write_day_folders(t, "dns.log.labeled")
-    rows = zeek.scan(t.spark, root, "dns.log.labeled", columns=["uid"]).agg(F.count("*").alias("view_rows"))
-    return zeek.header_catalogue(t.spark, root, CANDIDATE_LOGS).join(F.broadcast(rows))  # one row on the right
+    # only one of the requested logs exists below this root, with two versions of its header
+    root = write_day_folders(t, "dns.log.labeled", narrow=NARROW)
+    listed = zeek.header_catalogue(t.spark, root, CANDIDATE_LOGS)
+    versions = listed.groupBy("log", "files").agg(F.count("position").cast("int").alias("fields"))
+    headers = zeek.read_headers(t.spark, zeek.discover(t.spark, root, "dns.log.labeled"))
+    files = t.spark.createDataFrame([("dns.log.labeled", len(h.fields), h.path) for h in headers], "log string, fields int, path string")
+    days = files.groupBy("log", "fields").agg(F.countDistinct(zeek.capture_date(F.col("path"), "dns.log.labeled")).alias("days"))
+    wide = listed.join(F.broadcast(versions), (listed["log"] == versions["log"]) & listed["files"].eqNullSafe(versions["files"])).drop(versions["log"]).drop(versions["files"])
+    return wide.join(F.broadcast(days), ["log", "fields"], "left").select("log", "status", "position", "field", "type", "fields", F.coalesce("days", F.lit(0)).alias("days"))
 
 
 @query("src12_csv_round_trip", MODELLING)
