@@ -106,13 +106,44 @@ def test_unseen_category_is_scored(spark, flows):
 
 
 def test_one_class_ranks_outliers(spark, flows):
-    model = oneclass.fit_one_class(flows.where("label = 0"), ROLES, steps=4)
+    model = oneclass.fit_one_class(flows.where("label = 0"), ROLES, tolerance=0.05)
     rows = model.score(flows).select("label", "score").collect()
     bad, good = [r["score"] for r in rows if r["label"]], [r["score"] for r in rows if not r["label"]]
     assert np.mean(bad) > np.quantile(good, 0.9)
     assert np.mean(np.array(good) > 0) < 0.1  # about nu of the fit rows lie outside
 
 
+def test_one_class_is_near_the_minimum(spark, flows):
+    benign = flows.where("label = 0 and flow_row_id < 700")
+    nu, model = 0.05, oneclass.fit_one_class(benign, ROLES, nu=0.05, dimensions=32, tolerance=0.02)
+    m = model.state["models"]["all"]
+    assert m["done"] and m["gap"] <= 0.02
+    frame = benign.select(*ROLES.features).toPandas()
+    from tidewatch.operators.prep import category_codes
+
+    codes = np.array([r[0] for r in benign.select(*category_codes(ROLES.categorical)).collect()])[:, None]
+    values = frame[["a", "b"]].to_numpy()
+    values = np.where(np.isnan(values), [model.fills["a"]["all"], model.fills["b"]["all"]], values)
+    phi = oneclass._features()(model.state, "all", values, np.c_[codes, np.ones(len(codes), "int64")])
+    # the same dual, row by row and without bins, until its own bound is a millionth
+    count, atoms = nu * len(phi), [phi.mean(axis=0)]
+    for _ in range(400):
+        w = oneclass.shortest(np.stack(atoms))
+        order = np.argsort(phi @ w)
+        full = int(count)
+        s = (phi[order[:full]].sum(axis=0) + (count - full) * phi[order[min(full, len(phi) - 1)]]) / count
+        if w @ (w - s) <= 1e-6 * (w @ w):
+            break
+        atoms.append(s)
+    exact = -0.5 * w @ w  # the minimum of the objective
+
+    def objective(v, rho):
+        return 0.5 * v @ v - rho + np.maximum(0, rho - phi @ v).sum() / count
+
+    assert objective(m["w"], m["rho"]) - exact <= 0.02 * (m["w"] @ m["w"]) + 1e-9
+    assert abs(m["w"] @ m["w"] - w @ w) <= 0.04 * (w @ w)
+
+
 def test_calibrated_detector(spark, flows):
     benign = flows.where("label = 0")
     result = rolling.calibrated_detector(

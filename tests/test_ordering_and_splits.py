@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluation as ev
 from tidewatch.operators import splits
-from tidewatch.operators.ordering import dense_index, quantiles
+from tidewatch.operators import ordering
+from tidewatch.operators.ordering import dense_index, quantiles, quantiles_of, value_counts
 from tidewatch.operators.prep import fit_imputation, most_frequent, standardize
 from tidewatch.roles import Roles
 
@@ -35,7 +36,34 @@ def test_quantiles_match_numpy(spark, skewed, partitions):
     got = quantiles(frame_of(spark, skewed, partitions), ["v"], [0.0, 0.25, 0.5, 0.99, 1.0]).first()
     values = [r[1] for r in skewed if r[1] is not None]
     assert [got[f"all_q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(values, [0.0, 0.25, 0.5, 0.99, 1.0])))
-    assert (got["distinct_values"], got["largest_count"]) == (len(set(values)), N // 3)
+    counted = quantiles_of(value_counts(frame_of(spark, skewed, partitions), ["v"]), ["all"], [0.0, 0.25, 0.5, 0.99, 1.0]).first()
+    assert [counted[f"all_q{i}"] for i in range(5)] == [got[f"all_q{i}"] for i in range(5)]
+    assert (counted["distinct_values"], counted["largest_count"]) == (len(set(values)), N // 3)
+
+
+def test_quantiles_of_odd_columns(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    rows = [(g, None if i % 7 == 0 else float(i % 50) - 20, nan if i % 3 == 0 else (inf if i % 11 == 0 else -inf if i % 13 == 0 else float(i)), None) for g in ("a", None) for i in range(400)]
+    frame = spark.createDataFrame(rows + [("empty", None, None, None)], "g string, x double, odd double, nothing double")
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    for width in (ordering.SKETCH, 20):  # with a coarse sketch as well
+        monkeypatch.setattr(ordering, "SKETCH", width)
+        got = {(r["g"], r["feature"]): r for r in quantiles(frame, ["x", "odd", "nothing"], shares, ["g"]).collect()}
+        assert len(got) == 9 and got[("empty", "x")]["all_n"] == 0 and got[("a", "nothing")]["all_q2"] is None
+        for g in ("a", None):
+            values = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+            assert [got[(g, "x")][f"all_q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(values, shares)))
+            ordered = sorted((r[2] for r in rows if r[0] == g), key=lambda v: (v != v, v if v == v else 0))
+            assert got[(g, "odd")]["all_q0"] == -inf and got[(g, "odd")]["all_q1"] == pytest.approx(ordered[40] - 0.1 * (ordered[40] - ordered[39]))
+            assert math.isnan(got[(g, "odd")]["all_q4"]) and got[(g, "odd")]["all_n"] == 400
+
+
+def test_a_missed_bracket_is_noticed(spark, monkeypatch):
+    rows = [(float(i),) for i in range(3000)]
+    right, real = list(np.quantile([r[0] for r in rows], [0.3, 0.5])), F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda column, ends, accuracy: real(column, [min(1.0, e + 0.2) for e in ends], accuracy))
+    got = quantiles(spark.createDataFrame(rows, "v double"), ["v"], [0.3, 0.5]).first()
+    assert [got["all_q0"], got["all_q1"]] == pytest.approx(right)
 
 
 @pytest.mark.parametrize("partitions", [1, 7])

@@ -1,9 +1,12 @@
 """One-class detector with an RBF kernel, approximated so that it can be trained by Spark aggregations.
 
 Random Fourier features (Rahimi and Recht 2007) turn the kernel into a D-vector; the one-class objective
-(Schoelkopf et al. 2001), 1/2 |w|^2 - rho + 1/(nu n) sum max(0, rho - w.phi(x)), is minimised by full-batch
-subgradient steps. A step is one pass of partial sums over the rows (D numbers per task and model), so no row is
-ever moved or collected. Results approximate an exact solver; thresholds are calibrated afterwards in any case.
+(Schoelkopf et al. 2001), 1/2 |w|^2 - rho + 1/(nu n) sum max(0, rho - w.phi(x)), is minimised through its dual: the shortest vector
+among the means of phi with row weights of at most 1/(nu n). One pass over the rows counts them by score, with the sum of phi per bin of
+scores, so it gives at once rho, the mean s of the nu n lowest rows, and a bound: the objective is at most w.(w - s) from its minimum.
+The next w is the shortest vector in the hull of all s so far (Frank-Wolfe, fully corrective). It stops when that bound falls below
+``tolerance`` times |w|^2. No row is ever moved or collected; a task returns BINS x D numbers a model.
+Results approximate an exact kernel solver by the D features; thresholds are calibrated afterwards in any case.
 ``group`` trains one model per value of a column with few values (folds) in the same passes.
 
 A category's random vector is made where it is needed, from (seed, column, code): no vocabulary is collected or sent. Which categories a
@@ -25,7 +28,7 @@ from tidewatch.operators.prep import category_codes, medians, scaling
 from tidewatch.roles import Roles
 from tidewatch.sources.tables import stored
 
-BINS = 2048
+BINS = 1024
 
 
 @dataclass
@@ -113,8 +116,8 @@ def _scorer(shared, n_numeric: int):
     return score
 
 
-def _pass(rows: DataFrame, state: dict, n_numeric: int, task: str) -> dict[str, np.ndarray]:
-    """One pass over the rows. ``task``: 'mean' sums phi, 'scores' counts scores per bin, 'below' sums phi where w.phi < rho."""
+def _pass(rows: DataFrame, state: dict, n_numeric: int) -> DataFrame:
+    """One pass over the rows: per model and bin of scores (one bin before there is a w) how many rows, and the sum of phi. Stored, a row per task, model and bin."""
     shared = rows.sparkSession.sparkContext.broadcast(state)
     phi, split = _features(), _batches(n_numeric)
 
@@ -127,31 +130,66 @@ def _pass(rows: DataFrame, state: dict, n_numeric: int, task: str) -> dict[str,
             columns = [batch[c] for c in batch.columns]
             for name, _, values, kinds in split(columns[0], columns[1:]):
                 m = shared.value["models"][name]
+                if m["done"]:
+                    continue
                 mapped = phi(shared.value, name, values, kinds)
-                if task == "mean":
-                    part = np.r_[mapped.sum(axis=0), len(mapped)]
-                else:
-                    scores = mapped @ m["w"]
-                    if task == "below":
-                        low = scores < m["rho"]
-                        part = np.r_[mapped[low].sum(axis=0), low.sum()]
-                    else:
-                        reach = m["reach"]
-                        part = np.histogram(np.clip(scores, -reach, reach), bins=BINS, range=(-reach, reach))[0].astype("float64")
-                totals[name] = totals[name] + part if name in totals else part
-        for name, part in totals.items():
-            yield pd.DataFrame({"model": name, "place": np.arange(len(part)), "value": part})
-
-    sums = rows.mapInPandas(partial, "model string, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value"))
-    result: dict[str, np.ndarray] = {}
-    for model, part in sums.toPandas().groupby("model"):  # models x D numbers
-        result[model] = part.sort_values("place")["value"].to_numpy()
-    shared.unpersist()
-    return result
-
-
-def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions: int = 128, steps: int = 8, seed: int = 42,
+                place = np.zeros(len(mapped), dtype=np.int64) if m["w"] is None else _bin(mapped @ m["w"], m["reach"])
+                if name not in totals:
+                    totals[name] = np.zeros((BINS, mapped.shape[1] + 1))
+                bins, first = np.unique(place, return_inverse=True)
+                order = np.argsort(first, kind="stable")
+                starts = np.searchsorted(first[order], np.arange(len(bins)))
+                totals[name][bins] += np.add.reduceat(np.c_[mapped, np.ones(len(mapped))][order], starts, axis=0)
+        for name, total in totals.items():
+            bins = np.flatnonzero(total[:, -1])
+            yield pd.DataFrame({"model": name, "bin": bins, "n": total[bins, -1].astype("int64"), "sums": list(total[bins, :-1])})
+
+    return stored(rows.mapInPandas(partial, "model string, bin int, n long, sums array<double>"), "bins")
+
+
+def _bin(scores: np.ndarray, reach: float) -> np.ndarray:
+    return np.clip(((scores + reach) / (2 * reach) * BINS).astype(np.int64), 0, BINS - 1)
+
+
+def _lowest(binned: DataFrame, wanted: dict[str, float]) -> dict[str, tuple[np.ndarray, int, float]]:
+    """Per model: sum of phi over the ``wanted`` lowest rows (the last bin in part), the last bin, and the part of it."""
+    counts = binned.groupBy("model", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most models x BINS rows
+    cuts = {}
+    for name, part in counts.groupby("model"):
+        part = part.sort_values("bin")
+        upto = part["n"].cumsum().to_numpy(dtype="float64")
+        last = min(int(np.searchsorted(upto, wanted[name])), len(part) - 1)
+        before = upto[last] - float(part["n"].iloc[last])
+        cuts[name] = (int(part["bin"].iloc[last]), float((wanted[name] - before) / float(part["n"].iloc[last])))
+    table = binned.sparkSession.createDataFrame([(m, b, min(1.0, f)) for m, (b, f) in cuts.items()], "model string, _last int, _part double")
+    near = binned.join(F.broadcast(table), "model").where(F.col("bin") <= F.col("_last"))  # one row per model
+    weighed = near.select("model", F.posexplode("sums").alias("place", "value"), F.when(F.col("bin") == F.col("_last"), F.col("_part")).otherwise(1.0).alias("w"))
+    sums = weighed.groupBy("model", "place").agg(F.sum(F.col("value") * F.col("w")).alias("value")).toPandas()  # models x D numbers
+    return {name: (part.sort_values("place")["value"].to_numpy(), *cuts[name]) for name, part in sums.groupby("model")}
+
+
+def shortest(atoms: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    """The shortest vector in the convex hull of a few vectors: pairwise Frank-Wolfe steps on their Gram matrix."""
+    gram = atoms @ atoms.T
+    share = np.zeros(len(atoms))
+    share[int(np.argmin(np.diag(gram)))] = 1.0
+    for _ in range(rounds):
+        slope = gram @ share
+        towards, away = int(np.argmin(slope)), int(np.argmax(np.where(share > 0, slope, -np.inf)))
+        gain = slope[away] - slope[towards]
+        if gain <= 1e-12 * max(1e-300, share @ slope):
+            break
+        bend = gram[towards, towards] - 2 * gram[towards, away] + gram[away, away]
+        step = min(share[away], gain / bend) if bend > 0 else share[away]
+        share[towards] += step
+        share[away] -= step
+    return share @ atoms
+
+
+def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions: int = 128, tolerance: float = 0.02, steps: int = 40, seed: int = 42,
                   group: str | None = None) -> OneClassModel:
+    """Passes go on until every model's objective is known to be within ``tolerance`` * |w|^2 of its minimum, ``steps`` at most;
+    the bound reached stands in ``state["models"][..]["gap"]``."""
     keyed = with_group(train, group).select(GROUP, *roles.features)
     models = sorted(r[GROUP] for r in keyed.select(GROUP).distinct().collect())
     fills: dict[str, dict[str, float]] = {c: {m: 0.0 for m in models} for c in roles.numeric}
@@ -161,29 +199,32 @@ def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions:
     rows = stored(with_fills(keyed, fills, models, numbers).select(GROUP, *numbers, *category_codes(roles.categorical)), "one-class")
     seen = [stored(rows.select(GROUP, F.col(f"code_{c}").alias("code")).distinct(), "seen") for c in roles.categorical]
     state = _initial_state(rows, seen, models, numbers, dimensions, seed)
-    first = _pass(rows, state, len(numbers), "mean")
-    counts = {}
-    for name, total in first.items():
-        counts[name] = total[-1]
-        _set_direction(state["models"][name], total[:-1] / total[-1])
-    for step in range(steps + 1):
-        for name, histogram in _pass(rows, state, len(numbers), "scores").items():
-            m = state["models"][name]
-            edges = np.linspace(-m["reach"], m["reach"], BINS + 1)
-            m["rho"] = float(edges[np.searchsorted(np.cumsum(histogram), nu * counts[name])])
-        if step == steps:
+    sizes = {r[GROUP]: r["n"] for r in rows.groupBy(GROUP).agg(F.count("*").alias("n")).collect()}  # one row per model
+    for name, (total, *_) in _lowest(_pass(rows, state, len(numbers)), {m: float(n) for m, n in sizes.items()}).items():
+        _set_direction(state["models"][name], [total / sizes[name]])
+    for _ in range(steps):
+        open_models = {m: nu * sizes[m] for m in models if not state["models"][m]["done"]}
+        if not open_models:
             break
-        below = _pass(rows, state, len(numbers), "below")
-        for name, total in below.items():
+        for name, (total, last, part) in _lowest(_pass(rows, state, len(numbers)), open_models).items():
             m = state["models"][name]
-            gradient = m["w"] - total[:-1] / (nu * counts[name])
-            _set_direction(m, m["w"] - gradient / (step + 2.0))
+            s, width = total / open_models[name], 2 * m["reach"] / BINS
+            m["rho"] = -m["reach"] + width * (last + part)
+            # rows of the last bin are taken alike, which can hide up to a bin's width
+            m["gap"] = (float(m["w"] @ (m["w"] - s)) + width) / max(float(m["w"] @ m["w"]), 1e-300)
+            if m["gap"] <= tolerance:
+                m["done"] = True
+            else:
+                _set_direction(m, [*m["atoms"], s])
+    for m in state["models"].values():
+        m["atoms"] = None
     return OneClassModel(roles, fills, state, seen)
 
 
-def _set_direction(model: dict, w: np.ndarray) -> None:
-    model["w"] = w
-    model["reach"] = max(float(np.linalg.norm(w)) * np.sqrt(2.0), 1e-9)  # |phi| <= sqrt(2)
+def _set_direction(model: dict, atoms: list[np.ndarray]) -> None:
+    model["atoms"] = atoms
+    model["w"] = shortest(np.stack(atoms))
+    model["reach"] = max(float(np.linalg.norm(model["w"])) * np.sqrt(2.0), 1e-9)  # |phi| <= sqrt(2)
 
 
 def _initial_state(rows: DataFrame, seen: Sequence[DataFrame], models: list[str], numbers: Sequence[str], dimensions: int, seed: int) -> dict:
@@ -208,6 +249,6 @@ def _initial_state(rows: DataFrame, seen: Sequence[DataFrame], models: list[str]
         variance = (live[m] + len(seen)) / width - (len(seen) / width) ** 2
         state["models"][m] = {
             "mean": np.array([moments[m][n][0] for n in numbers]), "deviation": np.array([moments[m][n][1] for n in numbers]),
-            "gamma": 1.0 / (width * variance) if variance > 0 else 1.0, "rho": 0.0, "w": None, "reach": 1.0,
+            "gamma": 1.0 / (width * variance) if variance > 0 else 1.0, "rho": 0.0, "w": None, "reach": 1.0, "atoms": None, "gap": None, "done": False,
         }
     return state

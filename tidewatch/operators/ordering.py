@@ -7,11 +7,14 @@ range totals (few rows) give each range its offset, and the exact work happens i
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.tables import stored
+
 BUCKET = "_bucket"
 
 
@@ -137,10 +140,57 @@ def quantiles_of(counted: DataFrame, names: Sequence[str], shares: Sequence[floa
     return ranked.groupBy(*keys, *sized).agg(*picks).select(*keys, *sized, *finals)
 
 
+SKETCH = 10_000  # ranks of the first pass are off by a share of 1 / SKETCH at most
+
+
 def quantiles(
     frame: DataFrame, columns: Sequence[str], shares: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
-    return quantiles_of(value_counts(frame, columns, groups=groups), ["all"], shares, groups)
+    """Exact quantiles (linear interpolation) of many columns in two passes, without a shuffle of single values.
+
+    Mergeable sketches of the first pass give every wanted rank a bracket of values. The second counts values inside brackets one by
+    one (about 4 / SKETCH of the rows per share) and all others per gap between brackets, with partial sums, and the exact ranks
+    are found in those counts. A rank that fell into a gap would be seen; the columns are then counted value by value.
+    Gives ``all_n`` and ``all_q<i>`` per group and feature; NULLs don't count, NaN is the largest value.
+    """
+    spare = 2.0 / SKETCH
+    ends = [min(1.0, max(0.0, share + side)) for share in shares for side in (-spare, spare)]
+    values = frame.select(*groups, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    numbers = [F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}")) for i in range(len(columns))]
+    some = values.groupBy(*groups).agg(
+        *[F.percentile_approx(v, ends, SKETCH).alias(f"_e{i}") for i, v in enumerate(numbers)],
+        *[F.max(F.isnan(f"_v{i}")).alias(f"_nan{i}") for i in range(len(columns))])
+    # brackets per group and column; with NaN among the values the last one has no upper end
+    brackets = [F.array(*[F.struct(
+        F.get(f"_e{i}", F.lit(2 * k)).alias("low"), F.when(F.col(f"_nan{i}"), F.lit(float("nan"))).otherwise(F.get(f"_e{i}", F.lit(2 * k + 1))).alias("high")
+    ) for k in range(len(shares))]).alias(f"_b{i}") for i in range(len(columns))]
+    table = stored(some.select(*groups, *brackets), "brackets")  # one row per group
+    met = [values[g].eqNullSafe(table[g]) for g in groups]
+    near = values.join(F.broadcast(table), reduce(lambda a, b: a & b, met)) if groups else values.join(F.broadcast(table))
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_v{i}").alias("value"), F.col(f"_b{i}").alias("_b")) for i, c in enumerate(columns)]))
+    long = near.select(*[values[g] for g in groups], pairs).where(F.col("value").isNotNull())
+    inside = F.coalesce(F.exists("_b", lambda x: (F.col("value") >= x["low"]) & (F.col("value") <= x["high"])), F.lit(True))
+    before = F.array_max(F.transform(F.filter("_b", lambda x: x["high"] < F.col("value")), lambda x: x["high"]))
+    keys = [*groups, "feature"]
+    counted = long.select(*keys, F.when(inside, F.col("value")).otherwise(F.coalesce(before, F.lit(float("-inf")))).alias("value"), (~inside).alias("_gap"))
+    counted = counted.groupBy(*keys, "value", "_gap").agg(F.count(F.lit(1)).alias("_c"))
+    through = Window.partitionBy(*keys).orderBy("value", "_gap").rowsBetween(Window.unboundedPreceding, 0)
+    ran = counted.withColumns({"_through": F.sum("_c").over(through), "all_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    picks, finals, gaps = [], [], []
+    for i, share in enumerate(shares):
+        position = f"({float(share)!r}D * (all_n - 1))"
+        for name, rank in (("low", f"floor({position})"), ("high", f"ceil({position})")):
+            here = f"_through > {rank} AND _through - _c <= {rank}"
+            picks += [F.expr(f"max(CASE WHEN {here} THEN value END) AS _{name}_{i}"), F.expr(f"coalesce(bool_or(_gap AND {here}), false) AS _gap_{name}_{i}")]
+            gaps.append(F.col(f"_gap_{name}_{i}"))
+        finals.append(F.expr(f"CASE WHEN _low_{i} = _high_{i} THEN _low_{i} ELSE _low_{i} + (_high_{i} - _low_{i}) * ({position} - floor({position})) END AS all_q{i}"))
+    found = stored(ran.groupBy(*keys, "all_n").agg(*picks).select(*keys, "all_n", *finals, reduce(lambda a, b: a | b, gaps).alias("_gap")), "quantiles")
+    known = frame.select(*groups).distinct() if groups else frame.sparkSession.range(1).select()
+    known = known.join(F.broadcast(frame.sparkSession.createDataFrame([(c,) for c in columns], "feature string")))  # a few columns
+    if found.where("_gap").isEmpty():
+        same = reduce(lambda a, b: a & b, [known[k].eqNullSafe(found[k]) for k in keys])
+        return known.join(F.broadcast(found), same, "left").select(*[known[k] for k in keys], F.coalesce("all_n", F.lit(0)).alias("all_n"), *[f"all_q{i}" for i in range(len(shares))])
+    return quantiles_of(value_counts(frame, columns, groups=groups), ["all"], shares, groups).select(*keys, "all_n", *[f"all_q{i}" for i in range(len(shares))])
 
 
 def prefix_quantiles(frame: DataFrame, columns: Sequence[str], share: float, segment: str, folds: Sequence[int]) -> DataFrame:
