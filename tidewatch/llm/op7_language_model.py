@@ -6,7 +6,8 @@ BUCKETS classes by its last two bytes and is drawn inside its class by smoothed
 classes before it: score = (R1[c1] + R2[c2]) . Q[c] + b[c].
 
 Training: each partition of the training documents runs NCE over the tokens of its documents, from common start values; the
-replicas are averaged by a Spark aggregation weighted by tokens. Each of ROUNDS rounds has its share of the tokens, so every token is a target once. What is learnt from grows with the
+replicas are averaged by a Spark aggregation weighted by tokens, so scores depend a little on how the table is cut into partitions
+(equal partitions give equal scores). Up to HEAVIEST equal examples of about CHUNK tokens are one example with a weight. Each of ROUNDS rounds has its share of the tokens, so every token is a target once. What is learnt from grows with the
 corpus, what is kept has a fixed size. Normalisation is exact: one batched matrix product per context gives the sums over all classes,
 made by Spark once per pair of context classes.
 
@@ -31,6 +32,7 @@ from tidewatch.llm.common import LOWER, held_out, keep, mix, pieces, table, word
 TOP, BUCKETS, DIM = 1024, 64, 24
 HEAD = 1 << 17
 ROUNDS, BATCH, NOISE, RATE = 2, 512, 64, 0.15
+CHUNK, HEAVIEST = 1 << 21, 2  # tokens whose equal examples are put together, and how many are one; more in one step would teach less
 END = np.uint64(0x2545F4914F6CDD1D)
 SMOOTH = 0.1
 
@@ -107,36 +109,67 @@ class Model:
 
 
 class Trainer:
-    """NCE with shared noise words and AdaGrad steps on one replica."""
+    """NCE with shared noise words and AdaGrad steps on one replica. Both context tables stand in one, ``r``."""
 
     def __init__(self, model: Model, seed: int):
         self.model, self.rng = model, np.random.default_rng(seed)
-        self.r1, self.r2, self.q, self.b = (x.copy() for x in (model.r1, model.r2, model.q, model.b))
-        self.squares = [np.full(x.shape, 1e-3, dtype=np.float32) for x in (self.r1, self.r2, self.q, self.b)]
+        self.r = np.concatenate([model.r1, model.r2])
+        self.q, self.b = model.q.copy(), model.b[:, None].copy()
+        self.squares = {name: np.full(getattr(self, name).shape, 1e-3, dtype=np.float32) for name in ("r", "q", "b")}
         self.log_noise = np.log(NOISE * model.unigram).astype(np.float32)
         self.cumulative = np.cumsum(model.unigram)
         self.seen = 0
 
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
+    def weights(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.r, self.q, self.b)])
+
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, times: np.ndarray) -> None:
+        """One batch of distinct (context, context, target), each as often as ``times`` says."""
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), self.model.classes - 1)
-        context = self.r1[one] + self.r2[two]
-        own = np.einsum("ij,ij->i", context, self.q[target]) + self.b[target] - self.log_noise[target]
-        other = context @ self.q[noise].T + self.b[noise] - self.log_noise[noise]
-        own_error = (1 / (1 + np.exp(np.clip(own, -30, 30)))).astype(np.float32)  # 1 - sigmoid
-        other_error = -(1 / (1 + np.exp(np.clip(-other, -30, 30)))).astype(np.float32)
-        to_context = own_error[:, None] * self.q[target] + other_error @ self.q[noise]
-        grads = [np.zeros_like(x) for x in (self.r1, self.r2, self.q, self.b)]
-        np.add.at(grads[0], one, to_context)
-        np.add.at(grads[1], two, to_context)
-        np.add.at(grads[2], target, own_error[:, None] * context)
-        np.add.at(grads[2], noise, other_error.T @ context)
-        np.add.at(grads[3], target, own_error)
-        np.add.at(grads[3], noise, other_error.sum(axis=0))
-        for value, square, grad in zip((self.r1, self.r2, self.q, self.b), self.squares, grads):
-            grad /= len(one) ** 0.5
-            square += grad * grad
-            value += RATE * grad / np.sqrt(square)
-        self.seen += len(one)
+        two = two + np.uint16(self.model.classes + 1)
+        context = self.r[one] + self.r[two]
+        own_q, noise_q = self.q[target], self.q[noise]
+        own = np.einsum("ij,ij->i", context, own_q) + self.b[target, 0] - self.log_noise[target]
+        other = context @ noise_q.T
+        other += self.b[noise, 0] - self.log_noise[noise]
+        own_error = times / (1 + np.exp(np.clip(own, -30, 30)))  # 1 - sigmoid
+        other_error = np.minimum(other, 30, out=other)  # worked on in place: the largest array here
+        np.exp(np.negative(other_error, out=other_error), out=other_error)
+        other_error += 1
+        np.divide(-times[:, None], other_error, out=other_error)
+        to_context = own_error[:, None] * own_q
+        to_context += other_error @ noise_q
+        count = times.sum()
+        scale = np.float32(1 / np.sqrt(count))
+        drawn = np.concatenate([target, noise.astype(np.uint16)])
+        self._update("r", *_sums(np.concatenate([one, two]), np.concatenate([to_context, to_context])), scale)
+        order = _order(drawn)
+        self._update("q", *_sums(drawn, np.concatenate([own_error[:, None] * context, other_error.T @ context]), order), scale)
+        self._update("b", *_sums(drawn, np.concatenate([own_error, np.ones(len(times), np.float32) @ other_error])[:, None], order), scale)
+        self.seen += round(float(count))
+
+    def _update(self, name: str, rows: np.ndarray, grad: np.ndarray, scale: np.float32) -> None:
+        """AdaGrad on the rows that the batch touches; all others have no gradient."""
+        value, squares = getattr(self, name), self.squares[name]
+        grad *= scale
+        square = squares[rows]
+        square += grad * grad
+        squares[rows] = square
+        value[rows] += RATE * grad / np.sqrt(square)
+
+
+def _order(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorting order of 16-bit numbers, where each run of equal ones starts, and the distinct numbers."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return order, starts, ordered[starts]
+
+
+def _sums(at: np.ndarray, values: np.ndarray, order: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``at``, and the sums of their values."""
+    order, starts, rows = order or _order(at)
+    return rows, np.add.reduceat(values[order], starts, axis=0)
 
 
 def count_corpus(training: DataFrame) -> tuple[Model, DataFrame]:
@@ -181,12 +214,12 @@ def train(training: DataFrame, model: Model) -> Model:
                 classes = shared.value.class_of(words, bucket)
                 one, two = shared.value.contexts(classes, before)
                 chosen = targets(words, before, turn)
-                waiting.append(np.stack([one[chosen], two[chosen], classes[chosen]]))
-                if sum(x.shape[1] for x in waiting) >= 64 * BATCH:
+                waiting.append((one[chosen] * (shared.value.classes + 1) + two[chosen]) * shared.value.classes + classes[chosen])
+                if sum(map(len, waiting)) >= CHUNK:
                     _run(trainer, waiting)
             _run(trainer, waiting)
             if trainer.seen:
-                flat = np.concatenate([x.ravel() for x in (trainer.r1, trainer.r2, trainer.q, trainer.b)]).astype(np.float64)
+                flat = trainer.weights().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.seen), pa.array(np.full(len(flat), float(trainer.seen)))], names=["i", "x", "n"])
 
         merged = training.select("text").mapInArrow(fit, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
@@ -198,13 +231,20 @@ def train(training: DataFrame, model: Model) -> Model:
 
 
 def _run(trainer: Trainer, waiting: list[np.ndarray]) -> None:
+    """Learn from the tokens at hand. Equal (context, context, target) are one example with their number as its weight."""
     if not waiting:
         return
-    every = np.concatenate(waiting, axis=1)
+    every, times = np.unique(np.concatenate(waiting), return_counts=True)
     waiting.clear()
-    every = every[:, trainer.rng.permutation(every.shape[1])]
-    for s in range(0, every.shape[1], BATCH):
-        trainer.step(*every[:, s: s + BATCH])
+    parts = -(-times // HEAVIEST)
+    every, times = np.repeat(every, parts), np.repeat((times / parts).astype(np.float32), parts)
+    order = trainer.rng.permutation(len(every))
+    every, times = every[order], times[order]
+    contexts, target = np.divmod(every, trainer.model.classes)
+    one, two = np.divmod(contexts, trainer.model.classes + 1)
+    one, two, target = (x.astype(np.uint16) for x in (one, two, target))  # small numbers sort fastest; there are fewer than 2 ** 15 classes
+    for s in range(0, len(every), BATCH):
+        trainer.step(one[s: s + BATCH], two[s: s + BATCH], target[s: s + BATCH], times[s: s + BATCH])
 
 
 def normalise(spark: SparkSession, model: Model) -> Model:
