@@ -183,3 +183,32 @@ def test_file_order_ids_do_not_depend_on_how_files_are_cut(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert got[0] == got[1] == got[2] == list(enumerate(f"{d}-{i:05d}" for d in range(2) for i in range(6000) if i % 7))
+
+
+def test_a_stopped_batch_is_never_read(spark, tmp_path, monkeypatch):
+    from tidewatch.sources import tables
+
+    path = str(tmp_path / "lookups")
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "sha1 string, query_status string")
+    assert tables.read_lookups(spark, path) is None
+    tables.append_lookups(rows(("a", "ok"), ("b", "HTTP_502")), path, "first batch/1")
+    read = lambda: sorted((r["batch"], r["sha1"], r["query_status"]) for r in tables.read_lookups(spark, path).collect())
+    first = [("first batch/1", "a", "ok"), ("first batch/1", "b", "HTTP_502")]
+    assert read() == first
+    # stopped while rows are written: one row fails in its task
+    broken = rows(("c", "ok"), ("d", "ok")).repartition(2).withColumn("query_status", F.expr("if(sha1 = 'd', raise_error('stopped'), query_status)"))
+    for batch in ("second", "first batch/1"):
+        with pytest.raises(Exception, match="stopped"):
+            tables.append_lookups(broken, path, batch)
+        assert read() == first
+    # stopped between the rows and the marker
+    with monkeypatch.context() as m:
+        m.setattr(tables, "quote", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            tables.append_lookups(rows(("c", "ok")), path, "second")
+    assert read() == first
+    tables.append_lookups(rows(("c", "ok")), path, "second")
+    tables.append_lookups(rows(("b", "ok")), path, "first batch/1")  # a repeated batch replaces itself
+    assert read() == [("first batch/1", "b", "ok"), ("second", "c", "ok")]
+    tables.append_lookups(rows(), path, "second")
+    assert read() == [("first batch/1", "b", "ok")]

@@ -168,3 +168,21 @@ def test_times_that_run_against_dates_are_not_nested(spark, sixty_days):
     turned = sixty_days.withColumn("ts", F.timestamp_seconds(F.lit(3_400_000_000) - F.unix_timestamp("ts"))).where("label = 0")
     cutoffs = splits.fold_cutoffs(turned, splits.fold_dates(turned), "ts", "flow_row_id")
     assert splits.fit_segments(turned, cutoffs, "ts", "flow_row_id") is None
+
+
+def test_dictionary_is_numbered_without_the_driver(spark):
+    from tidewatch.operators import prep
+
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(9000)] + ["é", "Z", "", "~"]
+    train = spark.createDataFrame([(i, float(i), w, None if i % 3 else "x") for i, w in enumerate(words)], "id long, n double, k string, few string")
+    dictionary = prep.fit_dictionary(train, ["k", "few"])
+    got = {(r["feature"], r["word"]): r["place"] for r in dictionary.collect()}
+    assert got == {("k", w): i for i, w in enumerate(sorted(set(words)))} | {("few", "x"): 0}
+    roles = Roles(("n",), ("k", "few"))
+    new = spark.createDataFrame([(1, 2.5, "é", "x"), (2, None, "never seen", None)], "id long, n double, k string, few string")
+    rows = {r["id"]: r for r in prep.encode(new, roles, dictionary).withColumn("whole", prep.dense("features")).collect()}
+    size = 1 + len(set(words)) + 1
+    assert rows[1]["features"]["size"] == size == len(rows[1]["whole"])
+    assert rows[1]["features"]["indices"] == [0, 1 + got[("k", "é")], size - 1] and rows[1]["features"]["values"] == [2.5, 1.0, 1.0]
+    assert rows[2]["features"]["indices"] == [0] and sum(rows[1]["whole"]) == 4.5 and sum(rows[2]["whole"]) == 0.0

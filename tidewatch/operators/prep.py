@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import quantiles
 from tidewatch.roles import Roles
+from tidewatch.sources.tables import stored
 
 
 def medians(frame: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -68,16 +68,46 @@ def standardize(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.withColumns({c: scaled(c) for c in columns if found.get(c, (None,))[0] is not None})
 
 
-def encoding_stages(roles: Roles, output: str = "features") -> list:
-    """Index, one-hot and assemble. An unseen category becomes all zeros; names stay in the column metadata."""
-    indexed, encoded = [f"{c}_index" for c in roles.categorical], [f"{c}_onehot" for c in roles.categorical]
-    stages: list = []
-    if roles.categorical:
-        stages = [
-            StringIndexer(inputCols=list(roles.categorical), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),  # the dropped slot is "unseen"
-        ]
-    return [*stages, VectorAssembler(inputCols=[*roles.numeric, *encoded], outputCol=output)]
+def fit_dictionary(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, word, place): the known words of each column, numbered from 0 by code point. Stored.
+
+    Words are cut into ranges, counted per range and numbered inside them, so a column may have any number of categories: neither
+    the driver nor one task ever holds them all.
+    """
+    pairs = frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("word")) for c in columns])))
+    words = pairs.where("word is not null").distinct()
+    ranged = stored(words.repartitionByRange("feature", "word").withColumn("_block", F.spark_partition_id()), "words")
+    before = Window.partitionBy("feature").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("feature", "_block").agg(F.count(F.lit(1)).alias("_n")).select("feature", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("feature", "_block").orderBy("word")
+    placed = ranged.withColumn("_at", F.row_number().over(inside)).join(starts, ["feature", "_block"])
+    return stored(placed.select("feature", "word", (F.col("_start") + F.col("_at") - 1).alias("place")), "dictionary")
+
+
+def encode(frame: DataFrame, roles: Roles, dictionary: DataFrame, output: str = "features") -> DataFrame:
+    """Adds the assembled row as a sparse vector (size, indices, values): the numbers, then one place per known category.
+
+    An unseen or missing category has no place, so all its zeros stay zero. Spark broadcasts a dictionary below its own limit and
+    joins a larger one by a shuffle.
+    """
+    counts = {r["feature"]: r["n"] for r in dictionary.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+    width = len(roles.numeric)
+    entries = [F.struct(F.lit(i).cast("long").alias("place"), F.col(c).cast("double").alias("value")) for i, c in enumerate(roles.numeric)]
+    rows = frame
+    for i, column in enumerate(roles.categorical):
+        words = dictionary.where(F.col("feature") == column).select(F.col("word").alias(f"_word_{i}"), (F.col("place") + width).alias(f"_place_{i}"))
+        rows = rows.join(words, F.col(column).cast("string") == F.col(f"_word_{i}"), "left").drop(f"_word_{i}")
+        entries.append(F.struct(F.col(f"_place_{i}").alias("place"), F.lit(1.0).alias("value")))
+        width += counts.get(column, 0)
+    kept = F.filter(F.array(*entries), lambda e: e["place"].isNotNull())
+    vector = F.struct(F.lit(width).cast("long").alias("size"), F.transform(kept, lambda e: e["place"]).alias("indices"), F.transform(kept, lambda e: e["value"]).alias("values"))
+    return rows.withColumn(output, vector).drop(*[f"_place_{i}" for i in range(len(roles.categorical))])
+
+
+def dense(vector: str) -> Column:
+    """A sparse vector as an array of doubles."""
+    known = F.map_from_arrays(F.col(f"{vector}.indices"), F.col(f"{vector}.values"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col(f"{vector}.size") - 1), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0)))
 
 
 def category_codes(columns: Sequence[str]) -> list[Column]:

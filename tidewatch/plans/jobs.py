@@ -12,7 +12,7 @@ from tidewatch.operators import cleaning, evaluation, features, forest, identity
 from tidewatch.roles import CLASS_CODES, CONNECTION_LOG, Roles
 from tidewatch.session import prepare_session
 from tidewatch.sources import zeek
-from tidewatch.sources.tables import append_lookups, write_table
+from tidewatch.sources.tables import append_lookups, read_lookups, write_table
 
 CONNECTIONS = "conn.log.labeled"
 # Logs with host names and the column that holds them.
@@ -192,12 +192,10 @@ def hash_intelligence(spark: SparkSession, root: str, hash_feed: DataFrame, out:
     files = rolling.keep(scanned.select("capture_date", *text), "files")
     candidates = rolling.keep(intel.hash_candidates(files), "hashes")
     lookups = f"{out}/lookups"
-    # the folder may not be there yet; a missing earlier batch means that everything is pending
-    folder = spark._jvm.org.apache.hadoop.fs.Path(lookups)
-    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    pending = intel.pending_lookups(candidates, spark.read.parquet(lookups), "sha1") if known else candidates
+    known = read_lookups(spark, lookups)  # without an earlier batch everything is pending
+    pending = intel.pending_lookups(candidates, known, "sha1") if known else candidates
     append_lookups(rolling.keep(intel.enrich_hashes(pending, hash_feed), "verdicts"), lookups, batch)
-    verdicts = spark.read.parquet(lookups)
+    verdicts = read_lookups(spark, lookups)
     tables = {
         "availability": intel.hash_availability(files), "linkage": intel.hash_linkage(files), "candidates": candidates, "quality": intel.hash_quality(files),
         "status": intel.status_distribution(verdicts.drop("batch")), "pending": intel.pending_lookups(candidates, verdicts, "sha1"),

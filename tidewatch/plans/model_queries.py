@@ -65,14 +65,10 @@ def _(t):
 @query("ml3_onehot_width", f"""WITH {TRAIN} SELECT CAST(4 + count(DISTINCT proto) + count(DISTINCT coalesce(svc, 'missing')) + count(DISTINCT conn_state)
   + count(DISTINCT history) AS INTEGER) AS width, (SELECT count(*) FROM flow_v WHERE {BINARY}) AS records FROM m""")
 def _(t):
-    from pyspark.ml import Pipeline
-
     train, _ = parts(t)
-    fitted = Pipeline(stages=prep.encoding_stages(FLOW)).fit(prep.fit_imputation(train, FLOW).apply(train))
-    encoded = fitted.transform(prep.Imputation({c: 0.0 for c in FLOW.numeric}, {}).apply(flows(t)))
-    from pyspark.ml.functions import vector_to_array
-
-    return encoded.agg(F.max(F.size(vector_to_array("features"))).alias("width"), F.count("*").alias("records"))
+    ready = prep.fit_imputation(train, FLOW).apply(train)
+    encoded = prep.encode(flows(t), FLOW, prep.fit_dictionary(ready, FLOW.categorical))
+    return encoded.agg(F.max("features.size").cast("int").alias("width"), F.count("*").alias("records"))
 
 
 CATEGORIES = (("proto", "proto"), ("service", "coalesce(svc, 'missing')"), ("conn_state", "conn_state"), ("history", "history"))
@@ -84,13 +80,27 @@ words AS (SELECT {', '.join(f"list_sort(list(DISTINCT {v})) AS {c}_words" for c,
 SELECT flow_row_id, list_transform([coalesce(duration, d_med), coalesce(orig_bytes, o_med), coalesce(resp_bytes, r_med), missed_bytes]
   {' '.join(f"|| list_transform({c}_words, lambda w: CASE WHEN w = {v} THEN 1e0 ELSE 0e0 END)" for c, v in CATEGORIES)}, lambda x: round(x, 6)) AS features FROM f, words""")
 def _(t):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
     train, _ = parts(t)
     ready = prep.fit_imputation(train, FLOW).apply(train)
-    vectors = Pipeline(stages=prep.encoding_stages(FLOW)).fit(ready).transform(ready)
-    return vectors.select("flow_row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+    vectors = prep.encode(ready, FLOW, prep.fit_dictionary(ready, FLOW.categorical)).withColumn("whole", prep.dense("features"))
+    return vectors.select("flow_row_id", F.transform("whole", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query("ml4_sparse_places", f"""WITH {TRAIN}, words AS ({' UNION ALL '.join(f"SELECT DISTINCT {i} AS f, {v} AS word FROM m WHERE {v} IS NOT NULL" for i, (_, v) in enumerate(CATEGORIES))}),
+places AS (SELECT f, word, 4 + row_number() OVER (ORDER BY f, word) - 1 AS place FROM words),
+v AS (SELECT *, CASE WHEN service NOT IN ('-', '(empty)') THEN service END AS svc FROM flow_v WHERE {BINARY} AND {in_dates(TEST_DATES)})
+SELECT flow_row_id, {', '.join(f"(SELECT place FROM places WHERE f = {i} AND word = {v}) AS {c}" for i, (c, v) in enumerate(CATEGORIES))} FROM v""")
+def _(t):
+    # rows of later days with the dictionary of the training days: an unseen category has no place
+    train, test = parts(t)
+    encoded = prep.encode(test, FLOW, prep.fit_dictionary(prep.fit_imputation(train, FLOW).apply(train), FLOW.categorical))
+    lows = encoded.withColumn("places", F.filter("features.indices", lambda p: p >= len(FLOW.numeric)))
+    sizes = prep.fit_dictionary(train, FLOW.categorical).groupBy("feature").agg(F.count("*").alias("n")).collect()  # one row per column
+    ends, at = {}, len(FLOW.numeric)
+    for c in FLOW.categorical:
+        ends[c] = (at, at := at + {r["feature"]: r["n"] for r in sizes}[c])
+    place = lambda c: F.get(F.filter("places", lambda p: (p >= ends[c][0]) & (p < ends[c][1])), F.lit(0))
+    return lows.select("flow_row_id", *[place(c).alias(c) for c in FLOW.categorical])
 
 
 @query("ml5_standardized", f"""WITH m AS (SELECT flow_row_id, orig_bytes, resp_bytes FROM flow_v WHERE {BINARY})

@@ -16,7 +16,7 @@ from tidewatch.plans.split_queries import STRATIFIED, stratified
 from tidewatch.operators.cleaning import binary_rows, metadata_table
 from tidewatch.session import scratch_path
 from tidewatch.sources import zeek
-from tidewatch.sources.tables import append_lookups, read_table, write_table
+from tidewatch.sources.tables import append_lookups, read_lookups, read_table, write_table
 
 # Logs that may hold intelligence candidates.
 CANDIDATE_LOGS = ["dns.log.labeled", "http.log.labeled", "ssl.log.labeled", "x509.log.labeled", "files.log.labeled",
@@ -149,11 +149,11 @@ def _(t):
     candidates = hash_candidates(t.file_v)
     results = enrich_hashes(candidates, t.feed_hash_v)
     append_lookups(results, path, "first")
-    again = pending_lookups(candidates, t.spark.read.parquet(path), "sha1")
+    again = pending_lookups(candidates, read_lookups(t.spark, path), "sha1")
     retried = again.join(results, "sha1").withColumn("query_status", F.lit("ok"))
     append_lookups(retried, path, "retry")
-    final = t.spark.read.parquet(path).where(~F.col("query_status").startswith("HTTP_"))
-    return final.groupBy(F.col("batch").cast("string").alias("batch")).agg(F.count("*").alias("hashes"))
+    final = read_lookups(t.spark, path).where(~F.col("query_status").startswith("HTTP_"))
+    return final.groupBy("batch").agg(F.count("*").alias("hashes"))
 
 
 @query("id1_file_order_ids", f"""SELECT capture_date, count(*) AS records, CAST(sum(count(*)) OVER (ORDER BY capture_date) - count(*) AS BIGINT) AS first_id, CAST(0 AS BIGINT) AS out_of_order FROM (
