@@ -21,7 +21,7 @@ from tidewatch.llm.op6_mixing import mix_sources
 from tidewatch.llm.op8_suffix import remove_repeats
 
 WORDS, PERCENT = 5, 80
-LEAST_SCORE, LEAST_CHARS = 0.05, 50  # of the language decision, for texts long enough to tell
+LEAST_SCORE, GRAM = 0.05, 4  # of the language decision; bytes of the n-grams that it rests on
 ORACLE_SQL = None
 
 
@@ -37,19 +37,31 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the languages of the labelled ones go: no letters, or a longer text with hardly an n-gram of any language."""
+    """Documents in none of the languages of the labelled ones go: no letters, or hardly an n-gram of any language, whatever the length.
+
+    A text of fewer bytes than one n-gram says nothing about its language and stays if it has a letter.
+    """
     given = docs.columns
     docs, names = _aside(docs, "lang_pred", "score")
-    told = predict(docs, learn(docs)).where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.char_length("text") < LEAST_CHARS)))
+    told = predict(docs, learn(docs)).where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SCORE) | (F.octet_length("text") < GRAM)))
     return told.drop("lang_pred", "score").withColumnsRenamed(names).select(given)
 
 
+def _told_apart(named: DataFrame) -> DataFrame:
+    """``_key``: one number per id and text. It is the id for the id's first text (by hash); other texts of the same id get one above all real ids."""
+    named = named.withColumn("_text", F.xxhash64("text"))
+    several = named.groupBy("_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("_id", "_first")
+    other = F.lit(1 << 61) + F.xxhash64("_id", "_text").bitwiseAND((1 << 61) - 1)
+    return named.join(several, "_id", "left").withColumn("_key", F.when(F.col("_first") != F.col("_text"), other).otherwise(F.col("_id"))).drop("_first")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of repeated rows one."""
-    named = _identified(docs)
-    groups = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), WORDS, PERCENT)
-    stays = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return named.withColumn("_text", F.xxhash64("text")).join(stays, "_id").dropDuplicates(["_id", "_text"]).select(docs.columns)
+    """Of each group of near copies the document with the smallest id stays; of repeated rows one. An id with several texts stands for its
+    first text; its other texts are documents of their own that come after all ids."""
+    named = _told_apart(_identified(docs))
+    groups = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), WORDS, PERCENT)
+    stays = groups.where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(stays, "_key").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
