@@ -401,7 +401,7 @@ def test_tool_calls(spark):
     lacks = ["arguments are no object", "missing parameter s", "missing parameter x"]
     assert got[1, "a"] == (2, 1, ["several results"]) and got[1, "b"] == (2, 0, ["no result", "missing parameter s"])
     assert got[1, "c"] == (2, 2, ["no result", *lacks])
-    assert "cycle" in got[1, "d"][2] and "unknown dependency zz" in got[1, "d"][2]
+    assert "cycle" in got[1, "d"][2] and "unknown dependency zz" in got[1, "d"][2] and "cycle" in got[1, "e"][2]
     assert got[2, "a"] == (1, 0, []) and got[2, None][2] == ["no identifier", "no result"]
     assert got[3, "p"][2] == ["no result", "cycle", "unknown parameter y", "wrong type x"]
     assert got[3, "q"] == (9, 2, []) and got[3, "r"] == (9, 1, ["no result"]) and got[3, "s"] == (9, 0, ["no result", "unknown tool", "arguments are no object"])
@@ -414,6 +414,31 @@ def test_tool_calls(spark):
     assert nothing.collect() == []
 
 
+def test_every_call_of_a_cycle_is_reported(spark):
+    rng = np.random.default_rng(6)
+    calls = [(1, f"a{i}", i, "t", "{}", [f"a{(i + 1) % 5}"]) for i in range(5)]  # a ring
+    calls += [(1, "x", 9, "t", "{}", ["a0", "y"]), (1, "y", 3, "t", "{}", ["z"]), (1, "z", 20, "t", "{}", [])]  # behind the ring, on none
+    calls += [(2, "m", 5, "t", "{}", ["n", "o"]), (2, "n", 7, "t", "{}", ["m"]), (2, "o", 1, "t", "{}", ["p"]), (2, "p", 8, "t", "{}", ["m"])]  # two rings that share a call
+    calls += [(None, "s", 1, "t", "{}", ["u"]), (None, "u", 1, "t", "{}", ["s"])]
+    for conv in range(3, 15):
+        calls += [(conv, f"c{i}", int(rng.integers(6)), "t", "{}", [f"c{j}" for j in rng.choice(9, rng.integers(0, 3), replace=False)]) for i in range(9)]
+    needs = {(c, i): [(c, d) for d in deps] for c, i, _, _, _, deps in calls}
+
+    def reach(start):
+        seen, todo = set(), list(needs[start])
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += needs[at]
+        return seen
+
+    wanted = {key for key in needs if key in reach(key)}
+    found = op10.order_keys(spark.createDataFrame(calls, op10.CALLS)).where("cycle").collect()
+    assert {(r["conv_id"], r["call_id"]) for r in found} == wanted and len(found) == len(wanted)
+    assert {(1, f"a{i}") for i in range(5)} | {(2, k) for k in "mnop"} | {(None, "s"), (None, "u")} <= wanted and not {(1, "x"), (1, "y")} & wanted
+
+
 def test_long_conversation_needs_no_rounds(spark):
     calls = spark.range(3000).selectExpr("1L AS conv_id", "concat('c', id) AS call_id", "id AS turn", "'t' AS name", "'{}' AS arguments", "array(concat('c', id - 1)) AS depends_on")
     assert op10.order_keys(calls).isEmpty()

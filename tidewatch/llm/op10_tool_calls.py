@@ -4,7 +4,7 @@
   nothing; the first result by turn and content is linked.
 - Order: a call comes after all it depends on. Its key is (turn, depth); a dependency that stands later or at the same place lifts the key to
   just behind it. Only calls whose key still rises are looked at again, so calls that are in order cost no round, whatever the length of a
-  conversation. A call that meets itself on the way is on a cycle and is reported. Sorting by (order_turn, order_depth, call_id) is a
+  conversation. A call that meets itself on the way is on a cycle; all calls of the cycles it is on are reported. Sorting by (order_turn, order_depth, call_id) is a
   topological order; no rank is made that would need a conversation in one task.
 - Arguments are parsed as JSON and checked against the tool's parameters: unknown, missing and mistyped ones are named.
 - Each linked call is one canonical JSON record: sorted keys, no white space, null fields left out.
@@ -63,7 +63,28 @@ def order_keys(calls: DataFrame) -> DataFrame:
         following = keep(state.alias("s").join(changed.alias("n"), _same("s", "n", "conv_id", "call_id"), "left_anti").unionByName(changed), "order")
         drop(state)
         state = following
-    return state.select("conv_id", "call_id", F.col("key.turn").alias("order_turn"), F.col("key.depth").alias("order_depth"), "cycle")
+    lifted = state.select("conv_id", "call_id", F.col("key.turn").alias("order_turn"), F.col("key.depth").alias("order_depth"), "cycle")
+    met = lifted.where("cycle")
+    if met.isEmpty():
+        return lifted
+    # a call is on a cycle if some call that met itself depends on it and is a dependency of it, over any number of links
+    rounds = _linked(met, edges, "dep", "call_id").alias("a").join(_linked(met, edges, "call_id", "dep").alias("b"), _same("a", "b", "conv_id", "call_id", "start"))
+    on = rounds.select("a.conv_id", "a.call_id").distinct().withColumn("on", F.lit(True))
+    whole = on.alias("o").join(lifted.alias("l"), _same("o", "l", "conv_id", "call_id"), "full")
+    either = lambda c: F.when(F.col("o.on"), F.col(f"o.{c}")).otherwise(F.col(f"l.{c}")).alias(c)
+    return whole.select(either("conv_id"), either("call_id"), "l.order_turn", "l.order_depth", F.coalesce("o.on", F.lit(False)).alias("cycle"))
+
+
+def _linked(starts: DataFrame, edges: DataFrame, at: str, to: str) -> DataFrame:
+    """(conv_id, start, call_id): what can be reached from each start over edges from column ``at`` to column ``to``, the start included."""
+    found = keep(starts.select("conv_id", F.col("call_id").alias("start"), "call_id"), "reached")
+    fresh = found
+    while not fresh.isEmpty():
+        steps = edges.select("conv_id", F.col(at).alias("call_id"), F.col(to).alias("next")).distinct().alias("e").join(fresh.alias("f"), _same("e", "f", "conv_id", "call_id")).select(
+            "f.conv_id", "f.start", F.col("e.next").alias("call_id")).distinct()
+        fresh = keep(steps.alias("n").join(found.alias("s"), _same("n", "s", "conv_id", "start", "call_id"), "left_anti"), "reached")
+        found = keep(found.unionByName(fresh), "reached")
+    return found
 
 
 def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
