@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_sources import write_log
 from tidewatch.plans import jobs
+from tidewatch.sources.tables import read_lookups
 
 FIELDS = ("ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto service duration orig_bytes resp_bytes missed_bytes orig_pkts orig_ip_bytes "
           "resp_pkts resp_ip_bytes conn_state history label detailedlabel").split()
@@ -92,7 +93,7 @@ def test_hash_lookups_resume(spark, tmp_path):
     again = jobs.hash_intelligence(spark, str(tmp_path / "logs"), feed, out, "retry")
     assert spark.read.parquet(again["pending"]).isEmpty()
     # the hash with a final answer was not asked for again
-    assert {(r["sha1"], r["query_status"]) for r in spark.read.parquet(again["lookups"]).where("batch = 'retry'").collect()} == {(h, "hash_not_found") for h in hashes[1:]}
+    assert {(r["sha1"], r["query_status"]) for r in read_lookups(spark, again["lookups"]).where("batch = 'retry'").collect()} == {(h, "hash_not_found") for h in hashes[1:]}
 
 
 def test_detector_study(spark, root, tmp_path):

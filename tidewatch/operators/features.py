@@ -65,6 +65,7 @@ def numeric_summary(frame: DataFrame, columns: Sequence[str], target: str) -> Da
     constant = F.col("unique_non_null") <= 1
     flat = (F.col("share") >= NEAR_CONSTANT) | (F.col("overall_std") == 0) | F.col("overall_std").isNull()
     sparse = (F.col("missing_share") >= HIGH_MISSING) & (F.col("effect") < WEAK_EFFECT)
+    # The words of notes and verdicts.
     note = (
         F.when(constant, "constant feature").when(flat, "near-constant behaviour")
         .when(sparse, "high missingness with weak class separation")

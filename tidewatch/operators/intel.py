@@ -56,6 +56,7 @@ def hash_availability(files: DataFrame, date: str = "capture_date") -> DataFrame
 
 def hash_linkage(files: DataFrame) -> DataFrame:
     """Seven measures of how usable the hashes are; distinct counts are taken in one expand-free step each."""
+    # The names of the measures, here and below.
     plain = _measures(files, {
         "All file records": F.count("*"),
         "Records containing a hash": F.count_if(F.col("md5").isNotNull() | F.col("sha1").isNotNull()),

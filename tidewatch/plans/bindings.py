@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.roles import Roles
+from tidewatch.roles import CONNECTION_LOG, Roles
 from tidewatch.session import prepare_session
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -72,8 +72,7 @@ FLOW = Roles(
     numeric=("duration", "orig_bytes", "resp_bytes", "missed_bytes"),
     categorical=("proto", "service", "conn_state", "history"),
     metadata=("ts", "uid", "id_orig_h", "id_resp_h", "source_file", "capture_date", "label", "detailedlabel"),
-    excluded=("detailedlabel", "id_orig_h", "id_resp_h", "uid", "source_file", "capture_date",
-              "local_orig", "local_resp", "tunnel_parents"),
+    excluded=CONNECTION_LOG.excluded,
 )
 TRAIN_DATES = [f"2024-01-{d:02d}" for d in range(1, 11)]
 TEST_DATES = [f"2024-01-{d:02d}" for d in range(11, 31)]

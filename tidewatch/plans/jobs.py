@@ -138,9 +138,9 @@ def enrich(spark: SparkSession, root: str, domain_feed: DataFrame, out: str, sta
     flows = rolling.keep(flows, "flows")
     hosts = rolling.keep(intel.host_observations(logs), "hosts") if logs else spark.createDataFrame([], "uid string, source string, indicator string")
     classified = intel.classify_domains(intel.domain_candidates(hosts))
-    verdicts = intel.enrich_domains(intel.public_domains(classified), domain_feed)
+    verdicts = rolling.keep(intel.enrich_domains(intel.public_domains(classified), domain_feed), "verdicts")
     matches = intel.matched_domains(verdicts, start, end)
-    seen = intel.historical_observations(hosts, intel.historical_domains(matches))
+    seen = rolling.keep(intel.historical_observations(hosts, intel.historical_domains(matches)), "seen")  # read for uids, domains and flows
     enriched = rolling.keep(intel.enrich_flows(flows, intel.uid_features(seen)), "enriched")
     roles = intel.ip_roles(flows, "id_orig_h", "id_resp_h")
     tables = {
