@@ -326,17 +326,32 @@ def _(t):
     return rounded(rolling.prediction_table(result["test"], FLOW, result["threshold"]))
 
 
-@query("ml17_three_models")
-def _(t):
+DETECTORS = (("Isolation Forest - 1% calibrated", forest), ("One-Class SVM - 1% calibrated", one_class))
+
+
+def side_by_side(t, detectors) -> DataFrame:
     train, test = parts(t)
     benign = splits.time_split(splits.benign_only(train, "label"), "ts", "flow_row_id")
     fit_rows, calibration = benign.where("part = 'fit'").drop("part"), benign.where("part = 'calibrate'").drop("part")
     scored = [rolling.as_model(rolling.keep(tree.fit_tree(train, FLOW).predict(test), "tree"), "Decision Tree")]
-    for name, fit in (("Isolation Forest - 1% calibrated", forest), ("One-Class SVM - 1% calibrated", one_class)):
+    for name, fit in detectors:
         scored.append(rolling.as_model(rolling.calibrated_detector(fit_rows, calibration, test, FLOW, fit)["test"], name))
     return rounded(rolling.common_test_comparison(scored))
 
 
+@query("ml17_two_models", f"""{GROWN}, {model_sql.TIMED_ROWS}, {model_sql.forest('fit_rows', 'to_score')}, {model_sql.calibrated()},
+stacked AS (SELECT 'Decision Tree' AS model, actual, predicted, score FROM grown_scored
+  UNION ALL SELECT '{DETECTORS[0][0]}', actual, predicted, score FROM flagged), {model_sql.ranked('stacked', 'model')}, r AS ({model_sql.rated('stacked', 'model')})
+SELECT r.*, roc_auc, average_precision FROM r JOIN ranked USING (model)""")
+def _(t):
+    return side_by_side(t, DETECTORS[:1])
+
+
+@query("ml17_three_models")
+def _(t):
+    return side_by_side(t, DETECTORS)
+
+
 @query("ml17_family_performance", f"""{GROWN} SELECT capture_date, coalesce(detailedlabel, 'unspecified') AS attack_family, count(*) AS malicious_records,
   count(*) FILTER (predicted = 1) AS detected, count(*) FILTER (predicted = 0) AS missed, round(count(*) FILTER (predicted = 1) / CAST(count(*) AS DOUBLE), 6) AS recall
 FROM grown_scored WHERE actual = 1 GROUP BY 1, 2""")

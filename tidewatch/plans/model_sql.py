@@ -131,6 +131,14 @@ to_score AS (SELECT 'all' AS model, 'calibrate' AS part, * EXCLUDE (place, rows)
   UNION ALL SELECT 'all', 'test', * FROM flow_v WHERE {BINARY} AND {in_dates(TEST_DATES)})"""
 
 
+# the same with the earliest four fifths to fit
+TIMED_ROWS = f"""benign AS (SELECT *, row_number() OVER (ORDER BY ts, md5(CAST(flow_row_id AS VARCHAR)), flow_row_id) AS place, count(*) OVER () AS rows
+  FROM flow_v WHERE label = 'Benign' AND {in_dates(TRAIN_DATES)}),
+fit_rows AS (SELECT 'all' AS model, * FROM benign WHERE place <= floor(round(rows * 0.8e0, 6))),
+to_score AS (SELECT 'all' AS model, 'calibrate' AS part, * EXCLUDE (place, rows) FROM benign WHERE place > floor(round(rows * 0.8e0, 6))
+  UNION ALL SELECT 'all', 'test', * FROM flow_v WHERE {BINARY} AND {in_dates(TEST_DATES)})"""
+
+
 def calibrated(share: float = 0.99) -> str:
     """``limits`` (model, threshold, calibration_records) and ``flagged`` (test rows) from ``iso_scored`` with a ``part``."""
     return f"""ordered AS (SELECT model, list(score ORDER BY score) AS s, {share}e0 * (count(*) - 1) AS spot FROM iso_scored WHERE part = 'calibrate' GROUP BY model),
