@@ -50,7 +50,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _told_apart(named: DataFrame) -> DataFrame:
     """``_key``: one number per id and text. It is the id for the id's first text (by hash); other texts of the same id get one above all real ids."""
     named = named.withColumn("_text", F.xxhash64("text"))
-    several = named.groupBy("_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("_id", "_first")
+    several = keep(named.groupBy("_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("_id", "_first"), "several")
+    if several.isEmpty():  # no text needs to move
+        return named.withColumn("_key", F.col("_id"))
     other = F.lit(1 << 61) + F.xxhash64("_id", "_text").bitwiseAND((1 << 61) - 1)
     return named.join(several, "_id", "left").withColumn("_key", F.when(F.col("_first") != F.col("_text"), other).otherwise(F.col("_id"))).drop("_first")
 
