@@ -189,3 +189,25 @@ def test_tree_and_importances(spark, flows):
     assert {r["features"] for r in tree.ablation(flows, flows, {"all": ROLES, "numbers": ROLES.without("k")}).collect()} == {3, 2}
     daily = rolling.frozen_model_daily(model, flows.where("flow_row_id >= 1600"))
     assert daily["overall"].first()["roc_auc"] == 1.0
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_one_class_sums_only_low_bins(spark, ordered):
+    from tidewatch.operators.oneclass import BINS, _features, _lowest, _pass
+
+    rng = np.random.default_rng(11)
+    state = {"numeric": rng.standard_normal((1, 16)), "phase": rng.uniform(0, 6, 16), "seed": 1, "categories": 0,
+             "models": {"m": {"mean": np.zeros(1), "deviation": np.ones(1), "gamma": 0.5, "w": rng.standard_normal(16) / 4, "reach": 2.0, "done": False}}}
+    x = rng.normal(size=20_000)
+    mapped = _features()(state, "m", x[:, None], np.zeros((len(x), 0), "int64"))
+    scores = mapped @ state["models"]["m"]["w"]
+    if ordered:  # all low rows lie in one task, so that the tasks' own counts tell nothing
+        x = x[np.argsort(scores)]
+    rows = spark.createDataFrame([("m", float(v)) for v in x], "_model string, num_0 double")
+    binned = _pass(rows, state, 1, {"m": 0.01}).toPandas()
+    assert binned["n"].sum() == len(x)
+    assert binned["sums"].notna().sum() < len(binned) / 2
+    (total, last, part), = _lowest(rows, state, 1, {"m": 200.0}, {"m": len(x)}).values()
+    place = np.clip(((scores + 2.0) / 4.0 * BINS).astype(int), 0, BINS - 1)
+    assert (place < last).sum() <= 200 <= (place <= last).sum() and 0 <= part <= 1
+    assert total == pytest.approx(mapped[place < last].sum(axis=0) + part * mapped[place == last].sum(axis=0))

@@ -5,7 +5,7 @@ Random Fourier features (Rahimi and Recht 2007) turn the kernel into a D-vector;
 among the means of phi with row weights of at most 1/(nu n). One pass over the rows counts them by score, with the sum of phi per bin of
 scores, so it gives at once rho, the mean s of the nu n lowest rows, and a bound: the objective is at most w.(w - s) from its minimum.
 The next w is the shortest vector in the hull of all s so far (Frank-Wolfe, fully corrective). It stops when that bound falls below
-``tolerance`` times |w|^2. No row is ever moved or collected; a task returns BINS x D numbers a model.
+``tolerance`` times |w|^2. No row is ever moved or collected; a task returns BINS counts a model, and D numbers for each bin that may be low.
 Results approximate an exact kernel solver by the D features; thresholds are calibrated afterwards in any case.
 ``group`` trains one model per value of a column with few values (folds) in the same passes.
 
@@ -29,6 +29,7 @@ from tidewatch.roles import Roles
 from tidewatch.sources.tables import stored
 
 BINS = 1024
+SPARE = 2.0  # a task sums the bins of so many times the wanted share of its rows
 
 
 @dataclass
@@ -116,8 +117,11 @@ def _scorer(shared, n_numeric: int):
     return score
 
 
-def _pass(rows: DataFrame, state: dict, n_numeric: int) -> DataFrame:
-    """One pass over the rows: per model and bin of scores (one bin before there is a w) how many rows, and the sum of phi. Stored, a row per task, model and bin."""
+def _pass(rows: DataFrame, state: dict, n_numeric: int, shares: dict[str, float], upto: dict[str, int] | None = None) -> DataFrame:
+    """One pass over the rows: per model and bin of scores (one bin before there is a w) how many rows, and the sum of phi for the low bins. Stored, a row per task, model and bin.
+
+    Low are the bins up to ``upto``; without it, those that hold SPARE times a model's share of its rows in the task. The others have no sum.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(state)
     phi, split = _features(), _batches(n_numeric)
 
@@ -125,24 +129,29 @@ def _pass(rows: DataFrame, state: dict, n_numeric: int) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        totals = {}
+        counts, sums, tops = {}, {}, {}
         for batch in batches:
             columns = [batch[c] for c in batch.columns]
             for name, _, values, kinds in split(columns[0], columns[1:]):
                 m = shared.value["models"][name]
-                if m["done"]:
+                if m["done"] or upto is not None and name not in upto:
                     continue
                 mapped = phi(shared.value, name, values, kinds)
                 place = np.zeros(len(mapped), dtype=np.int64) if m["w"] is None else _bin(mapped @ m["w"], m["reach"])
-                if name not in totals:
-                    totals[name] = np.zeros((BINS, mapped.shape[1] + 1))
-                bins, first = np.unique(place, return_inverse=True)
-                order = np.argsort(first, kind="stable")
-                starts = np.searchsorted(first[order], np.arange(len(bins)))
-                totals[name][bins] += np.add.reduceat(np.c_[mapped, np.ones(len(mapped))][order], starts, axis=0)
-        for name, total in totals.items():
-            bins = np.flatnonzero(total[:, -1])
-            yield pd.DataFrame({"model": name, "bin": bins, "n": total[bins, -1].astype("int64"), "sums": list(total[bins, :-1])})
+                if name not in counts:
+                    counts[name], sums[name], tops[name] = np.zeros(BINS, dtype=np.int64), {}, BINS - 1 if upto is None else upto[name]
+                counts[name] += np.bincount(place, minlength=BINS)
+                if upto is None and counts[name].sum() >= BINS:  # only what lies in low bins so far is summed; sums of higher ones are dropped
+                    through = np.cumsum(counts[name])
+                    tops[name] = min(tops[name], int(np.searchsorted(through, SPARE * shares[name] * through[-1])) + 1)
+                low = np.flatnonzero(place <= tops[name])
+                order = low[np.argsort(place[low], kind="stable")]
+                bins, starts = np.unique(place[order], return_index=True)
+                for b, total in zip(bins.tolist(), np.add.reduceat(mapped[order], starts, axis=0) if len(order) else ()):
+                    sums[name][b] = sums[name][b] + total if b in sums[name] else total
+        for name, count in counts.items():
+            bins = np.flatnonzero(count)
+            yield pd.DataFrame({"model": name, "bin": bins, "n": count[bins], "sums": [sums[name].get(b) if b <= tops[name] else None for b in bins.tolist()]})
 
     return stored(rows.mapInPandas(partial, "model string, bin int, n long, sums array<double>"), "bins")
 
@@ -151,8 +160,32 @@ def _bin(scores: np.ndarray, reach: float) -> np.ndarray:
     return np.clip(((scores + reach) / (2 * reach) * BINS).astype(np.int64), 0, BINS - 1)
 
 
-def _lowest(binned: DataFrame, wanted: dict[str, float]) -> dict[str, tuple[np.ndarray, int, float]]:
-    """Per model: sum of phi over the ``wanted`` lowest rows (the last bin in part), the last bin, and the part of it."""
+def _weigher(cuts: dict[str, tuple[int, float]]):
+    """Adds up a task's sums per model: whole bins below the last one, and its part. NULL if a low bin has no sum."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        totals = {}
+        for batch in batches:
+            for name, part in batch.groupby("model"):
+                last, share = cuts.get(name, (-1, 0.0))
+                part = part[part["bin"] <= last]
+                if part["sums"].isna().any():
+                    totals[name] = None
+                elif len(part) and totals.get(name, 0) is not None:
+                    totals[name] = totals.get(name, 0.0) + np.where(part["bin"] == last, share, 1.0) @ np.stack(part["sums"].to_numpy())
+        for name, total in totals.items():
+            yield pd.DataFrame({"model": [name], "value": [total]})
+
+    return run
+
+
+def _lowest(rows: DataFrame, state: dict, n_numeric: int, wanted: dict[str, float], sizes: dict[str, int]) -> dict[str, tuple[np.ndarray, int, float]]:
+    """Per model: sum of phi over the ``wanted`` lowest rows (the last bin in part), the last bin, and the part of it. One pass over the rows;
+    a second one for models of which some task did not sum all the bins that turn out to be low."""
+    binned = _pass(rows, state, n_numeric, {m: n / sizes[m] for m, n in wanted.items()})
     counts = binned.groupBy("model", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most models x BINS rows
     cuts = {}
     for name, part in counts.groupby("model"):
@@ -160,12 +193,19 @@ def _lowest(binned: DataFrame, wanted: dict[str, float]) -> dict[str, tuple[np.n
         upto = part["n"].cumsum().to_numpy(dtype="float64")
         last = min(int(np.searchsorted(upto, wanted[name])), len(part) - 1)
         before = upto[last] - float(part["n"].iloc[last])
-        cuts[name] = (int(part["bin"].iloc[last]), float((wanted[name] - before) / float(part["n"].iloc[last])))
-    table = binned.sparkSession.createDataFrame([(m, b, min(1.0, f)) for m, (b, f) in cuts.items()], "model string, _last int, _part double")
-    near = binned.join(F.broadcast(table), "model").where(F.col("bin") <= F.col("_last"))  # one row per model
-    weighed = near.select("model", F.posexplode("sums").alias("place", "value"), F.when(F.col("bin") == F.col("_last"), F.col("_part")).otherwise(1.0).alias("w"))
-    sums = weighed.groupBy("model", "place").agg(F.sum(F.col("value") * F.col("w")).alias("value")).toPandas()  # models x D numbers
-    return {name: (part.sort_values("place")["value"].to_numpy(), *cuts[name]) for name, part in sums.groupby("model")}
+        cuts[name] = (int(part["bin"].iloc[last]), min(1.0, float((wanted[name] - before) / float(part["n"].iloc[last]))))
+    def added(table: DataFrame, part: dict) -> list:
+        return table.select("model", "bin", "sums").mapInPandas(_weigher(part), "model string, value array<double>").collect()  # a row per task and model
+
+    found = added(binned, cuts)
+    missed = {r["model"] for r in found if r["value"] is None}
+    found = [r for r in found if r["model"] not in missed]
+    if missed:
+        found += added(_pass(rows, state, n_numeric, {}, {m: cuts[m][0] for m in missed}), {m: cuts[m] for m in missed})
+    sums: dict[str, np.ndarray] = {}
+    for r in found:
+        sums[r["model"]] = sums.get(r["model"], 0.0) + np.array(r["value"])
+    return {name: (total, cuts[name][0], float(cuts[name][1])) for name, total in sums.items()}
 
 
 def shortest(atoms: np.ndarray, rounds: int = 20_000) -> np.ndarray:
@@ -196,17 +236,17 @@ def fit_one_class(train: DataFrame, roles: Roles, nu: float = 0.01, dimensions:
     for r in medians(keyed, roles.numeric, [GROUP]).collect():
         fills[r["feature"]][r[GROUP]] = r["median"] or 0.0
     numbers = [f"num_{i}" for i in range(len(roles.numeric))]
-    rows = stored(with_fills(keyed, fills, models, numbers).select(GROUP, *numbers, *category_codes(roles.categorical)), "one-class")
+    rows = stored(with_fills(keyed, fills, models, numbers).select(GROUP, *numbers, *category_codes(roles.categorical)).sortWithinPartitions(GROUP), "one-class")
     seen = [stored(rows.select(GROUP, F.col(f"code_{c}").alias("code")).distinct(), "seen") for c in roles.categorical]
     state = _initial_state(rows, seen, models, numbers, dimensions, seed)
     sizes = {r[GROUP]: r["n"] for r in rows.groupBy(GROUP).agg(F.count("*").alias("n")).collect()}  # one row per model
-    for name, (total, *_) in _lowest(_pass(rows, state, len(numbers)), {m: float(n) for m, n in sizes.items()}).items():
+    for name, (total, *_) in _lowest(rows, state, len(numbers), {m: float(n) for m, n in sizes.items()}, sizes).items():
         _set_direction(state["models"][name], [total / sizes[name]])
     for _ in range(steps):
         open_models = {m: nu * sizes[m] for m in models if not state["models"][m]["done"]}
         if not open_models:
             break
-        for name, (total, last, part) in _lowest(_pass(rows, state, len(numbers)), open_models).items():
+        for name, (total, last, part) in _lowest(rows, state, len(numbers), open_models, sizes).items():
             m = state["models"][name]
             s, width = total / open_models[name], 2 * m["reach"] / BINS
             m["rho"] = -m["reach"] + width * (last + part)
