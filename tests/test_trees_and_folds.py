@@ -82,6 +82,21 @@ def test_tree_is_the_greedy_one(spark, local):
     assert shape(tree.fit_tree(frame(spark, rows), ROLES, max_depth=2, local=local)) == plain_tree(rows, 2)
 
 
+def test_one_task_finishes_a_deep_tree(spark, monkeypatch):
+    """20,000 points of random classes: the largest node shrinks slowly, so levels made of jobs would be many."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), "xyz"[i % 3], int(y)) for i, (a, b, y) in enumerate(zip(rng.normal(size=20_000), rng.normal(size=20_000), rng.random(20_000) < 0.3))]
+    data, levels = frame(spark, rows), []
+    best = tree._best_cuts
+    monkeypatch.setattr(tree, "_best_cuts", lambda *a: levels.append(1) or best(*a))
+    model = tree.fit_tree(data, ROLES)
+    assert not levels
+    roots = model.nodes.where("subtree")
+    assert roots.count() > 1 and roots.where(F.expr(f"n0 + n1 > {tree.PART}")).isEmpty()  # rows still meet small subtrees
+    model.broadcast_nodes = 0
+    assert model.predict(data).where("actual <> predicted").isEmpty()
+
+
 @pytest.mark.parametrize("local", [2, tree.LOCAL])
 def test_tree_fits_distinct_rows(spark, local):
     inf, nan = float("inf"), float("nan")

@@ -30,7 +30,8 @@ from tidewatch.operators.profile import union_all
 from tidewatch.roles import Roles
 from tidewatch.sources.tables import stored
 
-LOCAL = 1 << 14  # points of a node that one task finishes
+LOCAL = 1 << 19  # points of a node that one task finishes, in some 250 MB
+PART = 1 << 14  # points of a subtree that is sent as a whole to score rows
 BROADCAST_NODES = 1 << 18
 SHARE_ROWS = 1 << 16  # rows of one subtree that one task scores
 # b0 and b1 are the class counts below the cut; ``top`` marks the nodes outside subtrees, and ``subtree`` their roots
@@ -94,87 +95,120 @@ def _goes_above(numbers: int, kinds: int) -> Column:
     return above
 
 
-def _finisher(numbers: int, kinds: int, max_depth: int | None):
-    """Grows the subtree of one node, all its nodes of a level at once."""
+def _finisher(numbers: int, kinds: int, max_depth: int | None, part: int = PART):
+    """Grows the subtree of one node, all its nodes of a level at once.
+
+    Every feature is sorted once; its order of the points is kept by node and value, and dealt to the two sides of the cuts without
+    another sort, so a level costs a few passes over the points of nodes that still grow.
+    """
 
     def grow(key, pdf):
         import numpy as np
         import pandas as pd
 
-        root, start = key[0], len(key[0]) - 1
-        x = [pdf[f"x{i}"].to_numpy("float64") for i in range(numbers)]
-        words, codes = zip(*[np.unique(pdf[f"c{i}"].to_numpy(), return_inverse=True) for i in range(kinds)]) if kinds else ((), ())
+        root, depth = key[0], len(key[0]) - 1
         n0, n1 = pdf["n0"].to_numpy("int64"), pdf["n1"].to_numpy("int64")
-        at = np.zeros(len(pdf), dtype=np.int64)  # node of every point
-        live = np.arange(len(pdf))
-        out, base, depth = [], 0, start
-
-        def name(k: int) -> str:
-            return f"{root}.{k}" if k else root
-
-        while len(live):
-            nodes, node = np.unique(at[live], return_inverse=True)
-            count = np.bincount(node)
-            t0, t1 = (np.bincount(node, weights=n[live]).astype(np.int64) for n in (n0, n1))
+        values, codes, orders = [], [], []  # distinct values of a feature, their place by point, and the points by node and place
+        for column in [f"x{i}" for i in range(numbers)] + [f"c{i}" for i in range(kinds)]:
+            own = pdf[column]
+            word, code = np.unique(own.to_numpy("float64") if column[0] == "x" else own.to_numpy(), return_inverse=True)
+            values.append(word)
+            codes.append(code.astype(np.int32))
+            orders.append(np.argsort(codes[-1], kind="stable").astype(np.int32))
+        count, number, base = np.array([len(pdf)]), np.zeros(1, np.int64), 0
+        side = np.zeros(len(pdf), dtype=bool)
+        home = np.full(1, None, dtype=object)  # the subtree of a node, of at most ``part`` points
+        out = []
+
+        def names(k):
+            return [f"{root}.{i}" if i else root for i in k.tolist()]
+
+        while len(count):
+            starts = np.cumsum(count) - count
+            t0, t1 = (np.add.reduceat(n[orders[0]], starts) for n in (n0, n1))
             split = (t0 > 0) & (t1 > 0) & (count > 1) & (max_depth is None or depth < max_depth)
-            best = np.full(len(nodes), np.inf)
-            chosen = np.full(len(nodes), -1)
-            cut, code, low0, low1 = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), t0.copy(), t1.copy()
-
-            def offer(feature, where, cuts, kind, b0, b1):
-                """Candidates, sorted by node and then by cut or category."""
+            best = np.full(len(count), np.inf)
+            chosen, low = np.full(len(count), -1), np.zeros(len(count), np.int64)
+            beyond, low0, low1 = low.copy(), t0.copy(), t1.copy()
+            of = np.repeat(np.arange(len(count)), count)
+            on = split[of]
+            of, orders = of[on], [o[on] for o in orders]
+            s0, s1 = np.cumsum(t0 * split) - t0 * split, np.cumsum(t1 * split) - t1 * split
+
+            def offer(feature, where, place, after, b0, b1):
+                """Candidates, sorted by node and then by place."""
+                if not len(where):
+                    return
                 l0, l1, h0, h1 = (v.astype(np.float64) for v in (b0, b1, t0[where] - b0, t1[where] - b1))
                 cost = l0 * l1 / (l0 + l1) + h0 * h1 / (h0 + h1)
-                order = np.lexsort((np.arange(len(where)), cost, where))
-                first = order[np.r_[True, where[order][1:] != where[order][:-1]]] if len(order) else order
+                begin = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+                least = np.minimum.reduceat(cost, begin)
+                hits = np.flatnonzero(cost == np.repeat(least, np.diff(np.r_[begin, len(where)])))
+                first = hits[np.r_[True, where[hits[1:]] != where[hits[:-1]]]]
                 first = first[cost[first] < best[where[first]]]
                 to = where[first]
-                best[to], chosen[to], cut[to], code[to], low0[to], low1[to] = cost[first], feature, cuts[first], kind[first], b0[first], b1[first]
-
-            active = np.flatnonzero(split[node])
-            rows, of = live[active], node[active]
-            for f in range(numbers):
-                values = x[f][rows]
-                order = np.lexsort((values, of))
-                v, w, c0, c1 = values[order], of[order], np.cumsum(n0[rows][order]), np.cumsum(n1[rows][order])
-                new = np.r_[True, w[1:] != w[:-1]] if len(w) else np.zeros(0, bool)
-                begin = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-                s0, s1 = c0[begin] - n0[rows][order][begin], c1[begin] - n1[rows][order][begin]
-                edge = np.flatnonzero(~new[1:] & (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))
-                with np.errstate(invalid="ignore", over="ignore"):
-                    middle = v[edge] + (v[edge + 1] - v[edge]) / 2
-                    good = (middle >= v[edge]) & ((middle < v[edge + 1]) | (np.isnan(v[edge + 1]) & ~np.isnan(middle)))
-                offer(f, w[edge], np.where(good, middle, v[edge]), np.zeros(len(edge), np.int64), (c0 - s0)[edge], (c1 - s1)[edge])
-            for f in range(kinds):
-                order = np.lexsort((codes[f][rows], of))
-                k, w = codes[f][rows][order], of[order]
-                begin = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])]) if len(w) else np.zeros(0, np.int64)
-                a0, a1 = (np.add.reduceat(n[rows][order], begin) if len(begin) else np.zeros(0, np.int64) for n in (n0, n1))
-                where = w[begin]
-                part = np.flatnonzero(a0 + a1 < t0[where] + t1[where])
-                where, a0, a1 = where[part], a0[part], a1[part]
-                offer(numbers + f, where, np.zeros(len(part)), k[begin][part], t0[where] - a0, t1[where] - a1)
-            child = np.full(len(nodes), -1)
+                best[to], chosen[to], low[to], beyond[to], low0[to], low1[to] = cost[first], feature, place[first], after[first], b0[first], b1[first]
+
+            for f, (order, code) in enumerate(zip(orders, codes)):
+                k = code[order]
+                ends = np.flatnonzero(np.r_[(of[1:] != of[:-1]) | (k[1:] != k[:-1]), True]) if len(of) else np.zeros(0, np.int64)  # of equal values in a node
+                where, c0, c1 = of[ends], np.cumsum(n0[order])[ends], np.cumsum(n1[order])[ends]
+                if f < numbers:
+                    inside = np.flatnonzero(where[1:] == where[:-1])
+                    here = where[inside]
+                    offer(f, here, k[ends[inside]], k[ends[inside] + 1], c0[inside] - s0[here], c1[inside] - s1[here])
+                else:
+                    a0, a1 = np.diff(c0, prepend=0), np.diff(c1, prepend=0)
+                    some = np.flatnonzero(a0 + a1 < t0[where] + t1[where])
+                    here = where[some]
+                    offer(f, here, k[ends[some]], k[ends[some]], t0[here] - a0[some], t1[here] - a1[some])
             grows = chosen >= 0
+            child = np.full(len(count), -1)
             child[grows] = base + 1 + 2 * np.arange(int(grows.sum()))
             base += 2 * int(grows.sum())
-            for j, number in enumerate(nodes.tolist()):
-                f, c = int(chosen[j]), int(child[j])
-                word = words[f - numbers][code[j]] if f >= numbers else None
-                out.append((name(number), depth, f, float(cut[j]), word, name(c) if c >= 0 else None, name(c + 1) if c >= 0 else None,
-                            int(t0[j]), int(t1[j]), int(low0[j]), int(low1[j]), root, number == 0))
-            live, node = live[grows[node]], node[grows[node]]
-            above = np.zeros(len(live), dtype=bool)
-            for f in range(numbers):
-                mine = chosen[node] == f
-                values = x[f][live[mine]]
-                above[mine] = (values > cut[node[mine]]) | np.isnan(values) & ~np.isnan(cut[node[mine]])
-            for f in range(kinds):
-                mine = chosen[node] == numbers + f
-                above[mine] = codes[f][live[mine]] == code[node[mine]]
-            at[live] = child[node] + above
+            cut, category = np.zeros(len(count)), np.full(len(count), None, dtype=object)
+            for f, known in enumerate(values):
+                mine = np.flatnonzero(chosen == f)
+                if f >= numbers:
+                    category[mine] = known[low[mine]]
+                    continue
+                v, after = known[low[mine]], known[beyond[mine]]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    middle = v + (after - v) / 2
+                    good = (middle >= v) & ((middle < after) | (np.isnan(after) & ~np.isnan(middle)))
+                cut[mine] = np.where(good, middle, v)
+            called = np.array(names(number), dtype=object)
+            fresh = np.array([h is None for h in home], dtype=bool) & (count <= part)
+            home[fresh] = called[fresh]
+            out.append(pd.DataFrame({
+                "node": called, "depth": depth, "feature": chosen, "cut": cut, "category": category, "below": None, "above": None, "n0": t0, "n1": t1,
+                "b0": low0, "b1": low1, "root": home, "subtree": fresh}))
+            parents = np.flatnonzero(grows)
+            for name, step in (("below", 0), ("above", 1)):
+                sides = np.full(len(count), None, dtype=object)
+                sides[parents] = names(child[parents] + step)
+                out[-1][name] = sides
+            points = orders[0]
+            for f in range(numbers + kinds):
+                mine = np.flatnonzero(chosen[of] == f)
+                place = codes[f][points[mine]]
+                side[points[mine]] = place > low[of[mine]] if f < numbers else place == low[of[mine]]
+            own = count * split
+            starts = np.cumsum(own) - own
+            under = np.bincount(of[~side[points]], minlength=len(count))
+            at = np.arange(len(of))
+            for f, order in enumerate(orders):
+                above = side[order]
+                passed = np.cumsum(~above) - ~above  # points below their cut, before this one
+                within = passed - (np.cumsum(under) - under)[of]
+                dealt = np.empty_like(order)
+                dealt[np.where(above, at + under[of] - within, starts[of] + within)] = order
+                orders[f] = dealt
+            count = np.column_stack([under, own - under])[parents].ravel()
+            number = np.column_stack([child, child + 1])[parents].ravel()
+            home = np.repeat(home[parents], 2)
             depth += 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
+        return pd.concat(out, ignore_index=True)[[c.split()[0] for c in NODES.split(", ")]]
 
     return grow
 
@@ -208,7 +242,7 @@ def grow_nodes(points: DataFrame, numbers: int, kinds: int, max_depth: int | Non
     top = union_all(done).select(
         "node", "depth", "feature", "cut", "category", F.when(inner, F.concat("node", F.lit("0"))).alias("below"), F.when(inner, F.concat("node", F.lit("1"))).alias("above"),
         "n0", "n1", "b0", "b1", F.lit(None).cast("string").alias("root"), F.lit(False).alias("subtree"))
-    finished = union_all(small).groupBy("node").applyInPandas(_finisher(numbers, kinds, max_depth), NODES)
+    finished = union_all(small).groupBy("node").applyInPandas(_finisher(numbers, kinds, max_depth, min(local, PART)), NODES)
     return stored(top.unionByName(finished), "tree")
 
 
@@ -312,7 +346,7 @@ class TreeModel:
 
         if self.nodes.count() <= self.broadcast_nodes:
             return ready.withColumn("_chance", pass_over(self.nodes, lambda w: w.chance, T.DoubleType()))
-        # the top is about two nodes for every LOCAL points of the training set
+        # the top is about two nodes for every PART points of the training set
         top = self.nodes.where("root is null or subtree")
         placed = stored(ready.withColumn("_subtree", pass_over(top, lambda w: w.names, T.StringType())), "placed")
         roots = self.nodes.where("subtree").select(F.col("node").alias("_subtree"))
