@@ -30,7 +30,7 @@ from tidewatch.operators.profile import union_all
 from tidewatch.roles import Roles
 from tidewatch.sources.tables import stored
 
-LOCAL = 1 << 19  # points of a node that one task finishes, in some 250 MB
+LOCAL = 1 << 19  # points of a node that one task finishes
 PART = 1 << 14  # points of a subtree that is sent as a whole to score rows
 BROADCAST_NODES = 1 << 18
 SHARE_ROWS = 1 << 16  # rows of one subtree that one task scores
