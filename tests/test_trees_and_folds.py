@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,48 @@ def test_forests_of_an_expanding_past(spark, sixty_days):
     assert drawn < 6 * 64 * 1.5 * (2 + np.log(total / 64)) < past.count()
 
 
+def test_a_forest_walk_is_one_range_test_a_level():
+    """Against a plain walk of every row and tree, with odd numbers, unseen categories and a column that is never cut."""
+    rng = np.random.default_rng(4)
+    values = np.column_stack([rng.normal(size=700), rng.integers(0, 4, 700).astype(float), np.zeros(700)])
+    words = np.array([[f"k{a}", f"w{b}"] for a, b in zip(rng.integers(0, 3, 700), rng.integers(0, 40, 700))], dtype=object)
+    nodes = [n for t in range(7) for rows in [rng.choice(700, 64, replace=False)] for n in forest._grow(values[rows], words[rows], "m", t, 42)]
+    table = pd.DataFrame(nodes, columns=[c.split()[0] for c in forest.NODES.split(", ")])
+    code = {w: (-1) ** i * (i + 5) for i, w in enumerate(sorted(set(words.ravel())))}
+    table["code"] = [code.get(c, 0) for c in table["category"]]
+    values[:9, 0], words[9:20, 1] = [np.nan, np.inf, -np.inf] * 3, "unseen"
+    kinds = np.array([[code.get(w, 10**15) for w in row] for row in words], dtype="int64")
+    tree_nodes = {(n[1], n[2]): n for n in nodes}
+    paths = []
+    for i in range(700):
+        total = 0
+        for t in range(7):
+            at = tree_nodes[t, 1]
+            while at[3] >= 0:
+                above = values[i, at[3]] > at[4] if at[3] < 3 else words[i, at[3] - 3] == at[5]
+                at = tree_nodes[t, 2 * at[2] + int(above)]
+            total += at[6]
+        paths.append(total)
+    model = forest._arrays(table, 3, 2)["m"]
+    assert np.array_equal(forest._walk_all(values, kinds, model), np.exp2(-np.array(paths) / (7 * forest.UNIT) / forest.expected_path(64)) - 0.5)
+
+
+def test_segments_are_the_first_folds_that_fit(spark, monkeypatch):
+    """Rows at a cut's own time go by the id's hash and NULL times come first, as in the whole key; a forest asks for segments once."""
+    days = [(i, None if i % 25 == 0 else (i // 10) * 21_600 * 1_000_000, i // 40) for i in range(400)]  # ten rows share one time
+    benign = spark.createDataFrame(days, "flow_row_id bigint, m bigint, d int").select("flow_row_id", F.timestamp_micros("m").alias("ts"), F.date_add(F.lit("1970-01-01").cast("date"), "d").alias("capture_date"))
+    benign = benign.withColumns({"a": F.col("flow_row_id").cast("double"), "b": F.lit(1.0), "k": F.lit("x")})
+    cutoffs = rolling.keep(splits.fold_cutoffs(benign, splits.fold_dates(benign), "ts", "flow_row_id"), "cuts")
+    rows, folds = splits.fit_segments(benign, cutoffs, "ts", "flow_row_id")
+    past = splits.fold_membership(benign, cutoffs, "ts", "flow_row_id").where("part = 'fit'")
+    first = {r["flow_row_id"]: folds.index(str(r["day"])) for r in past.groupBy("flow_row_id").agg(F.min("test_date").alias("day")).collect()}
+    assert {r["flow_row_id"]: r["_segment"] for r in rows.collect() if r["_segment"] is not None} == first and len(folds) == 9
+    kept = []
+    monkeypatch.setattr(forest, "stored", lambda table, name, real=forest.stored: kept.append(name) or real(table, name))
+    forest.fit_forest_prefixes(rows, ROLES, "_segment", folds, trees=3, sample=16)
+    assert kept[0] == "segments"
+
+
 def test_rolling_evaluation_both_ways(spark, sixty_days):
     few = sixty_days.where("capture_date < '2023-11-25'")
     fit = lambda rows, roles, group: forest.fit_forest(rows, roles, trees=8, sample=32, group=group)

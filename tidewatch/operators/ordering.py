@@ -199,7 +199,7 @@ def prefix_quantiles(frame: DataFrame, columns: Sequence[str], share: float, seg
     Values are counted once, per segment. Counts of value ranges are summed up along the folds (ranges x folds rows), which tells the
     ranges that hold a fold's wanted ranks; only the values of those are joined with their folds.
     """
-    counted = value_counts(frame, columns, groups=[segment]).where(F.col("value").isNotNull())
+    counted = stored(value_counts(frame, columns, groups=[segment]).where(F.col("value").isNotNull()), "segment-values")
     steps = frame.sparkSession.createDataFrame([(f,) for f in folds], "fold int")  # one row per fold
     ranges = counted.groupBy("feature", BUCKET, segment).agg(F.sum("_c_all").alias("_n"))
     grid = ranges.select("feature", BUCKET).distinct().join(F.broadcast(steps))

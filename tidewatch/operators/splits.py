@@ -119,6 +119,13 @@ def _time_key(ts: str, row_id: str) -> Column:
     )
 
 
+def _later(ts: str, row_id: str, cut: Column) -> Column:
+    """``_time_key`` beyond ``cut``; the id is hashed only for rows at the cut's own time, as a row meets many cuts."""
+    own, key = F.struct(_micros(ts).alias("_time")), _time_key(ts, row_id)["_key"]
+    at = F.struct(cut["_time"].alias("_time"))  # structs compare NULL times as the whole key does
+    return (own > at) | ((own == at) & (key > cut["_key"]))
+
+
 def time_split(frame: DataFrame, ts: str, row_id: str, fit_share: float = 0.8) -> DataFrame:
     """The earliest floor(share x n) rows are ``fit``, the rest ``calibrate``; equal times go by the id's hash."""
     rows = frame.withColumn(EVERYTHING, F.lit(0))
@@ -182,7 +189,7 @@ def fit_segments(
     if any(a > b for a, b in zip(keys, keys[1:])):
         return None
     folds = cutoffs.agg(F.collect_list(F.struct("test_date", "_cut")).alias("_folds"))  # one row, one item per fold
-    outside = F.size(F.filter("_folds", lambda f: (F.col(date) >= f["test_date"]) | (_time_key(ts, row_id) > f["_cut"])))
+    outside = F.size(F.filter("_folds", lambda f: (F.col(date) >= f["test_date"]) | _later(ts, row_id, f["_cut"])))
     rows = benign.join(F.broadcast(folds)).withColumn(output, F.when(outside < len(cuts), outside)).drop("_folds")
     return rows, [str(r["test_date"]) for r in cuts]
 
