@@ -98,6 +98,22 @@ def test_one_task_finishes_a_deep_tree(spark, monkeypatch):
     assert model.predict(data).where("actual <> predicted").isEmpty()
 
 
+@pytest.mark.parametrize("buckets", [3, 4096])
+def test_large_nodes_are_cut_by_counts_of_buckets(spark, monkeypatch, buckets):
+    """The same tree whether buckets hold many values or one, and a level of large nodes writes no points."""
+    monkeypatch.setattr(tree, "BUCKETS", buckets)
+    rng = random.Random(8)
+    odd = [float("inf"), float("-inf"), float("nan"), -0.0]
+    rows = [(rng.choice([*odd, *map(float, range(25))]), rng.gauss(0, 1), rng.choice("abcdefgh"), int(rng.random() < 0.4)) for _ in range(90)]
+    written = []
+    for name in ("stored", "write_table"):
+        monkeypatch.setattr(tree, name, lambda *a, _old=getattr(tree, name), **k: written.append(1) or _old(*a, **k))
+    model = tree.fit_tree(frame(spark, rows), ROLES, local=20)
+    assert shape(model) == plain_tree(rows)
+    levels = model.nodes.where("root is null and feature >= 0").agg(F.max("depth")).first()[0] + 1
+    assert levels >= 3 and len(written) <= 4 + levels
+
+
 @pytest.mark.parametrize("local", [2, tree.LOCAL])
 def test_tree_fits_distinct_rows(spark, local):
     inf, nan = float("inf"), float("nan")

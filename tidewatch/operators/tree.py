@@ -3,10 +3,12 @@
 Gini gain, cuts half-way between neighbouring values of the training rows, one category against the rest, no limit of depth unless one
 is asked for, and no bins: the tree fits any training set in which equal rows have equal classes.
 
-Growing. Equal training rows become one point with two class counts. Large nodes are split level by level in Spark: one grouped count
-per (node, feature, value), running totals over value ranges, one best cut per node. A node of at most ``local`` points is finished by
-one task with the same rule, so the limit doesn't change the tree. The model is a node table in the shared folder; nothing of it, nor
-any vocabulary, is collected while it grows.
+Growing. Equal training rows become one point with two class counts. Large nodes are split level by level in Spark, in two passes without a
+shuffle of points: class counts per (node, feature, bucket of values) give the costs between buckets, and a bound for what lies inside each;
+then the values of those buckets alone that can still hold the best cut are counted one by one. Points follow the cuts by a walk over the last
+few levels and are written anew now and then. A node of at most ``local`` points is finished by one task with the same rule, so neither the limit
+nor the buckets change the tree. The model is a node table in the shared folder; the driver holds only the nodes above that limit and their
+ends, and no vocabulary.
 
 Scoring. A node table of at most ``BROADCAST_NODES`` rows (counted) goes to the tasks. A larger one is cut: the top goes to the tasks,
 and rows meet the nodes of their subtree by a shuffle, in as many shares as the subtree has rows.
@@ -19,18 +21,25 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.evaluation import add_rates, confusion
-from tidewatch.operators.ordering import add_ranges, split_points
-from tidewatch.operators.prep import Imputation, fit_imputation
+from tidewatch.operators.prep import Imputation, fit_dictionary, fit_imputation
 from tidewatch.operators.profile import union_all
 from tidewatch.roles import Roles
-from tidewatch.sources.tables import stored
+from tidewatch.session import scratch_path
+from tidewatch.sources.tables import read_table, stored, write_table
 
 LOCAL = 1 << 19  # points of a node that one task finishes
+BUCKETS = 4096  # value ranges of a feature
+LOOK = 1 << 17  # points looked at to cut the ranges
+CHUNK = 1 << 16  # points of a block
+KINDS = {"node": np.int32, "n0": np.int64, "n1": np.int64, "v": np.float64, "r": np.int16}
+REWRITE = 8  # levels that points walk through before they are written anew
+SLACK = 1e-9  # rounding of costs, relative
 PART = 1 << 14  # points of a subtree that is sent as a whole to score rows
 BROADCAST_NODES = 1 << 18
 SHARE_ROWS = 1 << 16  # rows of one subtree that one task scores
@@ -46,53 +55,329 @@ def _cost(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def _points(ready: DataFrame, roles: Roles) -> DataFrame:
-    """Distinct feature values with class counts, all in the root node."""
+    """Distinct feature values with class counts."""
     numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(roles.numeric)]
     kinds = [F.col(c).alias(f"c{i}") for i, c in enumerate(roles.categorical)]
     one = (F.col(roles.target) == 1).cast("long")
     rows = ready.where(F.col(roles.target).isNotNull()).select(*numbers, *kinds, (1 - one).alias("n0"), one.alias("n1"))
     names = rows.columns[:-2]
-    return rows.groupBy(*names).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("node", F.lit("1"))
-
-
-def _best_cuts(points: DataFrame, totals: DataFrame, ranges: list[str], numbers: int, kinds: int) -> DataFrame:
-    """(node, feature, cut, category, b0, b1): the cut of least cost for every node."""
-    parts = []
-    if numbers:
-        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(ranges[i]).alias("bucket"), F.col(f"x{i}").alias("value")) for i in range(numbers)]))
-        counted = points.select("node", "n0", "n1", pairs).groupBy("node", "feature", "bucket", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        keys = ["node", "feature"]
-        whole = counted.groupBy(*keys, "bucket").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.min("value").alias("least"))
-        over = Window.partitionBy(*keys).orderBy("bucket")
-        before = over.rowsBetween(Window.unboundedPreceding, -1)
-        starts = whole.select(*keys, "bucket", F.coalesce(F.sum("t0").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("s1"),
-                              F.lead("least").over(over).alias("beyond"))
-        inside = Window.partitionBy(*keys, "bucket").orderBy("value")
-        through = inside.rowsBetween(Window.unboundedPreceding, 0)
-        ran = counted.withColumns({"b0": F.sum("n0").over(through), "b1": F.sum("n1").over(through), "next": F.lead("value").over(inside)}).join(starts, [*keys, "bucket"])
-        ran = ran.withColumns({"next": F.coalesce("next", "beyond"), "b0": F.col("b0") + F.col("s0"), "b1": F.col("b1") + F.col("s1")}).where(F.col("next").isNotNull())
-        middle = F.col("value") + (F.col("next") - F.col("value")) / 2
-        cut = F.when((middle >= F.col("value")) & (middle < F.col("next")), middle).otherwise(F.col("value"))  # no number lies between, or one is not finite
-        parts.append(ran.select("node", "feature", cut.alias("cut"), F.lit(None).cast("string").alias("category"), "b0", "b1"))
+    return rows.groupBy(*names).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _encoded(points: DataFrame, numbers: int, kinds: int, count: int) -> tuple[DataFrame, DataFrame | None, list[int], list[np.ndarray]]:
+    """Blocks of points ready to be counted, the words of the categories, the number of buckets of every feature, and which buckets hold several values.
+
+    A category becomes the number of its word in their order, and every feature gets a bucket that rises with its value. A block is a row of arrays,
+    so that a pass moves them as they are: ``node``, ``n0``, ``n1``, and ``v`` (value) and ``r`` (bucket) of every feature. Stored.
+    """
+    names, words, rows, sizes = [f"c{i}" for i in range(kinds)], None, points, {}
+    looks = points.select(*[f"x{i}" for i in range(numbers)]).sample(min(1.0, LOOK / count), seed=7).toPandas() if numbers else {}  # merely balances the buckets
+    cuts = []
+    for i in range(numbers):
+        known = np.sort(looks[f"x{i}"].to_numpy("float64"))
+        known = known[~np.isnan(known)]
+        cuts.append(np.unique(known[np.arange(1, BUCKETS) * len(known) // BUCKETS]) if len(known) else known)
     if kinds:
-        pairs = F.inline(F.array(*[F.struct(F.lit(numbers + i).alias("feature"), F.col(f"c{i}").alias("category")) for i in range(kinds)]))
-        counted = points.select("node", "n0", "n1", pairs).groupBy("node", "feature", "category").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
-        rest = counted.join(totals.select("node", "n0", "n1"), "node").where(F.col("a0") + F.col("a1") < F.col("n0") + F.col("n1"))
-        parts.append(rest.select("node", "feature", F.lit(0.0).alias("cut"), "category", (F.col("n0") - F.col("a0")).alias("b0"), (F.col("n1") - F.col("a1")).alias("b1")))
-    cuts = union_all(parts).join(totals.select("node", "n0", "n1"), "node")
-    cost = _cost(F.col("b0"), F.col("b1"), F.col("n0") - F.col("b0"), F.col("n1") - F.col("b1"))
+        words = fit_dictionary(points, names)
+        sizes = {r["feature"]: r["n"] for r in words.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+        for i, c in enumerate(names):
+            own = words.where(F.col("feature") == c).select(F.col("word").alias(c), F.col("place").cast("double").alias(f"k{i}"))
+            rows = rows.join(own, c)
+    widths = [len(c) + 2 for c in cuts] + [min(sizes[c], BUCKETS) for c in names]
+    columns = [f"x{i}" for i in range(numbers)] + [f"k{i}" for i in range(kinds)]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // (4 * CHUNK)))
+    block = _blocker(columns, cuts, [sizes[c] for c in names], BUCKETS)
+    blocks = stored(rows.select(*columns, "n0", "n1").repartition(parts).mapInArrow(block, ", ".join(f"{c} binary" for c in _block_columns(len(columns)))), "points")
+    several = [np.zeros(w, dtype=bool) for w in widths]
+    spans = blocks.mapInArrow(_spans(len(columns)), "feature int, bucket int, least double, most double")
+    for r in spans.groupBy("feature", "bucket").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("feature", "bucket").collect():
+        several[r["feature"]][r["bucket"]] = True  # at most BUCKETS rows a feature
+    return blocks, words, widths, several
+
+
+def _block_columns(features: int) -> list[str]:
+    return ["node", "n0", "n1", *[f"v{f}" for f in range(features)], *[f"r{f}" for f in range(features)]]
+
+
+def _packed(arrays: dict[str, np.ndarray]):
+    """One block."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a, KINDS[c[0] if c[0] in "vr" else c]).tobytes()], pa.binary()) for c, a in arrays.items()], names=list(arrays))
+
+
+def _blocks(batches: Iterator) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: np.frombuffer(batch[c][i].as_buffer(), KINDS[c[0] if c[0] in "vr" else c]) for c in batch.schema.names if c != "open"}
+
+
+def _blocker(columns: list[str], cuts: list[np.ndarray], sizes: list[int], buckets: int):
+    """Rows to blocks."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        chunk = pa.Table.from_batches(batches)
+        values = [chunk[c].to_numpy() for c in columns]
+        places = [np.where(np.isnan(v), len(c) + 1, np.searchsorted(c, v, side="right")) for v, c in zip(values, cuts)]
+        places += [v if n <= buckets else v * buckets // n for v, n in zip(values[len(cuts):], sizes)]
+        return _packed({"node": np.zeros(len(chunk)), "n0": chunk["n0"].to_numpy(), "n1": chunk["n1"].to_numpy(),
+                        **{f"v{f}": v for f, v in enumerate(values)}, **{f"r{f}": r for f, r in enumerate(places)}})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= CHUNK:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+    return run
+
+
+def _spans(features: int):
+    """The least and the largest value of every feature's buckets in a block."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for block in _blocks(batches):
+            for f in range(features):
+                order = np.lexsort((block[f"v{f}"], block[f"r{f}"]))  # NaN last
+                bucket, value = block[f"r{f}"][order], block[f"v{f}"][order]
+                ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True])
+                first = np.r_[0, ends[:-1] + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), f, np.int32)), pa.array(bucket[ends].astype(np.int32)), pa.array(value[first]), pa.array(value[ends])],
+                                                 names=["feature", "bucket", "least", "most"])
+    return run
+
+
+def _moved(block: dict[str, np.ndarray], moves: list[tuple]) -> np.ndarray:
+    """The node of every point after ``moves``, the cuts since the points were last written: (node, feature, whether numeric, cut, below, above)."""
+    node = block["node"].copy()
+    for parent, feature, numeric, cut, below, above in moves:
+        mine = np.flatnonzero(node == parent)
+        if len(mine):
+            own = block[f"v{feature}"][mine]
+            node[mine] = np.where((own > cut) | np.isnan(own) if numeric else own == cut, above, below)
+    return node
+
+
+def _places(node: np.ndarray, wanted: list[int]) -> np.ndarray:
+    """Where a node stands in ``wanted``, -1 for others."""
+    table = np.full(max(int(node.max()), max(wanted)) + 1, -1, dtype=np.int64)
+    table[wanted] = np.arange(len(wanted))
+    return table[node]
+
+
+def _counter(widths: list[int], moves: list[tuple], large: list[int]):
+    """Class counts by bucket of every feature and large node, one row per task, node and feature."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        points = np.zeros(len(large), dtype=np.int64)
+        counts = [np.zeros((2, len(large) * w)) for w in widths]
+        for block in _blocks(batches):
+            at = _places(_moved(block, moves), large)
+            on = np.flatnonzero(at >= 0)
+            at, classes = at[on], [block[n][on].astype(np.float64) for n in ("n0", "n1")]
+            points += np.bincount(at, minlength=len(large))
+            for f, w in enumerate(widths):
+                key = at * w + block[f"r{f}"][on]
+                for i, c in enumerate(classes):
+                    counts[f][i] += np.bincount(key, c, len(large) * w)  # whole numbers, exact up to 2^53
+        some = np.flatnonzero(points)
+        for f, w in enumerate(widths):
+            if len(some):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([large[i] for i in some], pa.int32()), pa.array([f] * len(some), pa.int32()), pa.array(points[some]),
+                    pa.array([counts[f][:, i * w:(i + 1) * w].astype(np.int64).tobytes() for i in some], pa.binary())], names=["node", "feature", "points", "counts"])
+    return run
+
+
+COUNTS = "node int, feature int, points long, counts binary"
+OPTIONS = "node int, feature int, points long, reached double, t0 long, t1 long, bucket array<int>, next array<int>, s0 array<long>, s1 array<long>, least array<double>"
+
+
+def _options(numbers: int, several: list[np.ndarray]):
+    """For a node and feature: a cost that some cut reaches, and the buckets that may hold a better one, with the least cost that theirs could have.
+
+    The cost is concave in the class counts below a cut, so inside a bucket none is less than at the corners of what it may add to them.
+    """
+
+    def halves(a0, a1, t0, t1):
+        with np.errstate(invalid="ignore"):
+            return np.nan_to_num(a0 * a1 / (a0 + a1)) + np.nan_to_num((t0 - a0) * (t1 - a1) / (t0 + t1 - a0 - a1))
+
+    def run(key, pdf):
+        import pandas as pd
+
+        node, feature = (int(k) for k in key)
+        d0, d1 = np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0).reshape(2, -1)
+        bucket = np.flatnonzero(d0 + d1)
+        d0, d1, mixed = d0[bucket].astype(np.float64), d1[bucket].astype(np.float64), several[feature][bucket]
+        t0, t1 = d0.sum(), d1.sum()
+        s0, s1 = (np.cumsum(d) - d if feature < numbers else np.zeros(len(d)) for d in (d0, d1))
+        ends = halves(s0 + d0, s1 + d1, t0, t1)
+        if feature < numbers:
+            real = np.arange(len(bucket)) < len(bucket) - 1  # there is a cut after the bucket
+            inner = np.minimum.reduce([halves(s0, s1, t0, t1), halves(s0 + d0, s1, t0, t1), halves(s0, s1 + d1, t0, t1)])
+        else:
+            real = ~mixed & (d0 + d1 < t0 + t1)
+            inner = np.minimum(halves(d0, np.zeros(len(d0)), t0, t1), halves(np.zeros(len(d0)), d1, t0, t1))
+        reached = float(ends[real].min()) if real.any() else np.inf
+        least = np.where(mixed, np.minimum(ends, inner), np.where(real, ends, np.inf))
+        kept = np.flatnonzero((least <= reached * (1 + SLACK) + SLACK) & (least < np.inf))
+        after = np.r_[bucket[1:], -1]
+        return pd.DataFrame({
+            "node": [node], "feature": [feature], "points": [int(pdf["points"].sum())], "reached": [reached], "t0": [int(t0)], "t1": [int(t1)],
+            "bucket": [bucket[kept].astype(np.int32)], "next": [after[kept].astype(np.int32)], "s0": [s0[kept].astype(np.int64)], "s1": [s1[kept].astype(np.int64)], "least": [least[kept]]})
+
+    return run
+
+
+def _lister(numbers: int, moves: list[tuple], large: list[int], spots: dict[str, np.ndarray], widths: list[int]):
+    """The values of the wanted buckets with their class counts; of the bucket that follows, the least value without counts.
+
+    ``spots`` are arrays, an item per wanted bucket: node, feature, bucket, next, s0, s1, t0, t1.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        rank = {n: i for i, n in enumerate(large)}
+        at_node = np.array([rank[n] for n in spots["node"].tolist()])
+        tables = []
+        for f, w in enumerate(widths):
+            mine = np.flatnonzero(spots["feature"] == f)
+            both = []
+            for column in ("bucket", "next"):
+                table = np.full(len(large) * w, -1, dtype=np.int64)
+                use = mine[spots[column][mine] >= 0]
+                table[at_node[use] * w + spots[column][use]] = use
+                both.append(table)
+            tables.append(both if len(mine) else None)
+        for block in _blocks(batches):
+            at = _places(_moved(block, moves), large)
+            on = np.flatnonzero(at >= 0)
+            classes = [block[n] for n in ("n0", "n1")]
+            for f, w in enumerate(widths):
+                if tables[f] is None:
+                    continue
+                key = at[on] * w + block[f"r{f}"][on]
+                value = block[f"v{f}"]
+                for beyond, table in enumerate(tables[f] if f < numbers else tables[f][:1]):
+                    spot = table[key]
+                    hit = np.flatnonzero(spot >= 0)
+                    if not len(hit):
+                        continue
+                    spot, here = spot[hit], on[hit]
+                    order = np.lexsort((value[here], spot))
+                    spot, here = spot[order], here[order]
+                    v = value[here]
+                    fresh = spot[1:] != spot[:-1]
+                    if not beyond:
+                        fresh = fresh | ((v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))
+                    begin = np.flatnonzero(np.r_[True, fresh])
+                    n0, n1 = (np.add.reduceat(c[here], begin) * (1 - beyond) for c in classes)
+                    spot = spot[begin]
+                    yield pa.RecordBatch.from_arrays([
+                        *[pa.array(spots[c][spot]) for c in ("node", "feature", "bucket", "s0", "s1", "t0", "t1")], pa.array(v[begin]), pa.array(n0), pa.array(n1)],
+                        names=["node", "feature", "bucket", "s0", "s1", "t0", "t1", "value", "n0", "n1"])
+    return run
+
+
+VALUES = "node int, feature int, bucket int, s0 long, s1 long, t0 long, t1 long, value double, n0 long, n1 long"
+
+
+def _best_cuts(blocks: DataFrame, numbers: int, widths: list[int], several: list[np.ndarray], moves: list[tuple], large: list[int]) -> tuple[dict[int, int], dict]:
+    """Points of the large nodes, and the cut of least cost of every one that has a cut and more than one point: (cost, feature, cut, category, b0, b1).
+
+    ``moves`` are the cuts since the blocks were written. Two passes: class counts by bucket tell which buckets can hold the best cut; only the values of those are counted one by one.
+    """
+    passed = {f"v{m[1]}" for m in moves}
+    counted = blocks.select("node", "n0", "n1", *sorted(passed), *[f"r{f}" for f in range(len(widths))]).mapInArrow(_counter(widths, moves, large), COUNTS)
+    found = counted.groupBy("node", "feature").applyInPandas(_options(numbers, several), OPTIONS).collect()  # a row per large node and feature
+    reached: dict[int, float] = {}
+    for r in found:
+        reached[r["node"]] = min(reached.get(r["node"], np.inf), r["reached"])
+    spots = [(r["node"], r["feature"], b, n, s0, s1, r["t0"], r["t1"]) for r in found for b, n, s0, s1, least in zip(r["bucket"], r["next"], r["s0"], r["s1"], r["least"])
+             if least <= reached[r["node"]] * (1 + SLACK) + SLACK]
+    points = {r["node"]: r["points"] for r in found}
+    if not spots:
+        return points, {}
+    kinds = (np.int32,) * 4 + (np.int64,) * 4
+    names = ("node", "feature", "bucket", "next", "s0", "s1", "t0", "t1")
+    arrays = {n: np.array(v, dtype=k) for n, k, v in zip(names, kinds, zip(*spots))}
+    used = set(arrays["feature"].tolist())
+    rows = blocks.select("node", "n0", "n1", *sorted(passed | {f"v{f}" for f in used}), *[f"r{f}" for f in sorted(used)])
+    listed = rows.mapInArrow(_lister(numbers, moves, large, arrays, widths), VALUES)
+    keys = ["node", "feature", "bucket", "s0", "s1", "t0", "t1"]
+    values = listed.groupBy(*keys, "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    inside = Window.partitionBy(*keys).orderBy("value")
+    through = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ran = values.withColumns({"l0": F.sum("n0").over(through), "l1": F.sum("n1").over(through), "next": F.lead("value").over(inside)})
+    numeric = F.col("feature") < numbers
+    ran = ran.where(F.when(numeric, F.col("next").isNotNull() & (F.col("n0") + F.col("n1") > 0)).otherwise(F.col("n0") + F.col("n1") < F.col("t0") + F.col("t1")))
+    middle = F.col("value") + (F.col("next") - F.col("value")) / 2
+    cut = F.when((middle >= F.col("value")) & (middle < F.col("next")), middle).otherwise(F.col("value"))  # no number lies between, or one is not finite
+    b0, b1 = (F.when(numeric, F.col(f"s{i}") + F.col(f"l{i}")).otherwise(F.col(f"t{i}") - F.col(f"n{i}")) for i in (0, 1))
+    cuts = ran.select("node", "feature", "t0", "t1", F.when(numeric, cut).otherwise(0.0).alias("cut"), F.when(~numeric, F.col("value")).alias("category"), b0.alias("b0"), b1.alias("b1"))
+    cost = _cost(F.col("b0"), F.col("b1"), F.col("t0") - F.col("b0"), F.col("t1") - F.col("b1"))
     best = cuts.groupBy("node").agg(F.min(F.struct(cost.alias("cost"), "feature", "cut", "category", "b0", "b1")).alias("best"))
-    return best.select("node", "best.feature", "best.cut", "best.category", "best.b0", "best.b1")
+    return points, {r["node"]: tuple(r["best"]) for r in best.collect()}  # a row per large node
 
 
-def _goes_above(numbers: int, kinds: int) -> Column:
-    """Whether a point lies above the cut of its node (NaN lies above every number)."""
-    above = F.lit(False)
-    for i in range(numbers):
-        above = F.when(F.col("feature") == i, F.col(f"x{i}") > F.col("cut")).otherwise(above)
-    for i in range(kinds):
-        above = F.when(F.col("feature") == numbers + i, F.col(f"c{i}") == F.col("category")).otherwise(above)
-    return above
+def _written(blocks: DataFrame, moves: list[tuple], large: list[int], small: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The points of the large and of the small nodes with the node that they have reached, each stored once; others are done."""
+    columns = blocks.columns
+
+    def move(batches):
+        import pyarrow as pa
+
+        held: dict[int, list] = {0: [], 1: []}
+
+        def put(kind):
+            block = _packed({c: np.concatenate([h[c] for h in held[kind]]) for c in columns})
+            held[kind] = []
+            return block.append_column("open", pa.array([kind], pa.int32()))
+
+        for block in _blocks(batches):
+            node = _moved(block, moves)
+            kinds = np.full(max([int(node.max()), *large, *small]) + 1, -1, dtype=np.int32)
+            kinds[large], kinds[small] = 1, 0
+            for kind in (0, 1):
+                on = np.flatnonzero(kinds[node] == kind)
+                if len(on):
+                    held[kind].append({c: (node if c == "node" else block[c])[on] for c in columns})
+                    if sum(len(h["node"]) for h in held[kind]) >= CHUNK:
+                        yield put(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield put(kind)
+
+    schema = T.StructType([*blocks.schema.fields, T.StructField("open", T.IntegerType())])
+    path = write_table(blocks.mapInArrow(move, schema), scratch_path(blocks.sparkSession, "points"), partition_by=["open"])
+    whole = read_table(blocks.sparkSession, path, schema=schema)
+    return whole.where("open = 1").drop("open"), whole.where("open = 0").drop("open")
+
+
+def _unpacked(numbers: int, kinds: int):
+    """Blocks to rows; a category is the number of its word."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        features = [f"v{f}" for f in range(numbers + kinds)]
+        for block in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(block[c]) for c in ["node", *features, "n0", "n1"]],
+                                             names=["node", *[f"x{i}" for i in range(numbers)], *[f"c{i}" for i in range(kinds)], "n0", "n1"])
+    return run
 
 
 def _finisher(numbers: int, kinds: int, max_depth: int | None, part: int = PART):
@@ -213,37 +498,73 @@ def _finisher(numbers: int, kinds: int, max_depth: int | None, part: int = PART)
     return grow
 
 
+def _dealt(blocks: DataFrame, numbers: int, kinds: int, full: int) -> DataFrame:
+    """Points of small nodes in many more partitions than there are nodes of full size, so that few of those meet in one."""
+    values = [f"x{i} double" for i in range(numbers)] + [f"c{i} double" for i in range(kinds)]
+    rows = blocks.select("node", *[f"v{f}" for f in range(numbers + kinds)], "n0", "n1").mapInArrow(_unpacked(numbers, kinds), ", ".join(["node int", *values, "n0 long", "n1 long"]))
+    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, min(2048, 16 * full)), "node")
+
+
 def grow_nodes(points: DataFrame, numbers: int, kinds: int, max_depth: int | None = None, local: int = LOCAL) -> DataFrame:
-    """The node table (``NODES``) of the tree over distinct points x0.. c0.. with class counts n0 and n1. Stored."""
-    ranges = [f"r{i}" for i in range(numbers)]
-    opened = stored(points, "points")
-    if numbers and opened.count() > local:  # value ranges are cut once, for all levels
-        opened = stored(add_ranges(opened, split_points(opened, [f"x{i}" for i in range(numbers)]), ranges), "points")
-    columns = opened.columns
-    small, done, depth = [], [], 0
-    while True:
-        sizes = stored(opened.groupBy("node").agg(F.count(F.lit(1)).alias("points"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "sizes")
-        ends = (F.col("n0") == 0) | (F.col("n1") == 0) | (F.col("points") == 1) | F.lit(max_depth is not None and depth >= max_depth)
-        leaf = sizes.where((F.col("points") > local) & ends)
-        done.append(leaf.select("node", F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), F.lit(None).cast("string").alias("category"), "n0", "n1",
-                                F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.lit(depth).alias("depth")))
-        small.append(opened.join(sizes.where(F.col("points") <= local).select("node"), "node", "left_semi"))
-        large = sizes.where((F.col("points") > local) & ~ends)
-        if large.isEmpty():
-            break
-        rows = opened.join(large.select("node"), "node", "left_semi")
-        best = stored(_best_cuts(rows, large, ranges, numbers, kinds), "cuts")
-        done.append(best.join(large.select("node", "n0", "n1"), "node").select("node", "feature", "cut", "category", "n0", "n1", "b0", "b1", F.lit(depth).alias("depth")))
-        moved = rows.join(best.select("node", "feature", "cut", "category"), "node")
-        side = F.when(_goes_above(numbers, kinds), "1").otherwise("0")
-        opened = stored(moved.withColumn("node", F.concat("node", side)).select(columns), "points")
-        depth += 1
-    inner = F.col("feature") >= 0
-    top = union_all(done).select(
-        "node", "depth", "feature", "cut", "category", F.when(inner, F.concat("node", F.lit("0"))).alias("below"), F.when(inner, F.concat("node", F.lit("1"))).alias("above"),
-        "n0", "n1", "b0", "b1", F.lit(None).cast("string").alias("root"), F.lit(False).alias("subtree"))
-    finished = union_all(small).groupBy("node").applyInPandas(_finisher(numbers, kinds, max_depth, min(local, PART)), NODES)
-    return stored(top.unionByName(finished), "tree")
+    """The node table (``NODES``) of the tree over distinct points x0.. c0.. with class counts n0 and n1, which are read several times. Stored."""
+    whole = points.agg(F.count(F.lit(1)).alias("points"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    count, names = whole["points"], {0: "1"}
+    top, ends = [], {0: (whole["n0"], whole["n1"])}  # nodes outside subtrees, and the class counts of open ones: about two a level for every ``local`` points
+    small, moves, words = [], [], None
+    if count <= local:
+        small.append(points.withColumn("node", F.lit(0)))
+    else:
+        opened, words, widths, several = _encoded(points, numbers, kinds, count)
+        large, done, asked, held = [0], [], 0, sum(ends[0])  # of the points that are read: levels since they were written, and rows
+
+        def close(node: int, cut: tuple = (-1, 0.0, None), low: tuple | None = None, sides: tuple = (None, None)):
+            (n0, n1), (b0, b1) = ends[node], low or ends[node]
+            top.append((names[node], len(names[node]) - 1, *cut, *sides, n0, n1, b0, b1, None, False))
+
+        def is_end(node: int) -> bool:
+            return min(ends[node]) == 0 or max_depth is not None and len(names[node]) - 1 >= max_depth
+
+        while True:
+            for node in [n for n in large if is_end(n)]:
+                close(node)
+            large = [n for n in large if not is_end(n)]
+            done += [n for n in large if sum(ends[n]) <= local]
+            large = [n for n in large if sum(ends[n]) > local]
+            rest = sum(sum(ends[n]) for n in large)
+            if not large or asked >= REWRITE or 2 * rest < held:
+                opened, finished = _written(opened, moves, large, done)
+                small.append(finished)
+                moves, done, asked, held = [], [], 0, rest
+            if not large:
+                break
+            sizes, best = _best_cuts(opened, numbers, widths, several, moves, large)
+            following = []
+            for node in large:
+                if sizes[node] <= local or node not in best:
+                    done.append(node)
+                    continue
+                _, feature, cut, category, b0, b1 = best[node]
+                pair = (len(names), len(names) + 1)
+                for child, side, own in zip(pair, "01", ((b0, b1), (ends[node][0] - b0, ends[node][1] - b1))):
+                    names[child], ends[child] = names[node] + side, own
+                close(node, (feature, cut, category), (b0, b1), tuple(names[c] for c in pair))
+                numeric = feature < numbers
+                moves.append((node, feature, numeric, cut if numeric else category, *pair))
+                following += pair
+            large, asked = following, asked + 1
+    grow = _finisher(numbers, kinds, max_depth, min(local, PART))
+    subtree = lambda key, pdf: grow((names[int(key[0])],), pdf)
+    if words is None:
+        finished = union_all(small) if not top else _dealt(union_all(small), numbers, kinds, count // local)
+        finished = finished.groupBy("node").applyInPandas(subtree, NODES)
+        return stored(finished if not top else points.sparkSession.createDataFrame(top, NODES).unionByName(finished), "tree")
+    coded = NODES.replace("category string", "category double")
+    nodes = _dealt(union_all(small), numbers, kinds, count // local).groupBy("node").applyInPandas(subtree, coded)
+    nodes = points.sparkSession.createDataFrame(top, coded).unionByName(nodes)
+    used = words.select(F.expr(f"CAST(substring(feature, 2) AS INT) + {numbers}").alias("feature"), F.col("place").cast("double").alias("category"), "word")
+    named = nodes.join(used, ["feature", "category"], "left").withColumn("category", F.col("word"))
+    return stored(named.select(*[c.split()[0] for c in NODES.split(", ")]), "tree")
 
 
 class _Walker:
