@@ -114,6 +114,51 @@ def test_large_nodes_are_cut_by_counts_of_buckets(spark, monkeypatch, buckets):
     assert levels >= 3 and len(written) <= 4 + levels
 
 
+@pytest.mark.parametrize("lot", [4, 1 << 20])
+def test_a_level_shuffles_its_counts_and_its_listed_values_once(spark, monkeypatch, lot):
+    """The same tree for any size of lots; each of the two jobs of a level has one exchange."""
+    monkeypatch.setattr(tree, "BUCKETS", 3)
+    monkeypatch.setattr(tree, "LOT", lot)
+    rng = random.Random(5)
+    rows = [(rng.choice([float("inf"), float("nan"), -0.0, *map(float, range(9))]), rng.gauss(0, 1), rng.choice("abcdefgh"), int(rng.random() < 0.4)) for _ in range(70)]
+    model, plans = tree.fit_tree(frame(spark, rows), ROLES, local=tree.LOCAL), []
+    assert shape(model) == plain_tree(rows)
+    kind, collect = type(model.nodes), type(model.nodes).collect
+    best = tree._best_cuts
+
+    def watched(*a):
+        with monkeypatch.context() as m:
+            m.setattr(kind, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")) or collect(df))
+            return best(*a)
+
+    monkeypatch.setattr(tree, "_best_cuts", watched)
+    assert shape(tree.fit_tree(frame(spark, rows), ROLES, max_depth=2, local=20)) == plain_tree(rows, 2)
+    assert len(plans) >= 2 and set(plans) == {1}
+
+
+def test_model_rows_come_from_one_scan(spark, monkeypatch):
+    """Rows that share an id meet each other as in a join on the id, and those without an id are left out."""
+    from types import SimpleNamespace
+
+    from tidewatch.plans import model_queries as mq
+
+    ids = [1, 2, 2, 3, 3, 3, None, None, 4]
+    rows = [(i, f"2024-01-{n + 1:02d} 00:00:00", ("Benign", "Malicious", "Unknown")[n % 3 if n < 6 else 0], f"d{n}", "tcp", "-" if n % 2 else "svc", "SF", None, float(n), 1.0, None, 0.0)
+            for n, i in enumerate(ids)]
+    view = spark.createDataFrame(rows, "flow_row_id long, time string, label string, detailedlabel string, proto string, service string, conn_state string, history string, "
+                                       "duration double, orig_bytes double, resp_bytes double, missed_bytes double")
+    view = view.withColumns({"ts": F.col("time").cast("timestamp"), "capture_date": F.to_date("time")}).drop("time")
+    scans = []
+    monkeypatch.setattr(mq.rolling, "keep", lambda f, n, keep=mq.rolling.keep: scans.append(f._jdf.queryExecution().executedPlan().toString().count("Scan")) or keep(f, n))
+    for own in (view, view.where("flow_row_id is null or flow_row_id in (1, 4)")):
+        got = mq.flows(SimpleNamespace(flow_v=own))
+        keyed = mq.cleaning.metadata_table(own, mq.FLOW).select("flow_row_id", "ts", "capture_date", "detailedlabel")
+        joined = mq.cleaning.modelling_table(mq.clean_flows(SimpleNamespace(flow_v=own)), mq.FLOW).join(keyed, "flow_row_id")
+        assert got.dtypes == joined.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, joined.collect()))
+    assert scans == [1, 1]
+
+
 @pytest.mark.parametrize("local", [2, tree.LOCAL])
 def test_tree_fits_distinct_rows(spark, local):
     inf, nan = float("inf"), float("nan")

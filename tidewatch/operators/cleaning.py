@@ -105,14 +105,15 @@ def unexpected_labels(frame: DataFrame, target: str, allowed: Sequence) -> DataF
     )
 
 
-def modelling_table(frame: DataFrame, roles: Roles, codes: Mapping[str, int] = CLASS_CODES) -> DataFrame:
-    """Row id, numeric features as doubles, filled categories and the 0/1 target; filter and casts in one pass."""
+def modelling_table(frame: DataFrame, roles: Roles, codes: Mapping[str, int] = CLASS_CODES, beside: Sequence[str] = ()) -> DataFrame:
+    """Row id, numeric features as doubles, filled categories, the 0/1 target and the columns ``beside``; filter and casts in one pass."""
     rows = binary_rows(frame, roles.target, codes)
     return rows.select(
         roles.row_id,
         *[to_number(F.col(c)).alias(c) for c in roles.numeric],
         *[fill_category(F.col(c)).alias(c) for c in roles.categorical],
         label_code(F.col(roles.target), dict(codes)).alias(roles.target),
+        *beside,
     )
 
 

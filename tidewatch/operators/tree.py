@@ -22,7 +22,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,7 @@ LOCAL = 1 << 19  # points of a node that one task finishes
 BUCKETS = 4096  # value ranges of a feature
 LOOK = 1 << 17  # points looked at to cut the ranges
 CHUNK = 1 << 16  # points of a block
+LOT = 1 << 20  # rows of wanted buckets that one task looks through
 KINDS = {"node": np.int32, "n0": np.int64, "n1": np.int64, "v": np.float64, "r": np.int16}
 REWRITE = 8  # levels that points walk through before they are written anew
 SLACK = 1e-9  # rounding of costs, relative
@@ -201,7 +202,7 @@ def _counter(widths: list[int], moves: list[tuple], large: list[int]):
 
 
 COUNTS = "node int, feature int, points long, counts binary"
-OPTIONS = "node int, feature int, points long, reached double, t0 long, t1 long, bucket array<int>, next array<int>, s0 array<long>, s1 array<long>, least array<double>"
+OPTIONS = "node int, feature int, points long, reached double, t0 long, t1 long, bucket array<int>, next array<int>, rows array<long>, s0 array<long>, s1 array<long>, least array<double>"
 
 
 def _options(numbers: int, several: list[np.ndarray]):
@@ -236,7 +237,7 @@ def _options(numbers: int, several: list[np.ndarray]):
         after = np.r_[bucket[1:], -1]
         return pd.DataFrame({
             "node": [node], "feature": [feature], "points": [int(pdf["points"].sum())], "reached": [reached], "t0": [int(t0)], "t1": [int(t1)],
-            "bucket": [bucket[kept].astype(np.int32)], "next": [after[kept].astype(np.int32)], "s0": [s0[kept].astype(np.int64)], "s1": [s1[kept].astype(np.int64)], "least": [least[kept]]})
+            "bucket": [bucket[kept].astype(np.int32)], "next": [after[kept].astype(np.int32)], "rows": [(d0 + d1)[kept].astype(np.int64)], "s0": [s0[kept].astype(np.int64)], "s1": [s1[kept].astype(np.int64)], "least": [least[kept]]})
 
     return run
 
@@ -244,7 +245,7 @@ def _options(numbers: int, several: list[np.ndarray]):
 def _lister(numbers: int, moves: list[tuple], large: list[int], spots: dict[str, np.ndarray], widths: list[int]):
     """The values of the wanted buckets with their class counts; of the bucket that follows, the least value without counts.
 
-    ``spots`` are arrays, an item per wanted bucket: node, feature, bucket, next, s0, s1, t0, t1.
+    ``spots`` are arrays, an item per wanted bucket: node, feature, bucket, next, lot, s0, s1, t0, t1.
     """
 
     def run(batches):
@@ -286,13 +287,48 @@ def _lister(numbers: int, moves: list[tuple], large: list[int], spots: dict[str,
                     begin = np.flatnonzero(np.r_[True, fresh])
                     n0, n1 = (np.add.reduceat(c[here], begin) * (1 - beyond) for c in classes)
                     spot = spot[begin]
-                    yield pa.RecordBatch.from_arrays([
-                        *[pa.array(spots[c][spot]) for c in ("node", "feature", "bucket", "s0", "s1", "t0", "t1")], pa.array(v[begin]), pa.array(n0), pa.array(n1)],
-                        names=["node", "feature", "bucket", "s0", "s1", "t0", "t1", "value", "n0", "n1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(spots["lot"][spot]), pa.array(spot.astype(np.int32)), pa.array(v[begin]), pa.array(n0), pa.array(n1)],
+                                                     names=["lot", "spot", "value", "n0", "n1"])
     return run
 
 
-VALUES = "node int, feature int, bucket int, s0 long, s1 long, t0 long, t1 long, value double, n0 long, n1 long"
+VALUES = "lot int, spot int, value double, n0 long, n1 long"
+CUTS = "node int, cost double, feature int, cut double, category double, b0 long, b1 long"
+
+
+def _chooser(numbers: int, spots: dict[str, np.ndarray]):
+    """The cut of least cost of every node, from the listed values of a lot of wanted buckets; ties as everywhere."""
+
+    def run(pdf):
+        import pandas as pd
+
+        spot, value, n0, n1 = (pdf[c].to_numpy() for c in ("spot", "value", "n0", "n1"))
+        order = np.lexsort((value, spot))  # NaN last
+        spot, value = spot[order], value[order]
+        begin = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | ((value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1])))])
+        n0, n1 = (np.add.reduceat(n[order], begin) for n in (n0, n1))
+        spot, value = spot[begin], value[begin]
+        first = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]])
+        sizes = np.diff(np.r_[first, len(spot)])
+        node, feature, s0, s1, t0, t1 = (spots[c][spot] for c in ("node", "feature", "s0", "s1", "t0", "t1"))
+        numeric = feature < numbers
+        follows = np.r_[spot[1:] == spot[:-1], False]
+        after = np.r_[value[1:], np.nan]
+        l0, l1 = (np.cumsum(n) - np.repeat(np.cumsum(n)[first] - n[first], sizes) for n in (n0, n1))
+        b0, b1 = np.where(numeric, s0 + l0, t0 - n0), np.where(numeric, s1 + l1, t1 - n1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            middle = value + (after - value) / 2
+            between = np.where((middle >= value) & (middle < after), middle, value)  # no number lies between, or one is not finite
+        real = np.flatnonzero(np.where(numeric, follows & (n0 + n1 > 0), n0 + n1 < t0 + t1))
+        node, feature, b0, b1, numeric = node[real], feature[real], b0[real], b1[real], numeric[real]
+        a0, a1, c0, c1 = (v.astype(np.float64) for v in (b0, b1, t0[real] - b0, t1[real] - b1))
+        cost = a0 * a1 / (a0 + a1) + c0 * c1 / (c0 + c1)
+        cut, category = np.where(numeric, between[real], 0.0), np.where(numeric, np.nan, value[real])
+        best = np.lexsort((np.where(numeric, 0.0, category), cut, feature, cost, node))
+        best = best[np.flatnonzero(np.r_[True, node[best][1:] != node[best][:-1]])] if len(best) else best
+        return pd.DataFrame({"node": node[best], "cost": cost[best], "feature": feature[best], "cut": cut[best], "category": category[best], "b0": b0[best], "b1": b1[best]})
+
+    return run
 
 
 def _best_cuts(blocks: DataFrame, numbers: int, widths: list[int], several: list[np.ndarray], moves: list[tuple], large: list[int]) -> tuple[dict[int, int], dict]:
@@ -306,31 +342,25 @@ def _best_cuts(blocks: DataFrame, numbers: int, widths: list[int], several: list
     reached: dict[int, float] = {}
     for r in found:
         reached[r["node"]] = min(reached.get(r["node"], np.inf), r["reached"])
-    spots = [(r["node"], r["feature"], b, n, s0, s1, r["t0"], r["t1"]) for r in found for b, n, s0, s1, least in zip(r["bucket"], r["next"], r["s0"], r["s1"], r["least"])
+    spots = [(r["node"], r["feature"], b, n, rows, s0, s1, r["t0"], r["t1"])
+             for r in found for b, n, rows, s0, s1, least in zip(r["bucket"], r["next"], r["rows"], r["s0"], r["s1"], r["least"])
              if least <= reached[r["node"]] * (1 + SLACK) + SLACK]
     points = {r["node"]: r["points"] for r in found}
     if not spots:
         return points, {}
-    kinds = (np.int32,) * 4 + (np.int64,) * 4
-    names = ("node", "feature", "bucket", "next", "s0", "s1", "t0", "t1")
+    kinds = (np.int32,) * 4 + (np.int64,) * 5
+    names = ("node", "feature", "bucket", "next", "rows", "s0", "s1", "t0", "t1")
     arrays = {n: np.array(v, dtype=k) for n, k, v in zip(names, kinds, zip(*spots))}
+    arrays["lot"] = (np.cumsum(arrays["rows"]) // LOT).astype(np.int32)  # a lot has few rows or is one bucket
     used = set(arrays["feature"].tolist())
     rows = blocks.select("node", "n0", "n1", *sorted(passed | {f"v{f}" for f in used}), *[f"r{f}" for f in sorted(used)])
     listed = rows.mapInArrow(_lister(numbers, moves, large, arrays, widths), VALUES)
-    keys = ["node", "feature", "bucket", "s0", "s1", "t0", "t1"]
-    values = listed.groupBy(*keys, "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    inside = Window.partitionBy(*keys).orderBy("value")
-    through = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ran = values.withColumns({"l0": F.sum("n0").over(through), "l1": F.sum("n1").over(through), "next": F.lead("value").over(inside)})
-    numeric = F.col("feature") < numbers
-    ran = ran.where(F.when(numeric, F.col("next").isNotNull() & (F.col("n0") + F.col("n1") > 0)).otherwise(F.col("n0") + F.col("n1") < F.col("t0") + F.col("t1")))
-    middle = F.col("value") + (F.col("next") - F.col("value")) / 2
-    cut = F.when((middle >= F.col("value")) & (middle < F.col("next")), middle).otherwise(F.col("value"))  # no number lies between, or one is not finite
-    b0, b1 = (F.when(numeric, F.col(f"s{i}") + F.col(f"l{i}")).otherwise(F.col(f"t{i}") - F.col(f"n{i}")) for i in (0, 1))
-    cuts = ran.select("node", "feature", "t0", "t1", F.when(numeric, cut).otherwise(0.0).alias("cut"), F.when(~numeric, F.col("value")).alias("category"), b0.alias("b0"), b1.alias("b1"))
-    cost = _cost(F.col("b0"), F.col("b1"), F.col("t0") - F.col("b0"), F.col("t1") - F.col("b1"))
-    best = cuts.groupBy("node").agg(F.min(F.struct(cost.alias("cost"), "feature", "cut", "category", "b0", "b1")).alias("best"))
-    return points, {r["node"]: tuple(r["best"]) for r in best.collect()}  # a row per large node
+    best: dict[int, tuple] = {}
+    for r in listed.groupBy("lot").applyInPandas(_chooser(numbers, arrays), CUTS).collect():  # a row per large node and lot
+        numeric = r["feature"] < numbers
+        own = (r["cost"], r["feature"], r["cut"], None if numeric else r["category"], r["b0"], r["b1"])
+        best[r["node"]] = min(best.get(r["node"], own), own, key=lambda b: (*b[:3], b[3] or 0.0))
+    return points, best
 
 
 def _written(blocks: DataFrame, moves: list[tuple], large: list[int], small: list[int]) -> tuple[DataFrame, DataFrame]:

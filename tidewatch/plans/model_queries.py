@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cleaning, evaluation, prep, rolling, splits, tree
@@ -21,9 +21,18 @@ VARIANTS = {"all features": FLOW, "without history": FLOW.without("history")}
 
 
 def flows(t) -> DataFrame:
-    """Modelling rows with time and date (the target is 0/1), stored once: every fitting and scoring pass reads them from there."""
-    keyed = cleaning.metadata_table(t.flow_v, FLOW).select("flow_row_id", "ts", "capture_date", "detailedlabel")
-    return rolling.keep(cleaning.modelling_table(clean_flows(t), FLOW).join(keyed, "flow_row_id"), "model-input")
+    """Modelling rows with time and date (the target is 0/1), stored once: every fitting and scoring pass reads them from there.
+
+    Both sides of the join on the row id come from the same rows, so one scan and one shuffle do; only rows that share an id are joined.
+    """
+    beside = ["ts", "capture_date", "detailedlabel"]
+    wide = cleaning.modelling_table(clean_flows(t), FLOW, beside=beside).where("flow_row_id is not null")
+    rows = rolling.keep(wide.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("flow_row_id"))), "model-input")
+    several = rows.where("_same > 1").drop("_same")
+    if several.isEmpty():
+        return rows.drop("_same")
+    joined = several.drop(*beside).join(several.select("flow_row_id", *beside), "flow_row_id")
+    return rows.where("_same = 1").drop("_same").unionByName(joined)
 
 
 def parts(t) -> tuple[DataFrame, DataFrame]:
