@@ -211,3 +211,62 @@ def test_one_class_sums_only_low_bins(spark, ordered):
     place = np.clip(((scores + 2.0) / 4.0 * BINS).astype(int), 0, BINS - 1)
     assert (place < last).sum() <= 200 <= (place <= last).sum() and 0 <= part <= 1
     assert total == pytest.approx(mapped[place < last].sum(axis=0) + part * mapped[place == last].sum(axis=0))
+
+
+def test_one_class_quick_scores_are_near():
+    from tidewatch.operators.oneclass import BINS, _added, _categories, _mapped, _quick_places, _added_turns
+
+    rng = np.random.default_rng(5)
+    state = {"numeric": rng.standard_normal((3, 128)), "phase": rng.uniform(0, 2 * np.pi, 128), "seed": 1, "categories": 2}
+    m = {"mean": np.array([1.0, -5.0, 0.0]), "deviation": np.array([2.0, 0.1, 1.0]), "gamma": 0.3, "w": rng.standard_normal(128) / 50}
+    m["reach"] = float(np.linalg.norm(m["w"])) * np.sqrt(2.0)
+    values, kinds = rng.normal(size=(3000, 3)) * [6.0, 0.2, 3.0] + m["mean"], rng.integers(-9, 9, (3000, 2))
+    values[:4, 0] = 1e9, np.nan, np.inf, -1e300  # no quick score for these
+    parts = list(_categories()(state, kinds))
+    turns, largest = _added_turns(state, parts, len(kinds))
+    with np.errstate(all="ignore"):
+        quick = _quick_places(state, m, values, turns, largest)
+        mapped = _mapped(state, m, values, _added(state, parts, kinds))
+    plain = np.cos(np.sqrt(2 * m["gamma"]) * ((values[4:] - m["mean"]) / m["deviation"] @ state["numeric"] + _added(state, parts, kinds)[4:]) + state["phase"]) * np.sqrt(2 / 128)
+    assert np.abs(mapped[4:] - plain).max() < 1e-12
+    assert np.isnan(quick[:4]).all() and np.isnan(quick[4:]).mean() < 0.01
+    exact = (mapped[4:] @ m["w"] + m["reach"]) / (2 * m["reach"]) * BINS
+    assert np.nanmax(np.abs(quick[4:] - exact)) < 1
+
+
+def test_one_class_of_an_expanding_past(spark, flows, monkeypatch):
+    """The models of all folds are those fitted on each fold's own rows, and a row is stored once for all of them."""
+    from tidewatch.operators import splits
+
+    kept = {}
+    monkeypatch.setattr(oneclass, "stored", lambda table, name, real=oneclass.stored: kept.setdefault(name, real(table, name)) if name == "one-class" else real(table, name))
+    days = sorted(str(r[0]) for r in flows.select("capture_date").distinct().collect())[:4]
+    benign = rolling.keep(flows.where(F.col("capture_date").cast("string").isin(days)).where("label = 0"), "benign")
+    benign = rolling.keep(benign.withColumn("a", F.when(F.col("flow_row_id") % 7 != 0, F.col("a"))), "gaps")
+    cutoffs = rolling.keep(splits.fold_cutoffs(benign, splits.fold_dates(benign), "ts", "flow_row_id"), "cuts")
+    rows, folds = splits.fit_segments(benign, cutoffs, "ts", "flow_row_id")
+    undated = rows.limit(3).withColumns({"capture_date": F.lit(None).cast("date"), "_segment": F.lit(0)})
+    merged = oneclass.fit_one_class_prefixes(rows.unionByName(undated), ROLES, "_segment", folds, dimensions=16, tolerance=0.1)
+    fitted = rows.where("_segment is not null").count()
+    assert kept.pop("one-class").count() == fitted
+    past = splits.fold_membership(benign, cutoffs, "ts", "flow_row_id").where("part = 'fit'").withColumn("test_date", F.col("test_date").cast("string"))
+    single = oneclass.fit_one_class(past, ROLES, dimensions=16, tolerance=0.1, group="test_date")
+    assert merged.fills == single.fills and sorted(merged.state["models"]) == sorted(single.state["models"]) == folds
+    for name, m in single.state["models"].items():
+        other = merged.state["models"][name]
+        assert other["gamma"] == pytest.approx(m["gamma"]) and other["mean"] == pytest.approx(m["mean"]) and other["deviation"] == pytest.approx(m["deviation"])
+        assert other["rho"] == pytest.approx(m["rho"]) and other["w"] == pytest.approx(m["w"])
+    odd = spark.createDataFrame([(1, None, 0.0, "never seen", folds[0]), (2, 1.0, None, "k1", folds[-1]), (3, 1.0, 2.0, "k1", "no model")], "id int, a double, b double, k string, fold string")
+    scores = [{r["id"]: r["score"] for r in model.score(odd, "fold").collect()} for model in (merged, single)]
+    assert scores[0][3] is None and scores[1][3] is None
+    assert [scores[0][i] for i in (1, 2)] == pytest.approx([scores[1][i] for i in (1, 2)])
+
+
+def test_merged_moments_of_parts():
+    rng = np.random.default_rng(2)
+    parts = [rng.normal(1e6, 1, n) for n in (5, 1, 700)]
+    described = [(len(x), x.mean(), x.var(), x.min(), x.max()) for x in parts]
+    mean, deviation = oneclass._merged(described)
+    whole = np.concatenate(parts)
+    assert mean == pytest.approx(whole.mean()) and deviation == pytest.approx(whole.std())
+    assert oneclass._merged([(3, 0.1 + 1e-17, 1e-34, 0.1, 0.1), (4, 0.1, 0.0, 0.1, 0.1)]) == (0.1, 0.0)

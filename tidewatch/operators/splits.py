@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.ordering import rank_cutoffs
 from tidewatch.roles import Roles
 
 EVERYTHING = "_everything"
+EPOCH = dt.date(1970, 1, 1)
 
 
 def dates_in(frame: DataFrame, date: str, dates: Sequence[str]) -> DataFrame:
@@ -172,7 +176,7 @@ def fold_membership(
     """Benign rows of each fold's past with ``part`` fit / calibrate (range join with one row per fold)."""
     return (
         benign.join(F.broadcast(cutoffs), F.col(date) < F.col("test_date"))
-        .withColumn("part", F.when(_time_key(ts, row_id) <= F.col("_cut"), "fit").otherwise("calibrate"))
+        .withColumn("part", F.when(_later(ts, row_id, F.col("_cut")), "calibrate").otherwise("fit"))
         .drop("_cut")
     )
 
@@ -182,7 +186,8 @@ def fit_segments(
 ) -> tuple[DataFrame, list[str]] | None:
     """Benign rows with the number of the first fold whose fit rows include them (NULL: none), and the folds in order.
 
-    None if fit rows of some fold aren't fit rows of the next one, which takes times that run against the dates.
+    None if fit rows of some fold aren't fit rows of the next one, which takes times that run against the dates. Cuts rise with the
+    folds, so the folds before a row are found by binary search; only rows at a cut's own time are held against all of them.
     """
     cuts = cutoffs.select("test_date", F.col("_cut._time").alias("t"), F.col("_cut._key._digest").alias("d"), F.col("_cut._key._id").alias("i")).orderBy("test_date").collect()  # one row per fold
     keys = [(r["t"], r["d"], r["i"]) for r in cuts]
@@ -190,7 +195,17 @@ def fit_segments(
         return None
     folds = cutoffs.agg(F.collect_list(F.struct("test_date", "_cut")).alias("_folds"))  # one row, one item per fold
     outside = F.size(F.filter("_folds", lambda f: (F.col(date) >= f["test_date"]) | _later(ts, row_id, f["_cut"])))
-    rows = benign.join(F.broadcast(folds)).withColumn(output, F.when(outside < len(cuts), outside)).drop("_folds")
+    rows, times = benign, [k[0] for k in keys]
+    if cuts and None not in times and isinstance(benign.schema[date].dataType, T.DateType):
+        steps, days = sorted(set(times)), [r["test_date"] for r in cuts]
+        day = F.unix_date(date).cast("double")
+        rows = benign.withColumns({"_time": F.coalesce(_micros(ts).cast("double"), F.lit(0.0)), "_day": F.coalesce(day, F.lit(0.0))})
+        rows = Bucketizer(inputCols=["_time", "_day"], outputCols=["_passed", "_begun"], splitsArray=[
+            [float("-inf"), *points, float("inf")] for points in (map(float, steps), [float((d - EPOCH).days) for d in days])]).transform(rows)
+        passed = F.get(F.array(*[F.lit(sum(t < step for t in times)) for step in steps], F.lit(len(times))), F.col("_passed").cast("int"))
+        plain = F.col(ts).isNotNull() & F.col(date).isNotNull() & ~F.col("_time").isin([float(t) for t in steps])
+        outside = F.when(plain, F.greatest(passed, F.col("_begun").cast("int"))).otherwise(outside)
+    rows = rows.join(F.broadcast(folds)).withColumn(output, F.when(outside < len(cuts), outside)).drop("_folds", "_time", "_day", "_passed", "_begun")
     return rows, [str(r["test_date"]) for r in cuts]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import cleaning, evaluation, prep, rolling, splits, tree
 from tidewatch.operators.forest import ForestModel, fit_forest, fit_forest_prefixes
-from tidewatch.operators.oneclass import OneClassModel, fit_one_class
+from tidewatch.operators.oneclass import OneClassModel, fit_one_class, fit_one_class_prefixes
 from tidewatch.plans import model_sql
 from tidewatch.plans.bindings import FLOW, TEST_DATES, TRAIN_DATES
 from tidewatch.plans.catalog import query
@@ -305,7 +305,7 @@ def _(t):
 
 @query("ml14_rolling_one_class")
 def _(t):
-    return rounded(rolling.rolling_evaluation(flows(t), FLOW, "ts", one_class)["daily"])
+    return rounded(rolling.rolling_evaluation(flows(t), FLOW, "ts", one_class, prefix_fit=fit_one_class_prefixes)["daily"])
 
 
 @query("ml15_frozen_daily", f"""{GROWN}, {model_sql.ranked('grown_scored', 'capture_date')}, r AS ({model_sql.rated('grown_scored', 'capture_date')})
