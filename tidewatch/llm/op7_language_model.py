@@ -114,24 +114,37 @@ class Trainer:
     def __init__(self, model: Model, seed: int):
         self.model, self.rng = model, np.random.default_rng(seed)
         self.r = np.concatenate([model.r1, model.r2])
-        self.q, self.b = model.q.copy(), model.b[:, None].copy()
-        self.squares = {name: np.full(getattr(self, name).shape, 1e-3, dtype=np.float32) for name in ("r", "q", "b")}
+        self.q, self.column = model.q.copy(), model.b[:, None].copy()
+        self.squares = {name: np.full(getattr(self, name).shape, 1e-3, dtype=np.float32) for name in ("r", "q", "column")}
         self.log_noise = np.log(NOISE * model.unigram).astype(np.float32)
         self.cumulative = np.cumsum(model.unigram)
         self.seen = 0
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.b)])
+        return np.concatenate([x.ravel() for x in (self.r, self.q, self.column)])
 
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, times: np.ndarray) -> None:
-        """One batch of distinct (context, context, target), each as often as ``times`` says."""
+    @property
+    def r1(self) -> np.ndarray:
+        return self.r[:self.model.classes + 1]
+
+    @property
+    def r2(self) -> np.ndarray:
+        return self.r[self.model.classes + 1:]
+
+    @property
+    def b(self) -> np.ndarray:
+        return self.column[:, 0]
+
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> None:
+        """One batch of distinct (context, context, target), each as often as ``times`` says (once without it)."""
+        times = np.ones(len(one), dtype=np.float32) if times is None else times
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), self.model.classes - 1)
         two = two + np.uint16(self.model.classes + 1)
         context = self.r[one] + self.r[two]
         own_q, noise_q = self.q[target], self.q[noise]
-        own = np.einsum("ij,ij->i", context, own_q) + self.b[target, 0] - self.log_noise[target]
+        own = np.einsum("ij,ij->i", context, own_q) + self.column[target, 0] - self.log_noise[target]
         other = context @ noise_q.T
-        other += self.b[noise, 0] - self.log_noise[noise]
+        other += self.column[noise, 0] - self.log_noise[noise]
         own_error = times / (1 + np.exp(np.clip(own, -30, 30)))  # 1 - sigmoid
         other_error = np.minimum(other, 30, out=other)  # worked on in place: the largest array here
         np.exp(np.negative(other_error, out=other_error), out=other_error)
@@ -145,7 +158,7 @@ class Trainer:
         self._update("r", *_sums(np.concatenate([one, two]), np.concatenate([to_context, to_context])), scale)
         order = _order(drawn)
         self._update("q", *_sums(drawn, np.concatenate([own_error[:, None] * context, other_error.T @ context]), order), scale)
-        self._update("b", *_sums(drawn, np.concatenate([own_error, np.ones(len(times), np.float32) @ other_error])[:, None], order), scale)
+        self._update("column", *_sums(drawn, np.concatenate([own_error, np.ones(len(times), np.float32) @ other_error])[:, None], order), scale)
         self.seen += round(float(count))
 
     def _update(self, name: str, rows: np.ndarray, grad: np.ndarray, scale: np.float32) -> None:
